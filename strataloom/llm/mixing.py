@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, maybe_broadcast, shared_dir, word_count
+from .common import materialize, maybe_broadcast, shared_dir, word_count
 
 BUCKET_HEX = 3
 #: A source row is under 200 bytes, so at most 2 MB are broadcast.
@@ -99,6 +99,16 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: str = "mix-1", cut_last: boo
     )
 
 
+def mixed_documents(docs: DataFrame, max_epochs: int = 3, seed: str = "mix-1") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, whole. Rows without words are taken never. Rows
+    that share doc_id and size are taken equally often."""
+    taken = mix(docs, max_epochs, seed, cut_last=False).where(F.col("taken") > 0)
+    times = taken.groupBy(F.col("doc_id").alias("_d"), F.col("size").alias("_n")).agg(F.max(F.expr("taken div size")).cast("int").alias("_times"))
+    d = docs.withColumn("_size", word_count(F.col("text")))
+    d = d.join(times, d["doc_id"].eqNullSafe(times["_d"]) & (d["_size"] == times["_n"]))
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

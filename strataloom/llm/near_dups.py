@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, discard, lower_ascii, materialize, mix64, ragged_range, raw_text, shuffle_width, span_hash, text_chunks, words_of
+from .common import BASE_A, BASE_B, discard, lower_ascii, materialize, mix64, ragged_range, raw_text, span_hash, text_chunks, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band in 3e-6 of cases
@@ -282,3 +282,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = named_rows.where(~head).select("doc_id", "class_id", F.lit(False).alias("is_first"))
     heads = named_rows.where(head).withColumn("_k", F.row_number().over(w)).select("doc_id", "class_id", (F.col("_k") == 1).alias("is_first"))
     return lone.unionByName(rest).unionByName(heads)
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that represent their class. Rows that repeat a doc_id are one document here:
+    they stay or go together."""
+    first = near_duplicates(docs).where("is_first").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_d"]), "left_semi")
