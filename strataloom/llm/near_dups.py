@@ -28,7 +28,7 @@ BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band in 3e-6 of cases
 REGISTERS = BANDS * ROWS
 #: Estimates this far below the threshold are refused unverified: nearly five standard deviations.
 SLACK = 0.2
-BLOCK = 1500
+BLOCK, BLOCK_BYTES = 1500, 4 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
@@ -94,10 +94,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     (va, wa), (vb, wb) = a, b
     if not len(va) or not len(vb):
         return 0.0
-    both, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    if not len(both):
+    ib = np.searchsorted(vb, va)
+    ib[ib == len(vb)] = 0
+    ia = np.flatnonzero(vb[ib] == va)
+    if not len(ia):
         return 0.0
-    plain = len(both) / (len(va) + len(vb) - len(both))
+    ib = ib[ia]
+    plain = len(ia) / (len(va) + len(vb) - len(ia))
     if plain >= SIMILARITY or (wa.max() == 1 and wb.max() == 1):
         return plain
     pa_, pb_ = wa / wa.sum(), wb / wb.sum()
@@ -188,37 +191,56 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.union(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
-def _across(members: DataFrame, sigs: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """Untried pairs of members of one bucket in different components whose registers agree enough.
-    Buckets are compared in blocks of about BLOCK members, so a task holds two blocks at most."""
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, node, root) of the buckets that hold several components."""
     m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = m.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y").select("key", "n")
-    m = m.join(open_, "key").join(sigs.select("node", "sig"), "node")
-    m = m.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mixed = m.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    return m.join(mixed, "key").select("key", "node", "root")
+
+
+def _across(opened: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b) between components that share a bucket.
+
+    A bucket is compared in blocks of about BLOCK members and BLOCK_BYTES of text, so that a task holds two
+    blocks. Each pair of members of different components is compared by registers, in the first band that
+    it shares, and if they agree enough, by its texts. Within a task a link joins its components, and pairs
+    inside a component need no more comparison: a task returns fewer links than it has members."""
+    m = opened.join(sigs.select("node", "sig"), "node").join(texts, "node")
+    load = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)
+    blocks = m.groupBy(F.col("key").alias("_k")).agg(F.greatest(F.ceil(load), F.lit(1)).cast("int").alias("blocks"))
+    m = m.join(blocks, m["key"] == blocks["_k"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "sig")
+    m = m.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "sig", "text")
+    need = int(np.ceil(REGISTERS * (SIMILARITY - SLACK) - 1e-9))
 
     def run(table: pa.Table) -> pa.Table:
-        node, root = table["node"].to_pylist(), table["root"].to_pylist()
+        node = table["node"].to_pylist()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, REGISTERS)
+        bands = band_keys(sig)
+        band = int(np.flatnonzero(bands[0] == table["key"][0].as_py())[0])
         mine = table["mine"].to_numpy()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        _, comp = np.unique(np.asarray([r.hex() for r in root]), return_inverse=True)
-        left = np.flatnonzero(mine == i)
+        _, comp = np.unique(np.asarray([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)
+        text_of, value, weight, _, _ = shingles(*raw_text(table["text"]))
+        cuts = np.searchsorted(text_of, np.arange(len(node) + 1))
         right = np.flatnonzero(mine == j)
-        need = int(np.ceil(REGISTERS * (SIMILARITY - SLACK) - 1e-9))
         a, b = [], []
-        for x in left.tolist():
+        for x in np.flatnonzero(mine == i).tolist():
             cand = right[(comp[right] != comp[x]) & ((right > x) | (i != j))]
-            if len(cand):
-                hit = cand[(sig[cand] == sig[x]).sum(1) >= need]
-                a += [node[x]] * len(hit)
-                b += [node[y] for y in hit.tolist()]
+            if not len(cand):
+                continue
+            cand = cand[(sig[cand] == sig[x]).sum(1) >= need]
+            cand = cand[~(bands[cand, :band] == bands[x, :band]).any(1)]
+            own = slice(cuts[x], cuts[x + 1])
+            for y in cand.tolist():
+                other = slice(cuts[y], cuts[y + 1])
+                if comp[y] != comp[x] and similarity((value[own], weight[own]), (value[other], weight[other])) >= SIMILARITY:
+                    comp[comp == comp[y]] = comp[x]
+                    a.append(node[x])
+                    b.append(node[y])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    found = m.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return found.join(tried, ["a", "b"], "left_anti")
+    return m.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -248,8 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = materialize(stars, "stars")
     likely = materialize(_estimate(stars, sigs), "likely")
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def texts(need: DataFrame) -> DataFrame:
         need = need.join(sigs.select("node", "doc_id"), "node").withColumnsRenamed({"doc_id": "_d", "node": "_n"})
         d = docs.select("doc_id", "text")
         found = d.join(need, d["doc_id"].eqNullSafe(need["_d"])).select("_n", "text")
@@ -262,11 +283,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
         return materialize(found.mapInArrow(own, "node binary, text string").dropDuplicates(["node"]), "pair-texts")
 
-    links = materialize(_verify(likely, texts(likely)), "verified")
+    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    links = materialize(_verify(likely, texts(ends)), "verified")
     roots = materialize(components(links), "roots")
-    more = materialize(_across(members, sigs, roots, stars), "across")
-    if more.limit(1).count():
-        links = links.union(materialize(_verify(more, texts(more)), "verified-across"))
+    opened = materialize(_open_members(members, roots), "open-members")
+    if opened.limit(1).count():
+        need = opened.select("node").distinct()
+        links = links.union(materialize(_across(opened, sigs, texts(need)), "links-across"))
         roots = materialize(components(links), "all-roots")
 
     # classes are named by their least doc_id; a class may hold very many rows, so it is only aggregated
