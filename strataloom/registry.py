@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .catalogue import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "ship"]
 
 
 def ship(spark: SparkSession, root: str) -> None:
@@ -34,4 +34,5 @@ def ship(spark: SparkSession, root: str) -> None:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Z-stack to stage points: projection, percentile threshold, 8-connected objects, area filter, centroids."""
+    return QUERIES["detection_points"](spark, sf_dir)
