@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from .functions.geometry import Affine, Tile, ring_area, slice_bounds, tiles_for_span
 from .operators import components, grouped, joins, objects, raster, regions
+from .plans import compose
+from .plans import tables as plan_tables
 from .sources import fixtures as fx
+from .sources import plan_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,6 +31,13 @@ def query(sql: str | None = None):
 
 
 W = fx.with_sql
+
+
+def typed(sql: str, **kinds: str) -> str:
+    """``sql`` with columns cast to the engine's types."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in kinds.items())}) FROM ({sql})"
+
+
 RASTER = ("stack", "mip", "cls", "mask")
 LABELS8 = (*RASTER, fx.labels_sql(8))
 #: Exact whole-number moments by object, as the engine has them.
@@ -80,7 +90,7 @@ def projection_mean(spark, d):
     return raster.project(fx.stack(spark, d), "MEAN")
 
 
-@query("SELECT * FROM (SELECT 'all' AS kase, CAST(i AS INT) AS z, 100.0 + 5 * i AS z_um FROM range(7) t(i) UNION ALL SELECT 'one missing', i, 100.0 + (i - 3) * 2 FROM range(7) t(i) UNION ALL SELECT 'no step', i, 100.0 FROM range(7) t(i) UNION ALL SELECT 'none', i, (i - 3) * 5.0 FROM range(7) t(i))")
+@query(typed("SELECT * FROM (SELECT 'all' AS kase, CAST(i AS INT) AS z, 100.0 + 5 * i AS z_um FROM range(7) t(i) UNION ALL SELECT 'one missing', i, 100.0 + (i - 3) * 2 FROM range(7) t(i) UNION ALL SELECT 'no step', i, 100.0 FROM range(7) t(i) UNION ALL SELECT 'none', i, (i - 3) * 5.0 FROM range(7) t(i))", z="INT", z_um="DOUBLE"))
 def z_positions_fallback(spark, d):
     planes = spark.range(7).select(F.col("id").cast("int").alias("z"), (100.0 + 5 * F.col("id")).alias("z_um"))
     some, none = planes.where("z <> 4"), planes.where("z < 0")
@@ -101,7 +111,7 @@ def affine_inverse(spark, d):
     return fx.stage_points(spark, d).select("id", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
 
 
-@query("SELECT * FROM (VALUES ('top_left', 1000.0, 2000.0), ('top_right', 1118.75, 2000.0), ('bottom_left', 1000.0, 2118.75), ('bottom_right', 1118.75, 2118.75)) t(corner, sx, sy)")
+@query(typed("SELECT * FROM (VALUES ('top_left', 1000.0, 2000.0), ('top_right', 1118.75, 2000.0), ('bottom_left', 1000.0, 2118.75), ('bottom_right', 1118.75, 2118.75)) t(corner, sx, sy)", sx="DOUBLE", sy="DOUBLE"))
 def overview_corners(spark, d):
     c = spark.createDataFrame([("top_left", 0, 0), ("top_right", 95, 0), ("bottom_left", 0, 95), ("bottom_right", 95, 95)], "corner string, x int, y int")
     x, y = META.apply(F.col("x"), F.col("y"))
@@ -146,7 +156,7 @@ def class_counts(spark, d):
     return classes(spark, d).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(W("plane") + "SELECT image_id, 0.0 AS low, round(quantile_cont(v, 0.9999), 6) AS high FROM plane GROUP BY image_id")
+@query(typed(W("plane") + "SELECT image_id, 0.0 AS low, round(quantile_cont(v, 0.9999), 6) AS high FROM plane GROUP BY image_id", low="DOUBLE"))
 def display_limits(spark, d):
     return raster.display_limits(fx.plane(spark, d)).select("image_id", "low", F.round("high", 6).alias("high"))
 
@@ -225,7 +235,7 @@ def label_painting(spark, d):
     return objects.paint(lab, objects.measure(lab), "area").select("y", "x", "area")
 
 
-@query(W(*LABELS8, MEASURE) + "SELECT CAST(label AS BIGINT) AS label, 1000 + 1.25 * greatest(min_x - 0.5, 0) AS min_x, 1000 + 1.25 * (max_x + 0.5) AS max_x, 2000 + 1.25 * greatest(min_y - 0.5, 0) AS min_y, 2000 + 1.25 * (max_y + 0.5) AS max_y FROM objects")
+@query(typed(W(*LABELS8, MEASURE) + "SELECT CAST(label AS BIGINT) AS label, 1000 + 1.25 * greatest(min_x - 0.5, 0) AS min_x, 1000 + 1.25 * (max_x + 0.5) AS max_x, 2000 + 1.25 * greatest(min_y - 0.5, 0) AS min_y, 2000 + 1.25 * (max_y + 0.5) AS max_y FROM objects", min_x="DOUBLE", max_x="DOUBLE", min_y="DOUBLE", max_y="DOUBLE"))
 def object_stage_bounds(spark, d):
     o = objects.measure(labels(spark, d))
     return o.select("label", *[c.alias(n) for n, c in slice_bounds(META, F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y")).items()])
@@ -249,7 +259,7 @@ def component_modal_z(spark, d):
 # ------------------------------------------------------------------ histograms and peaks
 
 
-@query("WITH h AS (SELECT least(floor(value / 10), 9) AS b, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1) SELECT CAST(i AS INT) AS bin, i * 10.0 AS lower, coalesce(n, 0) AS n FROM range(10) t(i) LEFT JOIN h ON h.b = i")
+@query(typed("WITH h AS (SELECT least(floor(value / 10), 9) AS b, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1) SELECT CAST(i AS INT) AS bin, i * 10.0 AS lower, coalesce(n, 0) AS n FROM range(10) t(i) LEFT JOIN h ON h.b = i", lower="DOUBLE"))
 def histogram_fixed(spark, d):
     return raster.histogram(fx.table(spark, d, "events"), 0.0, 100.0, 10, "value")
 
@@ -267,7 +277,7 @@ def histogram_smoothed(spark, d):
     return smoothed(spark, d).select("bin", *r6("s"))
 
 
-@query(W("stack", "mip", SMOOTH) + "SELECT CAST(bin AS INT) AS bin, bin * 5.0 + 2.5 AS centre, round(s, 6) AS s FROM s WHERE bin BETWEEN 3 AND 50 ORDER BY round(s.s, 9) DESC, bin LIMIT 1")
+@query(typed(W("stack", "mip", SMOOTH) + "SELECT CAST(bin AS INT) AS bin, bin * 5.0 + 2.5 AS centre, round(s, 6) AS s FROM s WHERE bin BETWEEN 3 AND 50 ORDER BY round(s.s, 9) DESC, bin LIMIT 1", centre="DOUBLE"))
 def peak_search(spark, d):
     s = smoothed(spark, d).select("bin", F.round("s", 9).alias("s"), (F.col("bin") * 5.0 + 2.5).alias("centre"))
     return raster.peak(s, F.col("bin").between(3, 50)).select("bin", "centre", *r6("s"))
@@ -279,7 +289,7 @@ def background_subtract(spark, d):
     return h.select("bin", F.round(F.greatest(F.col("n") - raster.poisson_part(F.col("bin") * 5 + 2.5, 1.0, 900.0, 20.0), F.lit(0.0)), 4).alias("n"))
 
 
-@query("WITH h AS (SELECT i * 5 + 2.5 AS c FROM range(60) t(i)), p AS (SELECT c, 900 * exp(greatest(c - 1, 0) * ln(20.0) - 20 - lgamma(greatest(c - 1, 0) + 1)) AS p, 300 * exp(-0.5 * ((c - 90) / 20.0) ** 2) AS g FROM h) SELECT min(c) AS threshold FROM p WHERE c > 1 AND c < 90 AND g / (g + p) >= 0.5")
+@query(typed("WITH h AS (SELECT i * 5 + 2.5 AS c FROM range(60) t(i)), p AS (SELECT c, 900 * exp(greatest(c - 1, 0) * ln(20.0) - 20 - lgamma(greatest(c - 1, 0) + 1)) AS p, 300 * exp(-0.5 * ((c - 90) / 20.0) ** 2) AS g FROM h) SELECT min(c) AS threshold FROM p WHERE c > 1 AND c < 90 AND g / (g + p) >= 0.5", threshold="DOUBLE"))
 def threshold_crossing(spark, d):
     h = spark.range(60).select((F.col("id") * 5 + 2.5).alias("centre"))
     return raster.posterior_crossing(h, 1.0, 900.0, 20.0, 300.0, 90.0, 20.0, 299.0)
@@ -350,7 +360,7 @@ def tile_point_grid(spark, d):
     return regions.tile_lattice(objects.box_groups(linked(spark, d)).withColumnRenamed("group_id", "id"), TILE)
 
 
-@query(W("sp", GROUPS, LATTICE) + "SELECT group_id AS id, mx AS center_x, my AS center_y, (nx - 1) * 7.5 + 10 AS width, (ny - 1) * 7.5 + 10 AS height, nx * ny AS tiles FROM lat")
+@query(typed(W("sp", GROUPS, LATTICE) + "SELECT group_id AS id, mx AS center_x, my AS center_y, (nx - 1) * 7.5 + 10 AS width, (ny - 1) * 7.5 + 10 AS height, nx * ny AS tiles FROM lat", width="DOUBLE", height="DOUBLE"))
 def rectangular_scans(spark, d):
     return regions.rectangles_over(objects.box_groups(linked(spark, d)).withColumnRenamed("group_id", "id"), TILE)
 
@@ -446,7 +456,7 @@ def polygon_summary(spark, d):
     return fx.shape_vertices(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("vertices"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
-@query(W("shapes", "edges") + "SELECT id, abs(sum(ax * by - bx * ay)) / 2 AS area FROM edges GROUP BY id")
+@query(W("shapes", "edges") + "SELECT id, abs(sum(e.ax * e.by - e.bx * e.ay)) / 2 AS area FROM edges e GROUP BY id")
 def polygon_area(spark, d):
     rings = fx.shape_vertices(spark, d).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
     return rings.select("id", ring_area(F.col("v")).alias("area"))
@@ -498,3 +508,58 @@ def resample_bilinear(spark, d):
 @query()
 def feature_stack(spark, d):
     return grouped.tiled_features(fx.plane(spark, d), plane_height(spark, d), 64)
+
+
+# ------------------------------------------------------------------ plans, ids and files
+
+
+@query("WITH t AS (SELECT 1 AS plan, 'point' AS kind, n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 2, 'rectangle', r_regionkey, r_name FROM region) SELECT CAST(plan AS INT) AS plan, kind, row_number() OVER (PARTITION BY plan, kind ORDER BY k) AS ordinal, 'Source ' || plan || ' - ' || name AS name FROM t")
+def combine_plans(spark, d):
+    return plan_tables.combine([("p1", fixture_plan(spark, d, points=True)), ("p2", fixture_plan(spark, d, rectangles=True))]).select("plan", "kind", "ordinal", "name")
+
+
+@query("SELECT row_number() OVER (ORDER BY rank, k) AS target_id, kind, name FROM (SELECT 0 AS rank, 'point' AS kind, n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 1, 'rectangle', r_regionkey, r_name FROM region UNION ALL SELECT 2, 'polygon', n_nationkey, 'Polygon ' || (n_nationkey + 1) FROM nation)")
+def target_ids(spark, d):
+    return plan_tables.with_target_ids(fixture_plan(spark, d, points=True, rectangles=True, polygons=True)).select("target_id", "kind", "name")
+
+
+@query("SELECT 55::BIGINT AS targets, TRUE AS ids_complete, TRUE AS finite, TRUE AS sized, TRUE AS closed_enough")
+def id_validation(spark, d):
+    return plan_tables.validation(plan_tables.with_target_ids(fixture_plan(spark, d, points=True, rectangles=True, polygons=True)))
+
+
+@query("SELECT 'point' AS kind, 25::BIGINT AS n UNION ALL SELECT 'rectangle', 5 UNION ALL SELECT 'polygon', 25")
+def plan_json_roundtrip(spark, d):
+    text = plan_files.to_json(fixture_plan(spark, d, points=True, rectangles=True, polygons=True), {"source": "fixture"})
+    return plan_files.from_json(text).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'point' AS kind, 25::BIGINT AS n UNION ALL SELECT 'rectangle', 5 UNION ALL SELECT 'polygon', 25")
+def nav_xml_roundtrip(spark, d):
+    targets = plan_tables.with_target_ids(fixture_plan(spark, d, points=True, rectangles=True, polygons=True))
+    return plan_files.from_xml(spark, plan_files.to_xml(targets, "fixture")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def composed_plan(spark, d):
+    c = classes(spark, d)
+    return compose.plan_targets(labels(spark, d, 4), c, META, PIXEL_TILE, compose.Planning("rectangular_regions", "xy", "per_roi", "none", merge_factor=0.15), z_step=5.0)
+
+
+@query()
+def normalised_peak(spark, d):
+    return compose.normalise(mip(spark, d))
+
+
+def fixture_plan(spark, d, points=False, rectangles=False, polygons=False):
+    """Targets of the sample tables: nations as points, regions as rectangles, L-shapes as polygons."""
+    parts = []
+    if points:
+        k = F.col("n_nationkey")
+        parts.append(fx.table(spark, d, "nation").select(F.lit("point").alias("kind"), k.cast("long").alias("ordinal"), F.col("n_name").alias("name"), (1000.0 + 7 * k).alias("x"), (2000.0 + 5 * k).alias("y"), F.lit(115.0).alias("z")))
+    if rectangles:
+        parts.append(fx.rects(spark, d).select(F.lit("rectangle").alias("kind"), F.col("id").cast("long").alias("ordinal"), "name", F.col("center_x").alias("x"), F.col("center_y").alias("y"), "z", "width", "height"))
+    if polygons:
+        v = fx.shape_vertices(spark, d).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
+        parts.append(v.select(F.lit("polygon").alias("kind"), F.col("id").cast("long").alias("ordinal"), F.lit(None).cast("string").alias("name"), F.lit(115.0).alias("z"), F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("vertices")))
+    return plan_tables.union(parts)
