@@ -88,12 +88,12 @@ def _with_next(docs: DataFrame, parts: int) -> DataFrame:
     edges = sorted({float(x) for x in edges})
     if edges:
         cut = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol="_x", outputCol="part", handleInvalid="keep")
-        d = cut.transform(d.withColumn("_x", F.col("doc_id").cast("double"))).drop("_x")  # a null doc_id comes last
+        d = cut.transform(d.withColumn("_x", F.col("doc_id").cast("double"))).drop("_x")
     else:
         d = d.withColumn("part", F.lit(0))
-    d = d.withColumn("part", F.col("part").cast("int"))
+    d = d.withColumn("part", F.coalesce(F.col("part").cast("int"), F.lit(len(edges) + 1)))  # a null doc_id comes last
     first = d.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", F.xxhash64("text").alias("h"))).alias("f"))
-    heads = sorted((r["part"], r["f"]) for r in first.collect())  # one small row for each part
+    heads = sorted(((r["part"], r["f"]) for r in first.collect()), key=lambda h: h[0])  # one small row for each part
     if not heads:
         return d.withColumn("tail", F.lit(False))
     close = [(heads[i - 1][0], h["doc_id"], h["h"]) for i, (_, h) in enumerate(heads)]
