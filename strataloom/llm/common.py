@@ -154,8 +154,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Spans are hashed over so many values at a time, or over one longer span.
+SPAN_BLOCK = 1 << 19
+
+
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE_A) -> np.ndarray:
-    """Hash of each span of ``values`` (bytes or 64-bit numbers): equal content, equal hash wherever it lies."""
+    """Hash of each span of ``values`` (bytes or 64-bit numbers): equal content, equal hash wherever it lies.
+    Spans are in the order of their starts, and of their ends."""
+    if len(values) > SPAN_BLOCK and len(starts) > 1:
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            lo = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(starts, lo + SPAN_BLOCK)))
+            hi = int(ends[j - 1])
+            out[i:j] = _span_hash(values[lo:hi], starts[i:j] - lo, ends[i:j] - lo, base)
+            i = j
+        return out
+    return _span_hash(values, starts, ends, base)
+
+
+def _span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     up, down = _power_tables(base, len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
