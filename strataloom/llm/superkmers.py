@@ -199,7 +199,7 @@ def repeated_windows(payloads: list[bytes], k: int):
     return ids[at], tags[at], lo[at].astype(np.int32), np.maximum.reduceat(hi, at).astype(np.int32)
 
 
-def repeated_spans(docs: DataFrame, k: int = 20, m: int = 2, flush_bytes: int = 8 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = 20, m: int = 4, flush_bytes: int = 8 << 20) -> DataFrame:
     """Runs (id, tag, first, last) of windows, by the word where each starts, whose words also start
     earlier: in a smaller doc_id, or sooner in the same document. id is doc_id, or the largest long where
     that is null; tag tells apart different texts under one doc_id. Rows that repeat a doc_id are as early
@@ -242,7 +242,7 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = 2, flush_bytes: int =
     return packed.repartitionById(shuffle_width(spark), F.pmod("bucket", F.lit(shuffle_width(spark)))).sortWithinPartitions("bucket").mapInArrow(count, SPANS)
 
 
-def remove_repeats(docs: DataFrame, k: int = 20, m: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 20, m: int = 4) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept (words left, joined by a space)
     and kept_sha256. A word goes if any window of ``k`` words that covers it also starts earlier.
 
