@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import finite_or_zero
 from .joins import knn_mean_distance
+from .scratch import cut
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,7 @@ def filter_objects(objects: DataFrame, limits: Limits, deleted: DataFrame | None
     out = objects.where(keep)
     if deleted is not None:
         out = out.join(deleted, "label", "left_anti")
+    out = cut(out)  # the neighbour search reads the survivors several times
     nn = knn_mean_distance(out.select(F.col("label").alias("id"), F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y")))
     out = out.join(nn.withColumnRenamed("id", "label"), "label")
     return out if limits.max_nn is None else out.where(F.col("nn") <= limits.max_nn)

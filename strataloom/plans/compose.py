@@ -27,6 +27,11 @@ class Planning:
     min_area: int = 1
     classes: tuple[int, ...] = (1, 2)
     prefix: str = "Planned"
+    boundary: str = "hull"
+
+    def __post_init__(self):
+        if self.boundary not in ("hull", "mask_contour"):
+            raise ValueError(f"unknown boundary {self.boundary!r}")
 
     @property
     def mode(self) -> modes.Mode:
@@ -60,6 +65,23 @@ def group_components(c: DataFrame, tile: Tile, p: Planning) -> DataFrame:
     return g
 
 
+def covered_pixels(pixels: DataFrame, tiles: DataFrame, tr: Affine, tile: Tile) -> DataFrame:
+    """Pixels in the pixel windows of tiles (id, ordinal, center_x, center_y) given in stage units, under a
+    transform without rotation."""
+    x, y = tr.invert(F.col("center_x"), F.col("center_y"))
+    in_px = Tile(1, 1, tile.width / abs(tr.a), tile.height / abs(tr.d), tile.overlap)
+    return regions.tile_coverage(pixels, tiles.select("id", "ordinal", x.alias("center_x"), y.alias("center_y")), in_px)
+
+
+def with_region_z(found: DataFrame, tiles: DataFrame, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, z0: float, z_step: float) -> DataFrame:
+    """Regions (id, z, ...) with z from the modal plane of all in-class pixels under their tiles, detected or
+    not; a region without any keeps its z."""
+    inside = classes.where(F.col("cls").isin(*p.classes)).select("y", "x", "argmax_z")
+    seen = covered_pixels(inside, tiles, tr, tile).select("id", "y", "x", "argmax_z").distinct()
+    z = objects.modal_z(seen, ["id"]).withColumnRenamed("z", "plane")
+    return found.join(z, "id", "left").withColumn("z", F.coalesce(F.col("plane") * z_step + z0, F.col("z"))).drop("plane")
+
+
 def plan_targets(labels: DataFrame, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, z0: float = 100.0, z_step: float = 5.0) -> DataFrame:
     """The target table of a labelled mask under a planning mode."""
     p.mode  # noqa: B018  refuses choices that don't go together
@@ -76,19 +98,30 @@ def plan_targets(labels: DataFrame, classes: DataFrame, tr: Affine, tile: Tile,
         t = regions.tile_lattice(box if p.z == "per_tile" else dots, tile).join(dots.select("id", "z"), "id")
         if p.z == "per_tile":  # only tiles with pixels of the group, each at its own modal plane
             px = labels.join(g.select("image_id", F.col("id").alias("label"), "group_id"), ["image_id", "label"]).select("y", "x", "group_id", "argmax_z", "cls")
-            sx, sy = tr.apply(F.col("x"), F.col("y"))
-            cover = regions.tile_coverage(px.select(sx.alias("x"), sy.alias("y"), "group_id", "argmax_z", "cls"), t, tile).where(F.col("id") == F.col("group_id"))
+            cover = covered_pixels(px, t, tr, tile).where(F.col("id") == F.col("group_id"))
             z = objects.modal_z(cover, ["id", "ordinal"], p.classes).withColumnRenamed("z", "plane")
             t = t.join(cover.select("id", "ordinal").distinct(), ["id", "ordinal"]).join(z, ["id", "ordinal"], "left").withColumn("z", F.coalesce(F.col("plane") * z_step + z0, F.col("z")))
         return _named(t.select(F.lit("point").alias("kind"), "id", "ordinal", F.col("center_x").alias("x"), F.col("center_y").alias("y"), "z"), p)
     if p.output == "rectangular_regions":
         r = regions.rectangles_over(dots, tile).join(dots.select("id", "z"), "id")
+        if p.z == "per_roi":
+            grid = r.select("id", *[(F.col(f"center_{c}") + k * F.col(n) / 2).alias(f"{m}_{c}") for c, n in (("x", "width"), ("y", "height")) for m, k in (("min", -1), ("max", 1))])
+            r = with_region_z(r, regions.tile_lattice(grid, tile), classes, tr, tile, p, z0, z_step)
         return _named(r.select(F.lit("rectangle").alias("kind"), "id", F.col("center_x").alias("x"), F.col("center_y").alias("y"), "z", "width", "height"), p)
     px = labels.join(g.select("image_id", F.col("id").alias("label"), "group_id"), ["image_id", "label"]).select(F.col("group_id").alias("label"), "y", "x")
-    h = grouped.convex_hulls(px)
+    if p.boundary == "mask_contour":  # groups of one component follow its outline, others the hull around all
+        lone = g.groupBy(F.col("group_id").alias("label")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("label")
+        h = grouped.mask_contours(px.join(lone, "label", "left_semi"), 1.0).unionByName(grouped.convex_hulls(px.join(lone, "label", "left_anti")))
+    else:
+        h = grouped.convex_hulls(px)
     sx, sy = tr.apply(F.col("x"), F.col("y"))
-    rings = h.groupBy(F.col("label").alias("id")).agg(F.sort_array(F.collect_list(F.struct("k", sx.alias("x"), sy.alias("y")))).alias("v"))
+    v = h.select(F.col("label").alias("id"), "k", sx.alias("x"), sy.alias("y"))
+    rings = v.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
     rings = rings.join(box.select("id", "z"), "id")
+    if p.z == "per_roi":
+        outer = v.groupBy("id").agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+        tiles = regions.tiles_touching(regions.tile_lattice(outer, tile), v, tile)
+        rings = with_region_z(rings, tiles, classes, tr, tile, p, z0, z_step)
     return _named(rings.select(F.lit("polygon").alias("kind"), "id", "z", F.transform("v", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("vertices")), p)
 
 

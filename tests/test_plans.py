@@ -26,9 +26,9 @@ def test_modes():
         modes.parse("custom:polygons|xy|overview|none")
 
 
-@pytest.mark.parametrize("output,z,grouping,fewest", [("detection_points", "per_roi", "none", "none"), ("group_center_points", "overview", "xy", "none"), ("tile_point_grid", "per_tile", "xy_z", "tile_count"), ("polygon_regions", "per_roi", "xy", "tile_count")])
+@pytest.mark.parametrize("output,z,grouping,fewest", [("detection_points", "per_roi", "none", "none"), ("group_center_points", "overview", "xy", "none"), ("tile_point_grid", "per_tile", "xy_z", "tile_count"), ("polygon_regions", "per_roi", "xy", "tile_count"), ("rectangular_regions", "per_roi", "none", "none")])
 def test_composed_plans(spark, output, z, grouping, fewest):
-    p = compose.Planning(output, grouping, z, fewest, merge_factor=0.15)
+    p = compose.Planning(output, grouping, z, fewest, merge_factor=0.15, boundary="mask_contour")
     lab = catalogue.labels(spark, SF, 4)
     t = compose.plan_targets(lab, catalogue.classes(spark, SF), catalogue.META, Tile(16, 16, 1.0, 1.0, 0.25), p, z_step=5.0)
     row = tables.validation(tables.with_target_ids(t)).first()
@@ -92,3 +92,14 @@ def test_streams(spark, tmp_path):
     want = catalogue.mip(spark, SF).select("image_id", "y", "x", "v", "argmax_z")
     assert spark.table("mip").exceptAll(want).count() == 0 and spark.table("mip").count() == want.count()
     assert windows.windowed_histogram(fixtures.table(spark, SF, "events"), 0.0, 100.0, 10).count() > 0
+
+
+def test_region_z_uses_all_pixels_under_its_tiles(spark):
+    found = spark.createDataFrame([(1, 100.0), (2, 100.0)], "id long, z double")
+    tiles = spark.createDataFrame([(1, 1, 5.0, 5.0), (2, 1, 50.0, 50.0)], "id long, ordinal long, center_x double, center_y double")
+    px = spark.createDataFrame([(5, 5, 3, 1), (5, 6, 3, 2), (6, 6, 1, 1), (4, 4, 0, 0)], "y int, x int, argmax_z int, cls int")
+    tr = compose.Affine(1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+    out = compose.with_region_z(found, tiles, px, tr, Tile(4, 4, 1.0, 1.0, 0.0), compose.Planning(), 100.0, 5.0)
+    assert {r["id"]: r["z"] for r in out.collect()} == {1: 115.0, 2: 100.0}
+    with pytest.raises(ValueError):
+        compose.Planning(boundary="circle")
