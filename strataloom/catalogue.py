@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.geometry import Affine, Tile, ring_area, slice_bounds, tiles_for_span
-from .operators import components, grouped, joins, objects, raster, regions
-from .plans import compose
+from .operators import components, grouped, joins, models, objects, raster, regions
+from .plans import compose, detectors, preview
 from .plans import tables as plan_tables
 from .sources import fixtures as fx
 from .sources import plan_files
@@ -206,6 +206,11 @@ def filter_with_3nn(spark, d):
     return objects.filter_objects(object_table(spark, d), objects.Limits(min_area=3, max_nn=6.0)).select("label", *r6("nn"))
 
 
+@query(W(*LABELS8, MEASURE, KEPT, NEAR) + "SELECT CAST(label AS BIGINT) AS label, round(nn * 1.25, 6) AS nn FROM kept JOIN nn USING (label) WHERE nn * 1.25 <= 6")
+def filter_with_3nn_um(spark, d):
+    return objects.filter_objects(object_table(spark, d), objects.Limits(min_area=3, max_nn=6.0), px_x=META.a, px_y=META.d).select("label", *r6("nn"))
+
+
 @query(W("mp") + "SELECT id, round(avg(d), 6) AS nn FROM (SELECT a.id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) AS r FROM mp a JOIN mp b ON a.id <> b.id) WHERE r <= 3 GROUP BY id")
 def knn3_distance(spark, d):
     return joins.knn_mean_distance(fx.many_points(spark, d)).select("id", *r6("nn"))
@@ -216,15 +221,15 @@ def top_area(spark, d):
     return objects.top(objects.measure(labels(spark, d)), 25, "area").select("label", "area")
 
 
-@query(W(*LABELS8, "c AS (SELECT label, min(prob) AS mean FROM labels GROUP BY label)") + "SELECT CAST(label AS BIGINT) AS label, round(mean, 6) AS mean FROM c ORDER BY c.mean DESC, label LIMIT 25")
+@query(W(*LABELS8, "c AS (SELECT label, round(avg(prob) * sqrt(count(*)), 9) AS weighted FROM labels GROUP BY label)") + "SELECT CAST(label AS BIGINT) AS label, round(weighted, 6) AS weighted FROM c ORDER BY c.weighted DESC, label LIMIT 25")
 def top_confidence(spark, d):
-    c = objects.confidence(labels(spark, d)).select("label", F.col("least").alias("mean"))
-    return objects.top(c, 25, "confidence").select("label", *r6("mean"))
+    c = objects.confidence(labels(spark, d)).select("label", F.round("weighted", 9).alias("weighted"))  # last digits depend on the order of sums
+    return objects.top(c, 25, "confidence").select("label", *r6("weighted"))
 
 
-@query(W(*LABELS8, "c AS (SELECT label, min(prob) AS mean, min(label) OVER () AS lowest FROM labels GROUP BY label)") + "SELECT CAST(label AS BIGINT) AS label FROM c ORDER BY CASE WHEN label = lowest THEN 0 ELSE 1 END, mean DESC, label LIMIT 10")
+@query(W(*LABELS8, "c AS (SELECT label, round(avg(prob) * sqrt(count(*)), 9) AS weighted, min(label) OVER () AS lowest FROM labels GROUP BY label)") + "SELECT CAST(label AS BIGINT) AS label FROM c ORDER BY CASE WHEN label = lowest THEN 0 ELSE 1 END, weighted DESC, label LIMIT 10")
 def fill_selection(spark, d):
-    c = objects.confidence(labels(spark, d)).select("label", F.col("least").alias("mean"))
+    c = objects.confidence(labels(spark, d)).select("label", F.round("weighted", 9).alias("weighted"))
     lowest = c.agg(F.min("label")).first()[0]
     return objects.fill_selection(c, [lowest], 10).select("label")
 
@@ -376,7 +381,7 @@ def greedy_tile_merge(spark, d):
 def compact_selection(spark, d):
     o = object_table(spark, d).where("area >= 3")
     x, y = META.apply(F.col("centroid_x"), F.col("centroid_y"))
-    return grouped.compact_selection(o.select(F.col("label").alias("id"), x.alias("x"), y.alias("y"), F.col("mean").alias("score")), 12, TILE)
+    return grouped.compact_selection(o.select(F.col("label").alias("id"), x.alias("x"), y.alias("y"), F.col("weighted").alias("score")), 12, TILE)
 
 
 # ------------------------------------------------------------------ polygons and regions
@@ -477,6 +482,34 @@ def alpha_shape(spark, d):
     return grouped.alpha_area(labels(spark, d), 2.0)
 
 
+@query()
+def region_polygons(spark, d):
+    """Pixels of linked objects, as a plan draws them: alpha shapes of groups, simplified by one pixel."""
+    lab = labels(spark, d)
+    o = objects.measure(lab).select(F.col("label").alias("id"), *[F.col(c).cast("double") for c in ("min_x", "max_x", "min_y", "max_y")])
+    g = components.single_linkage(o, joins.box_gap_pairs(o.withColumn("image_id", F.lit(0)), 2.0, 2.0)).select(F.col("id").alias("label"), "group_id")
+    return grouped.region_polygons(lab.join(g, "label").select(F.col("group_id").alias("label"), "y", "x"), "alpha_shape", 1.0, 4.0)
+
+
+# ------------------------------------------------------------------ detectors
+
+
+@query(W(*LABELS8, MEASURE) + "SELECT CAST(label AS BIGINT) AS label, area FROM objects WHERE area >= 3 ORDER BY area DESC, label LIMIT 10")
+def threshold_detector(spark, d):
+    found = detectors.ThresholdDetector(percentile=80, limits=OBJECT_LIMITS, count=10).detect(mip(spark, d), detectors.Context(96, 96, META.a, META.d))
+    return found.objects.select("label", "area")
+
+
+@query()
+def forest_detector(spark, d):
+    """A forest learns bright pixels of the plane from their neighbourhood, then finds objects of its class 2."""
+    p, h = fx.plane(spark, d), plane_height(spark, d)
+    bright = raster.with_threshold(p, percentile=80).select("image_id", "y", "x", F.lit(2).alias("cls"))
+    known = grouped.tiled_features(p, h, 64).join(bright, ["image_id", "y", "x"], "left").fillna(1, ["cls"])
+    forest = detectors.ClassifierDetector(models.fit_forest(known), limits=OBJECT_LIMITS, tile=64)
+    return forest.detect(p, detectors.Context(h, 64)).objects.select("image_id", "label", "area", *r6("weighted", "nn"))
+
+
 # ------------------------------------------------------------------ resampling and features
 
 
@@ -546,6 +579,23 @@ def composed_plan(spark, d):
     return compose.plan_targets(labels(spark, d, 4), c, META, PIXEL_TILE, compose.Planning("rectangular_regions", "xy", "per_roi", "none", merge_factor=0.15), z_step=5.0)
 
 
+PREVIEW = (
+    "r AS (SELECT CAST(12 + 5 * r_regionkey AS DOUBLE) AS w, CAST(25 - 3 * r_regionkey AS DOUBLE) AS h FROM region), "
+    "l AS (SELECT n_nationkey, 7.5 * (ix - 0.5) AS cx, 7.5 * (iy - 0.5) AS cy FROM nation, range(2) a(ix), range(2) b(iy)) "
+)
+
+
+@query("WITH " + PREVIEW + "SELECT 'point' AS kind, count(*) AS targets, count(*) AS tiles FROM nation UNION ALL SELECT 'rectangle', count(*), CAST(sum((1 + ceil(greatest(0, w - 10) / 7.5)) * (1 + ceil(greatest(0, h - 10) / 7.5))) AS BIGINT) FROM r UNION ALL SELECT 'polygon', count(DISTINCT n_nationkey), count(*) FROM l WHERE (cx - 5 <= 7.5 AND cx + 5 >= -7.5 AND cy - 5 <= 0.5 AND cy + 5 >= -7.5) OR (cx - 5 <= 0.5 AND cx + 5 >= -7.5 AND cy - 5 <= 7.5 AND cy + 5 >= -7.5)")
+def plan_totals(spark, d):
+    return preview.totals(fixture_plan(spark, d, points=True, rectangles=True, polygons=True), TILE)
+
+
+@query()
+def composed_polygons(spark, d):
+    """The default plan: polygons of groups in XY and Z with fewest tiles, z by region."""
+    return compose.plan_targets(labels(spark, d, 4), classes(spark, d), META, PIXEL_TILE, compose.Planning(merge_factor=0.15, simplify_um=1.25), z_step=5.0)
+
+
 @query()
 def normalised_peak(spark, d):
     return compose.normalise(mip(spark, d))

@@ -172,7 +172,9 @@ def convex_hulls(pixels: DataFrame) -> DataFrame:
 
 
 def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker on an open chain, ends kept."""
+    """Douglas-Peucker on an open chain, ends kept; unchanged where the tolerance isn't positive."""
+    if tolerance <= 0:
+        return ring
     keep, todo = np.zeros(len(ring), bool), [(0, len(ring) - 1)]
     keep[[0, -1]] = True
     while todo:
@@ -253,6 +255,103 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     return np.asarray([t for t in tri if max(t) < n], int).reshape(-1, 3)
 
 
+def islands(mask: np.ndarray) -> tuple[np.ndarray, int]:
+    """4-connected parts of a mask, numbered from 1 in scan order, and how many there are."""
+    part, n = np.zeros(mask.shape, int), 0
+    for start in map(tuple, np.argwhere(mask)):
+        if part[start]:
+            continue
+        n += 1
+        part[start], todo = n, [start]
+        while todo:
+            y, x = todo.pop()
+            for at in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                if 0 <= at[0] < mask.shape[0] and 0 <= at[1] < mask.shape[1] and mask[at] and not part[at]:
+                    part[at] = n
+                    todo.append(at)
+    return part, n
+
+
+def _area(ring: np.ndarray) -> float:
+    x, y = ring.T
+    return abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
+
+
+def kept_triangles(points: np.ndarray, radius: float) -> np.ndarray:
+    """Delaunay triangles (n, 3, 2) of distinct points with a circumradius of at most ``radius``."""
+    # points of a raster share circles; a fixed jitter decides between equal triangulations
+    t = points[delaunay(points + 1e-7 * np.random.default_rng(0).random(points.shape))]
+    a, b, c = t[:, 0], t[:, 1], t[:, 2]
+    twice = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0]))
+    sides = np.hypot(*(a - b).T) * np.hypot(*(b - c).T) * np.hypot(*(c - a).T)
+    flat = twice <= 1e-12
+    return t[~flat & (sides / np.where(flat, 1, 2 * twice) <= radius)]
+
+
+def alpha_islands(points: np.ndarray, radius: float, most: int = 4000) -> list[np.ndarray]:
+    """Outlines of the islands of an alpha shape: its triangles drawn on pixel centres, and the largest
+    outline of each connected part. Triangulates every k-th point where there are more than ``most``; empty
+    where there is no triangle."""
+    pts = np.unique(points, axis=0)
+    pts = pts[:: math.ceil(len(pts) / most)]
+    if len(pts) < 4 or radius <= 0:
+        return []
+    lo = np.floor(pts.min(0)).astype(int)
+    w, h = np.ceil(pts.max(0)).astype(int) - lo + 1
+    drawn = np.zeros((h, w), bool)
+    for tri in kept_triangles(pts, radius) - lo:
+        (x0, y0), (x1, y1) = np.ceil(tri.min(0)).astype(int), np.floor(tri.max(0)).astype(int)
+        yy, xx = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
+        side = [(q[0] - p[0]) * (yy - p[1]) - (q[1] - p[1]) * (xx - p[0]) for p, q in zip(tri, np.roll(tri, -1, 0), strict=True)]
+        drawn[y0 : y1 + 1, x0 : x1 + 1] |= np.all(np.asarray(side) >= -1e-9, 0) | np.all(np.asarray(side) <= 1e-9, 0)
+    part, n = islands(drawn)
+    return [max(outlines(part == i), key=_area) + lo for i in range(1, n + 1)]
+
+
+def _box(part: np.ndarray) -> np.ndarray:
+    """Pixel box of the set pixels, at pixel edges."""
+    ys, xs = np.nonzero(part)
+    x0, x1, y0, y1 = xs.min() - 0.5, xs.max() + 0.5, ys.min() - 0.5, ys.max() + 0.5
+    return np.asarray([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])
+
+
+def region_polygons(pixels: DataFrame, boundary: str = "alpha_shape", tolerance: float = 0.0, radius: float = 0.0) -> DataFrame:
+    """(label, part, k, x, y): polygons around pixels (label, y, x), simplified within ``tolerance`` pixels.
+
+    A label with one outline follows it. With several, ``alpha_shape`` gives the islands of an alpha shape of
+    ``radius`` pixels as parts, and ``mask_contour`` the hull around all; ``hull`` always gives the hull of
+    the pixels. Labels too small to outline, and alpha shapes without triangles, give the box of each
+    connected part; a polygon simplified to under three vertices is left out, or is the box if no other is
+    left. Parts are numbered from 1 by their top, then their left edge. One label's pixels are one group."""
+    if boundary not in ("alpha_shape", "mask_contour", "hull"):
+        raise ValueError(f"unknown boundary {boundary!r}")
+
+    def around(mask):
+        boxes = lambda: (lambda part, n: [_box(part == i) for i in range(1, n + 1)])(*islands(mask))
+        if boundary == "hull":
+            ys, xs = np.nonzero(mask)
+            c = np.stack([xs, ys], 1).astype(float)
+            found = [hull(np.concatenate([c + d for d in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))]))]
+        elif min(mask.shape) < 2:
+            return boxes()
+        else:
+            rings = outlines(mask)
+            found = rings if len(rings) == 1 else alpha_islands(np.vstack(rings), radius) if boundary == "alpha_shape" else [hull(np.vstack(rings))]
+        several = boundary == "alpha_shape" and len(found) != 1
+        found = [r for ring in found if len(r := simplify(np.vstack([ring, ring[:1]]), tolerance)[:-1]) >= 3]
+        return found or (boxes() if several else [_box(mask)])
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = df["x"].min(), df["y"].min()
+        mask = np.zeros((df["y"].max() - y0 + 1, df["x"].max() - x0 + 1), bool)
+        mask[df["y"] - y0, df["x"] - x0] = True
+        out = sorted(around(mask), key=lambda r: (r[:, 1].min(), r[:, 0].min()))
+        rows = [(df["label"].iloc[0], i, k, x + x0, y + y0) for i, r in enumerate(out, 1) for k, (x, y) in enumerate(r)]
+        return pd.DataFrame(rows, columns=["label", "part", "k", "x", "y"])
+
+    return pixels.select("label", "y", "x").groupBy("label").applyInPandas(run, "label long, part int, k int, x double, y double")
+
+
 def alpha_area(pixels: DataFrame, alpha: float, most: int = 4000) -> DataFrame:
     """(label, points, triangles, area) of each object's alpha shape: Delaunay triangles of its pixels (every
     k-th where there are more than ``most``) with a circumradius of at most ``alpha``."""
@@ -260,13 +359,8 @@ def alpha_area(pixels: DataFrame, alpha: float, most: int = 4000) -> DataFrame:
     def run(df: pd.DataFrame) -> pd.DataFrame:
         pts = df.sort_values(["y", "x"])[["x", "y"]].to_numpy(float)
         pts = pts[:: math.ceil(len(pts) / most)]
-        kept, area = 0, 0.0
-        if len(pts) >= 3:
-            for t in delaunay(pts + 1e-7 * np.random.default_rng(0).random(pts.shape)):
-                (ax, ay), (bx, by), (cx, cy) = pts[t]
-                twice = abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))
-                if twice > 1e-12 and math.hypot(ax - bx, ay - by) * math.hypot(bx - cx, by - cy) * math.hypot(cx - ax, cy - ay) / (2 * twice) <= alpha:
-                    kept, area = kept + 1, area + twice / 2
+        t = kept_triangles(pts, alpha) if len(pts) >= 3 else np.empty((0, 3, 2))
+        kept, area = len(t), float(sum(_area(q) for q in t))
         return pd.DataFrame({"label": [df["label"].iloc[0]], "points": [len(pts)], "triangles": [kept], "area": [area]})
 
     return pixels.select("label", "y", "x").groupBy("label").applyInPandas(run, "label long, points int, triangles int, area double")

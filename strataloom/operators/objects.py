@@ -14,7 +14,8 @@ from .scratch import cut
 
 @dataclass(frozen=True)
 class Limits:
-    """Limits of the object filter; None is off."""
+    """Limits of the object filter; None is off. Confidence is the size-weighted one (column ``weighted``), and
+    neighbour distances are in stage units."""
 
     min_area: float = 100
     max_area: float | None = None
@@ -59,39 +60,39 @@ def confidence(labels: DataFrame) -> DataFrame:
     )
 
 
-def filter_objects(objects: DataFrame, limits: Limits, deleted: DataFrame | None = None) -> DataFrame:
+def filter_objects(objects: DataFrame, limits: Limits, deleted: DataFrame | None = None, px_x: float = 1.0, px_y: float = 1.0) -> DataFrame:
     """Objects within the limits, without the deleted labels. Neighbour distances (column ``nn``) are those
-    among the survivors of the other limits."""
+    among the survivors of the other limits, in stage units of ``px_x`` by ``px_y`` a pixel."""
     keep = (F.col("area") >= limits.min_area) & F.col("elongation").between(limits.min_elongation, limits.max_elongation)
     if limits.max_area is not None:
         keep &= F.col("area") <= limits.max_area
     if limits.min_confidence is not None:
-        m = F.col("mean")
+        m = F.col("weighted")
         keep &= m.isNotNull() & ~F.isnan(m) & (F.abs(m) != float("inf")) & (m >= limits.min_confidence)
     out = objects.where(keep)
     if deleted is not None:
         out = out.join(deleted, "label", "left_anti")
     out = cut(out)  # the neighbour search reads the survivors several times
-    nn = knn_mean_distance(out.select(F.col("label").alias("id"), F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y")))
+    nn = knn_mean_distance(out.select(F.col("label").alias("id"), (F.col("centroid_x") * px_x).alias("x"), (F.col("centroid_y") * px_y).alias("y")))
     out = out.join(nn.withColumnRenamed("id", "label"), "label")
     return out if limits.max_nn is None else out.where(F.col("nn") <= limits.max_nn)
 
 
 def top(objects: DataFrame, n: int, by: str) -> DataFrame:
-    """The first n by area, or by finite confidence ("mean"), descending; ties in the order of labels."""
+    """The first n by area, or by finite size-weighted confidence, descending; ties in the order of labels."""
     if by not in ("none", "area", "confidence"):
         raise ValueError(f"unknown count rule {by!r}")
     if by == "none" or n <= 0:
         return objects
-    key = F.col("area") if by == "area" else finite_or_zero(F.col("mean"))
+    key = F.col("area") if by == "area" else finite_or_zero(F.col("weighted"))
     return objects.orderBy(key.desc(), "label").limit(n)
 
 
 def fill_selection(objects: DataFrame, cached: list[int], n: int) -> DataFrame:
-    """n objects: cached labels first, in their order, then the best by confidence."""
+    """n objects: cached labels first, in their order, then the best by size-weighted confidence."""
     rank = objects.sparkSession.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(cached))], "label long, _r int")
     j = objects.join(F.broadcast(rank), "label", "left")
-    return j.orderBy(F.col("_r").asc_nulls_last(), finite_or_zero(F.col("mean")).desc(), "label").limit(n).drop("_r")
+    return j.orderBy(F.col("_r").asc_nulls_last(), finite_or_zero(F.col("weighted")).desc(), "label").limit(n).drop("_r")
 
 
 def paint(labels: DataFrame, values: DataFrame, column: str) -> DataFrame:

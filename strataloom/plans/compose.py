@@ -27,10 +27,12 @@ class Planning:
     min_area: int = 1
     classes: tuple[int, ...] = (1, 2)
     prefix: str = "Planned"
-    boundary: str = "hull"
+    boundary: str = "alpha_shape"
+    simplify_um: float = 10.0
+    alpha_fraction: float = 0.75
 
     def __post_init__(self):
-        if self.boundary not in ("hull", "mask_contour"):
+        if self.boundary not in ("alpha_shape", "mask_contour", "hull"):
             raise ValueError(f"unknown boundary {self.boundary!r}")
 
     @property
@@ -109,15 +111,13 @@ def plan_targets(labels: DataFrame, classes: DataFrame, tr: Affine, tile: Tile,
             r = with_region_z(r, regions.tile_lattice(grid, tile), classes, tr, tile, p, z0, z_step)
         return _named(r.select(F.lit("rectangle").alias("kind"), "id", F.col("center_x").alias("x"), F.col("center_y").alias("y"), "z", "width", "height"), p)
     px = labels.join(g.select("image_id", F.col("id").alias("label"), "group_id"), ["image_id", "label"]).select(F.col("group_id").alias("label"), "y", "x")
-    if p.boundary == "mask_contour":  # groups of one component follow its outline, others the hull around all
-        lone = g.groupBy(F.col("group_id").alias("label")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("label")
-        h = grouped.mask_contours(px.join(lone, "label", "left_semi"), 1.0).unionByName(grouped.convex_hulls(px.join(lone, "label", "left_anti")))
-    else:
-        h = grouped.convex_hulls(px)
+    um = max(np.hypot(tr.a, tr.c), np.hypot(tr.b, tr.d))  # of a pixel
+    h = grouped.region_polygons(px, p.boundary, p.simplify_um / um, min(tile.width, tile.height) * p.alpha_fraction / um)
     sx, sy = tr.apply(F.col("x"), F.col("y"))
-    v = h.select(F.col("label").alias("id"), "k", sx.alias("x"), sy.alias("y"))
+    # a group may give several polygons, each a region with a z of its own
+    v = h.select(F.struct(F.col("label").alias("g"), "part").alias("id"), "k", sx.alias("x"), sy.alias("y"))
     rings = v.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
-    rings = rings.join(box.select("id", "z"), "id")
+    rings = rings.join(box.select(F.col("id").alias("g"), "z"), F.col("id.g") == F.col("g")).drop("g")
     if p.z == "per_roi":
         outer = v.groupBy("id").agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
         tiles = regions.tiles_touching(regions.tile_lattice(outer, tile), v, tile)

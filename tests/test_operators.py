@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions.geometry import Affine, Tile, ring_area, slice_bounds, tiles_for_span
-from strataloom.operators import components, grouped, joins, objects, raster, regions
+from strataloom.operators import components, grouped, joins, models, objects, raster, regions
 
 
 def mask(spark, pixels):
@@ -143,7 +143,7 @@ def test_greedy_merge_takes_zero_saving_and_respects_free_tiles(spark):
 
 
 def test_confidence_limits_drop_nan(spark):
-    o = spark.createDataFrame([(0, 1, 200, 0.0, 0.0, 0.5, math.nan), (0, 2, 200, 5.0, 5.0, 0.5, 9.0)], "image_id int, label long, area long, centroid_x double, centroid_y double, elongation double, mean double")
+    o = spark.createDataFrame([(0, 1, 200, 0.0, 0.0, 0.5, math.nan), (0, 2, 200, 5.0, 5.0, 0.5, 9.0)], "image_id int, label long, area long, centroid_x double, centroid_y double, elongation double, weighted double")
     assert [r["label"] for r in objects.filter_objects(o, objects.Limits(min_confidence=1.0)).collect()] == [2]
     assert [r["label"] for r in objects.top(o, 1, "confidence").collect()] == [2]
     with pytest.raises(ValueError):
@@ -156,3 +156,51 @@ def test_empty_region(spark):
     m = spark.createDataFrame([], "y int, x int, prob double")
     got = regions.region_confidence(r, none, m).first()
     assert got["area_px"] == 0 and got["share"] == 0 and math.isnan(got["mean"]) and got["total"] == 0 and math.isnan(got["weighted"])
+
+
+def test_region_polygons(spark):
+    square = lambda x, y, n: [(1, y + j, x + i) for j in range(n) for i in range(n)]
+    rows = square(2, 2, 4) + square(8, 2, 4) + square(24, 14, 4) + [(2, 5, x) for x in range(6)] + [(3, 0, 0)] + [(4, y, x) for _, y, x in square(0, 0, 4)]
+    px = spark.createDataFrame(rows, "label long, y int, x int")
+
+    def areas(boundary, tolerance=0.0, radius=3.0):
+        v = grouped.region_polygons(px, boundary, tolerance, radius).groupBy("label", "part").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
+        return {(r["label"], r["part"]): r["a"] for r in v.select("label", "part", ring_area(F.col("v")).alias("a")).collect()}
+
+    near = areas("alpha_shape")
+    assert set(near) == {(1, 1), (1, 2), (2, 1), (3, 1), (4, 1)}  # two of the squares are linked, the third is a part of its own
+    assert near[1, 1] > 2 * 15.5 and near[1, 2] == near[4, 1] == 15.5
+    assert near[2, 1] == 6.0 and near[3, 1] == 1.0  # boxes of a line and of a pixel
+    assert set(areas("alpha_shape", radius=0.3)) == {(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (4, 1)}  # no triangle: boxes of the parts
+    assert set(areas("alpha_shape", radius=50.0)) == set(areas("mask_contour")) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert areas("hull")[4, 1] == 16.0
+    assert areas("alpha_shape", tolerance=100.0)[4, 1] == 16.0  # simplified away: its box
+    assert grouped.region_polygons(px.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        grouped.region_polygons(px, "circle")
+
+
+def test_classes_of_models(spark):
+    class Halves:
+        """A model of two classes by the first feature."""
+
+        classes_ = (1, 2)
+
+        def predict(self, x):
+            return (x[:, 0] > 0.5) + 1
+
+        def predict_proba(self, x):
+            return np.stack([1 - x[:, 0], x[:, 0]], 1)
+
+    f = spark.createDataFrame([(0, 0, i, [i / 4, 1.0]) for i in range(5)], "image_id int, y int, x int, f array<double>")
+    rows = lambda *a: [(r["cls"], r["prob"]) for r in models.classify(f, *a).orderBy("x").collect()]
+    assert rows(Halves(), 2) == [(1, 0.0), (1, 0.25), (1, 0.5), (2, 0.75), (2, 1.0)]  # the first class on a tie
+    assert rows(Halves(), 7) == [(c, 0.0) for c in (1, 1, 1, 2, 2)]
+    assert rows(Halves(), None) == [(c, None) for c in (1, 1, 1, 2, 2)]
+    assert models.classify(f.where("false"), Halves(), 2).count() == 0
+    with pytest.raises(TypeError):
+        models.classify(f, object(), 2)
+    forest = models.fit_forest(f.withColumn("cls", F.when(F.col("x") > 2, 2).otherwise(1)), trees=3)
+    got = rows(forest, 2)
+    assert [c for c, _ in got] == [1, 1, 1, 2, 2] and all(0 <= p <= 1 for _, p in got)
+    assert {p for _, p in rows(forest, 9)} == {0.0}

@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from strataloom import catalogue
 from strataloom.functions.geometry import Tile
-from strataloom.plans import compose, modes, tables
+from strataloom.operators import grouped, models, objects
+from strataloom.plans import compose, detectors, modes, preview, tables
 from strataloom.sources import fixtures, plan_files
 from strataloom.sources.voxels import VoxelSource
 from strataloom.streaming import windows
@@ -28,7 +30,7 @@ def test_modes():
 
 @pytest.mark.parametrize("output,z,grouping,fewest", [("detection_points", "per_roi", "none", "none"), ("group_center_points", "overview", "xy", "none"), ("tile_point_grid", "per_tile", "xy_z", "tile_count"), ("polygon_regions", "per_roi", "xy", "tile_count"), ("rectangular_regions", "per_roi", "none", "none")])
 def test_composed_plans(spark, output, z, grouping, fewest):
-    p = compose.Planning(output, grouping, z, fewest, merge_factor=0.15, boundary="mask_contour")
+    p = compose.Planning(output, grouping, z, fewest, merge_factor=0.15, boundary="alpha_shape" if fewest == "tile_count" else "mask_contour")
     lab = catalogue.labels(spark, SF, 4)
     t = compose.plan_targets(lab, catalogue.classes(spark, SF), catalogue.META, Tile(16, 16, 1.0, 1.0, 0.25), p, z_step=5.0)
     row = tables.validation(tables.with_target_ids(t)).first()
@@ -103,3 +105,28 @@ def test_region_z_uses_all_pixels_under_its_tiles(spark):
     assert {r["id"]: r["z"] for r in out.collect()} == {1: 115.0, 2: 100.0}
     with pytest.raises(ValueError):
         compose.Planning(boundary="circle")
+
+
+def test_detectors(spark):
+    px = spark.createDataFrame([(0, y, x, 9.0 if (x // 4) % 2 and (y // 4) % 2 else 1.0) for y in range(16) for x in range(16)], "image_id int, y int, x int, v double")
+    ctx = detectors.Context(16, 16, 2.0, 2.0)
+    found = detectors.ThresholdDetector(absolute=5.0, limits=objects.Limits(min_area=3)).detect(px, ctx)
+    assert [(r["label"], r["area"], r["nn"]) for r in found.objects.orderBy("label").collect()] == [(i, 16, pytest.approx((16 + 16 + 16 * 2**0.5) / 3)) for i in (68, 76, 196, 204)]
+    assert found.labels.count() == 64 and {r["cls"] for r in found.planning_classes.collect()} == {1}
+    assert detectors.ThresholdDetector(absolute=5.0, limits=objects.Limits(min_area=3), count=1).detect(px, ctx).labels.count() == 16
+    picked = detectors.Context(16, 16, choose=lambda o: o.where("label > 100"))
+    assert detectors.ThresholdDetector(absolute=5.0, limits=objects.Limits(min_area=3)).detect(px, picked).objects.count() == 2
+    assert detectors.ThresholdDetector(absolute=50.0).detect(px, ctx).objects.count() == 0
+    f = grouped.tiled_features(px, 16, 16, (0.5,), 8, 2).join(px, ["image_id", "y", "x"]).select("image_id", "y", "x", "f", (F.col("v") > 5).cast("int").alias("cls"))
+    forest = detectors.ClassifierDetector(models.fit_forest(f, trees=5), 1, (0.5,), 8, 2, limits=objects.Limits(min_area=3))
+    got = forest.detect(px, ctx)
+    assert got.objects.count() == 4 and got.classes.count() == 256 and got.planning_classes is got.classes
+
+
+def test_preview(spark):
+    t = catalogue.fixture_plan(spark, SF, points=True, rectangles=True)
+    tiles = preview.tiles(t, catalogue.TILE)
+    assert tiles.where("kind = 'point'").count() == 25 and tiles.where("kind = 'rectangle'").select("ordinal").distinct().count() == 5
+    e = preview.extent(tiles.where("kind = 'point'"), catalogue.TILE).first()
+    assert (e["min_x"], e["max_x"]) == (1000.0 - 7.5, 1000.0 + 7 * 24 + 7.5)
+    assert preview.totals(t.where("false"), catalogue.TILE).count() == 0
