@@ -9,7 +9,7 @@ from .operators import components, grouped, joins, models, objects, raster, regi
 from .plans import compose, detectors, preview
 from .plans import tables as plan_tables
 from .sources import fixtures as fx
-from .sources import plan_files
+from .sources import navigator, plan_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -570,7 +570,7 @@ def plan_json_roundtrip(spark, d):
 @query("SELECT 'point' AS kind, 25::BIGINT AS n UNION ALL SELECT 'rectangle', 5 UNION ALL SELECT 'polygon', 25")
 def nav_xml_roundtrip(spark, d):
     targets = plan_tables.with_target_ids(fixture_plan(spark, d, points=True, rectangles=True, polygons=True))
-    return plan_files.from_xml(spark, plan_files.to_xml(targets, "fixture")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return navigator.from_xml(spark, navigator.to_xml(targets, "fixture")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

@@ -1,11 +1,9 @@
-"""Plans as JSON, CSV and stage-navigator XML files. Plans are small; voxels and pixels never pass here."""
+"""Plans as JSON and CSV files, and names of files. Plans are small; voxels and pixels never pass here."""
 
 from __future__ import annotations
 
 import json
 import re
-import xml.etree.ElementTree as ET
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,58 +58,32 @@ def csv_rows(targets: DataFrame, kind: str) -> DataFrame:
     return t.select("name", F.col("z").alias("z_um"), F.size("vertices").alias("vertex_count"), at(F.array_min, "x").alias("min_x_um"), at(F.array_max, "x").alias("max_x_um"), at(F.array_min, "y").alias("min_y_um"), at(F.array_max, "y").alias("max_y_um"))
 
 
+def object_rows(objects: DataFrame, positions: DataFrame) -> DataFrame:
+    """The columns that a CSV of objects has: measurements with confidence and neighbours, and the positions
+    (label, name, x, y, z) of the same labels."""
+    o = objects.join(positions.select("label", "name", "x", "y", "z"), "label")
+    renamed = {"x": "x_um", "y": "y_um", "z": "z_um", "area": "area_px", "elongation": "elongation", "axis_ratio": "axis_ratio", "nn": "mean_3nn_distance_um", "centroid_x": "centroid_x_px", "centroid_y": "centroid_y_px", "mean": "mean_positive_probability", "least": "min_positive_probability", "total": "positive_probability_sum", "weighted": "size_weighted_confidence", "label": "source_label"}
+    return o.select("name", *[F.col(c).alias(n) for c, n in renamed.items()])
+
+
+def confidence_rows(regions: DataFrame, kind: str) -> DataFrame:
+    """The columns that a CSV of region confidence has, from named regions with their confidence."""
+    renamed = {"area_px": "roi_area_px", "supported_px": "detected_area_px", "share": "detected_fraction", "mean": "mean_positive_probability", "least": "min_positive_probability", "total": "positive_probability_sum", "weighted": "size_weighted_confidence"}
+    return regions.select(F.lit(kind).alias("target_type"), "name", *[F.col(c).alias(n) for c, n in renamed.items()])
+
+
+def z_rows(histograms: DataFrame, regions: DataFrame, planes: DataFrame, kind: str) -> DataFrame:
+    """The columns that a CSV of region z has, one row for each region and plane: histograms (id, z, n) with
+    regions (id, name) and planes (z, z_um). The selected plane is the modal one, the least on ties; null
+    in a region without pixels."""
+    best = histograms.groupBy("id").agg(F.sum("n").alias("pixel_count"), F.min(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("m"), "z")))["z"].alias("selected_z_index"))
+    chosen = best.join(planes.select(F.col("z").alias("selected_z_index"), F.col("z_um").alias("selected_z_um")), "selected_z_index", "left")
+    out = histograms.join(chosen, "id").join(regions.select("id", "name"), "id").join(planes.select("z", "z_um"), "z", "left")
+    return out.select(F.lit(kind).alias("region_type"), F.col("id").alias("region_index"), F.col("name").alias("region_name"), "selected_z_index", "selected_z_um", "pixel_count", F.col("z").alias("z_index"), "z_um", F.col("n").alias("count"))
+
+
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
     """Points from a CSV with a header x_um, y_um, z_um."""
     c = spark.read.schema("x_um double, y_um double, z_um double").option("header", True).csv(path)
     n = F.monotonically_increasing_id()
     return tables.union([c.select(F.lit("point").alias("kind"), n.alias("ordinal"), F.col("x_um").alias("x"), F.col("y_um").alias("y"), F.col("z_um").alias("z"))])
-
-
-#: Property names of the navigator document that this library writes and reads.
-ROOT, ITEM = "StageNavigator", "Target"
-
-
-def to_xml(targets: DataFrame, name: str, template: str | None = None) -> str:
-    """The navigator document of targets with ids, checked first. A template's other elements stay, its
-    earlier targets go."""
-    rows = tables.check(targets).orderBy("target_id").collect()
-    doc = ET.fromstring(template) if template else ET.Element("Configuration")
-    doc.set("name", name)
-    nav = doc.find(ROOT)
-    nav = ET.SubElement(doc, ROOT) if nav is None else nav
-    for old in nav.findall(ITEM):
-        nav.remove(old)
-    for r in rows:
-        t = ET.SubElement(nav, ITEM, {"id": str(r["target_id"]), "kind": r["kind"], "name": r["name"], "z": repr(r["z"])})
-        if r["kind"] == "polygon":
-            for v in r["vertices"]:
-                ET.SubElement(t, "Vertex", {"x": repr(v["x"]), "y": repr(v["y"])})
-        else:
-            t.set("x", repr(r["x"]))
-            t.set("y", repr(r["y"]))
-            if r["kind"] == "rectangle":
-                t.set("width", repr(r["width"]))
-                t.set("height", repr(r["height"]))
-    ET.indent(doc, "\t")
-    return ET.tostring(doc, encoding="unicode")
-
-
-def save_xml(text: str, path: str) -> None:
-    Path(path).write_bytes(("<?xml version='1.0' encoding='utf-16'?>\n" + text).encode("utf-16"))
-
-
-def _number(text: str | None, default: float | None = None) -> float | None:
-    try:
-        return float(text)
-    except (TypeError, ValueError):
-        return default
-
-
-def from_xml(spark: SparkSession, text: str) -> DataFrame:
-    """Targets of a navigator document, by id; malformed vertices are skipped and a missing z is 0."""
-    rows = []
-    for t in ET.fromstring(text).iter(ITEM):
-        v = [(_number(p.get("x")), _number(p.get("y"))) for p in t.findall("Vertex")]
-        v = [p for p in v if None not in p]
-        rows.append((t.get("kind"), int(t.get("id")), t.get("name"), _number(t.get("x")), _number(t.get("y")), _number(t.get("z"), 0.0), _number(t.get("width")), _number(t.get("height")), v or None))
-    return spark.createDataFrame(rows, tables.SCHEMA)

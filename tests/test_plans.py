@@ -7,7 +7,7 @@ from strataloom import catalogue
 from strataloom.functions.geometry import Tile
 from strataloom.operators import grouped, models, objects
 from strataloom.plans import compose, detectors, modes, preview, tables
-from strataloom.sources import fixtures, plan_files
+from strataloom.sources import fixtures, navigator, plan_files
 from strataloom.sources.voxels import VoxelSource
 from strataloom.streaming import windows
 
@@ -41,17 +41,36 @@ def test_json_and_xml(spark, tmp_path):
     t = tables.with_target_ids(catalogue.fixture_plan(spark, SF, points=True, rectangles=True, polygons=True))
     text = plan_files.to_json(t, None).first()["value"]
     assert '"metadata":null' in text and '"width":null' in text
-    xml = plan_files.to_xml(t, "plan")
-    back = plan_files.from_xml(spark, xml)
-    key = lambda d: sorted((r["kind"], r["name"], r["x"], r["z"], len(r["vertices"] or ())) for r in d.collect())
-    assert [k for k in map(str, key(back.fillna(0)))] == [k for k in map(str, key(t.fillna(0)))]
-    plan_files.save_xml(xml, str(tmp_path / "a.xml"))
+    xml = navigator.to_xml(t, "plan", corners=[(0.0, 10.0), (20.0, 10.0), (0.0, 0.0)])
+    assert navigator.problems(xml) == [] and navigator.overview_box(xml) == (0.0, 0.0, 20.0, 10.0)
+    key = lambda d, n: sorted((r["kind"], r[n], r["name"], *map(str, (r["x"], r["y"], r["z"], r["width"], r["height"], r["vertices"]))) for r in d.collect())
+    assert key(navigator.from_xml(spark, xml), "ordinal") == key(t, "target_id")
+    navigator.save_xml(xml, str(tmp_path / "a.xml"))
     assert (tmp_path / "a.xml").read_bytes()[:2] in (b"\xff\xfe", b"\xfe\xff")
-    kept = plan_files.to_xml(t, "n", "<Configuration><Other a='1'/><StageNavigator><Target id='9'/></StageNavigator></Configuration>")
-    assert "Other" in kept and 'id="9"' in kept and kept.count("<Target") == 55
-    bad = t.withColumn("z", t["z"] * float("nan"))
+    own = f'<Any><Other a="1"/><PropertySet Key="ParamSetInfo"/><PropertySet Key="StageNavigator"><Property ID="7"><int>5</int></Property><Property ID="{navigator.POINT_IDS}"><PName>kept</PName><int>9</int></Property></PropertySet></Any>'
+    kept = navigator.to_xml(t.where("kind = 'point'"), "n", own)
+    assert all(x in kept for x in ("<Other", '<Property ID="7">', "<PName>kept", "CPropSet")) and "<int>9</int>" in kept
+    assert navigator.problems(kept) == [] and navigator.from_xml(spark, kept).count() == 25 and navigator.overview_box(kept) is None
+    assert navigator.problems(xml.replace("<int>30</int>", "<int>31</int>", 1))
+    empty = navigator.to_xml(t.where("false"), "none")
+    assert navigator.problems(empty) == [] and navigator.from_xml(spark, empty).count() == 0
     with pytest.raises(ValueError):
-        plan_files.to_xml(bad, "x")
+        navigator.to_xml(t.withColumn("z", t["z"] * float("nan")), "x")
+    with pytest.raises(ValueError):
+        navigator.to_xml(t, "x", "<Other/>")
+
+
+def test_quality_rows(spark):
+    h = spark.createDataFrame([(1, 0, 2), (1, 1, 5), (1, 2, 5), (2, 0, 0), (2, 1, 0), (2, 2, 0)], "id int, z int, n long")
+    names, planes = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"), spark.createDataFrame([(0, 10.0), (1, 20.0)], "z int, z_um double")
+    rows = {(r["region_name"], r["z_index"]): (r["selected_z_index"], r["selected_z_um"], r["pixel_count"], r["z_um"], r["count"]) for r in plan_files.z_rows(h, names, planes, "rectangle").collect()}
+    assert rows["a", 1] == (1, 20.0, 12, 20.0, 5) and rows["a", 2] == (1, 20.0, 12, None, 5) and rows["b", 0] == (None, None, 0, 10.0, 0) and len(rows) == 6
+    o = spark.createDataFrame([(4, 9, 0.5, 0.5, 3.0, 1.0, 2.0, 0.6, 0.5, 5.4, 1.8)], "label long, area long, elongation double, axis_ratio double, nn double, centroid_x double, centroid_y double, mean double, least double, total double, weighted double")
+    at = spark.createDataFrame([(4, "Detected 1", 7.0, 8.0, 9.0)], "label long, name string, x double, y double, z double")
+    got = plan_files.object_rows(o, at)
+    assert len(got.columns) == 15 and got.first()["source_label"] == 4 and got.first()["x_um"] == 7.0
+    c = spark.createDataFrame([("r", 4, 2, 0.5, 0.6, 0.5, 1.2, 0.8)], "name string, area_px long, supported_px long, share double, mean double, least double, total double, weighted double")
+    assert plan_files.confidence_rows(c, "polygon").first()["target_type"] == "polygon" and len(plan_files.confidence_rows(c, "polygon").columns) == 9
 
 
 def test_csv_forms_and_keys(spark, tmp_path):
