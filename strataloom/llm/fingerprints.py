@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shuffle_width, span_hash
+from .common import mix64, shuffle_width, span_hash, text_chunks
 
 LEAST, NORMAL, MOST = 16, 48, 192
 # The hash is read from 8 to 16 bits up, where it depends on the last 9 to 16 bytes, fewer than LEAST.
@@ -119,21 +119,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        held_bytes = 0  # of the fingerprints in rows, which grow with their texts
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         held = None  # (doc_id, text, chunks, part) waiting for its next document
-        for b in batches:
+        for b in text_chunks(batches, 1):
             for doc, text, part, tail in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 chunks = chunk_set(np.frombuffer(text.encode(), np.uint8))
                 if held is not None and held[3] == part:
                     quarter = len(held[1]) // 4
                     edited = (held[1][: len(held[1]) - quarter] + text[:quarter]).encode()
                     other = chunk_set(np.frombuffer(edited, np.uint8))
-                    rows.append((held[0], len(held[1]), hashlib.sha256(edited).hexdigest(), fingerprint(held[2]), fingerprint(other), containment(held[2], other), containment(held[2], chunks)))
+                    prints = fingerprint(held[2]), fingerprint(other)
+                    rows.append((held[0], len(held[1]), hashlib.sha256(edited).hexdigest(), *prints, containment(held[2], other), containment(held[2], chunks)))
+                    held_bytes += len(prints[0]) + len(prints[1])
                 held = None if tail else (doc, text, chunks, part)
-                if len(rows) >= 512:
+                if len(rows) >= 512 or held_bytes > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
+                    rows, held_bytes = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
