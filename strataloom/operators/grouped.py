@@ -240,19 +240,21 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     span = max(np.ptp(points, axis=0).max(), 1.0)
     mid = points.mean(0)
     p = np.vstack([points, mid + [-40 * span, -30 * span], mid + [40 * span, -30 * span], mid + [0, 50 * span]])
-    tri = [(n, n + 1, n + 2)]
+    tri = np.asarray([(n, n + 1, n + 2)])
+    turn = np.ones(1)  # of each triangle, to the left
     for i in range(n):
-        t = np.asarray(tri)
-        a, b, c = (p[t[:, k]] - p[i] for k in range(3))
+        a, b, c = (p[tri[:, k]] - p[i] for k in range(3))
         det = (a**2).sum(1) * (b[:, 0] * c[:, 1] - c[:, 0] * b[:, 1]) - (b**2).sum(1) * (a[:, 0] * c[:, 1] - c[:, 0] * a[:, 1]) + (c**2).sum(1) * (a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1])
-        turn = (p[t[:, 1], 0] - p[t[:, 0], 0]) * (p[t[:, 2], 1] - p[t[:, 0], 1]) - (p[t[:, 1], 1] - p[t[:, 0], 1]) * (p[t[:, 2], 0] - p[t[:, 0], 0])
-        bad = det * np.sign(turn) > 1e-9
+        bad = det * turn > 1e-9
         edge: dict[tuple, int] = {}
-        for x in t[bad].tolist():
+        for x in tri[bad].tolist():
             for e in ((x[0], x[1]), (x[1], x[2]), (x[2], x[0])):
                 edge[tuple(sorted(e))] = edge.get(tuple(sorted(e)), 0) + 1
-        tri = [tuple(x) for x in t[~bad].tolist()] + [(*e, i) for e, k in edge.items() if k == 1]
-    return np.asarray([t for t in tri if max(t) < n], int).reshape(-1, 3)
+        new = np.asarray([(*e, i) for e, k in edge.items() if k == 1], int).reshape(-1, 3)
+        u, v, w = (p[new[:, k]] for k in range(3))
+        side = np.sign((v[:, 0] - u[:, 0]) * (w[:, 1] - u[:, 1]) - (v[:, 1] - u[:, 1]) * (w[:, 0] - u[:, 0]))
+        tri, turn = np.concatenate([tri[~bad], new]), np.concatenate([turn[~bad], side])
+    return tri[(tri < n).all(1)]
 
 
 def islands(mask: np.ndarray) -> tuple[np.ndarray, int]:
