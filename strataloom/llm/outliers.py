@@ -3,7 +3,8 @@
 DataFrame functions only. Each document gives a vector of transformed statistics. For every language and
 source, concentration steps approach the minimum covariance determinant: from a start at the medians,
 take the ``SHARE`` of documents nearest by Mahalanobis distance, estimate centre and covariance from
-them, and repeat. A document goes if its distance from its group's centre is beyond the cutoff.
+them, and repeat until the covariance of the nearest no longer shrinks. A document goes if its distance from its group's centre is
+beyond the cutoff.
 
 Every step only needs counts in distance bins and sums per group, which combine before the shuffle, so a
 group may hold any share of the rows. Vectors are whole numbers (steps of 1 / SCALE) and all sums are of
@@ -15,20 +16,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, WS_CHARS, materialize, maybe_broadcast
+from .common import WORD_RE, WS_CHARS, discard, materialize, maybe_broadcast
 
 SCALE = 256
 FEATURES = ("v0", "v1", "v2", "v3", "v4")
+EVENTS = ("e2", "e3", "e4")
 P = len(FEATURES)
 SHARE = 0.75
 #: Makes the covariance of the nearest 75 % of five normal variables that of all of them.
 CONSISTENCY = 1.41
-#: Added to the variances, in squares of the features' units: finer differences than these don't matter,
-#: and features that are constant in a group stay harmless.
-RIDGE = (0.25, 0.02, 1.0, 0.02, 0.02)
-#: Squared distance; the chi-square law of five degrees of freedom is beyond it in about 1e-11 of cases.
-CUTOFF = 60.0
-STEPS = 3
+#: Squared distance; the chi-square law of five degrees of freedom is beyond it in 1e-4 of cases.
+CUTOFF = 25.745
+#: Added to the variances as a share of them, so that features that go together stay harmless.
+RIDGE = 0.01
+#: Added to the variances of lengths: differences of a tenth in words and a fiftieth in word length are none.
+LEAST_SPREAD = (0.1**2, 0.02**2)
+#: Added to the variances of counts: a symbol, a repeated trigram or a repeated line more than the others
+#: have is two deviations. For the sake of short documents one such event may be much; so that each count
+#: can decide alone, 50 symbols by 1000 words, a quarter of the words and half of the lines are at the
+#: cutoff at most where the others have none.
+EVENT = 0.25
+MOST_EVENT = tuple(x / CUTOFF for x in (15.46, 0.25, 0.5))
+#: A guard only: each step of a group has less determinant than the one before, and few are needed.
+MOST_STEPS = 100
 LEAST_GROUP = 40
 BROADCAST_GROUPS = 10_000
 
@@ -63,7 +73,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 def vectors(d: DataFrame) -> DataFrame:
     """Adds the transformed statistics as whole numbers of 1 / SCALE: log words, log word length, log
-    symbols by 1000 words, root of the shares of repeated words and of repeated lines."""
+    symbols by 1000 words, root of the shares of repeated words and of repeated lines. The squares of what
+    one symbol, repeated trigram or repeated line makes in the document's last three are e2, e3, e4."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     raw = (
         F.log(words),
@@ -72,7 +83,9 @@ def vectors(d: DataFrame) -> DataFrame:
         F.sqrt(F.col("n_repeat_words") / words),
         F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
     )
-    return d.withColumns({f: F.round(x * SCALE).cast("long") for f, x in zip(FEATURES, raw, strict=True)})
+    d = d.withColumns({f: F.round(x * SCALE).cast("long") for f, x in zip(FEATURES, raw, strict=True)})
+    events = (F.pow(F.log1p(1000 / words), 2), 6 / words, 1 / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"))
+    return d.withColumns({e: F.round(x * SCALE * SCALE).cast("long") for e, x in zip(EVENTS, events, strict=True)})
 
 
 def _group(d: DataFrame) -> DataFrame:
@@ -98,6 +111,12 @@ def _quantile_bin(counts: DataFrame, keys: list[str], share: float) -> DataFrame
     return c.where(F.col("_run") >= F.ceil(F.col("_all") * share)).groupBy(*keys).agg(F.min("bin").alias("cut"))
 
 
+def _floors(events: list[Column]) -> dict[str, Column]:
+    """f0..f4: what is added to a group's variances, given the means of its documents' e2, e3, e4."""
+    counts = [F.least(e * EVENT, F.lit(x * SCALE * SCALE)) for e, x in zip(events, MOST_EVENT, strict=True)]
+    return {f"f{i}": x for i, x in enumerate([*[F.lit(x * SCALE * SCALE) for x in LEAST_SPREAD], *counts])}
+
+
 def _medians(d: DataFrame) -> DataFrame:
     """One row per group: the start of the estimate, medians with spreads of half the quartile distance."""
     long = d.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).alias("bin")) for k, f in enumerate(FEATURES)])).alias("x")).select("g", "x.f", "x.bin")
@@ -107,14 +126,16 @@ def _medians(d: DataFrame) -> DataFrame:
     pick = lambda k, c: F.max(F.when(F.col("f") == k, F.col(c))).cast("double")
     out = q.groupBy("g").agg(*[pick(k, "med").alias(f"m{k}") for k in range(P)], *[(pick(k, "high") - pick(k, "low")).alias(f"q{k}") for k in range(P)])
     cov = {f"c{i}{j}": F.pow(F.col(f"q{i}") / 1.35, 2) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
-    return out.withColumns(cov)
+    means = d.groupBy("g").agg(*[(F.sum(e).cast("double") / F.count(F.lit(1))).alias(e) for e in EVENTS])
+    return out.withColumns(cov).join(means, "g").withColumns(_floors([F.col(e) for e in EVENTS]))
 
 
 def _cholesky(params: DataFrame) -> DataFrame:
-    """(g, m0.., l00, l10, ..): the triangular root of covariance plus ridge, in column arithmetic."""
+    """(g, m0.., l00, l10, .., det): the triangular root of covariance plus ridge and floors, in column
+    arithmetic, and the logarithm of its determinant."""
     p = params
     for j in range(P):
-        diag = F.col(f"c{j}{j}") + F.lit(RIDGE[j] * SCALE * SCALE)
+        diag = F.col(f"c{j}{j}") * (1 + RIDGE) + F.col(f"f{j}")
         for k in range(j):
             diag = diag - F.col(f"l{j}{k}") * F.col(f"l{j}{k}")
         p = p.withColumn(f"l{j}{j}", F.sqrt(F.greatest(diag, F.lit(1e-3))))
@@ -123,12 +144,14 @@ def _cholesky(params: DataFrame) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             p = p.withColumn(f"l{i}{j}", v / F.col(f"l{j}{j}"))
-    return p.select("g", *[f"m{k}" for k in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    det = sum((F.log(F.col(f"l{j}{j}")) for j in range(P)), F.lit(0.0))
+    return p.select("g", *[f"m{k}" for k in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], det.alias("det"))
 
 
-def _distance(d: DataFrame, params: DataFrame) -> DataFrame:
-    """``d`` with ``d2``, the squared Mahalanobis distance from its group's centre."""
-    p = materialize(_cholesky(params), "centres").withColumnRenamed("g", "_g")
+def _distance(d: DataFrame, centres: DataFrame) -> DataFrame:
+    """The rows of ``d`` in the groups of ``centres`` with ``d2``, the squared Mahalanobis distance from
+    their group's centre."""
+    p = centres.withColumnRenamed("g", "_g")
     x = d.join(maybe_broadcast(p, p.count(), BROADCAST_GROUPS), d["g"] == p["_g"])
     total: Column = F.lit(0.0)
     for i in range(P):
@@ -142,21 +165,32 @@ def _distance(d: DataFrame, params: DataFrame) -> DataFrame:
 
 def robust_distances(d: DataFrame) -> DataFrame:
     """``d`` (with the features and ``g``) with ``d2`` under the converged estimate of its group."""
-    params = _medians(d)
-    for _ in range(STEPS):
-        x = _distance(d, params).withColumn("bin", F.floor(F.log1p("d2") * 64).cast("int"))
+    # the start is no estimate: its determinant doesn't count
+    state = materialize(_cholesky(_medians(d)).withColumn("det", F.lit(float("inf"))).withColumn("open", F.lit(True)), "centres")
+    for _ in range(MOST_STEPS):
+        x = _distance(d, state.where("open")).withColumn("bin", F.floor(F.log1p("d2") * 64).cast("int"))
         cut = _quantile_bin(x.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], SHARE)
         cut = materialize(cut.withColumnRenamed("g", "_g"), "cuts")
         near = x.join(maybe_broadcast(cut, cut.count(), BROADCAST_GROUPS), (x["g"] == cut["_g"]) & (x["bin"] <= cut["cut"]))
         sums = near.groupBy("g").agg(
             F.count(F.lit(1)).cast("double").alias("n"),
             *[F.sum(f).cast("double").alias(f"s{i}") for i, f in enumerate(FEATURES)],
+            *[(F.sum(e).cast("double") / F.count(F.lit(1))).alias(e) for e in EVENTS],
             *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("double").alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)],
         )
         cov = {f"c{i}{j}": (F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) * CONSISTENCY for i in range(P) for j in range(i + 1)}
-        params = sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[c.alias(k) for k, c in cov.items()])
-        params = materialize(params, "estimates")
-    return _distance(d, params)
+        params = sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[c.alias(k) for k, c in (cov | _floors([F.col(e) for e in EVENTS])).items()])
+        fresh = materialize(_cholesky(params), "estimates")
+        # a group whose nearest set no longer shrinks keeps its estimate and rests
+        n = fresh.select([F.col(c).alias(f"_{c}") for c in fresh.columns])
+        both = state.join(n, state["g"] == n["_g"], "left")
+        better = F.coalesce(F.col("_det") < F.col("det") - 1e-9, F.lit(False))
+        picked = [F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fresh.columns if c != "g"]
+        last, state = state, materialize(both.select("g", *picked, better.alias("open")), "centres")
+        discard(last, fresh, cut)
+        if not state.where("open").limit(1).count():
+            break
+    return _distance(d, state)
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -352,6 +352,24 @@ def test_quality_outliers(spark):
     assert all(out[i] for i in range(300)) and not any(out[1000 + i] for i in range(15))
 
 
+def test_quality_judges_by_each_statistic_alone(spark):
+    rng = random.Random(9)
+    say = lambda n, low=4, high=6: ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(low, high))) for _ in range(n)]
+    lines = lambda w: "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
+    good = [(i, lines(say(rng.randint(150, 250))), "en", "a") for i in range(200)]
+    once = say(200)
+    bad = {1000: lines(say(10_000)), 1001: lines(say(200, 11, 13)), 1002: lines([w + "#" for w in say(200)])}
+    w = say(104)
+    bad[1003] = lines([*w, *[x for i in range(12) for x in w[3 * i : 3 * i + 3] + say(1)]])  # 72 of 152 words repeat
+    bad[1004] = "\n".join(x for i in range(15) for x in [" ".join(say(10)), "ab", "ab", "ab"][: 4 if i < 14 else 1])
+    fine = [(300, lines([*once, *once[:3]]), "en", "a"), (301, lines([*once, "a$"]), "en", "a"), (302, lines([*once, *once[:10]]), "en", "a")]
+    rows = good + fine + [(i, t, "en", "a") for i, t in bad.items()]
+    out = {r["doc_id"]: r for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(out[i]["base_failed"] for i in out)
+    assert [i for i in bad if out[i]["kept"]] == []
+    assert sum(not out[i]["kept"] for i in range(200)) <= 2 and all(out[i]["kept"] for i in (300, 301, 302))
+
+
 def test_quality_odd_rows(odd):
     out = outliers.judge(odd).collect()
     assert len(out) == odd.count() and not any(r["kept"] for r in out if r["base_failed"])
