@@ -3,8 +3,10 @@
 Word shingles, weighted by their counts, arrive as Poisson processes whose rate is their weight; each
 arrival falls on one of the registers, which keep their earliest arrival. An element stops once its next
 arrival is later than all registers, so most elements draw once. Two documents agree in a register with
-the probability Jaccard similarity of their shingles. Bands of registers propose pairs, and pairs are
-verified on the exact shingles of the whole texts.
+the probability Jaccard similarity of their shingles. A text whose shingles repeat unevenly has a second
+set of registers, of its shingles counted once, which agree as set Jaccard; for all others the two sets are
+equal. Bands of registers of both sets propose pairs, in one space of keys, and pairs are verified on the
+exact shingles of the whole texts.
 
 Equal word sequences are one node from the start. A bucket first proposes only its members against one
 pivot; then, where the verified links leave several components in one bucket, all pairs of members of
@@ -80,6 +82,21 @@ def signatures(text_of: np.ndarray, value: np.ndarray, weight: np.ndarray, n: in
     return owner.reshape(n, registers)
 
 
+def both_sets(raw: list[bytes]) -> np.ndarray:
+    """(n, 2, REGISTERS): the weighted and the plain registers; a text that has only one set has it twice."""
+    return np.frombuffer(b"".join(r if len(r) == 8 * REGISTERS else r + r for r in raw), np.uint32).reshape(-1, 2, REGISTERS)
+
+
+def both_keys(sig: np.ndarray) -> np.ndarray:
+    """(n, 2, BANDS) keys of both sets of registers."""
+    return np.stack([band_keys(sig[:, 0]), band_keys(sig[:, 1])], 1)
+
+
+def _share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two texts' keys (.., 2, bands) meet in some band, by either set of each."""
+    return ((x == y) | (x == y[..., ::-1, :])).any((-2, -1))
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """(n, BANDS) 64-bit keys; a key tells its band apart."""
     v = sig.astype(np.uint64).reshape(len(sig), BANDS, ROWS)
@@ -122,25 +139,37 @@ def _nodes(docs: DataFrame) -> DataFrame:
             data, offsets = raw_text(b.column(1))
             text_of, value, weight, counts, key = shingles(data, offsets)
             sig = signatures(text_of, value, weight.astype(np.float64), b.num_rows)
+            # equal counts give the registers of counts of one
+            most, least = np.zeros(b.num_rows, np.int64), np.full(b.num_rows, 1 << 62)
+            np.maximum.at(most, text_of, weight)
+            np.minimum.at(least, text_of, weight)
+            uneven = most > least
+            own = uneven[text_of]
+            plain = np.zeros((0, REGISTERS), np.uint32)
+            if own.any():
+                plain = signatures((np.cumsum(uneven) - 1)[text_of[own]], value[own], np.ones(int(own.sum())), int(uneven.sum()))
+            more = [b""] * b.num_rows
+            for k, x in zip(np.flatnonzero(uneven).tolist(), plain, strict=True):
+                more[k] = x.tobytes()
             size = np.bincount(text_of, minlength=b.num_rows).astype(np.int32)
             full = counts > 0
             node = pa.array([k.tobytes() if ok else None for k, ok in zip(key, full.tolist(), strict=True)], pa.binary())
-            raw = pa.array([s.tobytes() if ok else None for s, ok in zip(sig, full.tolist(), strict=True)], pa.binary())
+            raw = pa.array([s.tobytes() + m if ok else None for s, m, ok in zip(sig, more, full.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), node, pa.array(size), raw], ["doc_id", "node", "size", "sig"])
 
     return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, size int, sig binary"), "nodes")
 
 
 def _estimate(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose registers agree in at least SIMILARITY - SLACK."""
+    """Pairs (a, b) whose registers of one kind agree in at least SIMILARITY - SLACK."""
     s = sigs.select("node", "sig")
     p = pairs.join(s.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, REGISTERS) for i in (2, 3))
-                ok = pa.array((x == y).mean(1) >= SIMILARITY - SLACK)
+                x, y = (both_sets(batch.column(i).to_pylist()) for i in (2, 3))
+                ok = pa.array((x == y).mean(2).max(1) >= SIMILARITY - SLACK)
                 yield batch.select(["a", "b"]).filter(ok)
 
     return p.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
@@ -215,9 +244,9 @@ def _across(opened: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         node = table["node"].to_pylist()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, REGISTERS)
-        bands = band_keys(sig)
-        band = int(np.flatnonzero(bands[0] == table["key"][0].as_py())[0])
+        sig = both_sets(table["sig"].to_pylist())
+        bands = both_keys(sig)
+        band = int(np.flatnonzero((bands[0] == table["key"][0].as_py()).any(0))[0])
         mine = table["mine"].to_numpy()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         _, comp = np.unique(np.asarray([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)
@@ -229,8 +258,8 @@ def _across(opened: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
             cand = right[(comp[right] != comp[x]) & ((right > x) | (i != j))]
             if not len(cand):
                 continue
-            cand = cand[(sig[cand] == sig[x]).sum(1) >= need]
-            cand = cand[~(bands[cand, :band] == bands[x, :band]).any(1)]
+            cand = cand[(sig[cand] == sig[x]).sum(2).max(1) >= need]
+            cand = cand[~_share(bands[cand, :, :band], bands[x, :, :band])]
             own = slice(cuts[x], cuts[x + 1])
             for y in cand.tolist():
                 other = slice(cuts[y], cuts[y + 1])
@@ -259,8 +288,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 c = b.slice(at, 2000)
-                k = band_keys(np.frombuffer(b"".join(c.column(1).to_pylist()), np.uint32).reshape(-1, REGISTERS))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), c.column(0).take(pa.array(np.repeat(np.arange(c.num_rows), BANDS)))], ["key", "node"])
+                k = both_keys(both_sets(c.column(1).to_pylist()))
+                new = np.stack([np.ones_like(k[:, 0], bool), k[:, 1] != k[:, 0]], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(k[new]), c.column(0).take(pa.array(np.nonzero(new)[0]))], ["key", "node"])
 
     sigs = materialize(sigs, "signatures")
     bands = materialize(sigs.select("node", "sig").mapInArrow(keys, "key long, node binary"), "bands")

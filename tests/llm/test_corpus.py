@@ -162,6 +162,16 @@ def test_near_duplicates(odd, spark):
     assert sum(r["is_first"] for r in cls[49]) == 1
 
 
+def test_near_duplicates_of_uneven_counts(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):  # one line 100 times: set Jaccard over 0.97, probability Jaccard about 0.5
+        w = [f"u{i}x{rng.randint(0, 99999)}" for _ in range(500)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w) + f"\nplease{i} click here to read" * 100), (3 * i + 2, f"other{i} words are here now " * 100 + " ".join(w))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 3 for i in range(36)}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(2)
     a = {int(k): int(v) for k, v in zip(rng.integers(1, 2**62, 300), rng.integers(1, 5, 300))}
