@@ -42,16 +42,19 @@ ROLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav
 ROLES_ATTR = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+TEXT_ONLY = {"script", "style", "title", "textarea"}
+_TAG = re.compile(r"</?[a-zA-Z]")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "mark", "children", "text", "index", "drop", "order")
+    __slots__ = ("tag", "mark", "children", "text", "index", "drop", "order", "role")
 
     def __init__(self, tag: str, mark: str = "", drop: bool = False):
         self.tag, self.mark, self.drop = tag, mark, drop
         self.children: list[Node] = []
         self.text, self.index, self.order = "", -1, -1
+        self.role = False  # a word of its class or id is of a region that is no article
 
     @property
     def label(self) -> tuple[str, str]:
@@ -103,15 +106,19 @@ def parse(page: str) -> Node:
         attrs = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
         mark = attrs.get("class", "") + ("#" + attrs["id"] if attrs.get("id") else "")
         drop = tag in DROP or attrs.get("role", "").lower() in ROLES_ATTR or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-        if not drop and mark and tag not in ("html", "body", "article", "main"):
-            drop = bool(ROLE.search(attrs.get("class", "")) or ROLE.search(attrs.get("id", "")))
         node = Node(tag, mark, drop)
+        if not drop and mark and tag not in ("html", "body", "article", "main"):
+            node.role = bool(ROLE.search(attrs.get("class", "")) or ROLE.search(attrs.get("id", "")))
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in RAW:
+        if tag in VOID or m[3].endswith("/") and (tag not in RAW or tag == "svg"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else n
+            if end:
+                at = end.end()
+            elif tag in TEXT_ONLY:  # never closed: its own text goes, what follows the next tag stays
+                after = _TAG.search(page, at)
+                at = after.start() if after else n
             continue
         stack.append(node)
     _mend(root)
@@ -127,6 +134,29 @@ def _mend(root: Node) -> None:
             node.drop = True
         inside = inside or node.tag in ("article", "main")
         todo += [(c, inside) for c in node.children]
+    _roles(root)
+
+
+def _roles(root: Node) -> None:
+    """Drops the regions that their class or id names, but none that holds all articles (or else all main
+    elements) of the page, or on a page without such elements more than half of the text."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if not node.drop:
+            order.append(node)
+            todo += node.children
+    held = {}
+    for node in reversed(order):  # children before parents
+        parts = [held[id(c)] for c in node.children if id(c) in held]
+        own = (node.tag == "article", node.tag == "main", len(node.text.strip()))
+        held[id(node)] = tuple(own[k] + sum(x[k] for x in parts) for k in range(3))
+    every = held.get(id(root), (0, 0, 0))
+    kind = next((k for k in (0, 1) if every[k]), 2)
+    for node in order:
+        if node.role:
+            here = held[id(node)][kind]
+            node.drop = 2 * here <= every[2] if kind == 2 else here < every[kind]
 
 
 def blocks(root: Node) -> list[tuple[Node, str]]:

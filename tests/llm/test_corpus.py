@@ -204,6 +204,17 @@ def test_html(spark):
     assert got[50] == "alone" and got[51] == "" and got[None] == ""
 
 
+def test_html_drops_no_article_by_its_wrappers():
+    text = lambda page: [t for t, ok, _ in wrappers.page_blocks(page, []) if ok]
+    for name in ("content-sidebar-wrap", "has-sidebar sidebar"):
+        assert text(f'<body><div class="{name}"><article><p>The story</p></article><div class="sidebar">Links</div></div>') == ["The story"]
+    assert text('<body><article><p>Story</p></article><div class="comments"><article>Reply</article></div>') == ["Story"]
+    assert text('<body><div class="comments"><article>Reply</article></div><article><p>Story</p></article>') == ["Story"]
+    assert text('<body><div class="page sidebar"><p>A long story of many words</p></div><div class="menu">Home</div>') == ["A long story of many words"]
+    assert text('<body><article><p>One <svg class="icon"/> two</p><p>three</p><svg><text>x</text></svg><p>four</p></article>') == ["One two", "three", "four"]
+    assert text("<body><article><p>One</p><script>let a = 1<p>two</p><canvas><p>three</p></article>") == ["One", "two", "three"]
+
+
 def test_tree_matching():
     a, b = wrappers.parse("<ul><li>1<li>2<li>3</ul>"), wrappers.parse("<ul><li>1<b>x</b><li>3</ul><p>q")
     for t in (a, b):
