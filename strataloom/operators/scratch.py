@@ -14,6 +14,8 @@ def cut(df: DataFrame) -> DataFrame:
     made only where none is named."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", ""):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="strataloom-"))
         spark.sparkContext.setCheckpointDir(_own[0])
