@@ -127,28 +127,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     document go, or stay, together. Empty input: no rows. Columns named like the results are replaced.
     """
     spark = docs.sparkSession
-    line = F.col("_line")
-    lines = docs.select("doc_id", F.explode(F.array_distinct(lines_of(F.col("text")))).alias("_line"))
-    lines = lines.withColumn("_k", line_key(line)).where(F.char_length("_k") >= min_chars)
-    lines = lines.select("doc_id", key_hash(F.col("_k")).alias("_h")).select("doc_id", "_h.h1", "_h.h2")
+    d = docs.drop("kept", "n_lines", "n_dropped")
+    # texts tell rows of one doc_id apart; a place is a line's number in the text
+    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(lines_of(F.col("text"))).alias("at", "_line"))
+    lines = lines.withColumn("_k", line_key(F.col("_line"))).where(F.char_length("_k") >= min_chars)
+    lines = lines.select("doc_id", "t", "at", key_hash(F.col("_k")).alias("_h")).select("doc_id", "t", "at", "_h.h1", "_h.h2")
     lines = lines.withColumn("batch", F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(batches)).cast("int"))
     lines = materialize(lines, "lines", partition_by="batch")
     runs = LineRuns(spark)
-    for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("doc_id", "h1", "h2"))
-    often = materialize(runs.known().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc"), "often-lines")
-    runs.drop()
-
-    # AQE splits a line that very many documents hold; the lists below are at most one document's lines
+    try:
+        for b in range(batches):
+            runs.add(lines.where(F.col("batch") == b).select("doc_id", "h1", "h2"))
+        often = materialize(runs.known().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc"), "often-lines")
+    finally:
+        runs.drop()
+
+    # AQE splits a line that very many documents hold; the lists below are at most one document's places
     losing = lines.join(often, ["h1", "h2"]).where(F.col("doc_id") < F.col("max_doc"))
-    losing = losing.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("doc_id", "_d")
-    d = docs.drop("kept", "n_lines", "n_dropped")
-    d = d.join(losing, d["doc_id"] == losing["_d"], "left").drop("_d")
-    stays = lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("_gone"), key_hash(line_key(x))))
-    d = d.withColumn("_all", lines_of(F.col("text")))
-    d = d.withColumn("_stay", F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(F.filter(F.col("_all"), stays)))
-    d = d.withColumn("n_lines", F.size("_all").cast("long"))
-    d = d.withColumn("n_dropped", (F.size("_all") - F.size("_stay")).cast("long"))
+    losing = losing.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("at").alias("_gone"))
+    d = d.join(losing, (d["doc_id"] == losing["_d"]) & (F.xxhash64(d["text"]) == losing["_t"]), "left").drop("_d", "_t")
+    d = d.withColumn("_all", lines_of(F.col("text"))).withColumn("n_lines", F.size("_all").cast("long"))
+    # a difference of sets of whole numbers keeps the order and takes time in proportion to the lines
+    places = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
+    stay = F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(F.transform(places, lambda i: F.get(F.col("_all"), i)))
+    d = d.withColumn("_stay", stay).withColumn("n_dropped", (F.size("_all") - F.size("_stay")).cast("long"))
     return d.withColumn("kept", F.array_join("_stay", "\n")).drop("_gone", "_all", "_stay")
 
 
