@@ -1,7 +1,8 @@
 """Scratch tables, Arrow chunking and vectorised text kernels shared by the corpus operators.
 
 Scratch data goes to the folder named by ``spark.checkpoint.dir`` (shared by all executors on a
-cluster); only where that setting is absent, as in local tests, a temporary folder is made.
+cluster); only where that setting is absent and all runs in one process, as in tests, a temporary folder
+is made.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and scratch tables."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local_base:
             _local_base.append(tempfile.mkdtemp(prefix="strataloom-"))
         base = _local_base[0]
