@@ -1,35 +1,49 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Each page's DOM is aligned by simple tree matching with a few
-reference pages of its host. Over all pages of the host, a reference node whose text is the same in most
-pages that have the node is template; a slot whose text varies is content. Regions that by their role are
-no article (menus, footers, forms and the like) are left out even where their text varies, as is whatever
-lies outside the article element of a page that has one.
+Pages of one host share templates. Every page is parsed once into a skeleton (its tree of block elements)
+and its blocks of text. For the commonest structures of a host one page each becomes a reference; every
+page is aligned with the reference of its structure, or with the one that fits best, by simple tree
+matching. What all pages of the host have at a node of the reference makes the wrapper:
+
+* a node whose text is the same on most pages is template;
+* the other nodes are slots. From the root, the wrapper goes down to the child that holds most of the
+  slots' text outside links, as long as one does: the content region. Menus, notices, adverts and footers
+  lie outside it, whatever they are called and however they vary. Varying headings passed on the way down
+  belong to the region.
+
+Content is what lies in the region and is no template. Tag and class names decide only inside the region
+(forms, reader comments and the like) and on pages that no wrapper fits: those of hosts of fewer than
+``LEAST_PAGES`` different pages, as nothing can be induced from them, and those without the region.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import OrderedDict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, maybe_broadcast, text_chunks
 
-#: A reference page is at most so long; a host whose pages are all longer is not aligned.
-REFERENCE_BYTES = 1 << 17
-REFERENCES = 2
+#: The commonest structures of a host get a reference page each, as many as this.
+REFERENCES = 4
 BROADCAST_BYTES = 16 << 20
 #: A node is template if at least these many pages have it, with one text in this share of them.
 LEAST_PAGES, CONSTANT_SHARE = 4, 0.6
-#: Cells of one alignment table; larger child lists are aligned by position from both ends.
-CELLS = 250_000
-
+#: The region goes down to a child that holds this share of its parent's varying text.
+DOMINANT = 0.5
+#: Cells of one alignment table at a time; longer child lists are halved first, which loses no pair.
+CELLS = 1 << 20
+
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that are a piece of a text, and never by themselves the region.
+PIECES = HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "figcaption", "caption", "summary", "tr", "td", "th", "tbody", "thead", "tfoot", "figure", "address"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas"}
 DROP = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "head", "menu", "dialog", "fieldset", "label"}
@@ -44,7 +58,9 @@ _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 TEXT_ONLY = {"script", "style", "title", "textarea"}
 _TAG = re.compile(r"</?[a-zA-Z]")
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 
 
 class Node:
@@ -113,7 +129,7 @@ def parse(page: str) -> Node:
         if tag in VOID or m[3].endswith("/") and (tag not in RAW or tag == "svg"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             if end:
                 at = end.end()
             elif tag in TEXT_ONLY:  # never closed: its own text goes, what follows the next tag stays
@@ -159,21 +175,24 @@ def _roles(root: Node) -> None:
             node.drop = 2 * here <= every[2] if kind == 2 else here < every[kind]
 
 
-def blocks(root: Node) -> list[tuple[Node, str]]:
-    """(innermost block element, text) of each run of text between block boundaries, in page order."""
-    out: list[tuple[Node, str]] = []
+def blocks(root: Node) -> list[tuple[Node, str, int]]:
+    """(innermost block element, text, share of it in links by hundredths) of each run of text between block
+    boundaries, in page order."""
+    out: list[tuple[Node, str, int]] = []
     held: list[str] = []
+    linked = [0, 0]
     owner: list[Node] = [root]
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(held)).strip()
         if text:
-            out.append((owner[0], text))
+            out.append((owner[0], text, 100 * linked[1] // max(linked[0], 1)))
         held.clear()
+        linked[:] = [0, 0]
 
-    todo: list[tuple[str, Node, Node]] = [("in", root, root)]
+    todo: list[tuple[str, Node, Node, bool]] = [("in", root, root, False)]
     while todo:
-        what, node, block = todo.pop()
+        what, node, block, link = todo.pop()
         if what == "end":
             flush()
             continue
@@ -181,195 +200,428 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
             if not held:
                 owner[0] = block
             held.append(node.text)
+            n = len(node.text.strip())
+            linked[0] += n
+            linked[1] += n if link else 0
             continue
         if node.tag in RAW:
             if node.tag in BLOCKS and node.tag != "title":
                 held.append(" ")
             continue
-        is_block = node.tag in BLOCKS
-        if is_block:
+        if node.tag in BLOCKS:
             flush()
-            todo.append(("end", node, block))
+            todo.append(("end", node, block, link))
             block = node if node.tag != "br" else block
-        todo += [("in", c, block) for c in reversed(node.children)]
+        link = link or node.tag == "a"
+        todo += [("in", c, block, link) for c in reversed(node.children)]
     flush()
     return out
 
 
 def elements(root: Node) -> list[Node]:
-    """Element nodes in page order, numbered."""
+    """Element nodes in page order."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
-        node.index = len(out)
         out.append(node)
         todo += [c for c in reversed(node.children) if c.tag != "#text"]
     return out
 
 
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the largest order-keeping alignment of two trees with equal labels from the
-    root down. Returns the pairs of aligned elements."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def best(x: Node, y: Node) -> tuple[int, list]:
-        if x.label != y.label:
-            return 0, []
-        key = (x.index, y.index)
-        if key in memo:
-            return memo[key]
-        xs, ys = ([c for c in n.children if c.tag != "#text"] for n in (x, y))
-        if not xs or not ys:
-            memo[key] = (1, [])
-            return memo[key]
-        pairs: list = []
-        gain = 0
-        # equal ends first: they need no table
-        lo = 0
-        while lo < min(len(xs), len(ys)) and xs[lo].label == ys[lo].label:
-            lo += 1
-        hi = 0
-        while hi < min(len(xs), len(ys)) - lo and xs[-1 - hi].label == ys[-1 - hi].label:
-            hi += 1
-        for u, v in [*zip(xs[:lo], ys[:lo], strict=True), *(zip(xs[len(xs) - hi :], ys[len(ys) - hi :], strict=True) if hi else ())]:
-            g, _ = best(u, v)
-            gain += g
-            pairs.append((u, v))
-        mx, my = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
-        if mx and my and len(mx) * len(my) <= CELLS:
-            w = [[best(u, v)[0] for v in my] for u in mx]
-            m = [[0] * (len(my) + 1) for _ in range(len(mx) + 1)]
-            for i in range(len(mx)):
-                row, up, wi = m[i + 1], m[i], w[i]
-                for j in range(len(my)):
-                    row[j + 1] = max(up[j + 1], row[j], up[j] + wi[j])
-            gain += m[-1][-1]
-            i, j = len(mx), len(my)
+def skeleton(root: Node) -> str:
+    """The tree of block elements, a line each in page order: depth, tag, class and id with digits alike.
+    Inline elements belong to their text, unless they hold blocks. Numbers the elements that it has."""
+    nodes = elements(root)
+    parent = {id(c): x for x in nodes for c in x.children}
+    held = set()
+    for x in reversed(nodes):
+        if id(x) in held or x is root or (x.tag in BLOCKS and x.tag not in RAW and x.tag not in ("br", "head")):
+            held.add(id(x))
+            if x is not root:
+                held.add(id(parent[id(x)]))
+    lines, depth = [], {}
+    for x in nodes:
+        if id(x) in held:
+            d = depth[id(x)] = 0 if x is root else depth[id(parent[id(x)])] + 1
+            x.index = len(lines)
+            lines.append(f"{d} {x.tag} {_DIGITS.sub('0', ' '.join(x.mark.split()))}")
+    return "\n".join(lines)
+
+
+def read_page(page: str) -> tuple[str, list[tuple[str, int, int, bool, bool]]]:
+    """Skeleton of a page and its blocks: (text, element, link share, in a region that by its names is no
+    article, content if names alone decide)."""
+    root = parse(page)
+    shape = skeleton(root)
+    parent = {id(c): x for x in elements(root) for c in x.children}
+    main = {x.tag for x in elements(root) if x.tag in ("article", "main") and not x.drop}
+    main = {"article"} & main or main
+    out = []
+    for owner, text, link in blocks(root):
+        veto, within, x = False, not main, owner
+        while x is not None:
+            veto = veto or x.drop
+            within = within or x.tag in main
+            x = parent.get(id(x))
+        out.append((text, owner.index, link, veto, within and not veto))
+    return shape, out
+
+
+# --------------------------------------------------------------------------- tree matching
+
+
+class Shapes:
+    """Interned subtrees: trees of equal shape have one number, so a pair of shapes is matched once."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.parts: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def of(self, label: str, parts: tuple[int, ...]) -> int:
+        key = (label, parts)
+        if key not in self.number:
+            self.number[key] = len(self.label)
+            self.label.append(label)
+            self.parts.append(parts)
+            self.size.append(1 + sum(self.size[p] for p in parts))
+        return self.number[key]
+
+    def quick(self, s: int, t: int) -> int | None:
+        """The number of pairs of the best match of two shapes, where it needs no table or is known."""
+        if s == t:
+            return self.size[s]
+        if self.label[s] != self.label[t]:
+            return 0
+        if not self.parts[s] or not self.parts[t]:
+            return 1
+        return self.known.get((s, t))
+
+    def weight(self, s: int, t: int) -> int:
+        """The number of pairs of the best match of two shapes. No recursion: trees may be deep."""
+        todo = [(s, t)]
+        while todo:
+            x, y = todo[-1]
+            if self.quick(x, y) is not None:
+                todo.pop()
+                continue
+            lo, hi = trimmed(self.parts[x], self.parts[y])
+            a, b = self.parts[x][lo : len(self.parts[x]) - hi], self.parts[y][lo : len(self.parts[y]) - hi]
+            missing = [(u, v) for u in set(a) for v in set(b) if self.quick(u, v) is None]
+            if missing:
+                todo += missing
+                continue
+            gain = 1 + sum(self.size[p] for p in (*self.parts[x][:lo], *self.parts[x][len(self.parts[x]) - hi :]))
+            if a and b:
+                gain += int(self.last_row(a, self.table(a, b))[-1])
+            self.known[x, y] = gain
+            todo.pop()
+        return self.quick(s, t)
+
+    def table(self, a, b) -> dict[int, np.ndarray]:
+        """For each shape of ``a``, its weights against the list ``b``."""
+        kinds, at = np.unique(np.asarray(b), return_inverse=True)
+        return {u: np.asarray([self.weight(u, int(v)) for v in kinds], np.int64)[at] for u in set(a)}
+
+    @staticmethod
+    def last_row(a, w: dict[int, np.ndarray]) -> np.ndarray:
+        """Best totals of matching all of ``a`` with the first 0, 1, .. of the other list, in order."""
+        row = np.zeros(len(next(iter(w.values()))) + 1, np.int64)
+        for u in a:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w[u]))
+        return row
+
+    def pairs(self, a, b) -> list[tuple[int, int]]:
+        """Positions matched in two lists of shapes, of the largest total in order."""
+        out, todo = [], [(0, len(a), 0, len(b))]
+        while todo:
+            i0, i1, j0, j1 = todo.pop()
+            lo, hi = trimmed(a[i0:i1], b[j0:j1])
+            out += [(i0 + k, j0 + k) for k in range(lo)] + [(i1 - k, j1 - k) for k in range(1, hi + 1)]
+            i0, i1, j0, j1 = i0 + lo, i1 - hi, j0 + lo, j1 - hi
+            if i0 == i1 or j0 == j1:
+                continue
+            x, y = a[i0:i1], b[j0:j1]
+            w = self.table(x, y)
+            if len(x) * len(y) > CELLS and len(x) > 1:
+                half = len(x) // 2
+                front = self.last_row(x[:half], w)
+                back = self.last_row(x[:half - 1 : -1], {u: r[::-1] for u, r in w.items()})[::-1]
+                cut = j0 + int(np.argmax(front + back))
+                todo += [(i0, i0 + half, j0, cut), (i0 + half, i1, cut, j1)]
+                continue
+            m = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+            for i, u in enumerate(x):
+                m[i + 1, 1:] = np.maximum.accumulate(np.maximum(m[i, 1:], m[i, :-1] + w[u]))
+            i, j = len(x), len(y)
             while i and j:
-                if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-                    pairs.append((mx[i - 1], my[j - 1]))
-                    i, j = i - 1, j - 1
-                elif m[i][j] == m[i - 1][j]:
+                if m[i, j] == m[i - 1, j]:
                     i -= 1
-                else:
+                elif m[i, j] == m[i, j - 1]:
                     j -= 1
-        memo[key] = (1 + gain, pairs)
-        return memo[key]
-
-    out, todo = [], [(a, b)]
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i0 + i, j0 + j))
+        return out
+
+
+def trimmed(a, b) -> tuple[int, int]:
+    """Lengths of the equal start and end of two lists of shapes. Matching equal shapes with each other is
+    always among the best: neither can gain more elsewhere, and in order only one of them could."""
+    n = min(len(a), len(b))
+    lo = 0
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    return lo, hi
+
+
+class Tree:
+    """A skeleton read again: parents, children and shapes by element."""
+
+    def __init__(self, text: str, shapes: Shapes):
+        self.tag, self.parent, self.children, labels, path = [], [], [], [], []
+        for i, line in enumerate(text.split("\n")):
+            depth, label = line.split(" ", 1)
+            del path[int(depth) :]
+            self.tag.append(label.split(" ", 1)[0])
+            labels.append(label)
+            self.parent.append(path[-1] if path else -1)
+            self.children.append([])
+            if path:
+                self.children[path[-1]].append(i)
+            path.append(i)
+        self.shape = [0] * len(labels)
+        for i in range(len(labels) - 1, -1, -1):
+            self.shape[i] = shapes.of(labels[i], tuple(self.shape[c] for c in self.children[i]))
+
+
+def match(a: Tree, b: Tree, shapes: Shapes) -> dict[int, int]:
+    """Simple tree matching: the largest order-keeping alignment of two trees with equal labels from the root
+    down, as element of ``a`` -> element of ``b``."""
+    out, todo = {}, [(0, 0)] if shapes.quick(a.shape[0], b.shape[0]) != 0 else []
     while todo:
         x, y = todo.pop()
-        if best(x, y)[0]:
-            out.append((x, y))
-            todo += best(x, y)[1]
+        out[x] = y
+        xs, ys = a.children[x], b.children[y]
+        found = shapes.pairs(tuple(a.shape[c] for c in xs), tuple(b.shape[c] for c in ys))
+        todo += [(xs[i], ys[j]) for i, j in found]
     return out
 
 
-def _text_hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
-
-
-class _Reference:
-    """A parsed reference page with its blocks' texts by element."""
+class Aligner:
+    """Aligns pages with the references of their host; trees of references are kept between pages."""
+
+    def __init__(self):
+        self.shapes, self.trees = Shapes(), OrderedDict()
+
+    def tree(self, text: str) -> Tree:
+        if text not in self.trees:
+            self.trees[text] = Tree(text, self.shapes)
+            while len(self.trees) > 256:
+                self.trees.popitem(last=False)
+        self.trees.move_to_end(text)
+        return self.trees[text]
+
+    def align(self, page: str, key: int, references: list[dict]) -> tuple[int, list[int]]:
+        """The reference that serves a page, by its number, and for each element of the page the element of
+        the reference that it, or else its nearest aligned ancestor, has, as 2 n for its own and 2 n + 1 for
+        an ancestor's. (-1, []) without references."""
+        if len(self.shapes.label) > 200_000 or len(self.shapes.known) > 1_000_000:
+            self.__init__()
+        tree, best = Tree(page, self.shapes), None
+        own = [r for r in references if r["key"] == key] or references
+        for r in own:
+            other = self.tree(r["skeleton"])
+            found = match(tree, other, self.shapes)
+            like = len(found) / (len(tree.tag) + len(other.tag))
+            if best is None or like > best[0]:
+                best = (like, r["k"], found)
+        if best is None:
+            return -1, []
+        at: list[int] = []
+        for i, p in enumerate(tree.parent):
+            at.append(2 * best[2][i] if i in best[2] else at[p] | 1 if p >= 0 else -1)
+        return best[1], at
+
+
+# --------------------------------------------------------------------------- wrappers
+
+
+def induce(skeleton: str, slots: list[dict]) -> tuple[list[int], list[dict]]:
+    """The wrapper of one reference from its slots' statistics (at, pages, top, h, mass): the elements whose
+    subtrees are the content region, and the template entries (at, h)."""
+    tree = Tree(skeleton, Shapes())
+    fixed, mass, varying = [], [0.0] * len(tree.tag), set()
+    for s in slots:
+        node = s["at"] >> 1
+        if not s["at"] & 1 and s["pages"] >= LEAST_PAGES and s["top"] >= CONSTANT_SHARE * s["pages"]:
+            if tree.tag[node] not in HEADINGS:  # a heading that texts share still is theirs where it is in the region
+                fixed.append({"at": s["at"], "h": s["h"]})
+            continue
+        mass[node] += s["mass"]
+        varying.add(node)
+    total = list(mass)
+    for i in range(len(total) - 1, 0, -1):
+        total[tree.parent[i]] += total[i]
+    if not total[0]:
+        return [], fixed
+    region, beside, here = [0], [], 0
+    while True:
+        kids = [c for c in tree.children[here] if tree.tag[c] not in PIECES]
+        top = max(kids, key=lambda c: total[c], default=None)
+        if top is None or total[top] < DOMINANT * total[here]:
+            break
+        beside += [c for c in tree.children[here] if c < top and tree.tag[c] in HEADINGS and c in varying]
+        here = top
+        region = [here]
+    return region + beside, fixed
 
-    def __init__(self, page: str):
-        self.root = parse(page)
-        elements(self.root)
 
+def _text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
-_cache: OrderedDict[str, _Reference] = OrderedDict()
 
+def _structure(skeleton: str) -> int:
+    """A key of the kind of a page: the labels of its upper levels, repetitions aside."""
+    seen = dict.fromkeys(line for line in skeleton.split("\n") if int(line.split(" ", 1)[0]) <= 4 and line.split(" ", 2)[1] not in PIECES)
+    return _text_hash("\n".join(seen))
 
-def _reference(page: str) -> _Reference:
-    if page not in _cache:
-        _cache[page] = _Reference(page)
-        while len(_cache) > 128:
-            _cache.popitem(last=False)
-    _cache.move_to_end(page)
-    return _cache[page]
 
+REFERENCE = "array<struct<k:int,key:bigint,skeleton:string>>"
 
-def depth(root: Node) -> int:
-    deep, level = 0, [root]
-    while level:
-        deep += 1
-        level = [c for n in level for c in n.children if c.tag != "#text"]
-    return deep
 
+def _read(pages: DataFrame) -> DataFrame:
+    """Materialised pages: page_id, url, host, skeleton, key, same (equal for pages of equal blocks), blocks."""
+    # parse_url fails on malformed addresses; a pattern does not
+    host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit(""))
+    p = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    block = pa.list_(pa.struct([("text", pa.string()), ("at", pa.int32()), ("link", pa.int32()), ("veto", pa.bool_()), ("ok", pa.bool_())]))
+    names = ("text", "at", "link", "veto", "ok")
 
-def page_blocks(page: str, references: list[str]) -> list[tuple[str, bool, list[int]]]:
-    """Blocks of a page: (text, may be content by its region, aligned node of each reference or -1)."""
-    root = parse(page)
-    nodes = elements(root)
-    parent = {}
-    for x in nodes:
-        for c in x.children:
-            parent[id(c)] = x
-    found = blocks(root)
-    main = [x for x in nodes if x.tag in ("article", "main") and not x.drop]
-    inside = {"article"} if any(x.tag == "article" for x in main) else {"main"} if main else set()
-    aligned = []
-    for ref in references:
-        by_node = {}
-        if depth(root) < 200:
-            by_node = {x.index: y.index for x, y in match(root, _reference(ref).root)}
-        aligned.append(by_node)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_chunks(batches, 3):
+            skeletons, rows = zip(*(read_page(x) for x in b.column(3).to_pylist()), strict=True)
+            same = [_text_hash("\0".join(x[0] for x in r)) for r in rows]
+            cols = [*b.columns[:3], pa.array(skeletons, pa.string()), pa.array([_structure(x) for x in skeletons], pa.int64()), pa.array(same, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([[dict(zip(names, x, strict=True)) for x in r] for r in rows], block)], ["page_id", "url", "host", "skeleton", "key", "same", "blocks"])
+
+    schema = "page_id long, url string, host string, skeleton string, key long, same long, blocks array<struct<text:string,at:int,link:int,veto:boolean,ok:boolean>>"
+    return materialize(p.mapInArrow(run, schema), "page-blocks")
+
+
+def _references(read: DataFrame) -> DataFrame:
+    """(_h, refs): the references of each host, one page of each of its commonest structures."""
+    kinds = read.where(F.col("host") != "").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("same", "skeleton").alias("h"), "skeleton"))["skeleton"].alias("skeleton"))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.col("n").desc(), "key"))
+    kinds = kinds.withColumn("k", rank.cast("int")).where(F.col("k") <= REFERENCES)
+    return kinds.groupBy(F.col("host").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("k", "key", "skeleton"))).alias("refs"))
+
+
+def _slots(read: DataFrame, refs: DataFrame, weight: int) -> DataFrame:
+    """(host, k, at, pages, top, h, mass) of each reference's elements over all pages that it serves: how many
+    texts are there, how often the commonest comes, which it is, and the characters outside links and outside
+    regions that by their names are no article. Pages of equal blocks count once, so copies of one article
+    don't pass for a template. Only hashes and counts travel."""
+    d = read.where(F.col("host") != "").join(maybe_broadcast(refs, weight, BROADCAST_BYTES), read["host"] == refs["_h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                out = defaultdict(list)
+                for host, page, key, same, found, refs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    k, where = aligner.align(page, key, refs)
+                    for x in found:
+                        for name, v in zip(("host", "k", "same", "at", "h", "mass"), (host, k, same, where[x["at"]], x["h"], x["mass"]), strict=True):
+                            out[name].append(v)
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+                names = ["host", "k", "same", "at", "h", "mass"]
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, kinds, strict=True)], names)
+
+    slim = F.transform("blocks", lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["text"]).alias("h"), F.when(x["veto"], 0).otherwise(F.char_length(x["text"]) * (100 - x["link"]) / 100).cast("int").alias("mass")))
+    flat = d.select("host", "skeleton", "key", "same", slim.alias("found"), "refs").mapInArrow(run, "host string, k int, same long, at int, h long, mass int")
+    texts = flat.groupBy("host", "k", "at", "h", "same").agg(F.max("mass").alias("mass")).groupBy("host", "k", "at", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass"))
+    return texts.groupBy("host", "k", "at").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "h")).alias("best"), F.sum("mass").alias("mass")).select("host", "k", "at", "pages", F.col("best.n").alias("top"), F.col("best.h").alias("h"), F.col("mass").cast("double").alias("mass"))
+
+
+def _wrappers(refs: DataFrame, slots: DataFrame, served: DataFrame) -> DataFrame:
+    """(_h, refs): per host its references with their wrappers, region null where too few pages are served.
+    A group has at most two entries for each element of a reference."""
+    entry = F.struct("at", "pages", "top", "h", "mass")
+    by = slots.groupBy("host", "k").agg(F.collect_list(entry).alias("slots"))
+    r = refs.select(F.col("_h").alias("host"), F.explode("refs").alias("r")).select("host", "r.k", "r.key", "r.skeleton")
+    r = r.join(by, ["host", "k"], "left").join(served, ["host"], "left")
+    cols = ["host", "k", "key", "skeleton", "pages", "slots"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [induce(s, x or []) if (n or 0) >= LEAST_PAGES else (None, []) for s, n, x in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
+            region, fixed = (list(x) for x in zip(*got, strict=True)) if got else ([], [])
+            kind = pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(region, pa.list_(pa.int32())), pa.array(fixed, kind)], ["host", "k", "key", "skeleton", "region", "fixed"])
+
+    w = r.select(cols).mapInArrow(run, "host string, k int, key long, skeleton string, region array<int>, fixed array<struct<at:int,h:bigint>>")
+    return w.groupBy(F.col("host").alias("_h")).agg(F.collect_list(F.struct("k", "key", "skeleton", "region", "fixed")).alias("refs"))
+
+
+def content(aligner: Aligner, page: str, key: int, found: list[dict], refs: list[dict] | None) -> list[bool]:
+    """Which blocks of a page are content by the wrapper of its host, or else by names."""
+    refs = refs or []
+    k, where = aligner.align(page, key, refs)
+    ref = next((r for r in refs if r["k"] == k), None)
+    if ref is None or not ref["region"]:
+        return [x["ok"] for x in found]
+    tree, region = aligner.tree(ref["skeleton"]), set(ref["region"])
+    if not any(w >= 0 and not w & 1 and w >> 1 == ref["region"][0] for w in where):
+        return [x["ok"] for x in found]
+    fixed = {(x["at"], x["h"]) for x in ref["fixed"]}
     out = []
-    for owner, text in found:
-        ok, within, x = True, not inside, owner
-        while x is not None:
-            ok = ok and not x.drop
-            within = within or x.tag in inside
-            x = parent.get(id(x))
-        out.append((text, ok and within, [a.get(owner.index, -1) for a in aligned]))
+    for x in found:
+        w = where[x["at"]]
+        node = w >> 1
+        while node >= 0 and node not in region:
+            node = tree.parent[node]
+        out.append(node >= 0 and not x["veto"] and (w, x["h"]) not in fixed)
     return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    Null html or a page without content: text ''. A page without a host, or alone on it, is judged by its
-    regions only. Repeated rows each get their text. Long pages are taken whole; only references are
-    chosen among pages of up to REFERENCE_BYTES. Empty input: no rows. Other columns are ignored.
+    Null html or a page without content: text ''. A page without a host, or of a host of fewer than
+    LEAST_PAGES different pages, is judged by the names of its elements. Repeated rows each get their text.
+    Pages and child lists of any length and depth are parsed and aligned whole. Empty input: no rows. Other
+    columns are ignored.
     """
-    # parse_url fails on malformed addresses; a pattern does not
-    host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit(""))
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    fit = p.where((F.col("host") != "") & F.octet_length("html").between(1, REFERENCE_BYTES))
-    pick = [F.min(F.struct(F.xxhash64(F.lit(k), "page_id", "html").alias("h"), "html"))["html"].alias(f"r{k}") for k in range(REFERENCES)]
-    refs = materialize(fit.groupBy(F.col("host").alias("_h")).agg(*pick), "references")
-    weight = refs.agg(F.sum(sum(F.octet_length(f"r{k}") for k in range(REFERENCES)))).first()[0] or 0
-    d = p.join(maybe_broadcast(refs, weight, BROADCAST_BYTES), p["host"] == refs["_h"], "left").drop("_h")
-
-    cols = ["page_id", "url", "host", "html", *[f"r{k}" for k in range(REFERENCES)]]
-    block = "array<struct<text:string,ok:boolean,nodes:array<int>,h:bigint>>"
-
-    def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("ok", pa.bool_()), ("nodes", pa.list_(pa.int32())), ("h", pa.int64())]))
-        for b in text_chunks(batches, 3):
-            rows = []
-            for page, *rs in zip(*(b.column(i).to_pylist() for i in range(3, 3 + 1 + REFERENCES)), strict=True):
-                got = page_blocks(page, [r for r in rs if r is not None])
-                rows.append([{"text": t, "ok": ok, "nodes": nodes, "h": _text_hash(t)} for t, ok, nodes in got])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(rows, kind)], ["page_id", "url", "host", "blocks"])
-
-    parsed = materialize(d.select(cols).mapInArrow(analyse, f"page_id long, url string, host string, blocks {block}"), "blocks")
-    discard(refs)
-
-    # Over all pages: how many have the node, and how many of them have each text there. Hashes alone travel.
-    # Pages with the same blocks throughout count once, so copies of one article don't pass for a template.
-    page = F.xxhash64(F.transform("blocks", lambda b: b["h"]))
-    slots = parsed.where(F.col("host") != "").select("host", page.alias("page"), F.explode("blocks").alias("b"))
-    slots = slots.select("host", "page", F.posexplode("b.nodes").alias("k", "node"), F.col("b.h").alias("h")).where("node >= 0").distinct()
-    slots = slots.groupBy("host", "k", "node", "h").agg(F.count(F.lit(1)).alias("n"))
-    nodes = slots.groupBy("host", "k", "node").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "h")).alias("top"))
-    fixed = nodes.where((F.col("pages") >= LEAST_PAGES) & (F.col("top.n") >= F.col("pages") * CONSTANT_SHARE))
-    # at most as many entries as two reference pages have elements
-    fixed = fixed.groupBy(F.col("host").alias("_h")).agg(F.collect_set(F.struct("k", "node", F.col("top.h").alias("h"))).alias("fixed"))
-    fixed = materialize(fixed, "templates")
-    entries = fixed.agg(F.sum(F.size("fixed"))).first()[0] or 0
-    q = parsed.join(maybe_broadcast(fixed, entries, 400_000), parsed["host"] == fixed["_h"], "left").drop("_h")
-    template = lambda b: F.exists(F.sequence(F.lit(0), F.lit(REFERENCES - 1)), lambda k: F.coalesce(F.array_contains(F.col("fixed"), F.struct(k.alias("k"), F.get(b["nodes"], k).alias("node"), b["h"].alias("h"))), F.lit(False)))
-    kept = F.filter("blocks", lambda b: b["ok"] & ~template(b))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    return q.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    read = _read(pages)
+    refs = materialize(_references(read), "references")
+    weigh = lambda d: d.agg(F.sum(F.aggregate("refs", F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r["skeleton"])))).first()[0] or 0
+    weight = weigh(refs)
+    slots = materialize(_slots(read, refs, weight), "slots")
+    # equal pages count once here too
+    served = read.where(F.col("host") != "").select("host", "same").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    wrappers = materialize(_wrappers(refs, slots, served), "wrappers")
+    discard(refs, slots)
+    weight = wrappers.agg(F.sum(F.aggregate("refs", F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r["skeleton"]) + 12 * F.size(r["fixed"])))).first()[0] or 0
+    d = read.join(maybe_broadcast(wrappers, weight, BROADCAST_BYTES), read["host"] == wrappers["_h"], "left")
+    d = d.withColumn("blocks", F.transform("blocks", lambda x: F.struct(x["text"].alias("text"), x["at"].alias("at"), F.xxhash64(x["text"]).alias("h"), x["veto"].alias("veto"), x["ok"].alias("ok"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                b = batch.slice(at, 128)
+                texts = []
+                for page, key, found, own in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                    keep = content(aligner, page, key, found, own)
+                    texts.append("\n\n".join(x["text"] for x, ok in zip(found, keep, strict=True) if ok))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    out = d.select("page_id", "url", "skeleton", "key", "blocks", "refs").mapInArrow(run, "page_id long, url string, text string")
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))

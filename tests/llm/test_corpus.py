@@ -30,7 +30,7 @@ def odd(spark):
     rows = [(i, say(rng.randint(1, 140)) + "\n" + line.upper() + "\n" + say(9), "en", f"s{i % 4}") for i in range(40)]
     rows += [(40, base, "en", "s1"), (41, base, "en", "s1"), (42, base.replace(base.split()[50], "changed", 1), "de", "s2")]
     rows += [(43, passage + " " + say(70), "de", None), (44, say(30) + "\t" + passage, None, "s0"), (45, None, None, None), (46, "", "en", "s1"), (47, " \n\t ", "en", "s2"), (None, "no id here " + passage, "en", "s3")]
-    rows += [(48, say(3000), "en", "s2"), (48, say(20), "en", "s2"), (49, passage, "en", "s1"), (49, passage, "en", "s1"), (50, "été 日本 " * 30 + "\n\n", "fr", "s5"), (51, line, "en", "s0"), (52, "a a a " * 40, "en", "s0")]
+    rows += [(48, say(3000), "en", "s2"), (48, say(20), "en", "s2"), (49, passage, "en", "s1"), (49, passage, "en", "s1"), (50, "été 日本 " * 30 + "\n\n", "fr", "s5"), (51, line, "en", "s0"), (52, "a a a " * 40, "en", "s0"), (53, "an <|endoftext|> inside<|endoftext|>", "en", "s1")]
     return spark.createDataFrame([(*r, 1, "x", "y", "z", "k", "h") for r in rows], DOC)
 
 
@@ -205,7 +205,7 @@ def test_html(spark):
 
 
 def test_html_drops_no_article_by_its_wrappers():
-    text = lambda page: [t for t, ok, _ in wrappers.page_blocks(page, []) if ok]
+    text = lambda page: [t for t, *_, ok in wrappers.read_page(page)[1] if ok]
     for name in ("content-sidebar-wrap", "has-sidebar sidebar"):
         assert text(f'<body><div class="{name}"><article><p>The story</p></article><div class="sidebar">Links</div></div>') == ["The story"]
     assert text('<body><article><p>Story</p></article><div class="comments"><article>Reply</article></div>') == ["Story"]
@@ -215,13 +215,6 @@ def test_html_drops_no_article_by_its_wrappers():
     assert text("<body><article><p>One</p><script>let a = 1<p>two</p><canvas><p>three</p></article>") == ["One", "two", "three"]
 
 
-def test_tree_matching():
-    a, b = wrappers.parse("<ul><li>1<li>2<li>3</ul>"), wrappers.parse("<ul><li>1<b>x</b><li>3</ul><p>q")
-    for t in (a, b):
-        wrappers.elements(t)
-    assert sorted((x.tag, y.tag) for x, y in wrappers.match(a, b)) == [("#root", "#root"), ("li", "li"), ("li", "li"), ("ul", "ul")]
-
-
 def test_secrets(spark):
     hexes, key = "0123456789abcdef" * 2, "AKIAABCDEFGHIJKL"
     texts = [f'Password = "hunter2hunter2" {key} {hexes}', "token: token: abcdefgh1", "API_KEY='short' apikey=longenough99", "é secret:abcdefghij AKIA123 0123456789abcdef", None, "", f"x{hexes}g{hexes[:-1]}", "ſecret=abcdefghij", "-----BEGIN RSA PRIVATE KEY-----"]
@@ -312,7 +305,6 @@ def test_packing(odd):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.vocabulary())
-    tok.encode_special_tokens = True
     pieces = packing.pack(odd, queries.vocabulary(), window=64).collect()
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -340,13 +332,14 @@ def test_encoder_equals_the_vocabulary_library():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.vocabulary())
-    tok.encode_special_tokens = True
     rng = random.Random(1)
     pool = "abc ABC éüß 日本 12 '\t\n\r\x00 \x85  😀 <|endoftext|> don't we'll ### %%% \x0b\x1c ١٢ ѐ ﻿"
     enc = packing.encoder(queries.vocabulary())
-    for _ in range(400):
-        t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 60)))
-        assert enc.encode_ordinary(t) == tok.encode(t, add_special_tokens=False).ids
+    parts = [*pool, "<|endoftext|>", " <|endoftext|> ", "<|endoftext|", "  \n "]
+    for _ in range(600):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
+        assert enc(t) == tok.encode(t, add_special_tokens=False).ids
+    assert enc("abc <|endoftext|> def") == [39305, 220, 50256, 825]
 
 
 def test_quality_base_rules(odd):
