@@ -128,8 +128,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     """
     spark = docs.sparkSession
     d = docs.drop("kept", "n_lines", "n_dropped")
-    # texts tell rows of one doc_id apart; a place is a line's number in the text
-    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(lines_of(F.col("text"))).alias("at", "_line"))
+    # texts tell rows of one doc_id apart, and are hashed before they are split; a place is a line's number
+    lines = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    lines = lines.select("doc_id", "t", F.posexplode(lines_of(F.col("text"))).alias("at", "_line"))
     lines = lines.withColumn("_k", line_key(F.col("_line"))).where(F.char_length("_k") >= min_chars)
     lines = lines.select("doc_id", "t", "at", key_hash(F.col("_k")).alias("_h")).select("doc_id", "t", "at", "_h.h1", "_h.h2")
     lines = lines.withColumn("batch", F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(batches)).cast("int"))
@@ -146,12 +147,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     losing = lines.join(often, ["h1", "h2"]).where(F.col("doc_id") < F.col("max_doc"))
     losing = losing.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("at").alias("_gone"))
     d = d.join(losing, (d["doc_id"] == losing["_d"]) & (F.xxhash64(d["text"]) == losing["_t"]), "left").drop("_d", "_t")
-    d = d.withColumn("_all", lines_of(F.col("text"))).withColumn("n_lines", F.size("_all").cast("long"))
-    # a difference of sets of whole numbers keeps the order and takes time in proportion to the lines
-    places = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
-    stay = F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(F.transform(places, lambda i: F.get(F.col("_all"), i)))
-    d = d.withColumn("_stay", stay).withColumn("n_dropped", (F.size("_all") - F.size("_stay")).cast("long"))
-    return d.withColumn("kept", F.array_join("_stay", "\n")).drop("_gone", "_all", "_stay")
+
+    def stay(lines: F.Column) -> F.Column:
+        # a difference of sets of whole numbers keeps the order and takes time in proportion to the lines
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.transform(places, lambda i: F.get(lines, i)))
+        return F.struct(F.size(lines).alias("n"), (F.size(lines) - F.size(kept)).alias("gone"), F.array_join(kept, "\n").alias("kept"))
+
+    # as the variable of a lambda, the lines are split once and not anew for each place
+    d = d.withColumn("_r", F.get(F.transform(F.array(lines_of(F.col("text"))), stay), 0))
+    return d.select(*docs.drop("kept", "n_lines", "n_dropped").columns, F.col("_r.n").cast("long").alias("n_lines"), F.col("_r.gone").cast("long").alias("n_dropped"), F.col("_r.kept").alias("kept"))
 
 
 ORACLE_SQL = r"""
