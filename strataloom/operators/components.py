@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from .scratch import cut
 
 
-def component_roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def component_roots(edges: DataFrame) -> DataFrame:
     """(id, label) of the nodes of ``edges`` (a, b): label is the least id that they reach. Alternates
-    linking every neighbour, then every smaller neighbour, to the least one, until the links stay. Each
-    round works on links only, in the shuffle, and is checkpointed."""
+    linking every neighbour, then every smaller neighbour, to the least one, until the links stay, however
+    many rounds that takes. Each round works on links only, in the shuffle, and is checkpointed."""
     e = cut(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct())
     state = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     last = state(e)
-    for _ in range(rounds):
-        if not last[0]:
-            break
+    while last[0]:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         m = F.least(F.min("v"), F.first("u"))
         least = both.groupBy("u").agg(m.alias("m"))
