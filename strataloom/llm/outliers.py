@@ -1,10 +1,11 @@
 """Quality rules: fixed text rules, then robust multivariate outliers.
 
 DataFrame functions only. Each document gives a vector of transformed statistics. For every language and
-source, concentration steps approach the minimum covariance determinant: from a start at the medians,
-take the ``SHARE`` of documents nearest by Mahalanobis distance, estimate centre and covariance from
-them, and repeat until the covariance of the nearest no longer shrinks. A document goes if its distance from its group's centre is
-beyond the cutoff.
+source, concentration steps approach the minimum covariance determinant: take the ``SHARE`` of documents
+nearest by Mahalanobis distance, estimate centre and covariance from them, and repeat. Three starts (medians
+with the features' own spreads, medians with one spread for all, mean and covariance of all documents) go
+``FIRST_STEPS`` steps; the one of the least determinant goes on until its determinant no longer falls. A
+document goes if its distance from its group's centre is beyond the cutoff.
 
 Every step only needs counts in distance bins and sums per group, which combine before the shuffle, so a
 group may hold any share of the rows. Vectors are whole numbers (steps of 1 / SCALE) and all sums are of
@@ -37,8 +38,12 @@ LEAST_SPREAD = (0.1**2, 0.02**2)
 #: cutoff at most where the others have none.
 EVENT = 0.25
 MOST_EVENT = tuple(x / CUTOFF for x in (15.46, 0.25, 0.5))
-#: A guard only: each step of a group has less determinant than the one before, and few are needed.
-MOST_STEPS = 100
+#: Steps of all starts before the best one goes on alone.
+FIRST_STEPS = 2
+#: Variances of PRIOR_ROWS documents that every group is held to have besides its own, so that a few
+#: documents make no narrow estimate; their part fades as 1 / n.
+PRIOR, PRIOR_ROWS = (1.0, 0.09, 1.0, 0.09, 0.09), 5
+#: Smaller groups are judged together, see _group.
 LEAST_GROUP = 40
 BROADCAST_GROUPS = 10_000
 
@@ -91,7 +96,7 @@ def vectors(d: DataFrame) -> DataFrame:
 def _group(d: DataFrame) -> DataFrame:
     """Adds ``g_lang`` and ``g_source``: the group a document is judged by. Groups of under LEAST_GROUP
     documents are judged with the other small groups of their language, and where these are too few, with
-    all of such documents; ``pool`` says which."""
+    all of such documents, however few they are; ``pool`` says which."""
     n = d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     small = n.where(F.col("n") < LEAST_GROUP).groupBy("lang").agg(F.sum("n").alias("pooled"))
     n = n.join(small.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
@@ -117,21 +122,39 @@ def _floors(events: list[Column]) -> dict[str, Column]:
     return {f"f{i}": x for i, x in enumerate([*[F.lit(x * SCALE * SCALE) for x in LEAST_SPREAD], *counts])}
 
 
-def _medians(d: DataFrame) -> DataFrame:
-    """One row per group: the start of the estimate, medians with spreads of half the quartile distance."""
+def _moments(d: DataFrame, keys: list[str], consistency: float) -> DataFrame:
+    """Centre, covariance and floors by ``keys``: m0.., c00, c10, .., f0.."""
+    sums = d.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *[F.sum(f).cast("double").alias(f"s{i}") for i, f in enumerate(FEATURES)],
+        *[(F.sum(e).cast("double") / F.count(F.lit(1))).alias(e) for e in EVENTS],
+        *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("double").alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)],
+    )
+    cov = {f"c{i}{j}": (F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) * consistency for i in range(P) for j in range(i + 1)}
+    prior = {f"c{i}{i}": cov[f"c{i}{i}"] + F.lit(PRIOR[i] * PRIOR_ROWS * SCALE * SCALE) / F.col("n") for i in range(P)}
+    return sums.select(*keys, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[c.alias(k) for k, c in (cov | prior | _floors([F.col(e) for e in EVENTS])).items()])
+
+
+def _starts(d: DataFrame) -> DataFrame:
+    """Three rows per group, told apart by ``start``: what the estimate may begin with."""
     long = d.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).alias("bin")) for k, f in enumerate(FEATURES)])).alias("x")).select("g", "x.f", "x.bin")
     counts = long.groupBy("g", "f", "bin").agg(F.count(F.lit(1)).alias("n"))
     cuts = [_quantile_bin(counts, ["g", "f"], q).withColumnRenamed("cut", c) for q, c in ((0.5, "med"), (0.25, "low"), (0.75, "high"))]
     q = cuts[0].join(cuts[1], ["g", "f"]).join(cuts[2], ["g", "f"])
     pick = lambda k, c: F.max(F.when(F.col("f") == k, F.col(c))).cast("double")
-    out = q.groupBy("g").agg(*[pick(k, "med").alias(f"m{k}") for k in range(P)], *[(pick(k, "high") - pick(k, "low")).alias(f"q{k}") for k in range(P)])
-    cov = {f"c{i}{j}": F.pow(F.col(f"q{i}") / 1.35, 2) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
-    means = d.groupBy("g").agg(*[(F.sum(e).cast("double") / F.count(F.lit(1))).alias(e) for e in EVENTS])
-    return out.withColumns(cov).join(means, "g").withColumns(_floors([F.col(e) for e in EVENTS]))
+    spread = lambda k: F.pow((pick(k, "high") - pick(k, "low")) / 1.35, 2)
+    medians = q.groupBy("g").agg(*[pick(k, "med").alias(f"m{k}") for k in range(P)], *[spread(k).alias(f"c{k}{k}") for k in range(P)])
+    every = materialize(_moments(d, ["g"], 1.0), "moments")
+    medians = medians.join(every.select("g", *[f"f{k}" for k in range(P)]), "g")
+    medians = medians.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)})
+    one = sum((F.col(f"c{k}{k}") for k in range(P)), F.lit(0.0)) / P
+    alike = medians.withColumn("_one", one).withColumns({f"c{k}{k}": F.col("_one") for k in range(P)}).drop("_one")
+    starts = [x.withColumn("start", F.lit(k)) for k, x in enumerate((medians, alike, every))]
+    return starts[0].unionByName(starts[1]).unionByName(starts[2])
 
 
 def _cholesky(params: DataFrame) -> DataFrame:
-    """(g, m0.., l00, l10, .., det): the triangular root of covariance plus ridge and floors, in column
+    """(g, start, m0.., l00, l10, .., det): the triangular root of covariance plus ridge and floors, in column
     arithmetic, and the logarithm of its determinant."""
     p = params
     for j in range(P):
@@ -145,12 +168,12 @@ def _cholesky(params: DataFrame) -> DataFrame:
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             p = p.withColumn(f"l{i}{j}", v / F.col(f"l{j}{j}"))
     det = sum((F.log(F.col(f"l{j}{j}")) for j in range(P)), F.lit(0.0))
-    return p.select("g", *[f"m{k}" for k in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], det.alias("det"))
+    return p.select("g", "start", *[f"m{k}" for k in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], det.alias("det"))
 
 
 def _distance(d: DataFrame, centres: DataFrame) -> DataFrame:
-    """The rows of ``d`` in the groups of ``centres`` with ``d2``, the squared Mahalanobis distance from
-    their group's centre."""
+    """The rows of ``d`` in the groups of ``centres``, for each ``start``, with ``d2``, the squared
+    Mahalanobis distance from their group's centre."""
     p = centres.withColumnRenamed("g", "_g")
     x = d.join(maybe_broadcast(p, p.count(), BROADCAST_GROUPS), d["g"] == p["_g"])
     total: Column = F.lit(0.0)
@@ -160,37 +183,39 @@ def _distance(d: DataFrame, centres: DataFrame) -> DataFrame:
             y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
         x = x.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
         total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return x.withColumn("d2", total).select(*d.columns, "d2")
+    return x.withColumn("d2", total).select(*d.columns, "start", "d2")
+
+
+def _step(d: DataFrame, centres: DataFrame) -> DataFrame:
+    """One concentration step of each start: the estimates from the nearest SHARE of documents."""
+    x = _distance(d, centres).withColumn("bin", F.floor(F.log1p("d2") * 64).cast("int"))
+    cut = _quantile_bin(x.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["g", "start"], SHARE)
+    cut = materialize(cut.withColumnsRenamed({"g": "_g", "start": "_s"}), "cuts")
+    near = x.join(maybe_broadcast(cut, cut.count(), BROADCAST_GROUPS), (x["g"] == cut["_g"]) & (x["start"] == cut["_s"]) & (x["bin"] <= cut["cut"]))
+    out = materialize(_cholesky(_moments(near, ["g", "start"], CONSISTENCY)), "estimates")
+    discard(cut)
+    return out
 
 
 def robust_distances(d: DataFrame) -> DataFrame:
     """``d`` (with the features and ``g``) with ``d2`` under the converged estimate of its group."""
-    # the start is no estimate: its determinant doesn't count
-    state = materialize(_cholesky(_medians(d)).withColumn("det", F.lit(float("inf"))).withColumn("open", F.lit(True)), "centres")
-    for _ in range(MOST_STEPS):
-        x = _distance(d, state.where("open")).withColumn("bin", F.floor(F.log1p("d2") * 64).cast("int"))
-        cut = _quantile_bin(x.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], SHARE)
-        cut = materialize(cut.withColumnRenamed("g", "_g"), "cuts")
-        near = x.join(maybe_broadcast(cut, cut.count(), BROADCAST_GROUPS), (x["g"] == cut["_g"]) & (x["bin"] <= cut["cut"]))
-        sums = near.groupBy("g").agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            *[F.sum(f).cast("double").alias(f"s{i}") for i, f in enumerate(FEATURES)],
-            *[(F.sum(e).cast("double") / F.count(F.lit(1))).alias(e) for e in EVENTS],
-            *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("double").alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)],
-        )
-        cov = {f"c{i}{j}": (F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) * CONSISTENCY for i in range(P) for j in range(i + 1)}
-        params = sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[c.alias(k) for k, c in (cov | _floors([F.col(e) for e in EVENTS])).items()])
-        fresh = materialize(_cholesky(params), "estimates")
-        # a group whose nearest set no longer shrinks keeps its estimate and rests
+    state = materialize(_cholesky(_starts(d)), "centres")
+    for _ in range(FIRST_STEPS):
+        last, state = state, _step(d, state)
+        discard(last)
+    best = state.groupBy("g").agg(F.min(F.struct("det", *[c for c in state.columns if c not in ("g", "det")])).alias("b")).select("g", "b.*")
+    last, state = state, materialize(best.select(*state.columns).withColumn("open", F.lit(True)), "centres")
+    discard(last)
+    while state.where("open").limit(1).count():  # ends: determinants only fall, by a least amount
+        fresh = _step(d, state.where("open").drop("open"))
         n = fresh.select([F.col(c).alias(f"_{c}") for c in fresh.columns])
         both = state.join(n, state["g"] == n["_g"], "left")
-        better = F.coalesce(F.col("_det") < F.col("det") - 1e-9, F.lit(False))
+        # a group whose nearest set no longer shrinks keeps its estimate and rests
+        better = F.coalesce(F.col("_det") < F.col("det") - 1e-6, F.lit(False))
         picked = [F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fresh.columns if c != "g"]
         last, state = state, materialize(both.select("g", *picked, better.alias("open")), "centres")
-        discard(last, fresh, cut)
-        if not state.where("open").limit(1).count():
-            break
-    return _distance(d, state)
+        discard(last, fresh)
+    return _distance(d, state).drop("start")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -198,16 +223,13 @@ def judge(docs: DataFrame) -> DataFrame:
     n_repeat_words, base_failed, kept, and distance2 (null where no group decided).
 
     The estimates are fitted on the documents that pass the base rules, and only these are judged by them.
-    A null language or source is a value of its own. Too few documents for any estimate (under LEAST_GROUP
-    in all): the base rules alone decide. Null text: no words, base_failed. Repeated rows are judged each.
+    A null language or source is a value of its own. Few documents make a wide estimate (PRIOR_ROWS); a
+    document that is alone lies at its centre. Null text: no words, base_failed. Repeated rows are judged each.
     Empty input: no rows. Other columns are ignored.
     """
     d = materialize(vectors(base_rules(docs)), "statistics")
     good = _group(d.where(~F.col("base_failed")))
-    if good.limit(LEAST_GROUP).count() < LEAST_GROUP:
-        out = d.withColumn("d2", F.lit(None).cast("double"))
-    else:
-        judged = robust_distances(materialize(good, "grouped"))
-        out = judged.drop("g", "pool").unionByName(d.where("base_failed").withColumn("d2", F.lit(None).cast("double")))
+    judged = robust_distances(materialize(good, "grouped"))
+    out = judged.drop("g", "pool").unionByName(d.where("base_failed").withColumn("d2", F.lit(None).cast("double")))
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= CUTOFF))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))
