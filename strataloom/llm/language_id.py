@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, text_chunks
+from .common import discard, materialize, mix64, text_chunks
 
 BITS = 15
 DIM = 1 << BITS
-#: Greatest expected number of documents that training sees; a row of the sample takes 12 bytes for each
-#: distinct n-gram of the text, so it stays within a few dozen MB.
-SAMPLE = 2400
+#: Bounds of what the driver gathers to train on: the expected number of documents, and of each its heaviest
+#: n-grams, of 8 bytes each: 79 MB at most. Predictions use all n-grams of the whole text.
+SAMPLE, SAMPLE_GRAMS = 2400, 4096
+#: The languages that are learnt are the commonest values, as many as this; weights take 262 kB for each.
+LANGUAGES = 256
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 2e-3, 1e-3
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
@@ -72,6 +74,14 @@ def tfidf(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
     return [(feature[a:b], value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def heaviest(feature: np.ndarray, value: np.ndarray, most: int = SAMPLE_GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` greatest values, the first ones on ties, in the order of features."""
+    if len(value) <= most:
+        return feature, value
+    top = np.sort(np.argsort(-value, kind="stable")[:most])
+    return feature[top], value[top]
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int) -> np.ndarray:
     """FTRL-proximal weights (DIM + 1, classes); the last row is the bias, without penalties."""
     z, n = np.zeros((DIM + 1, classes)), np.zeros((DIM + 1, classes))
@@ -154,13 +164,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
             ["lang", "feature", "n"],
         )
 
-    # at most DIM rows and one for each language come back, whatever the corpus holds
-    counted = good.mapInArrow(frequencies, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
-    languages = {r["lang"]: r["n"] for r in counted if r["feature"] is None}
+    # at most DIM rows and one for each of the languages come back, whatever the corpus holds
+    counted = good.mapInArrow(frequencies, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "frequencies")
     df = np.zeros(DIM)
-    for r in counted:
-        if r["feature"] is not None:
-            df[r["feature"]] = r["n"]
+    for r in counted.where(F.col("feature").isNotNull()).collect():
+        df[r["feature"]] = r["n"]
+    common = counted.where(F.col("feature").isNull()).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    languages = {r["lang"]: r["n"] for r in common}
+    discard(counted)
     total = sum(languages.values())
     idf = np.log((1 + total) / (1 + df)) + 1
     names = sorted(languages)
@@ -174,13 +186,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, 1):
-            rows = tfidf(b.column(1).to_pylist(), idf)
-            cols = [b.column(0).cast(pa.int64()), b.column(2), *(pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in ((0, np.int32), (1, np.float64)))]
+            rows = [heaviest(*r) for r in tfidf(b.column(1).to_pylist(), idf)]
+            cols = [b.column(0).cast(pa.int64()), b.column(2), *(pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in ((0, np.int32), (1, np.float32)))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "f", "v"])
 
     rows = picked.mapInArrow(features, "doc_id long, lang string, f binary, v binary").collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["f"], r["v"]))
-    x = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float64)) for r in rows]
+    x = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32).astype(float)) for r in rows]
     y = np.asarray([names.index(r["lang"]) for r in rows], np.int64)
     back = np.arange(len(rows)) % 5 == 4
     w = train([r for r, b in zip(x, back, strict=True) if not b], y[~back], len(names))
