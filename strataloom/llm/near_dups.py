@@ -132,7 +132,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """Materialised rows (doc_id, node binary, size int, sig binary); null node: no words."""
+    """Materialised rows (doc_id, t, node binary, sig binary): t is the text's hash; null node: no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, 1):
@@ -151,13 +151,12 @@ def _nodes(docs: DataFrame) -> DataFrame:
             more = [b""] * b.num_rows
             for k, x in zip(np.flatnonzero(uneven).tolist(), plain, strict=True):
                 more[k] = x.tobytes()
-            size = np.bincount(text_of, minlength=b.num_rows).astype(np.int32)
             full = counts > 0
             node = pa.array([k.tobytes() if ok else None for k, ok in zip(key, full.tolist(), strict=True)], pa.binary())
             raw = pa.array([s.tobytes() + m if ok else None for s, m, ok in zip(sig, more, full.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), node, pa.array(size), raw], ["doc_id", "node", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), node, raw], ["doc_id", "t", "node", "sig"])
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, size int, sig binary"), "nodes")
+    return materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, node binary, sig binary"), "nodes")
 
 
 def _estimate(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -193,16 +192,15 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return p.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Materialised (node, root) for the nodes of ``edges`` (a, b): root is the component's least node.
-    Alternates large-star and small-star steps until the links no longer change; every round is written to
-    the shared folder, so lineage stays short."""
+    Alternates large-star and small-star steps until the links no longer change, however many rounds that
+    takes (about the square of the logarithm of their number); every round is written to the shared folder,
+    so lineage stays short."""
     e = materialize(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct(), "links")
     count = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     last = count(e)
-    for _ in range(rounds):
-        if not last[0]:
-            break
+    while last[0]:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
@@ -230,16 +228,29 @@ def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _across(opened: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links (a, b) between components that share a bucket.
 
-    A bucket is compared in blocks of about BLOCK members and BLOCK_BYTES of text, so that a task holds two
-    blocks. Each pair of members of different components is compared by registers, in the first band that
-    it shares, and if they agree enough, by its texts. Within a task a link joins its components, and pairs
-    inside a component need no more comparison: a task returns fewer links than it has members."""
+    The members of a bucket's largest component, its bulk, need no comparison with each other; the rest do,
+    and with the bulk. Both are dealt to blocks of about BLOCK members and BLOCK_BYTES of text, and a task
+    compares two blocks: so the texts of the bulk travel once for each block of the rest, which is once
+    where the rest is small. Each pair of members of different components is compared by registers, in the
+    first band that it shares, and if they agree enough, by its texts. Within a task a link joins its
+    components, and pairs inside a component need no more comparison: a task returns fewer links than it has
+    members."""
     m = opened.join(sigs.select("node", "sig"), "node").join(texts, "node")
-    load = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)
-    blocks = m.groupBy(F.col("key").alias("_k")).agg(F.greatest(F.ceil(load), F.lit(1)).cast("int").alias("blocks"))
-    m = m.join(blocks, m["key"] == blocks["_k"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "sig", "text")
+    # how many members and bytes the components of each bucket have; one row for each of both
+    load = F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)
+    parts = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    by = parts.groupBy(F.col("key").alias("_k")).agg(F.max(F.struct("n", "root", load.alias("load"))).alias("bulk"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda x: F.greatest(F.ceil(x), F.lit(1)).cast("int")
+    by = by.select("_k", F.col("bulk.root").alias("_bulk"), blocks(F.col("bulk.load")).alias("nb"), blocks(load).alias("nr"))
+    m = m.join(by, m["key"] == by["_k"]).withColumn("big", F.col("root") == F.col("_bulk"))
+    m = m.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("big"), F.col("nb")).otherwise(F.col("nr"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda across, i, j: F.struct(F.lit(across).alias("across"), i.alias("i"), j.alias("j"))
+    with_rest = F.transform(upto("nr"), lambda r: place(True, F.col("mine"), r))
+    with_bulk = F.transform(upto("nb"), lambda b: place(True, b, F.col("mine")))
+    in_rest = F.transform(upto("nr"), lambda r: place(False, F.least("mine", r), F.greatest("mine", r)))
+    m = m.withColumn("at", F.explode(F.when(F.col("big"), with_rest).otherwise(F.concat(with_bulk, in_rest))))
+    m = m.select("key", "at.across", "at.i", "at.j", "mine", "big", "node", "root", "sig", "text")
     need = int(np.ceil(REGISTERS * (SIMILARITY - SLACK) - 1e-9))
 
     def run(table: pa.Table) -> pa.Table:
@@ -247,15 +258,15 @@ def _across(opened: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
         sig = both_sets(table["sig"].to_pylist())
         bands = both_keys(sig)
         band = int(np.flatnonzero((bands[0] == table["key"][0].as_py()).any(0))[0])
-        mine = table["mine"].to_numpy()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        mine, big = table["mine"].to_numpy(), table["big"].to_numpy()
+        across, i, j = (table[c][0].as_py() for c in ("across", "i", "j"))
         _, comp = np.unique(np.asarray([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)
         text_of, value, weight, _, _ = shingles(*raw_text(table["text"]))
         cuts = np.searchsorted(text_of, np.arange(len(node) + 1))
-        right = np.flatnonzero(mine == j)
+        left, right = (np.flatnonzero(~big), np.flatnonzero(big)) if across else (np.flatnonzero(mine == i), np.flatnonzero(mine == j))
         a, b = [], []
-        for x in np.flatnonzero(mine == i).tolist():
-            cand = right[(comp[right] != comp[x]) & ((right > x) | (i != j))]
+        for x in left.tolist():
+            cand = right[(comp[right] != comp[x]) & ((right > x) | across | (i != j))]
             if not len(cand):
                 continue
             cand = cand[(sig[cand] == sig[x]).sum(2).max(1) >= need]
@@ -269,7 +280,7 @@ def _across(opened: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
                     b.append(node[y])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return m.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+    return m.groupBy("key", "across", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -281,6 +292,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text are one class; is_first marks one of them. A null doc_id is larger than any other. Empty input: no
     rows. Other columns are ignored.
     """
+    return _classes(docs).drop("t")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text, ``t``."""
     rows = _nodes(docs)
     sigs = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"))
 
@@ -326,19 +342,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = sigs.select("node", F.col("doc_id").alias("_least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("_least").alias("class_id"))
     first = named.join(least, "root").select(F.col("node").alias("_n"), "class_id", "_least", "root")
-    out = rows.select("doc_id", "node").join(first, F.col("node") == F.col("_n"), "left")
+    out = rows.select("doc_id", "t", "node").join(first, F.col("node") == F.col("_n"), "left")
     head = F.col("doc_id").eqNullSafe(F.col("class_id"))
     # of rows that share the least doc_id in one class, one stays: numbered among these rows alone
-    w = Window.partitionBy("root", "doc_id").orderBy("node")
-    lone = out.where(F.col("_n").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"))
+    w = Window.partitionBy("root", "doc_id").orderBy("node", "t")
+    lone = out.where(F.col("_n").isNull()).select("doc_id", "t", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"))
     named_rows = out.where(F.col("_n").isNotNull())
-    rest = named_rows.where(~head).select("doc_id", "class_id", F.lit(False).alias("is_first"))
-    heads = named_rows.where(head).withColumn("_k", F.row_number().over(w)).select("doc_id", "class_id", (F.col("_k") == 1).alias("is_first"))
+    rest = named_rows.where(~head).select("doc_id", "t", "class_id", F.lit(False).alias("is_first"))
+    heads = named_rows.where(head).withColumn("_k", F.row_number().over(w)).select("doc_id", "t", "class_id", (F.col("_k") == 1).alias("is_first"))
     return lone.unionByName(rest).unionByName(heads)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that represent their class. Rows that repeat a doc_id are one document here:
-    they stay or go together."""
-    first = near_duplicates(docs).where("is_first").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_d"]), "left_semi")
+    """The rows of ``docs`` that represent their class: exactly one of each, also where rows share a doc_id or
+    have none. Rows without words all stay."""
+    by = _classes(docs).groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
+    n = by.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("is_first").cast("int")).alias("_keep")).where("_keep > 0")
+    n = materialize(n, "firsts")
+    same = docs["doc_id"].eqNullSafe(n["_d"]) & (F.xxhash64(docs["text"]) == n["_t"])
+    d = docs.join(n, same)
+    whole = d.where("_n = _keep").select(docs["*"])
+    # of rows that repeat both doc_id and text, as many as represent classes
+    again = d.where("_n > _keep").withColumn("_k", F.row_number().over(Window.partitionBy("_d", "_t").orderBy(F.lit(0)))).where("_k <= _keep")
+    return whole.unionByName(again.select(*docs.columns))
