@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions.geometry import Affine, Tile, ring_area, slice_bounds, tiles_for_span
 from .operators import components, grouped, joins, models, objects, raster, regions
-from .plans import compose, detectors, preview
+from .operators.scratch import cut
+from .plans import compose, detectors, modes, preview
 from .plans import tables as plan_tables
 from .sources import fixtures as fx
 from .sources import navigator, plan_files
@@ -248,8 +250,6 @@ def object_stage_bounds(spark, d):
 
 @query(W(*LABELS8, MEASURE) + "SELECT row_number() OVER (ORDER BY label) AS ordinal, 'Detected ' || row_number() OVER (ORDER BY label) AS name, round(1.25 * centroid_x + 1000, 6) AS sx, round(1.25 * centroid_y + 2000, 6) AS sy FROM objects WHERE area >= 3")
 def detection_points(spark, d):
-    from pyspark.sql import Window
-
     o = objects.measure(labels(spark, d)).where("area >= 3")
     x, y = META.apply(F.col("centroid_x"), F.col("centroid_y"))
     n = F.row_number().over(Window.partitionBy("image_id").orderBy("label")).cast("long")
@@ -372,16 +372,23 @@ def rectangular_scans(spark, d):
 
 @query()
 def greedy_tile_merge(spark, d):
+    """Merging inside chains of objects that are a tile apart at most."""
     o = objects.measure(labels(spark, d)).where("area >= 3")
     b = slice_bounds(META, F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y"))
-    return grouped.greedy_merge(o.select(F.lit(0).cast("long").alias("pool"), F.col("label").alias("id"), *[c.alias(n) for n, c in b.items()], F.lit(0.0).alias("z")), TILE, max_extra=0.25)
+    o = o.select(F.col("label").alias("id"), *[c.alias(n) for n, c in b.items()], F.lit(0.0).alias("z"))
+    pools = components.single_linkage(o, joins.box_gap_pairs(o, TILE.width, TILE.height)).withColumnRenamed("group_id", "pool")
+    return grouped.greedy_merge(pools, TILE, max_extra=0.25)
 
 
 @query()
 def compact_selection(spark, d):
-    o = object_table(spark, d).where("area >= 3")
+    """Twelve objects that take few tiles under a plan of rectangles of XY groups."""
+    lab = cut(labels(spark, d))
+    o = objects.measure(lab).join(objects.confidence(lab), ["image_id", "label"]).where("area >= 3")
     x, y = META.apply(F.col("centroid_x"), F.col("centroid_y"))
-    return grouped.compact_selection(o.select(F.col("label").alias("id"), x.alias("x"), y.alias("y"), F.col("weighted").alias("score")), 12, TILE)
+    o = o.select("image_id", "label", x.alias("x"), y.alias("y"), F.round("weighted", 9).alias("score"))
+    p = compose.Planning("rectangular_regions", "xy", "overview", "direct", merge_factor=0.5)
+    return compose.compact_review(lab, o, 12, classes(spark, d), META, TILE, p, seeds=6)
 
 
 # ------------------------------------------------------------------ polygons and regions
@@ -551,7 +558,7 @@ def combine_plans(spark, d):
     return plan_tables.combine([("p1", fixture_plan(spark, d, points=True)), ("p2", fixture_plan(spark, d, rectangles=True))]).select("plan", "kind", "ordinal", "name")
 
 
-@query("SELECT row_number() OVER (ORDER BY rank, k) AS target_id, kind, name FROM (SELECT 0 AS rank, 'point' AS kind, n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 1, 'rectangle', r_regionkey, r_name FROM region UNION ALL SELECT 2, 'polygon', n_nationkey, 'Polygon ' || (n_nationkey + 1) FROM nation)")
+@query("SELECT row_number() OVER (ORDER BY rank, k) AS target_id, kind, name FROM (SELECT 0 AS rank, 'point' AS kind, n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 1, 'rectangle', r_regionkey, r_name FROM region UNION ALL SELECT 2, 'polygon', n_nationkey, 'Mosaic ' || (n_nationkey + 1) FROM nation)")
 def target_ids(spark, d):
     return plan_tables.with_target_ids(fixture_plan(spark, d, points=True, rectangles=True, polygons=True)).select("target_id", "kind", "name")
 
@@ -561,22 +568,50 @@ def id_validation(spark, d):
     return plan_tables.validation(plan_tables.with_target_ids(fixture_plan(spark, d, points=True, rectangles=True, polygons=True)))
 
 
-@query("SELECT 'point' AS kind, 25::BIGINT AS n UNION ALL SELECT 'rectangle', 5 UNION ALL SELECT 'polygon', 25")
+#: All targets of the sample tables with every field, a row for each vertex of a polygon.
+TARGETS = "targets AS (SELECT 'point' AS kind, n_nationkey + 1 AS ordinal, n_name AS name, 1000.0 + 7 * n_nationkey AS x, 2000.0 + 5 * n_nationkey AS y, 115.0 AS z, NULL::DOUBLE AS width, NULL::DOUBLE AS height, NULL::INT AS k FROM nation UNION ALL SELECT 'rectangle', id + 1, name, center_x, center_y, z, width, height, NULL FROM rects UNION ALL SELECT 'polygon', id + 1, NULL, x, y, 115.0, NULL, NULL, k FROM shapes)"
+TARGET_ROWS = "SELECT kind, CAST(ordinal AS BIGINT) AS ordinal, {name} AS name, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, width, height, CAST(k AS INT) AS k FROM targets"
+
+
+def target_rows(t):
+    """One row for each point, rectangle and vertex."""
+    one = t.where("kind <> 'polygon'").select("kind", "ordinal", "name", "x", "y", "z", "width", "height", F.lit(None).cast("int").alias("k"))
+    v = t.where("kind = 'polygon'").select("kind", "ordinal", "name", "z", "width", "height", F.posexplode("vertices").alias("k", "v"))
+    return one.unionByName(v.select("kind", "ordinal", "name", F.col("v.x").alias("x"), F.col("v.y").alias("y"), "z", "width", "height", "k"))
+
+
+@query(W("rects", "shapes", TARGETS) + TARGET_ROWS.format(name="name"))
 def plan_json_roundtrip(spark, d):
-    text = plan_files.to_json(fixture_plan(spark, d, points=True, rectangles=True, polygons=True), {"source": "fixture"})
-    return plan_files.from_json(text).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    text = plan_files.to_json(fixture_plan(spark, d, points=True, rectangles=True, polygons=True), "fixture.vsi", modes.DEFAULT, {"pixel_size_x_um": 1.25}, 55)
+    return target_rows(plan_files.from_json(text))
+
+
+#: A plan file as other programs write it.
+PLAN_TEXT = '{"source_image": "a.vsi", "planning_mode": "custom:tile_point_grid|xy|per_tile|direct", "point_positions": [{"x_um": 1.5, "y_um": -2, "z_um": 3, "name": null}, {"x_um": 4, "y_um": 5, "z_um": 6.25, "name": "Here"}], "rectangular_regions": [{"center_x_um": 7, "center_y_um": 8, "z_um": 9, "width_um": 10, "height_um": 11, "name": "Box"}], "polygon_regions": [{"vertices_xy_um": [[0, 0], [4, 0], [0, 3]], "z_um": 12}], "overview_metadata": {"image_width_px": 96}, "selected_object_count": 4}'
+PLAN_ROWS = "SELECT kind, CAST(ordinal AS BIGINT) AS ordinal, name, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, CAST(k AS INT) AS k FROM (VALUES ('point', 1, NULL, 1.5, -2, 3, NULL, NULL, NULL), ('point', 2, 'Here', 4, 5, 6.25, NULL, NULL, NULL), ('rectangle', 1, 'Box', 7, 8, 9, 10, 11, NULL), ('polygon', 1, NULL, 0, 0, 12, NULL, NULL, 0), ('polygon', 1, NULL, 4, 0, 12, NULL, NULL, 1), ('polygon', 1, NULL, 0, 3, 12, NULL, NULL, 2)) t(kind, ordinal, name, x, y, z, width, height, k)"
+
+
+@query(PLAN_ROWS)
+def plan_json_of_others(spark, d):
+    return target_rows(plan_files.from_json(spark.createDataFrame([(PLAN_TEXT,), ('{"source_image": "b", "planning_mode": ""}',)], "value string")))
+
+
+@query("SELECT 'a.vsi' AS source_image, 'custom:tile_point_grid|xy|per_tile|direct' AS planning_mode, 4::BIGINT AS selected_object_count, '{\"image_width_px\":96}' AS overview_metadata")
+def plan_json_header(spark, d):
+    return plan_files.header(spark.createDataFrame([(PLAN_TEXT,)], "value string"))
 
 
-@query("SELECT 'point' AS kind, 25::BIGINT AS n UNION ALL SELECT 'rectangle', 5 UNION ALL SELECT 'polygon', 25")
+@query(W("rects", "shapes", TARGETS) + TARGET_ROWS.format(name="CASE WHEN kind = 'polygon' THEN 'Mosaic ' || ordinal ELSE name END"))
 def nav_xml_roundtrip(spark, d):
     targets = plan_tables.with_target_ids(fixture_plan(spark, d, points=True, rectangles=True, polygons=True))
-    return navigator.from_xml(spark, navigator.to_xml(targets, "fixture")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    back = navigator.from_xml(spark, navigator.to_xml(targets, "fixture"))
+    return target_rows(back.withColumn("ordinal", F.row_number().over(Window.partitionBy("kind").orderBy("ordinal")).cast("long")))
 
 
 @query()
 def composed_plan(spark, d):
     c = classes(spark, d)
-    return compose.plan_targets(labels(spark, d, 4), c, META, PIXEL_TILE, compose.Planning("rectangular_regions", "xy", "per_roi", "none", merge_factor=0.15), z_step=5.0)
+    return compose.plan_targets(labels(spark, d, 4), c, META, PIXEL_TILE, compose.Planning("rectangular_regions", "xy", "per_roi", "direct", merge_factor=0.15), z_step=5.0)
 
 
 PREVIEW = (

@@ -109,3 +109,72 @@ def circumradius(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy:
     ab, bc, ca = F.hypot(ax - bx, ay - by), F.hypot(bx - cx, by - cy), F.hypot(cx - ax, cy - ay)
     twice = F.abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))
     return F.when(twice <= 1e-12, float("inf")).otherwise(ab * bc * ca / (twice * 2))
+
+
+def same_point(ax: Column, ay: Column, bx: Column, by: Column, tolerance: float = 1e-9) -> Column:
+    """Whether two points agree within ``tolerance`` on both axes."""
+    return (F.abs(ax - bx) <= tolerance) & (F.abs(ay - by) <= tolerance)
+
+
+def is_closed(vertices: Column) -> Column:
+    """Whether a ring of (x, y) structs repeats its first point at its end."""
+    first, last = F.get(vertices, 0), F.get(vertices, F.size(vertices) - 1)
+    return (F.size(vertices) > 1) & same_point(first["x"], first["y"], last["x"], last["y"])
+
+
+def opened(vertices: Column) -> Column:
+    """A ring without the repetition of its first point."""
+    return F.when(is_closed(vertices), F.slice(vertices, F.lit(1), F.size(vertices) - 1)).otherwise(vertices)
+
+
+def turn(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    """1 where p lies to one side of a to b, -1 to the other, 0 within 1e-9 of the line (as a cross product)."""
+    cross = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+    return F.when(F.abs(cross) <= 1e-9, 0).when(cross > 0, 1).otherwise(-1)
+
+
+def on_segment(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    """Whether p lies on the segment from a to b, its ends included."""
+    between = lambda p, u, v: p.between(F.least(u, v) - 1e-9, F.greatest(u, v) + 1e-9)
+    return (turn(ax, ay, bx, by, px, py) == 0) & between(px, ax, bx) & between(py, ay, by)
+
+
+def in_rectangle(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether p lies in a closed rectangle, within 1e-9."""
+    return px.between(x0 - 1e-9, x1 + 1e-9) & py.between(y0 - 1e-9, y1 + 1e-9)
+
+
+def corners(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The ring of a box, from its least corner along x."""
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+
+
+def footprint(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """The ring of a rectangle or tile around its centre."""
+    return corners(x - width / 2, y - height / 2, x + width / 2, y + height / 2)
+
+
+def display_ring(tr: Affine, vertices: Column) -> Column:
+    """Stage vertices as pixel (row, column) pairs of single precision, as viewers draw them."""
+
+    def pair(v: Column) -> Column:
+        x, y = tr.invert(v["x"], v["y"])
+        return F.array(y.cast("float"), x.cast("float"))
+
+    return F.transform(vertices, pair)
+
+
+def groups_meet(a: dict[str, Column], b: dict[str, Column], gap_x: float, gap_y: float, max_span: float | None = None) -> Column:
+    """Whether two groups (min_x, max_x, min_y, max_y, and min_z, max_z where ``max_span`` counts) are near enough to
+    merge: gaps within the limits, and the z of both together within the span."""
+    ok = (axis_gap(a["min_x"], a["max_x"], b["min_x"], b["max_x"]) <= gap_x) & (axis_gap(a["min_y"], a["max_y"], b["min_y"], b["max_y"]) <= gap_y)
+    return ok if max_span is None else ok & (F.greatest(a["max_z"], b["max_z"]) - F.least(a["min_z"], b["min_z"]) <= max_span)
+
+
+def sizes_of(pixel_size: float | tuple[float, float]) -> tuple[float, float]:
+    """(y, x) of a pixel size that is one number or such a pair."""
+    if isinstance(pixel_size, tuple):
+        if len(pixel_size) != 2:
+            raise ValueError("a pair of pixel sizes is (y, x)")
+        return float(pixel_size[0]), float(pixel_size[1])
+    return float(pixel_size), float(pixel_size)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import images
 from .scratch import cut
 
 
@@ -52,6 +53,9 @@ def label_components(mask: DataFrame, width: int, connectivity: int = 8) -> Data
 
 
 def single_linkage(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``points`` with ``group_id``: the least id of the points that chains of ``pairs`` (a, b) reach."""
-    roots = component_roots(pairs)
-    return points.join(roots.withColumnRenamed("label", "group_id"), "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
+    """``points`` with ``group_id``: the least id of the points of its image that chains of ``pairs`` (a, b) reach."""
+    image = images(points, pairs)
+    node = lambda c: F.struct(*image, F.col(c).alias("id"))
+    roots = component_roots(pairs.select(node("a").alias("a"), node("b").alias("b")))
+    roots = roots.select("id.*", F.col("label.id").alias("group_id"))
+    return points.join(roots, [*image, "id"], "left").withColumn("group_id", F.coalesce("group_id", "id"))

@@ -7,15 +7,20 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from ..functions.geometry import Tile
+from ..functions.geometry import Tile, finite_or_zero
+from .components import single_linkage
+from .joins import box_gap_pairs, images
+from .raster import blurred
 
 
 def z_constrained_groups(boxes: DataFrame, gap_x: float, gap_y: float, max_span: float) -> DataFrame:
     """(image_id, id, group_id) of boxes (image_id, id, min_x, max_x, min_y, max_y, z). Pairs are tried in
     the order of ids, and a pair joins its groups only if the z of all members then spans ``max_span`` at
-    most; so the outcome depends on the order. One image's boxes are one group of rows."""
+    most; so the outcome depends on the order. Only boxes that chains of such pairs link can meet: these
+    chains are found first, and each is one group of rows."""
     if max_span < 0:
         raise ValueError("the z limit must not be negative")
 
@@ -43,18 +48,24 @@ def z_constrained_groups(boxes: DataFrame, gap_x: float, gap_y: float, max_span:
         df["group_id"] = df["id"].groupby(root).transform("min")
         return df[["image_id", "id", "group_id"]]
 
-    return boxes.groupBy("image_id").applyInPandas(run, "image_id int, id long, group_id long")
+    linked = single_linkage(boxes, box_gap_pairs(boxes, gap_x, gap_y, max_span)).withColumnRenamed("group_id", "_chain")
+    return linked.groupBy("image_id", "_chain").applyInPandas(run, "image_id int, id long, group_id long")
 
 
 def _count(span: float, tile: float, step: float) -> int:
     return 1 + math.ceil(max(0.0, span - tile) / step)
 
 
-def greedy_merge(members: DataFrame, tile: Tile, max_extra: float = 0.1, max_z: float | None = None, gap: float = 1.0) -> DataFrame:
-    """(pool, id, group_id, place) of members (pool, id, min_x, max_x, min_y, max_y, z): groups of one pool are
+def greedy_merge(members: DataFrame, tile: Tile, max_extra: float = 0.1, max_z: float | None = None, gap: float = 1.0, output: str = "polygon_regions") -> DataFrame:
+    """(pool, id, group_id, place) of members (pool, id, min_x, max_x, min_y, max_y, z) of each image: groups of one pool are
     merged while that saves tiles, or costs none. The best saving goes first, then fewer tiles, then older
     groups. A merge needs gaps of at most ``gap`` tiles on both axes, z within ``max_z``, and at most
-    ``max_extra`` of its tiles free of members. ``place`` is the order inside the group. Pools are independent."""
+    ``max_extra`` of its tiles free of members: of their pixels, where members have ``cells``, an array of the
+    stage boxes of their pixel rows (min_x, max_x, min_y, max_y), else of their boxes. A group's tiles are those
+    of the ``output``: its members for detection points, one for group centres, else the lattice of its box.
+    ``place`` is the order inside the group. Pools are independent."""
+    keys = [*images(members), "pool"]
+    cells = "cells" in members.columns
     limit_x, limit_y = tile.width * gap, tile.height * gap
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
@@ -62,7 +73,14 @@ def greedy_merge(members: DataFrame, tile: Tile, max_extra: float = 0.1, max_z:
         rows = df[["min_x", "max_x", "min_y", "max_y", "z"]].to_numpy(float)
         live: dict[int, list[int]] = {i: [i] for i in range(len(df))}
         box = {i: (r[0], r[1], r[2], r[3], r[4], r[4]) for i, r in enumerate(rows)}
-        cost = {i: _count(r[1] - r[0], tile.width, tile.step_x) * _count(r[3] - r[2], tile.height, tile.step_y) for i, r in enumerate(rows)}
+        parts = [np.asarray([list(c) for c in x], float) if cells and len(x) else rows[i : i + 1, :4] for i, x in enumerate(df["cells"] if cells else rows)]
+
+        def takes(bounds, n):
+            if output == "detection_points":
+                return n
+            return 1 if output == "group_center_points" else _count(bounds[1] - bounds[0], tile.width, tile.step_x) * _count(bounds[3] - bounds[2], tile.height, tile.step_y)
+
+        cost = {i: takes(r, 1) for i, r in enumerate(rows)}
 
         def joined(a, b):
             p, q = box[a], box[b]
@@ -71,11 +89,10 @@ def greedy_merge(members: DataFrame, tile: Tile, max_extra: float = 0.1, max_z:
         def touched(bounds, ids):
             nx, ny = _count(bounds[1] - bounds[0], tile.width, tile.step_x), _count(bounds[3] - bounds[2], tile.height, tile.step_y)
             cx, cy = (bounds[0] + bounds[1]) / 2, (bounds[2] + bounds[3]) / 2
-            n = 0
+            n, r = 0, np.concatenate([parts[i] for i in ids])
             for iy in range(ny):
                 for ix in range(nx):
                     x, y = cx + (ix - (nx - 1) / 2) * tile.step_x, cy + (iy - (ny - 1) / 2) * tile.step_y
-                    r = rows[ids]
                     n += bool(((r[:, 0] <= x + tile.width / 2) & (r[:, 1] >= x - tile.width / 2) & (r[:, 2] <= y + tile.height / 2) & (r[:, 3] >= y - tile.height / 2)).any())
             return n
 
@@ -86,7 +103,7 @@ def greedy_merge(members: DataFrame, tile: Tile, max_extra: float = 0.1, max_z:
             m = joined(a, b)
             if max_z is not None and m[5] - m[4] > max_z:
                 return None
-            out = _count(m[1] - m[0], tile.width, tile.step_x) * _count(m[3] - m[2], tile.height, tile.step_y)
+            out = takes(m, len(live[a]) + len(live[b]))
             saving = cost[a] + cost[b] - out
             if saving < 0 or max(0, out - touched(m, live[a] + live[b])) / max(1, out) > max_extra:
                 return None
@@ -106,41 +123,56 @@ def greedy_merge(members: DataFrame, tile: Tile, max_extra: float = 0.1, max_z:
                     heapq.heappush(heap, c)
             nxt += 1
         ids = df["id"].to_numpy()
-        out = [(df["pool"].iloc[0], int(ids[i]), int(min(ids[m] for m in ms)), k) for ms in live.values() for k, i in enumerate(ms)]
-        return pd.DataFrame(out, columns=["pool", "id", "group_id", "place"])
-
-    return members.groupBy("pool").applyInPandas(run, "pool long, id long, group_id long, place int")
+        out = pd.DataFrame([(int(ids[i]), int(min(ids[m] for m in ms)), k) for ms in live.values() for k, i in enumerate(ms)], columns=["id", "group_id", "place"])
+        for i, k in enumerate(keys):
+            out.insert(i, k, df[k].iloc[0])
+        return out
 
+    kinds = dict(members.dtypes)
+    return members.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", id long, group_id long, place int")
 
-def compact_selection(objects: DataFrame, n: int, tile: Tile, seeds: int = 24) -> DataFrame:
-    """(seed, id, place) of the best of the selections of n objects (id, x, y, score) grown from the ``seeds``
-    best: each grows by the object nearest, in tiles, to what it has; fewest covering tiles win, then the
-    greater score, then the earlier seed. Objects of one review are bounded by what a person reviews; seeds
-    are grown in parallel, one group of rows each."""
-    from pyspark.sql import functions as F
 
-    top = objects.orderBy(F.col("score").desc(), "id").limit(seeds).select(F.col("id").alias("seed"))
-    every = F.broadcast(top).crossJoin(objects)  # at most `seeds` rows by the objects
+def grown_selections(objects: DataFrame, n: int, tile: Tile, seeds: int = 24) -> DataFrame:
+    """(seed, rank, id, place): selections of n objects (id, x, y, score) grown from the ``seeds`` best scores, ranked
+    from 0: each grows by the object nearest, in tiles, to what it has, the greater score first on ties, then the
+    lesser id. Scores that are not finite count as 0. A review's objects are as many as a person looks at;
+    selections grow in parallel, one group of rows each."""
+    o = objects.withColumn("score", finite_or_zero(F.col("score")))
+    top = o.orderBy(F.col("score").desc(), "id").limit(seeds).select(F.col("id").alias("seed"), "score")
+    top = top.withColumn("rank", (F.row_number().over(Window.orderBy(F.col("score").desc(), "seed")) - 1).cast("int")).drop("score")
+    every = F.broadcast(top).crossJoin(o)  # at most `seeds` rows by the objects
 
     def grow(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         seed = int(df["seed"].iloc[0])
         x, y, s, ids = (df[c].to_numpy() for c in ("x", "y", "score", "id"))
         start = int(np.flatnonzero(ids == seed)[0])
-        near = np.maximum(np.abs(x - x[start]) / tile.width, np.abs(y - y[start]) / tile.height)
+        far = lambda k: np.maximum(np.abs(x - x[k]) / tile.width, np.abs(y - y[k]) / tile.height)
+        near = far(start)
         near[start] = np.inf
         chosen = [start]
         while len(chosen) < min(n, len(df)):
             k = int(np.lexsort((ids, -s, near))[0])
             chosen.append(k)
-            near = np.minimum(near, np.maximum(np.abs(x - x[k]) / tile.width, np.abs(y - y[k]) / tile.height))
+            near = np.minimum(near, far(k))
             near[chosen] = np.inf
-        tiles = len({(math.floor(x[k] / tile.step_x), math.floor(y[k] / tile.step_y)) for k in chosen})
-        return pd.DataFrame({"seed": seed, "tiles": tiles, "total": float(s[chosen].sum()), "id": ids[chosen], "place": range(len(chosen))})
+        return pd.DataFrame({"seed": seed, "rank": int(df["rank"].iloc[0]), "id": ids[chosen], "place": range(len(chosen))})
+
+    return every.groupBy("seed").applyInPandas(grow, "seed long, rank int, id long, place int")
+
 
-    grown = every.groupBy("seed").applyInPandas(grow, "seed long, tiles int, total double, id long, place int")
-    best = grown.groupBy().agg(F.min(F.struct("tiles", (-F.col("total")).alias("t"), "seed"))["seed"].alias("_best"))
-    return grown.join(F.broadcast(best), F.col("seed") == F.col("_best")).select("seed", "id", "place")
+def by_object(pixels: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` on each object's pixels (y, x) in its image: the object's keys with the columns of ``schema``."""
+    keys = [*images(pixels), "label"]
+
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        out = run(df)
+        for i, k in enumerate(keys):
+            out.insert(i, k, df[k].iloc[0])
+        return out
+
+    kinds = dict(pixels.dtypes)
+    return pixels.select(*keys, "y", "x").groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -166,9 +198,9 @@ def convex_hulls(pixels: DataFrame) -> DataFrame:
     def run(df: pd.DataFrame) -> pd.DataFrame:
         c = np.concatenate([df[["x", "y"]].to_numpy(float) + d for d in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))])
         h = hull(c)
-        return pd.DataFrame({"label": df["label"].iloc[0], "k": range(len(h)), "x": h[:, 0], "y": h[:, 1]})
+        return pd.DataFrame({"k": range(len(h)), "x": h[:, 0], "y": h[:, 1]})
 
-    return pixels.select("label", "y", "x").groupBy("label").applyInPandas(run, "label long, k int, x double, y double")
+    return by_object(pixels, run, "k int, x double, y double")
 
 
 def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
@@ -194,25 +226,23 @@ def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
 def outlines(mask: np.ndarray) -> list[np.ndarray]:
     """Closed contours of a mask at its half level, as (x, y) rings through the midpoints between set and
     unset pixels, the longest first."""
-    m = np.pad(mask.astype(bool), 1)
+    m = np.pad(mask.astype(bool), 1).astype(int)
     links: dict[tuple, list[tuple]] = {}
-    for y in range(m.shape[0] - 1):
-        for x in range(m.shape[1] - 1):
-            a, b, c, d = m[y, x], m[y, x + 1], m[y + 1, x + 1], m[y + 1, x]
-            north, east, south, west = (x + 0.5, y), (x + 1, y + 0.5), (x + 0.5, y + 1), (x, y + 0.5)
-            # set pixels stay on the left; saddles keep their set pixels apart
-            code = a * 8 + b * 4 + c * 2 + d
-            for frm, to in {8: [(west, north)], 4: [(north, east)], 2: [(east, south)], 1: [(south, west)], 12: [(west, east)], 6: [(north, south)], 3: [(east, west)], 9: [(south, north)], 14: [(west, south)], 7: [(north, west)], 11: [(east, north)], 13: [(south, east)], 10: [(west, north), (east, south)], 5: [(north, east), (south, west)]}.get(int(code), ()):
-                links.setdefault(frm, []).append(to)
+    codes = m[:-1, :-1] * 8 + m[:-1, 1:] * 4 + m[1:, 1:] * 2 + m[1:, :-1]
+    for y, x in np.argwhere((codes > 0) & (codes < 15)).tolist():  # the outline alone
+        north, east, south, west = (x + 0.5, y), (x + 1, y + 0.5), (x + 0.5, y + 1), (x, y + 0.5)
+        # set pixels stay on the left; saddles keep their set pixels apart
+        code = codes[y, x]
+        for frm, to in {8: [(west, north)], 4: [(north, east)], 2: [(east, south)], 1: [(south, west)], 12: [(west, east)], 6: [(north, south)], 3: [(east, west)], 9: [(south, north)], 14: [(west, south)], 7: [(north, west)], 11: [(east, north)], 13: [(south, east)], 10: [(west, north), (east, south)], 5: [(north, east), (south, west)]}.get(int(code), ()):
+            links.setdefault(frm, []).append(to)
     rings = []
-    while links:
-        start = min(links)
-        ring, at = [start], links[start].pop()
-        while at != start:
-            ring.append(at)
-            at = links[at].pop()
-        rings.append(np.asarray(ring, float) - 1)
-        links = {k: v for k, v in links.items() if v}
+    for start in sorted(links):
+        while links[start]:
+            ring, at = [start], links[start].pop()
+            while at != start:
+                ring.append(at)
+                at = links[at].pop()
+            rings.append(np.asarray(ring, float) - 1)
     return sorted(rings, key=len, reverse=True)
 
 
@@ -229,9 +259,9 @@ def mask_contours(pixels: DataFrame, tolerance: float = 0.5) -> DataFrame:
         if len(r) < 3:
             h, w = mask.shape
             r = np.asarray([(-0.5, -0.5), (w - 0.5, -0.5), (w - 0.5, h - 0.5), (-0.5, h - 0.5)])
-        return pd.DataFrame({"label": df["label"].iloc[0], "k": range(len(r)), "x": r[:, 0] + x0, "y": r[:, 1] + y0})
+        return pd.DataFrame({"k": range(len(r)), "x": r[:, 0] + x0, "y": r[:, 1] + y0})
 
-    return pixels.select("label", "y", "x").groupBy("label").applyInPandas(run, "label long, k int, x double, y double")
+    return by_object(pixels, run, "k int, x double, y double")
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
@@ -348,10 +378,10 @@ def region_polygons(pixels: DataFrame, boundary: str = "alpha_shape", tolerance:
         mask = np.zeros((df["y"].max() - y0 + 1, df["x"].max() - x0 + 1), bool)
         mask[df["y"] - y0, df["x"] - x0] = True
         out = sorted(around(mask), key=lambda r: (r[:, 1].min(), r[:, 0].min()))
-        rows = [(df["label"].iloc[0], i, k, x + x0, y + y0) for i, r in enumerate(out, 1) for k, (x, y) in enumerate(r)]
-        return pd.DataFrame(rows, columns=["label", "part", "k", "x", "y"])
+        rows = [(i, k, x + x0, y + y0) for i, r in enumerate(out, 1) for k, (x, y) in enumerate(r)]
+        return pd.DataFrame(rows, columns=["part", "k", "x", "y"])
 
-    return pixels.select("label", "y", "x").groupBy("label").applyInPandas(run, "label long, part int, k int, x double, y double")
+    return by_object(pixels, run, "part int, k int, x double, y double")
 
 
 def alpha_area(pixels: DataFrame, alpha: float, most: int = 4000) -> DataFrame:
@@ -363,29 +393,21 @@ def alpha_area(pixels: DataFrame, alpha: float, most: int = 4000) -> DataFrame:
         pts = pts[:: math.ceil(len(pts) / most)]
         t = kept_triangles(pts, alpha) if len(pts) >= 3 else np.empty((0, 3, 2))
         kept, area = len(t), float(sum(_area(q) for q in t))
-        return pd.DataFrame({"label": [df["label"].iloc[0]], "points": [len(pts)], "triangles": [kept], "area": [area]})
+        return pd.DataFrame({"points": [len(pts)], "triangles": [kept], "area": [area]})
 
-    return pixels.select("label", "y", "x").groupBy("label").applyInPandas(run, "label long, points int, triangles int, area double")
+    return by_object(pixels, run, "points int, triangles int, area double")
 
 
 def features(image: np.ndarray, sigmas: tuple[float, ...]) -> np.ndarray:
     """Per sigma: Gaussian, both eigenvalues of the structure tensor, and local variance (not below 0)."""
 
-    def blur(a, s):
-        r = int(4 * s + 0.5)
-        k = np.exp(-0.5 * (np.arange(-r, r + 1) / s) ** 2)
-        k /= k.sum()
-        for axis in (0, 1):
-            a = np.apply_along_axis(lambda v: np.convolve(np.pad(v, r, mode="symmetric"), k, "valid"), axis, a)
-        return a
-
     out = []
     for s in sigmas:
-        g = blur(image, s)
+        g = blurred(image, s)
         gy, gx = np.gradient(image)
-        a, b, c = blur(gx * gx, s), blur(gx * gy, s), blur(gy * gy, s)
+        a, b, c = blurred(gx * gx, s), blurred(gx * gy, s), blurred(gy * gy, s)
         root = np.sqrt((a - c) ** 2 + 4 * b * b)
-        out += [g, (a + c + root) / 2, (a + c - root) / 2, np.maximum(blur(image * image, s) - g * g, 0)]
+        out += [g, (a + c + root) / 2, (a + c - root) / 2, np.maximum(blurred(image * image, s) - g * g, 0)]
     return np.stack(out, -1)
 
 
@@ -393,8 +415,6 @@ def tiled_features(pixels: DataFrame, height: int, width: int, sigmas: tuple[flo
     """(image_id, y, x, f array<double>) of dense images, computed by tiles with a halo: pixels are dealt to the
     tiles that see them, and each tile keeps its core. Equal to the untiled result where the halo holds
     the filters' reach."""
-    from pyspark.sql import functions as F
-
     if tile <= 0 or halo < 0:
         raise ValueError("tile sizes must be positive")
     span = lambda c, n: F.sequence(F.greatest(F.floor((F.col(c) - halo) / tile), F.lit(0)), F.least(F.floor((F.col(c) + halo) / tile), F.lit((n - 1) // tile)))

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axis_gap
+from .scratch import cut
+
+
+def images(*frames: DataFrame) -> list[str]:
+    """``["image_id"]`` where all tables tell their images apart, which is then part of every key."""
+    return ["image_id"] if all("image_id" in f.columns for f in frames) else []
+
+
+def _around() -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
 
 def proximity_pairs(points: DataFrame, width: float, height: float) -> DataFrame:
-    """Pairs (a < b) of points (id, x, y) with |dx| <= width and |dy| <= height. A point meets the 9 cells
-    around its own, so the join is hashed on cells."""
+    """Pairs (a < b) of points (id, x, y) of one image with |dx| <= width and |dy| <= height. A point meets the
+    9 cells around its own, so the join is hashed on cells."""
+    image = images(points)
     cell = lambda c, size: F.floor(F.col(c) / size)
-    p = points.select("id", "x", "y", cell("x", width).alias("cx"), cell("y", height).alias("cy"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    q = p.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy", F.explode(around).alias("o"))
-    q = q.select("b", "bx", "by", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    j = p.join(q, ["cx", "cy"]).where((F.col("id") < F.col("b")) & (F.abs(F.col("x") - F.col("bx")) <= width) & (F.abs(F.col("y") - F.col("by")) <= height))
-    return j.select(F.col("id").alias("a"), "b")
+    p = points.select(*image, "id", "x", "y", cell("x", width).alias("cx"), cell("y", height).alias("cy"))
+    q = p.select(*image, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy", F.explode(_around()).alias("o"))
+    q = q.select(*image, "b", "bx", "by", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    j = p.join(q, [*image, "cx", "cy"]).where((F.col("id") < F.col("b")) & (F.abs(F.col("x") - F.col("bx")) <= width) & (F.abs(F.col("y") - F.col("by")) <= height))
+    return j.select(*image, F.col("id").alias("a"), "b")
 
 
 def box_gap_pairs(boxes: DataFrame, gap_x: float, gap_y: float, dz: float | None = None) -> DataFrame:
-    """Pairs (a < b) of boxes (id, min_x, max_x, min_y, max_y, z) whose gaps on both axes, and difference in
+    """Pairs (a < b) of boxes (id, min_x, max_x, min_y, max_y, z) of one image whose gaps on both axes, and difference in
     z, stay within the limits. Boxes are dealt to the cells that they meet when grown by half the gaps; a
     pair is tested in the first cell that both meet."""
     size = boxes.agg(F.avg(F.col("max_x") - F.col("min_x")), F.avg(F.col("max_y") - F.col("min_y"))).first()
@@ -32,46 +42,61 @@ def box_gap_pairs(boxes: DataFrame, gap_x: float, gap_y: float, dz: float | None
     b = b.withColumn("cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("cy", F.explode(F.sequence("_y0", "_y1")))
     r, s = b.alias("r"), b.alias("s")
     c = lambda t, n: F.col(f"{t}.{n}")
-    ok = (c("r", "cx") == c("s", "cx")) & (c("r", "cy") == c("s", "cy")) & (c("r", "id") < c("s", "id"))
+    image = images(boxes)
+    ok = F.lit(True)
+    for name in image:
+        ok &= c("r", name) == c("s", name)
+    ok &= (c("r", "cx") == c("s", "cx")) & (c("r", "cy") == c("s", "cy")) & (c("r", "id") < c("s", "id"))
     ok &= (F.greatest(c("r", "_x0"), c("s", "_x0")) == c("r", "cx")) & (F.greatest(c("r", "_y0"), c("s", "_y0")) == c("r", "cy"))
     ok &= axis_gap(c("r", "min_x"), c("r", "max_x"), c("s", "min_x"), c("s", "max_x")) <= gap_x
     ok &= axis_gap(c("r", "min_y"), c("r", "max_y"), c("s", "min_y"), c("s", "max_y")) <= gap_y
     if dz is not None:
         ok &= F.abs(c("r", "z") - c("s", "z")) <= dz
-    return r.join(s, ok).select(c("r", "id").alias("a"), c("s", "id").alias("b"))
+    return r.join(s, ok).select(*[c("r", name) for name in image], c("r", "id").alias("a"), c("s", "id").alias("b"))
 
 
 def knn_mean_distance(points: DataFrame, k: int = 3, cell: float | None = None) -> DataFrame:
-    """(id, nn): mean distance to the k nearest other points of (id, x, y), or to all where there are
-    fewer; infinite for a lone point.
+    """(id, nn): mean distance to the k nearest other points (id, x, y) of its image, or to all where there are
+    fewer; infinite for a lone point, and for one without finite coordinates, which is no one's neighbour.
 
-    A round joins each open point with the cells around its own. It is settled once the k-th distance is
-    within what those cells cover; the others go on with cells twice as large."""
-    total = points.count()
-    if total <= 1:
-        return points.select("id", F.lit(float("inf")).alias("nn"))
-    want = min(k, total - 1)
+    Equal points are one place with a count. A round joins each open place with the cells around its own. It
+    is settled once the k-th distance is within what those cells cover; the others go on with cells four
+    times as large, until one cell holds an image."""
+    image = images(points)
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    xy = points.select(*image, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    places = xy.where(real("x") & real("y")).groupBy(*image, "x", "y").agg(F.count(F.lit(1)).alias("here"))
+    sizes = places.groupBy(*image).agg(F.sum("here").alias("_n"), F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    lone = F.lit(float("inf"))
+    total, most, dx, dy = sizes.agg(F.sum("_n"), F.max("_n"), F.max(F.col("_x1") - F.col("_x0")), F.max(F.col("_y1") - F.col("_y0"))).first()
+    if not total or most < 2:
+        return xy.select(*image, "id", lone.alias("nn"))
     if cell is None:
-        e = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-        cell = max(((e[0] * e[1]) / total * (want + 1)) ** 0.5, max(e) / total, 1e-9)
-    open_, done = points.select("id", "x", "y"), None
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    from .scratch import cut
-
+        cell = max((dx * dy / most * (k + 1)) ** 0.5 / 4, max(dx, dy) / most, 1e-9)
+    want = F.least(F.lit(k), F.col("_n") - 1)
+    n_of = sizes.select(*image, "_n")
+    places = cut(places.join(n_of, image).where("_n > 1") if image else places.withColumn("_n", F.lit(most)))
+    open_, done = places, None
     while True:
         at = lambda c, s=cell: F.floor(F.col(c) / s)
-        p = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), at("x").alias("cx"), at("y").alias("cy"))
-        q = open_.select("id", "x", "y", at("x").alias("cx"), at("y").alias("cy"), F.explode(around).alias("o"))
-        q = q.select("id", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-        d = q.join(p, ["cx", "cy"]).where(F.col("id") != F.col("b")).select("id", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")).alias("d"), "b")
-        d = d.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "b"))).where(F.col("r") <= want)
-        got = d.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far"), F.avg("d").alias("nn"))
+        p = places.select(*image, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("here").alias("many"), at("x").alias("cx"), at("y").alias("cy"))
+        q = open_.select(*image, "x", "y", "_n", at("x").alias("cx"), at("y").alias("cy"), F.explode(_around()).alias("o"))
+        q = q.select(*image, "x", "y", "_n", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+        own = (F.col("x") == F.col("bx")) & (F.col("y") == F.col("by"))
+        j = q.join(p, [*image, "cx", "cy"]).withColumn("d", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")))
+        # a place counts as often as it has points, up to k, but for the point itself
+        j = j.withColumn("many", F.least(F.when(own, F.col("many") - 1).otherwise(F.col("many")), F.lit(k))).where("many > 0")
+        j = j.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("many").cast("int"))))
+        w = Window.partitionBy(*image, "x", "y").orderBy("d")
+        j = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= want)
+        got = j.groupBy(*image, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far"), F.avg("d").alias("nn"))
+        got = cut(open_.join(got, [*image, "x", "y"], "left"))
         # a point sees all within one cell size of itself
-        got = cut(open_.join(got, "id", "left"))
         settled = (F.col("n") == want) & (F.col("far") <= cell)
-        now = got.where(settled).select("id", "nn")
+        now = got.where(settled).select(*image, "x", "y", "nn")
         done = now if done is None else done.union(now)
-        open_ = got.where(~F.coalesce(settled, F.lit(False))).select("id", "x", "y")
+        open_ = got.where(~F.coalesce(settled, F.lit(False))).select(*image, "x", "y", "here", "_n")
         if not open_.limit(1).count():
-            return done
+            break
         cell *= 4
+    return xy.join(done, [*image, "x", "y"], "left").select(*image, "id", F.coalesce("nn", lone).alias("nn"))

@@ -17,6 +17,22 @@ def fit_forest(features: DataFrame, trees: int = 20, depth: int = 6, seed: int =
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
+def save_bundle(model: Model, path: str, sigmas: tuple[float, ...], spark) -> None:
+    """A model with the scales of its features, in one folder."""
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(list(map(float, sigmas)),)], "sigmas array<double>").coalesce(1).write.mode("overwrite").json(f"{path}/features")
+
+
+def load_bundle(path: str, spark) -> tuple[Model, tuple[float, ...]]:
+    """The model and the scales of a saved bundle."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    rows = spark.read.schema("sigmas array<double>").json(f"{path}/features").collect()  # one row
+    if len(rows) != 1 or not rows[0]["sigmas"]:
+        raise ValueError(f"no feature scales in {path}")
+    return RandomForestClassificationModel.load(f"{path}/model"), tuple(rows[0]["sigmas"])
+
+
 def classify(features: DataFrame, model: object, positive: int | None = 2) -> DataFrame:
     """``features`` without ``f``, with ``cls``, the most probable class (the first on ties), and ``prob``, the
     probability of ``positive``: 0 where the model doesn't know that class, null where it is None.

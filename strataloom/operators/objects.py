@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import finite_or_zero
-from .joins import knn_mean_distance
+from .joins import images, knn_mean_distance
 from .scratch import cut
 
 
@@ -31,6 +31,8 @@ class Limits:
             raise ValueError("elongation limits must lie in [0, 1], in order")
         if self.max_nn is not None and self.max_nn <= 0:
             raise ValueError("the neighbour limit must be positive")
+        if any(v is not None and v != v for v in (self.min_area, self.max_area, self.min_confidence, self.max_nn)):
+            raise ValueError("limits must be numbers")
 
 
 def measure(labels: DataFrame) -> DataFrame:
@@ -61,8 +63,9 @@ def confidence(labels: DataFrame) -> DataFrame:
 
 
 def filter_objects(objects: DataFrame, limits: Limits, deleted: DataFrame | None = None, px_x: float = 1.0, px_y: float = 1.0) -> DataFrame:
-    """Objects within the limits, without the deleted labels. Neighbour distances (column ``nn``) are those
-    among the survivors of the other limits, in stage units of ``px_x`` by ``px_y`` a pixel."""
+    """Objects within the limits, without the deleted labels (by image, where that table tells images apart).
+    Neighbour distances (column ``nn``) are those among the survivors of the other limits in the same image,
+    in stage units of ``px_x`` by ``px_y`` a pixel."""
     keep = (F.col("area") >= limits.min_area) & F.col("elongation").between(limits.min_elongation, limits.max_elongation)
     if limits.max_area is not None:
         keep &= F.col("area") <= limits.max_area
@@ -71,28 +74,36 @@ def filter_objects(objects: DataFrame, limits: Limits, deleted: DataFrame | None
         keep &= m.isNotNull() & ~F.isnan(m) & (F.abs(m) != float("inf")) & (m >= limits.min_confidence)
     out = objects.where(keep)
     if deleted is not None:
-        out = out.join(deleted, "label", "left_anti")
+        out = out.join(deleted, [*images(out, deleted), "label"], "left_anti")
     out = cut(out)  # the neighbour search reads the survivors several times
-    nn = knn_mean_distance(out.select(F.col("label").alias("id"), (F.col("centroid_x") * px_x).alias("x"), (F.col("centroid_y") * px_y).alias("y")))
-    out = out.join(nn.withColumnRenamed("id", "label"), "label")
+    image = images(out)
+    nn = knn_mean_distance(out.select(*image, F.col("label").alias("id"), (F.col("centroid_x") * px_x).alias("x"), (F.col("centroid_y") * px_y).alias("y")))
+    out = out.join(nn.withColumnRenamed("id", "label"), [*image, "label"])
     return out if limits.max_nn is None else out.where(F.col("nn") <= limits.max_nn)
 
 
 def top(objects: DataFrame, n: int, by: str) -> DataFrame:
-    """The first n by area, or by finite size-weighted confidence, descending; ties in the order of labels."""
+    """The first n of each image by area, or by finite size-weighted confidence, descending; ties in the order
+    of labels."""
     if by not in ("none", "area", "confidence"):
         raise ValueError(f"unknown count rule {by!r}")
     if by == "none" or n <= 0:
         return objects
     key = F.col("area") if by == "area" else finite_or_zero(F.col("weighted"))
-    return objects.orderBy(key.desc(), "label").limit(n)
+    if not images(objects):
+        return objects.orderBy(key.desc(), "label").limit(n)
+    w = Window.partitionBy("image_id").orderBy(key.desc(), "label")
+    return objects.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
 def fill_selection(objects: DataFrame, cached: list[int], n: int) -> DataFrame:
-    """n objects: cached labels first, in their order, then the best by size-weighted confidence."""
+    """n objects of each image: cached labels first, in their order, then the best by size-weighted confidence."""
     rank = objects.sparkSession.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(cached))], "label long, _r int")
     j = objects.join(F.broadcast(rank), "label", "left")
-    return j.orderBy(F.col("_r").asc_nulls_last(), finite_or_zero(F.col("weighted")).desc(), "label").limit(n).drop("_r")
+    order = (F.col("_r").asc_nulls_last(), finite_or_zero(F.col("weighted")).desc(), "label")
+    if not images(objects):
+        return j.orderBy(*order).limit(n).drop("_r")
+    return j.withColumn("_k", F.row_number().over(Window.partitionBy("image_id").orderBy(*order))).where(F.col("_k") <= n).drop("_r", "_k")
 
 
 def paint(labels: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -102,7 +113,7 @@ def paint(labels: DataFrame, values: DataFrame, column: str) -> DataFrame:
 
 def box_groups(members: DataFrame) -> DataFrame:
     """Groups of members (group_id, id, x, y, z): count, box, centre and median z."""
-    return members.groupBy("group_id").agg(
+    return members.groupBy(*images(members), "group_id").agg(
         F.count(F.lit(1)).alias("members"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.median("z").alias("z")
     )
 
@@ -115,6 +126,7 @@ def modal_z(pixels: DataFrame, keys: list[str], classes: tuple[int, ...] | None
 
 
 def sorted_groups(groups: DataFrame) -> DataFrame:
-    """Groups numbered by top edge, left edge and first member: one row for each group, never one for a member."""
-    w = Window.orderBy("min_y", "min_x", "group_id")
+    """Groups numbered in their image by top edge, left edge and first member: one row for each group, never one
+    for a member."""
+    w = Window.partitionBy(*images(groups)).orderBy("min_y", "min_x", "group_id")
     return groups.withColumn("ordinal", F.row_number().over(w).cast("long"))

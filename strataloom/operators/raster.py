@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,22 +85,37 @@ def smooth_1d(series: DataFrame, index: str, value: str, n: int, sigma: float) -
     return j.groupBy(F.col("_i").alias(index)).agg(F.sum(F.col(value) * F.col("_w.w")).alias(value))
 
 
-def smooth_image(pixels: DataFrame, sigma: float, height: int, width: int) -> DataFrame:
-    """Separable Gaussian filter of dense images, edges reflected: each pixel is dealt to the pixels that
-    read it, one axis after the other."""
+def blurred(image: np.ndarray, sigma: float) -> np.ndarray:
+    """Separable Gaussian filter with reflected edges."""
     w = gaussian_weights(sigma)
-    r = len(w) - 1
-    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w[abs(k)]).alias("w")) for k in range(-r, r + 1)])
-    out = pixels.select("image_id", "y", "x", F.col("v").cast("double").alias("v"))
-    for axis, n in (("y", height), ("x", width)):
-        # pixel p is read by target t through tap k where mirror(t + k) = p: t is p - k, or its mirrored forms
-        t = F.explode(taps).alias("t")
-        d = out.select("image_id", "y", "x", "v", t)
-        p, k = F.col(axis), F.col("t.k")
-        forms = F.array_distinct(F.array(p - k, -1 - p - k, 2 * n - 1 - p - k))
-        d = d.select("image_id", *[c for c in ("y", "x") if c != axis], F.explode(F.filter(forms, lambda q: (q >= 0) & (q < n))).alias(axis), (F.col("v") * F.col("t.w")).alias("v"))
-        out = d.groupBy("image_id", "y", "x").agg(F.sum("v").alias("v"))
-    return out
+    r, k = len(w) - 1, np.asarray(w[:0:-1] + w)
+    for axis in (0, 1):
+        image = np.apply_along_axis(lambda v: np.convolve(np.pad(v, r, mode="symmetric"), k, "valid"), axis, image)
+    return image
+
+
+def smooth_image(pixels: DataFrame, sigma: float, height: int, width: int, tile: int = 512) -> DataFrame:
+    """Separable Gaussian filter with reflected edges, absent pixels being 0: each pixel is dealt to the tiles
+    whose filter reaches it, its own one as a rule, and each tile is filtered with its halo alone. Pixels that
+    no present one reaches are left out."""
+    r = len(gaussian_weights(sigma)) - 1
+    span = lambda c, n: F.sequence(F.greatest(F.floor((F.col(c) - r) / tile), F.lit(0)), F.least(F.floor((F.col(c) + r) / tile), F.lit((n - 1) // tile)))
+    d = pixels.select("image_id", "y", "x", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+    d = d.withColumn("ty", F.explode(span("y", height))).withColumn("tx", F.explode(span("x", width)))
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(df["ty"].iloc[0]), int(df["tx"].iloc[0])
+        y0, x0 = max(ty * tile - r, 0), max(tx * tile - r, 0)
+        shape = (min((ty + 1) * tile + r, height) - y0, min((tx + 1) * tile + r, width) - x0)
+        image, there = np.zeros(shape), np.zeros(shape)
+        image[df["y"] - y0, df["x"] - x0] = df["v"]
+        there[df["y"] - y0, df["x"] - x0] = 1
+        rows = slice(ty * tile - y0, min((ty + 1) * tile, height) - y0), slice(tx * tile - x0, min((tx + 1) * tile, width) - x0)
+        out, seen = blurred(image, sigma)[rows], blurred(there, sigma)[rows] > 0
+        ys, xs = np.nonzero(seen)
+        return pd.DataFrame({"image_id": df["image_id"].iloc[0], "y": ys + ty * tile, "x": xs + tx * tile, "v": out[seen]})
+
+    return d.groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id int, y long, x long, v double")
 
 
 def resample_nearest(pixels: DataFrame, shape_in: tuple[int, int], shape_out: tuple[int, int], value: str = "v") -> DataFrame:

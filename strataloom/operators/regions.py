@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Tile, tiles_for_span
+from .joins import images
 
 CELL = 16
 
@@ -13,57 +14,78 @@ CELL = 16
 def edges(vertices: DataFrame) -> DataFrame:
     """Edges (id, x1, y1, x2, y2) of rings given as (id, k, x, y), k from 0: each vertex with the one before
     it, the first with the last."""
-    n = vertices.groupBy("id").agg(F.max("k").alias("last"))
-    v = vertices.join(n, "id")
-    prev = vertices.select("id", F.col("k").alias("pk"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    key = [*images(vertices), "id"]
+    n = vertices.groupBy(*key).agg(F.max("k").alias("last"))
+    v = vertices.join(n, key)
+    prev = vertices.select(*key, F.col("k").alias("pk"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     v = v.withColumn("pk", F.when(F.col("k") == 0, F.col("last")).otherwise(F.col("k") - 1))
-    return v.join(prev, ["id", "pk"]).select("id", "x1", "y1", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return v.join(prev, [*key, "pk"]).select(*key, "x1", "y1", F.col("x").alias("x2"), F.col("y").alias("y2"))
+
+
+def row_spans(vertices: DataFrame, variant: str = "incl") -> DataFrame:
+    """(id, y, x0, x1): the runs of whole pixels that each polygon has in each row; ``incl`` and ``open`` may give
+    overlapping runs, ``edge`` tells those that lie on an edge.
+
+    An edge gives one crossing to each row that it passes; sorted, the crossings of a row enclose its runs. So
+    the work goes with the rows of the outline, not with the pixels inside."""
+    key = [*images(vertices), "id"]
+    e = edges(vertices).withColumnsRenamed({"x1": "ax", "y1": "ay", "x2": "bx", "y2": "by"})
+    ax, ay, bx, by, y = (F.col(c) for c in ("ax", "ay", "bx", "by", "y"))
+    lo, hi = F.ceil(F.least(ay, by)), F.floor(F.greatest(ay, by))
+    rows = e.where(lo <= hi).withColumn("y", F.explode(F.sequence(lo, hi)))
+    at = (bx - ax) * (y - ay) / F.when(by != ay, by - ay) + ax
+    crossing = rows.where((ay > y) != (by > y)).groupBy(*key, "y").agg(F.sort_array(F.collect_list(at)).alias("c"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 1, F.lit(2)), lambda i: F.struct(F.ceil(F.get("c", i)).alias("x0"), (F.ceil(F.get("c", i + 1)) - 1).alias("x1")))
+    inside = crossing.select(*key, "y", F.explode(pairs).alias("s")).select(*key, "y", "s.x0", "s.x1").where("x0 <= x1").withColumn("edge", F.lit(False))
+    if variant == "scan":
+        return inside
+    flat = rows.where(ay == by).select(*key, "y", F.ceil(F.least(ax, bx) - 1e-9).alias("x0"), F.floor(F.greatest(ax, bx) + 1e-9).alias("x1"))
+    near = F.round(at)
+    turn = (bx - ax) * (y - ay) - (by - ay) * (near - ax)
+    dots = rows.where((ay != by) & (F.abs(turn) <= 1e-9) & near.between(F.least(ax, bx) - 1e-9, F.greatest(ax, bx) + 1e-9)).select(*key, "y", near.cast("long").alias("x0"), near.cast("long").alias("x1"))
+    return inside.unionByName(flat.unionByName(dots).where("x0 <= x1").withColumn("edge", F.lit(True)))
 
 
 def pixels_in_polygons(pixels: DataFrame, vertices: DataFrame, variant: str = "incl") -> DataFrame:
-    """(id, y, x) of the pixels in each polygon, in pixel coordinates: ``incl`` with, ``open`` without those
-    on an edge, ``scan`` by half-open scanlines. Polygons are dealt to cells of CELL pixels of their boxes
-    and meet the pixels by cell; then crossings are counted by pixel."""
+    """(id, y, x) of the pixels in each polygon of their image, in pixel coordinates: ``incl`` with, ``open``
+    without those on an edge, ``scan`` by half-open scanlines. The polygons' runs of pixels by row are dealt
+    to cells of a row and meet the pixels by cell."""
     if variant not in ("incl", "open", "scan"):
         raise ValueError(f"unknown variant {variant!r}")
-    cell = lambda c: F.floor(c / CELL)
-    box = vertices.groupBy("id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    cells = box.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
-    p = pixels.select("y", "x", cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
-    near = p.join(cells, ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    e = edges(vertices).withColumnsRenamed({"x1": "ax", "y1": "ay", "x2": "bx", "y2": "by"})
-    j = near.select("id", "y", "x").join(e, "id")
-    x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
-    cross = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.when(by != ay, by - ay) + ax)
-    turn = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-    on = (F.abs(turn) <= 1e-9) & x.between(F.least(ax, bx) - 1e-9, F.greatest(ax, bx) + 1e-9) & y.between(F.least(ay, by) - 1e-9, F.greatest(ay, by) + 1e-9)
-    g = j.groupBy("id", "y", "x").agg((F.sum(F.coalesce(cross, F.lit(False)).cast("int")) % 2 == 1).alias("inside"), F.bool_or(on).alias("on"))
-    keep = {"incl": F.col("inside") | F.col("on"), "open": F.col("inside") & ~F.col("on"), "scan": F.col("inside")}[variant]
-    return g.where(keep).select("id", "y", "x")
+    image = images(pixels, vertices)
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    v = vertices if image else vertices.drop("image_id")
+    spans = row_spans(v, variant).withColumn("cx", F.explode(F.sequence(cell("x0"), cell("x1"))))
+    p = pixels.select(*image, F.col("y").cast("long").alias("y"), F.col("x").alias("x"), cell("x").alias("cx"), F.col("y").alias("_y"))
+    j = p.join(spans, [*image, "y", "cx"]).where(F.col("x").between(F.col("x0"), F.col("x1")))
+    g = j.groupBy(*image, "id", F.col("_y").alias("y"), "x").agg(F.bool_or("edge").alias("on"))
+    return (g.where("not on") if variant == "open" else g).select(*image, "id", "y", "x")
 
 
 def tile_lattice(boxes: DataFrame, tile: Tile) -> DataFrame:
     """Tiles (id, ordinal, center_x, center_y) that cover boxes (id, min_x, max_x, min_y, max_y): rows outer,
     columns inner, centred on the box."""
-    b = boxes.select("id", ((F.col("min_x") + F.col("max_x")) / 2).alias("mx"), ((F.col("min_y") + F.col("max_y")) / 2).alias("my"), tiles_for_span(F.col("max_x") - F.col("min_x"), tile.width, tile.step_x).alias("nx"), tiles_for_span(F.col("max_y") - F.col("min_y"), tile.height, tile.step_y).alias("ny"))
+    key = [*images(boxes), "id"]
+    b = boxes.select(*key, ((F.col("min_x") + F.col("max_x")) / 2).alias("mx"), ((F.col("min_y") + F.col("max_y")) / 2).alias("my"), tiles_for_span(F.col("max_x") - F.col("min_x"), tile.width, tile.step_x).alias("nx"), tiles_for_span(F.col("max_y") - F.col("min_y"), tile.height, tile.step_y).alias("ny"))
     b = b.withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1))).withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1)))
-    return b.select("id", (F.col("iy") * F.col("nx") + F.col("ix") + 1).alias("ordinal"), (F.col("mx") + (F.col("ix") - (F.col("nx") - 1) / 2) * tile.step_x).alias("center_x"), (F.col("my") + (F.col("iy") - (F.col("ny") - 1) / 2) * tile.step_y).alias("center_y"))
+    return b.select(*key, (F.col("iy") * F.col("nx") + F.col("ix") + 1).alias("ordinal"), (F.col("mx") + (F.col("ix") - (F.col("nx") - 1) / 2) * tile.step_x).alias("center_x"), (F.col("my") + (F.col("iy") - (F.col("ny") - 1) / 2) * tile.step_y).alias("center_y"))
 
 
 def rectangles_over(boxes: DataFrame, tile: Tile) -> DataFrame:
     """Scan rectangles covering boxes: tile + (n - 1) * step on each axis, and their tile counts."""
     nx, ny = (tiles_for_span(F.col(f"max_{a}") - F.col(f"min_{a}"), t, s) for a, t, s in (("x", tile.width, tile.step_x), ("y", tile.height, tile.step_y)))
-    return boxes.select("id", ((F.col("min_x") + F.col("max_x")) / 2).alias("center_x"), ((F.col("min_y") + F.col("max_y")) / 2).alias("center_y"), ((nx - 1) * tile.step_x + tile.width).alias("width"), ((ny - 1) * tile.step_y + tile.height).alias("height"), (nx * ny).alias("tiles"))
+    return boxes.select(*images(boxes), "id", ((F.col("min_x") + F.col("max_x")) / 2).alias("center_x"), ((F.col("min_y") + F.col("max_y")) / 2).alias("center_y"), ((nx - 1) * tile.step_x + tile.width).alias("width"), ((ny - 1) * tile.step_y + tile.height).alias("height"), (nx * ny).alias("tiles"))
 
 
 def tile_coverage(pixels: DataFrame, tiles: DataFrame, tile: Tile) -> DataFrame:
-    """Pixels in tiles: (id, ordinal, y, x) for tiles in pixel units whose window [floor(min), ceil(max)],
+    """Pixels in tiles of their image: (id, ordinal, y, x) for tiles in pixel units whose window [floor(min), ceil(max)],
     both ends in, holds the pixel. Tiles are dealt to the cells they meet."""
     cell = lambda c: F.floor(c / CELL)
-    t = tiles.select("id", "ordinal", F.floor(F.col("center_x") - tile.width / 2).alias("x0"), F.ceil(F.col("center_x") + tile.width / 2).alias("x1"), F.floor(F.col("center_y") - tile.height / 2).alias("y0"), F.ceil(F.col("center_y") + tile.height / 2).alias("y1"))
+    image = images(pixels, tiles)
+    t = tiles.select(*image, "id", "ordinal", F.floor(F.col("center_x") - tile.width / 2).alias("x0"), F.ceil(F.col("center_x") + tile.width / 2).alias("x1"), F.floor(F.col("center_y") - tile.height / 2).alias("y0"), F.ceil(F.col("center_y") + tile.height / 2).alias("y1"))
     t = t.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
     p = pixels.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
-    return p.join(t, ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("cx", "cy", "x0", "x1", "y0", "y1")
+    return p.join(t, [*image, "cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("cx", "cy", "x0", "x1", "y0", "y1")
 
 
 def tiles_touching(tiles: DataFrame, vertices: DataFrame, tile: Tile) -> DataFrame:
@@ -71,7 +93,8 @@ def tiles_touching(tiles: DataFrame, vertices: DataFrame, tile: Tile) -> DataFra
     vertex inside the tile or crossing edges. A polygon that none touches gets one tile at its vertex mean."""
     e = edges(vertices).withColumnsRenamed({"x1": "ax", "y1": "ay", "x2": "bx", "y2": "by"})
     hw, hh = tile.width / 2, tile.height / 2
-    j = tiles.join(e, "id")
+    key = [*images(tiles, vertices), "id"]
+    j = tiles.join(e, key)
     cx, cy, ax, ay, bx, by = (F.col(c) for c in ("center_x", "center_y", "ax", "ay", "bx", "by"))
     aggs = []
     for i, (sx, sy) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1))):
@@ -82,26 +105,39 @@ def tiles_touching(tiles: DataFrame, vertices: DataFrame, tile: Tile) -> DataFra
     # an edge meets the tile if its box does and the corners lie on both sides of its line
     side = [(bx - ax) * (cy + sy * hh - ay) - (by - ay) * (cx + sx * hw - ax) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
     meets = (F.least(ax, bx) <= cx + hw) & (F.greatest(ax, bx) >= cx - hw) & (F.least(ay, by) <= cy + hh) & (F.greatest(ay, by) >= cy - hh) & (F.least(*side) <= 0) & (F.greatest(*side) >= 0)
-    g = j.groupBy("id", "ordinal", "center_x", "center_y").agg(*aggs, F.bool_or(within).alias("v"), F.bool_or(meets).alias("m"))
-    hit = g.where("c0 or c1 or c2 or c3 or v or m").select("id", "ordinal", "center_x", "center_y")
-    mean = vertices.groupBy("id").agg(F.lit(1).cast("long").alias("ordinal"), F.avg("x").alias("center_x"), F.avg("y").alias("center_y"))
-    return hit.unionByName(mean.join(hit.select("id").distinct(), "id", "left_anti"))
+    g = j.groupBy(*key, "ordinal", "center_x", "center_y").agg(*aggs, F.bool_or(within).alias("v"), F.bool_or(meets).alias("m"))
+    hit = g.where("c0 or c1 or c2 or c3 or v or m").select(*key, "ordinal", "center_x", "center_y")
+    mean = vertices.groupBy(*key).agg(F.lit(1).cast("long").alias("ordinal"), F.avg("x").alias("center_x"), F.avg("y").alias("center_y"))
+    return hit.unionByName(mean.join(hit.select(*key).distinct(), key, "left_anti"))
 
 
-def z_histograms(region_pixels: DataFrame, n_planes: int) -> DataFrame:
-    """(id, z, n) for every region and plane, empty planes with 0, from (id, argmax_z)."""
-    n = region_pixels.where(F.col("argmax_z").between(0, n_planes - 1)).groupBy("id", F.col("argmax_z").alias("z")).agg(F.count(F.lit(1)).alias("n"))
-    every = region_pixels.select("id").distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(n_planes - 1))))
-    return every.join(n, ["id", "z"], "left").select("id", "z", F.coalesce("n", F.lit(0)).alias("n"))
+def z_histograms(region_pixels: DataFrame, n_planes: int, regions: DataFrame | None = None) -> DataFrame:
+    """(id, z, n) for every region and plane, empty planes with 0, from (id, argmax_z). ``regions`` (id) adds those
+    that have no pixel at all."""
+    key = [*images(region_pixels, *([regions] if regions is not None else [])), "id"]
+    n = region_pixels.where(F.col("argmax_z").between(0, n_planes - 1)).groupBy(*key, F.col("argmax_z").alias("z")).agg(F.count(F.lit(1)).alias("n"))
+    every = (region_pixels if regions is None else regions).select(*key).distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(n_planes - 1))))
+    return every.join(n, [*key, "z"], "left").select(*key, "z", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def region_confidence(regions: DataFrame, inside: DataFrame, mask: DataFrame) -> DataFrame:
     """Regions with area_px (pixels inside), supported_px (of these, masked with a finite probability), their
-    share, and mean, least, total and weighted probability: NaN, NaN, 0, NaN where nothing is supported."""
-    m = mask.where(~F.isnan("prob") & (F.abs("prob") != float("inf"))).select("y", "x", "prob")
-    g = inside.join(m, ["y", "x"], "left").groupBy("id").agg(F.count(F.lit(1)).alias("area_px"), F.count("prob").alias("supported_px"), F.avg("prob").alias("mean"), F.min("prob").alias("least"), F.sum("prob").alias("total"))
+    share, and mean, least, total and weighted probability: NaN, NaN, 0, NaN where nothing is supported.
+    Regions and pixels are those of one image where all three tables tell images apart."""
+    image = images(regions, inside, mask)
+    key = [*image, "id"]
+    m = mask.where(~F.isnan("prob") & (F.abs("prob") != float("inf"))).select(*image, "y", "x", "prob")
+    g = inside.join(m, [*image, "y", "x"], "left").groupBy(*key).agg(F.count(F.lit(1)).alias("area_px"), F.count("prob").alias("supported_px"), F.avg("prob").alias("mean"), F.min("prob").alias("least"), F.sum("prob").alias("total"))
     nan = F.lit(float("nan"))
-    out = regions.select("id").join(g, "id", "left")
+    out = regions.select(*key).join(g, key, "left")
     n = F.coalesce("supported_px", F.lit(0))
     area = F.coalesce("area_px", F.lit(0))
-    return out.select("id", area.alias("area_px"), n.alias("supported_px"), F.when(area > 0, n / area).otherwise(0.0).alias("share"), F.coalesce("mean", nan).alias("mean"), F.coalesce("least", nan).alias("least"), F.coalesce("total", F.lit(0.0)).alias("total"), F.when(n > 0, F.col("mean") * F.sqrt(n.cast("double"))).otherwise(nan).alias("weighted"))
+    return out.select(*key, area.alias("area_px"), n.alias("supported_px"), F.when(area > 0, n / area).otherwise(0.0).alias("share"), F.coalesce("mean", nan).alias("mean"), F.coalesce("least", nan).alias("least"), F.coalesce("total", F.lit(0.0)).alias("total"), F.when(n > 0, F.col("mean") * F.sqrt(n.cast("double"))).otherwise(nan).alias("weighted"))
+
+
+def finite_polygons(vertices: DataFrame) -> DataFrame:
+    """The rings (id, k, x, y) that can be scanned: three different vertices at least, all finite."""
+    key = [*images(vertices), "id"]
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    ok = vertices.groupBy(*key).agg(F.bool_and(real("x") & real("y")).alias("_ok"), F.count_distinct("x", "y").alias("_n"))
+    return vertices.join(ok.where("_ok and _n >= 3").select(*key), key, "left_semi")

@@ -9,10 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Affine, Tile, slice_bounds
+from ..functions.geometry import Affine, Tile, finite_or_zero, slice_bounds
 from ..operators import grouped, joins, objects, raster, regions
-from ..operators.components import component_roots
-from . import modes, tables
+from ..operators.components import single_linkage
+from ..operators.scratch import cut
+from . import modes, preview, tables
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,12 @@ class Planning:
     def __post_init__(self):
         if self.boundary not in ("alpha_shape", "mask_contour", "hull"):
             raise ValueError(f"unknown boundary {self.boundary!r}")
+        if min(self.merge_factor, self.max_z, self.simplify_um, self.alpha_fraction) < 0:
+            raise ValueError("distances must not be negative")
+        if not 0 <= self.max_extra <= 1:
+            raise ValueError("the share of free tiles must lie in [0, 1]")
+        if self.min_area < 1:
+            raise ValueError("objects have one pixel at least")
 
     @property
     def mode(self) -> modes.Mode:
@@ -51,85 +58,135 @@ def measured_components(labels: DataFrame, classes: DataFrame, tr: Affine, p: Pl
     return o.join(z, ["image_id", "label"], "left").select("image_id", F.col("label").alias("id"), "area", x.alias("x"), y.alias("y"), *[c.alias(n) for n, c in box.items()], um.alias("z"))
 
 
-def group_components(c: DataFrame, tile: Tile, p: Planning) -> DataFrame:
-    """Components with ``group_id``: alone, linked in XY, linked in XY under a z limit, then merged."""
+def pixel_rows(labels: DataFrame, tr: Affine) -> DataFrame:
+    """(image_id, id, cells): the stage boxes of each component's runs of pixels, row by row, at pixel centres."""
+    w = Window.partitionBy("image_id", "label", "y").orderBy("x")
+    runs = labels.withColumn("_k", F.col("x") - F.row_number().over(w)).groupBy("image_id", "label", "y", "_k").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    (ax, ay), (bx, by) = tr.apply(F.col("x0"), F.col("y")), tr.apply(F.col("x1"), F.col("y"))
+    box = F.array(F.least(ax, bx), F.greatest(ax, bx), F.least(ay, by), F.greatest(ay, by))
+    return runs.groupBy("image_id", F.col("label").alias("id")).agg(F.collect_list(box).alias("cells"))
+
+
+def group_components(c: DataFrame, tile: Tile, p: Planning, cells: DataFrame | None = None) -> DataFrame:
+    """Components with ``group_id``: alone, linked in XY, linked in XY under a z limit, then merged by the tiles of
+    the plan's output. ``cells`` (image_id, id, cells) are the components' pixels for that."""
     gap_x, gap_y = tile.width * p.merge_factor, tile.height * p.merge_factor
     if p.grouping == "none":
         return c.withColumn("group_id", F.col("id"))
     if p.grouping == "xy":
-        roots = component_roots(joins.box_gap_pairs(c, gap_x, gap_y)).withColumnRenamed("label", "group_id")
-        g = c.join(roots, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
+        g = single_linkage(c, joins.box_gap_pairs(c, gap_x, gap_y))
     else:
         g = c.join(grouped.z_constrained_groups(c.select("image_id", "id", "min_x", "max_x", "min_y", "max_y", "z"), gap_x, gap_y, p.max_z), ["image_id", "id"])
     if p.optimisation == "tile_count":  # linked groups are the pools inside which components merge as tiles are saved
-        m = grouped.greedy_merge(g.select(F.col("group_id").alias("pool"), "id", "min_x", "max_x", "min_y", "max_y", "z"), tile, p.max_extra, p.max_z if p.grouping == "xy_z" else None, p.merge_factor)
-        g = g.drop("group_id").join(m.select("id", "group_id"), "id")
+        m = g.select("image_id", F.col("group_id").alias("pool"), "id", "min_x", "max_x", "min_y", "max_y", "z")
+        m = m if cells is None else m.join(cells, ["image_id", "id"], "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<array<double>>")))
+        m = grouped.greedy_merge(m, tile, p.max_extra, p.max_z if p.grouping == "xy_z" else None, p.merge_factor, p.output)
+        g = g.drop("group_id").join(m.select("image_id", "id", "group_id"), ["image_id", "id"])
     return g
 
 
 def covered_pixels(pixels: DataFrame, tiles: DataFrame, tr: Affine, tile: Tile) -> DataFrame:
-    """Pixels in the pixel windows of tiles (id, ordinal, center_x, center_y) given in stage units, under a
-    transform without rotation."""
+    """Pixels in the pixel windows of tiles (id, ordinal, center_x, center_y) of their image, given in stage units,
+    under a transform without rotation."""
     x, y = tr.invert(F.col("center_x"), F.col("center_y"))
     in_px = Tile(1, 1, tile.width / abs(tr.a), tile.height / abs(tr.d), tile.overlap)
-    return regions.tile_coverage(pixels, tiles.select("id", "ordinal", x.alias("center_x"), y.alias("center_y")), in_px)
+    return regions.tile_coverage(pixels, tiles.select(*joins.images(tiles), "id", "ordinal", x.alias("center_x"), y.alias("center_y")), in_px)
 
 
 def with_region_z(found: DataFrame, tiles: DataFrame, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, z0: float, z_step: float) -> DataFrame:
-    """Regions (id, z, ...) with z from the modal plane of all in-class pixels under their tiles, detected or
-    not; a region without any keeps its z."""
-    inside = classes.where(F.col("cls").isin(*p.classes)).select("y", "x", "argmax_z")
-    seen = covered_pixels(inside, tiles, tr, tile).select("id", "y", "x", "argmax_z").distinct()
-    z = objects.modal_z(seen, ["id"]).withColumnRenamed("z", "plane")
-    return found.join(z, "id", "left").withColumn("z", F.coalesce(F.col("plane") * z_step + z0, F.col("z"))).drop("plane")
+    """Regions (id, z, ...) with z from the modal plane of all in-class pixels of their image under their tiles,
+    detected or not; a region without any keeps its z."""
+    image = joins.images(found, tiles, classes)
+    key = [*image, "id"]
+    inside = classes.where(F.col("cls").isin(*p.classes)).select(*image, "y", "x", "argmax_z")
+    seen = covered_pixels(inside, tiles if image else tiles.drop("image_id"), tr, tile).select(*key, "y", "x", "argmax_z").distinct()
+    z = objects.modal_z(seen, key).withColumnRenamed("z", "plane")
+    return found.join(z, key, "left").withColumn("z", F.coalesce(F.col("plane") * z_step + z0, F.col("z"))).drop("plane")
 
 
-def plan_targets(labels: DataFrame, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, z0: float = 100.0, z_step: float = 5.0) -> DataFrame:
-    """The target table of a labelled mask under a planning mode."""
+def plan_targets(labels: DataFrame, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, z0: float = 100.0, z_step: float = 5.0, final_z: bool = True) -> DataFrame:
+    """The target table of labelled masks under a planning mode, with ``image_id``: each image has a plan of its
+    own, under one transform. Without ``final_z`` regions keep the z of their groups, as in a review."""
     p.mode  # noqa: B018  refuses choices that don't go together
+    at = ["image_id", "id"]
     c = measured_components(labels, classes, tr, p, z0, z_step)
     if p.output == "detection_points":
-        return _named(c.select(F.lit("point").alias("kind"), "id", "x", "y", "z"), p)
-    g = group_components(c, tile, p)
-    box = g.groupBy(F.col("group_id").alias("id")).agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), F.median("z").alias("z"))
+        return _named(c.select(F.lit("point").alias("kind"), *at, "x", "y", "z"), p)
+    g = group_components(c, tile, p, pixel_rows(labels, tr) if p.optimisation == "tile_count" and p.grouping != "none" else None)
+    by = g.groupBy("image_id", F.col("group_id").alias("id"))
+    box = by.agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), F.median("z").alias("z"))
     if p.output == "group_center_points":
-        return _named(box.select(F.lit("point").alias("kind"), "id", ((F.col("min_x") + F.col("max_x")) / 2).alias("x"), ((F.col("min_y") + F.col("max_y")) / 2).alias("y"), "z"), p)
+        return _named(box.select(F.lit("point").alias("kind"), *at, ((F.col("min_x") + F.col("max_x")) / 2).alias("x"), ((F.col("min_y") + F.col("max_y")) / 2).alias("y"), "z"), p)
     # grids and rectangles cover the box of centroids
-    dots = g.groupBy(F.col("group_id").alias("id")).agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.median("z").alias("z"))
+    dots = by.agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.median("z").alias("z"))
+    mine = g.select("image_id", F.col("id").alias("label"), "group_id")
     if p.output == "tile_point_grid":
-        t = regions.tile_lattice(box if p.z == "per_tile" else dots, tile).join(dots.select("id", "z"), "id")
+        t = regions.tile_lattice(box if p.z == "per_tile" else dots, tile).join(dots.select(*at, "z"), at)
         if p.z == "per_tile":  # only tiles with pixels of the group, each at its own modal plane
-            px = labels.join(g.select("image_id", F.col("id").alias("label"), "group_id"), ["image_id", "label"]).select("y", "x", "group_id", "argmax_z", "cls")
+            px = labels.join(mine, ["image_id", "label"]).select("image_id", "y", "x", "group_id", "argmax_z", "cls")
             cover = covered_pixels(px, t, tr, tile).where(F.col("id") == F.col("group_id"))
-            z = objects.modal_z(cover, ["id", "ordinal"], p.classes).withColumnRenamed("z", "plane")
-            t = t.join(cover.select("id", "ordinal").distinct(), ["id", "ordinal"]).join(z, ["id", "ordinal"], "left").withColumn("z", F.coalesce(F.col("plane") * z_step + z0, F.col("z")))
-        return _named(t.select(F.lit("point").alias("kind"), "id", "ordinal", F.col("center_x").alias("x"), F.col("center_y").alias("y"), "z"), p)
+            z = objects.modal_z(cover, [*at, "ordinal"], p.classes).withColumnRenamed("z", "plane")
+            t = t.join(cover.select(*at, "ordinal").distinct(), [*at, "ordinal"]).join(z, [*at, "ordinal"], "left").withColumn("z", F.coalesce(F.col("plane") * z_step + z0, F.col("z")))
+        return _named(t.select(F.lit("point").alias("kind"), *at, "ordinal", F.col("center_x").alias("x"), F.col("center_y").alias("y"), "z"), p)
     if p.output == "rectangular_regions":
-        r = regions.rectangles_over(dots, tile).join(dots.select("id", "z"), "id")
-        if p.z == "per_roi":
-            grid = r.select("id", *[(F.col(f"center_{c}") + k * F.col(n) / 2).alias(f"{m}_{c}") for c, n in (("x", "width"), ("y", "height")) for m, k in (("min", -1), ("max", 1))])
+        r = regions.rectangles_over(dots, tile).join(dots.select(*at, "z"), at)
+        if p.z == "per_roi" and final_z:
+            grid = r.select(*at, *[(F.col(f"center_{c}") + k * F.col(n) / 2).alias(f"{m}_{c}") for c, n in (("x", "width"), ("y", "height")) for m, k in (("min", -1), ("max", 1))])
             r = with_region_z(r, regions.tile_lattice(grid, tile), classes, tr, tile, p, z0, z_step)
-        return _named(r.select(F.lit("rectangle").alias("kind"), "id", F.col("center_x").alias("x"), F.col("center_y").alias("y"), "z", "width", "height"), p)
-    px = labels.join(g.select("image_id", F.col("id").alias("label"), "group_id"), ["image_id", "label"]).select(F.col("group_id").alias("label"), "y", "x")
+        return _named(r.select(F.lit("rectangle").alias("kind"), *at, F.col("center_x").alias("x"), F.col("center_y").alias("y"), "z", "width", "height"), p)
+    px = labels.join(mine, ["image_id", "label"]).select("image_id", F.col("group_id").alias("label"), "y", "x")
     um = max(np.hypot(tr.a, tr.c), np.hypot(tr.b, tr.d))  # of a pixel
     h = grouped.region_polygons(px, p.boundary, p.simplify_um / um, min(tile.width, tile.height) * p.alpha_fraction / um)
     sx, sy = tr.apply(F.col("x"), F.col("y"))
     # a group may give several polygons, each a region with a z of its own
-    v = h.select(F.struct(F.col("label").alias("g"), "part").alias("id"), "k", sx.alias("x"), sy.alias("y"))
-    rings = v.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
-    rings = rings.join(box.select(F.col("id").alias("g"), "z"), F.col("id.g") == F.col("g")).drop("g")
-    if p.z == "per_roi":
-        outer = v.groupBy("id").agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+    v = h.select("image_id", F.struct(F.col("label").alias("g"), "part").alias("id"), "k", sx.alias("x"), sy.alias("y"))
+    rings = v.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v")).withColumn("g", F.col("id.g"))
+    rings = rings.join(box.select("image_id", F.col("id").alias("g"), "z"), ["image_id", "g"]).drop("g")
+    if p.z == "per_roi" and final_z:
+        outer = v.groupBy(*at).agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
         tiles = regions.tiles_touching(regions.tile_lattice(outer, tile), v, tile)
         rings = with_region_z(rings, tiles, classes, tr, tile, p, z0, z_step)
-    return _named(rings.select(F.lit("polygon").alias("kind"), "id", "z", F.transform("v", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("vertices")), p)
+    return _named(rings.select(F.lit("polygon").alias("kind"), *at, "z", F.transform("v", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("vertices")), p)
 
 
 def _named(t: DataFrame, p: Planning) -> DataFrame:
+    """Targets numbered and named in their image and kind."""
     order = ["id", "ordinal"] if "ordinal" in t.columns else ["id"]
-    n = F.row_number().over(Window.partitionBy("kind").orderBy(*order)).cast("long")
-    t = t.withColumn("_n", n)
-    return tables.union([t.withColumn("ordinal", F.col("_n")).withColumn("name", F.concat(F.lit(p.prefix + " "), F.col("_n").cast("string"))).drop("_n", "id")])
+    n = F.row_number().over(Window.partitionBy("image_id", "kind").orderBy(*order)).cast("long")
+    t = t.withColumn("_n", n).withColumn("ordinal", F.col("_n")).withColumn("name", F.concat(F.lit(p.prefix + " "), F.col("_n").cast("string"))).drop("_n", "id")
+    empty = t.sparkSession.createDataFrame([], tables.SCHEMA).withColumn("image_id", F.lit(None).cast(dict(t.dtypes)["image_id"]))
+    return empty.unionByName(t, allowMissingColumns=True).select("image_id", *tables.COLUMNS)
+
+
+def review_plan(labels: DataFrame, kept: DataFrame, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, z0: float = 100.0, z_step: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """A plan for the objects (image_id, label) that a review keeps, without the regions' final z, and its summary,
+    one row: targets, tiles and groups, zeros without objects. A mode that needs z refuses classes without it."""
+    if p.mode.needs_z and "argmax_z" not in classes.columns:
+        raise ValueError("this planning mode needs the plane of each pixel")
+    mine = labels.join(kept.select("image_id", "label"), ["image_id", "label"], "left_semi")
+    plan = plan_targets(mine, classes, tr, tile, p, z0, z_step, final_z=False)
+    # without optimisation points and regions stand for groups; polygons may be several of one
+    c = measured_components(mine, classes, tr, p, z0, z_step)
+    groups = c if p.output == "detection_points" else group_components(c, tile, p, pixel_rows(mine, tr) if p.optimisation == "tile_count" and p.grouping != "none" else None)
+    n_groups = groups.select("image_id", F.col("id" if p.output == "detection_points" else "group_id").alias("g")).distinct().agg(F.count(F.lit(1)).alias("groups"))
+    n = preview.totals(plan, tile).agg(F.coalesce(F.sum("targets"), F.lit(0)).alias("targets"), F.coalesce(F.sum("tiles"), F.lit(0)).alias("tiles"))
+    return plan, n.crossJoin(n_groups)  # one row by one row
+
+
+def compact_review(labels: DataFrame, scored: DataFrame, n: int, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, seeds: int = 24) -> DataFrame:
+    """(image_id, label) of n of one image's objects (image_id, label, x, y, score) that take few tiles: selections are
+    grown from the ``seeds`` best, each is planned in full as if it were an image of its own, and the fewest tiles
+    win, then the greater score, then the earlier seed. All selections are planned in one job."""
+    grown = cut(grouped.grown_selections(scored.select(F.col("label").alias("id"), "x", "y", "score"), n, tile, seeds))
+    pick = grown.select(F.col("seed").alias("image_id"), F.col("id").alias("label"))
+    many = labels.drop("image_id").join(pick, "label")
+    px = classes.drop("image_id").crossJoin(F.broadcast(pick.select("image_id").distinct()))  # at most ``seeds`` rows by the pixels
+    plan = plan_targets(many.select(*["image_id", "label"], *[c for c in labels.columns if c not in ("image_id", "label")]), px, tr, tile, p, final_z=False)
+    tiles = preview.tiles(plan, tile).groupBy("image_id").agg(F.count(F.lit(1)).alias("tiles"))
+    total = grown.join(scored.select(F.col("label").alias("id"), "score"), "id").groupBy("seed").agg(F.sum(finite_or_zero(F.col("score"))).alias("total"), F.min("rank").alias("rank"))
+    best = total.join(tiles.withColumnRenamed("image_id", "seed"), "seed").agg(F.min(F.struct("tiles", (-F.col("total")).alias("t"), "rank", "seed"))["seed"].alias("_best"))
+    chosen = grown.join(F.broadcast(best), F.col("seed") == F.col("_best")).select(F.col("id").alias("label"))
+    return scored.join(chosen, "label", "left_semi").select("image_id", "label")
 
 
 def review(objs: DataFrame, limits: objects.Limits, deleted: DataFrame | None = None, count: int = 0, rule: str = "confidence", accepted: bool = True) -> DataFrame:
@@ -177,29 +234,76 @@ def fit_mixture(centres: np.ndarray, counts: np.ndarray, floor: float, upper: fl
     return tuple(float(v) for v in best)
 
 
-def normalise(pixels: DataFrame, bins: int = 500) -> DataFrame:
-    """``pixels`` (image_id, y, x, v) of one image with ``norm`` = (v - floor) / (peak - floor) and padding 0.
-    The histogram, of at most ``bins`` rows, is fitted on the driver; pixels stay distributed."""
-    ok = pixels.where(raster.valid(F.col("v")))
-    f = ok.agg(F.min("v").cast("double"), F.percentile("v", F.lit(0.998)), F.percentile("v", F.lit(0.9)), F.max("v").cast("double")).first()
+def histogram_bins(values: DataFrame, lower: float, upper: float, bins: int) -> int:
+    """Bins of a histogram of ``v``: one for each whole number of the range where a first ten thousand values are
+    whole, and ``bins`` at most, 8 at least."""
+    bins = max(8, bins)
+    some = values.select("v").limit(10_000).agg(F.count("v").alias("n"), F.max(F.abs(F.col("v") - F.round("v"))).alias("off")).first()
+    if not some["n"] or some["off"] >= 1e-6:
+        return bins
+    return min(bins, max(8, int(np.ceil(max(upper - lower, np.finfo(float).eps)))))
+
+
+def signal_histogram(pixels: DataFrame, bins: int = 500) -> dict:
+    """The fitted histogram of one image's valid pixels: floor, threshold, upper, parameters of background and
+    signal, and the rows of the search range, from the threshold on: centres, counts and signal, smoothed."""
+    ok = pixels.where(raster.valid(F.col("v"))).select(F.col("v").cast("double").alias("v"))
+    f = ok.agg(F.min("v"), F.percentile("v", F.lit(0.998)), F.percentile("v", F.lit(0.9)), F.max("v")).first()
     if f[0] is None:
         raise ValueError("no valid pixel")
     floor, upper = f[0], f[1] if f[1] > f[0] else f[3]
     if upper <= floor:
         raise ValueError("the image is flat")
-    n = max(32, min(bins, max(8, int(np.ceil(upper - floor)))))
-    h = raster.histogram(ok.select(F.col("v").cast("double").alias("v")), floor, upper, n)
-    smooth = raster.smooth_1d(h.select("bin", F.col("n").cast("double").alias("s")), "bin", "s", n, 3.0)
-    rows = np.asarray(sorted((r["bin"], r["s"]) for r in smooth.collect()))
-    width = (upper - floor) / n
-    centres = floor + (rows[:, 0] + 0.5) * width
-    a, lam, b, mean, sigma = fit_mixture(centres, rows[:, 1], floor, upper, f[2])
-    s = np.maximum(centres - floor, 0)
-    back = a * np.exp(s * np.log(lam) - lam - np.asarray([lgamma(v + 1) for v in s]))
-    near = (centres >= mean - 0.5 * max(sigma, 1)) & (centres <= mean + 2 * max(sigma, 1))
-    signal = np.where(near, np.maximum(rows[:, 1] - back, 0), -1)
-    peak = float(centres[signal.argmax()]) if signal.max() > 0 else mean
-    if peak <= floor:
-        raise ValueError("the signal peak is not above the floor")
-    norm = F.when(raster.valid(F.col("v")), (F.col("v") - floor) / (peak - floor)).otherwise(0.0)
-    return pixels.withColumn("norm", norm)
+
+    def rows(lo, hi, least):
+        n = max(least, histogram_bins(ok, lo, hi, bins))
+        h = raster.histogram(ok, lo, hi, n)
+        smooth = raster.smooth_1d(h.select("bin", F.col("n").cast("double").alias("s")), "bin", "s", n, 3.0).join(h.select("bin", "n"), "bin")
+        got = np.asarray(sorted((r["bin"], r["s"], r["n"]) for r in smooth.collect()), float)  # 500 rows at most
+        return lo + (got[:, 0] + 0.5) * (hi - lo) / n, got[:, 1], got[:, 2]
+
+    centres, smooth, counts = rows(floor, upper, 32)
+    a, lam, b, mean, sigma = fit_mixture(centres, smooth, floor, upper, f[2])
+
+    def background(x):
+        s = np.maximum(x - floor, 0)
+        return a * np.exp(s * np.log(lam) - lam - np.asarray([lgamma(v + 1) for v in s]))
+
+    bell = lambda x: b * np.exp(-0.5 * ((x - mean) / sigma) ** 2)
+    likely = (centres > floor) & (centres < mean) & (bell(centres) >= 0.5 * (bell(centres) + background(centres)))
+    threshold = float(centres[likely][0]) if likely.any() else floor
+    threshold = min(threshold, upper - (centres[1] - centres[0]))
+    found, search, plain = rows(threshold, upper, 8)
+    width = (found[1] - found[0]) / (centres[1] - centres[0])  # the fit counts by its own bins
+    signal = np.maximum(search - background(found) * width, 0)
+    return {"floor": floor, "threshold": threshold, "upper": upper, "parameters": (a, lam, b, mean, sigma), "centres": centres, "counts": counts, "smoothed": smooth, "background": background(centres), "bell": bell(centres), "search": found, "signal": signal}
+
+
+def histogram_rows(spark, fit: dict) -> DataFrame:
+    """The table of a normalisation's histogram, numbers as text of eight digits."""
+    cols = (fit["centres"], fit["counts"], fit["smoothed"], fit["background"], fit["bell"], fit["background"] + fit["bell"])
+    # fixed values: the columns of that file
+    names = ("intensity", "count", "smoothed_count", "poisson_component", "gaussian_component", "combined_component")
+    d = spark.createDataFrame([tuple(float(v) for v in r) for r in zip(*cols, strict=True)], ", ".join(f"{n} double" for n in names))
+    return d.select(*[F.format_string("%.8g", F.col(n)).alias(n) for n in names])
+
+
+def normalise(pixels: DataFrame, bins: int = 500) -> DataFrame:
+    """``pixels`` (image_id, y, x, v) with ``norm`` = (v - floor) / (peak - floor) of their image, and padding 0. The
+    peak of the signal is sought from the threshold on, within half a deviation below and two above its mean.
+    Histograms, of at most ``bins`` rows, are fitted on the driver, image by image; pixels stay distributed."""
+    levels = []
+    for image in [r[0] for r in pixels.select("image_id").distinct().orderBy("image_id").collect()]:
+        fit = signal_histogram(pixels.where(F.col("image_id") == image), bins)
+        mean, sigma = fit["parameters"][3:]
+        near = (fit["search"] >= mean - 0.5 * max(sigma, 1)) & (fit["search"] <= mean + 2 * max(sigma, 1))
+        signal = np.where(near, fit["signal"], -1)
+        peak = float(fit["search"][signal.argmax()]) if signal.max() > 0 else mean
+        if peak <= fit["floor"]:
+            raise ValueError("the signal peak is not above the floor")
+        levels.append((image, fit["floor"], peak))
+    if not levels:
+        raise ValueError("no valid pixel")
+    spread = pixels.sparkSession.createDataFrame(levels, f"image_id {dict(pixels.dtypes)['image_id']}, _floor double, _peak double")
+    norm = F.when(raster.valid(F.col("v")), (F.col("v") - F.col("_floor")) / (F.col("_peak") - F.col("_floor"))).otherwise(0.0)
+    return pixels.join(F.broadcast(spread), "image_id").select(*pixels.columns, norm.alias("norm"))  # one row an image

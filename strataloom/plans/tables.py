@@ -23,9 +23,14 @@ def kind_rank() -> Column:
     return F.when(F.col("kind") == "point", 0).when(F.col("kind") == "rectangle", 1).otherwise(2)
 
 
-def default_name(number: Column) -> Column:
+#: What targets without a name are called, in a document and in combined plans.
+IN_DOCUMENT = {"point": "Position", "rectangle": "Tile scan", "polygon": "Mosaic"}
+IN_COMBINED = {"point": "position", "rectangle": "tilescan", "polygon": "mosaic"}
+
+
+def default_name(number: Column, plain: dict[str, str]) -> Column:
     """Given names, or the kind and number where they are missing or blank."""
-    plain = F.when(F.col("kind") == "point", "Position ").when(F.col("kind") == "rectangle", "Tile scan ").otherwise("Polygon ")
+    plain = F.concat(F.element_at(F.create_map(*[F.lit(x) for kv in plain.items() for x in kv]), F.col("kind")), F.lit(" "))
     return F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.concat(plain, number.cast("string")))
 
 
@@ -38,7 +43,7 @@ def combine(plans: list[tuple[str, DataFrame]]) -> DataFrame:
         out = out.unionByName(p)
     n = F.row_number().over(Window.partitionBy("plan", "kind").orderBy("ordinal")).cast("long")
     out = out.withColumn("ordinal", n)
-    return out.withColumn("name", F.concat(F.lit("Source "), F.col("plan").cast("string"), F.lit(" - "), default_name(F.col("ordinal"))))
+    return out.withColumn("name", F.concat(F.lit("Source "), F.col("plan").cast("string"), F.lit(" - "), default_name(F.col("ordinal"), IN_COMBINED)))
 
 
 def with_target_ids(targets: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def with_target_ids(targets: DataFrame) -> DataFrame:
     one task numbers it."""
     n = F.row_number().over(Window.orderBy(kind_rank(), "ordinal")).cast("long")
     k = F.row_number().over(Window.partitionBy("kind").orderBy("ordinal"))
-    return targets.withColumn("target_id", n).withColumn("name", default_name(k))
+    return targets.withColumn("target_id", n).withColumn("name", default_name(k, IN_DOCUMENT))
 
 
 def finite(c: Column) -> Column:

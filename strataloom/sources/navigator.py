@@ -170,7 +170,7 @@ def from_xml(spark: SparkSession, text: str) -> DataFrame:
     names = _read_names(nav, RECT_NAMES)
     for k, (i, c, s) in enumerate(zip(ints(RECT_IDS), _array(nav, RECT_PLACES), _array(nav, RECT_SIZES), strict=False), 1):
         if (p := _numbers(c.find("CdVec3"), 3)) and (size := _numbers(s.find("CdVec2"), 2)):
-            rows.append(("rectangle", i, names.get(i, f"Rectangle {k}"), *p, *size, None))
+            rows.append(("rectangle", i, names.get(i, f"Tile scan {k}"), *p, *size, None))
     names = _read_names(nav, POLYGON_NAMES)
     for k, c in enumerate(_array(nav, POLYGONS), 1):
         one = c.find("PropertySet")

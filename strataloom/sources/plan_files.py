@@ -5,29 +5,56 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import images
 from ..plans import tables
 
 
-def to_json(targets: DataFrame, metadata: dict | None) -> DataFrame:
-    """One row ``value``: the plan as JSON text, with nulls kept."""
-    one = F.to_json(F.struct(*tables.COLUMNS), {"ignoreNullFields": "false"})
-    ordered = F.sort_array(F.collect_list(F.struct(tables.kind_rank().alias("r"), F.col("ordinal").alias("o"), one.alias("t"))))
-    body = F.concat(F.lit('{"metadata":' + json.dumps(metadata) + ',"targets":['), F.array_join(F.transform(ordered, lambda x: x["t"]), ","), F.lit("]}"))
-    return targets.agg(body.alias("value"))
+#: The fields of the targets in a plan file, and the columns that they hold.
+POINT = {"x_um": "x", "y_um": "y", "z_um": "z", "name": "name"}
+RECTANGLE = {"center_x_um": "x", "center_y_um": "y", "z_um": "z", "width_um": "width", "height_um": "height", "name": "name"}
+POLYGON = {"vertices_xy_um": "vertices", "z_um": "z", "name": "name"}
+LISTS = {"point": ("point_positions", POINT), "rectangle": ("rectangular_regions", RECTANGLE), "polygon": ("polygon_regions", POLYGON)}
+DOUBLE = "double"
+KIND_DDL = {"name": "string", "vertices": "array<array<double>>"}
 
 
-def from_json(texts: DataFrame) -> DataFrame:
-    """Targets of JSON plans (column ``value``); lists that are missing count as empty."""
-    parsed = texts.select(F.from_json("value", f"targets array<struct<{_struct_ddl()}>>").alias("p"))
-    return parsed.select(F.explode(F.coalesce("p.targets", F.array())).alias("t")).select("t.*")
+def to_json(targets: DataFrame, source_image: str, planning_mode: str, overview: dict | None = None, selected: int | None = None) -> DataFrame:
+    """One row ``value``: a plan file with its lists of targets, nulls kept, in the order of ordinals."""
+    keep = {"ignoreNullFields": "false"}
+    lists = []
+    for kind, (name, fields) in LISTS.items():
+        value = lambda c: F.transform("vertices", lambda v: F.array(v["x"], v["y"])) if c == "vertices" else F.col(c)
+        one = F.struct(*[value(c).alias(f) for f, c in fields.items()])
+        of_kind = F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col("ordinal").alias("o"), one.alias("t"))))
+        lists.append(F.concat(F.lit(f"{json.dumps(name)}: "), F.to_json(F.transform(F.sort_array(of_kind), lambda x: x["t"]), keep)))
+    head = f'{{"source_image": {json.dumps(source_image)}, "planning_mode": {json.dumps(planning_mode)}, '
+    tail = f', "overview_metadata": {json.dumps(overview)}, "selected_object_count": {json.dumps(selected)}}}'
+    return targets.agg(F.concat(F.lit(head), F.concat_ws(", ", *lists), F.lit(tail)).alias("value"))
 
 
-def _struct_ddl() -> str:
-    parts = tables.SCHEMA.split(", ")
-    return ",".join(p.replace(" ", ":", 1) for p in parts)
+def from_json(texts: DataFrame) -> DataFrame:
+    """Targets of plan files (column ``value``); lists that are missing or null count as empty. Ordinals are places
+    in the lists, from 1. Other columns of ``texts``, such as the file's name, stay."""
+    others = [c for c in texts.columns if c != "value"]
+    ddl = ", ".join(f"{name} array<struct<{','.join(f'{f}:{KIND_DDL.get(c, DOUBLE)}' for f, c in fields.items())}>>" for name, fields in LISTS.values())
+    parsed = texts.select(*others, F.from_json("value", ddl).alias("p"))
+    out = None
+    for kind, (name, fields) in LISTS.items():
+        t = parsed.select(*others, F.posexplode(f"p.{name}").alias("_n", "t"))
+        at = lambda f: F.transform(F.col(f"t.{f}"), lambda v: F.struct(F.get(v, 0).alias("x"), F.get(v, 1).alias("y")))
+        t = t.select(*others, F.lit(kind).alias("kind"), (F.col("_n") + 1).cast("long").alias("ordinal"), *[(at(f) if c == "vertices" else F.col(f"t.{f}")).alias(c) for f, c in fields.items()])
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    return out.select(*others, *tables.COLUMNS)
+
+
+def header(texts: DataFrame) -> DataFrame:
+    """What plan files (column ``value``) say besides targets: source_image, planning_mode, selected_object_count,
+    and overview_metadata as JSON text, null where it is missing."""
+    h = F.from_json("value", "source_image string, planning_mode string, selected_object_count long").alias("h")
+    return texts.select(h, F.get_json_object("value", "$.overview_metadata").alias("overview_metadata")).select("h.*", "overview_metadata")
 
 
 def cache_number(v: float | None, missing: str = "native") -> str:
@@ -61,7 +88,8 @@ def csv_rows(targets: DataFrame, kind: str) -> DataFrame:
 def object_rows(objects: DataFrame, positions: DataFrame) -> DataFrame:
     """The columns that a CSV of objects has: measurements with confidence and neighbours, and the positions
     (label, name, x, y, z) of the same labels."""
-    o = objects.join(positions.select("label", "name", "x", "y", "z"), "label")
+    key = [*images(objects, positions), "label"]
+    o = objects.join(positions.select(*key, "name", "x", "y", "z"), key)
     renamed = {"x": "x_um", "y": "y_um", "z": "z_um", "area": "area_px", "elongation": "elongation", "axis_ratio": "axis_ratio", "nn": "mean_3nn_distance_um", "centroid_x": "centroid_x_px", "centroid_y": "centroid_y_px", "mean": "mean_positive_probability", "least": "min_positive_probability", "total": "positive_probability_sum", "weighted": "size_weighted_confidence", "label": "source_label"}
     return o.select("name", *[F.col(c).alias(n) for c, n in renamed.items()])
 
@@ -83,7 +111,8 @@ def z_rows(histograms: DataFrame, regions: DataFrame, planes: DataFrame, kind: s
 
 
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Points from a CSV with a header x_um, y_um, z_um."""
+    """Points from a CSV with a header x_um, y_um, z_um, numbered from 1 in the order of the file."""
     c = spark.read.schema("x_um double, y_um double, z_um double").option("header", True).csv(path)
-    n = F.monotonically_increasing_id()
+    c = c.withColumn("_at", F.monotonically_increasing_id())
+    n = F.row_number().over(Window.orderBy("_at")).cast("long")  # a plan's points: as many as one acquisition visits
     return tables.union([c.select(F.lit("point").alias("kind"), n.alias("ordinal"), F.col("x_um").alias("x"), F.col("y_um").alias("y"), F.col("z_um").alias("z"))])

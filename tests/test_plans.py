@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from conftest import SF
@@ -23,12 +25,12 @@ def test_modes():
                             modes.Mode(o, g, z, t)
                     else:
                         assert modes.parse(modes.Mode(o, g, z, t).key) == modes.Mode(o, g, z, t)
-    assert modes.by_label("output", "Polygon regions") == "polygon_regions"
+    assert modes.by_label("output", "Polygon mosaics") == "polygon_regions"
     with pytest.raises(ValueError):
         modes.parse("custom:polygons|xy|overview|none")
 
 
-@pytest.mark.parametrize("output,z,grouping,fewest", [("detection_points", "per_roi", "none", "none"), ("group_center_points", "overview", "xy", "none"), ("tile_point_grid", "per_tile", "xy_z", "tile_count"), ("polygon_regions", "per_roi", "xy", "tile_count"), ("rectangular_regions", "per_roi", "none", "none")])
+@pytest.mark.parametrize("output,z,grouping,fewest", [("detection_points", "per_roi", "none", "direct"), ("group_center_points", "overview", "xy", "direct"), ("tile_point_grid", "per_tile", "xy_z", "tile_count"), ("polygon_regions", "per_roi", "xy", "tile_count"), ("rectangular_regions", "per_roi", "none", "direct")])
 def test_composed_plans(spark, output, z, grouping, fewest):
     p = compose.Planning(output, grouping, z, fewest, merge_factor=0.15, boundary="alpha_shape" if fewest == "tile_count" else "mask_contour")
     lab = catalogue.labels(spark, SF, 4)
@@ -39,8 +41,11 @@ def test_composed_plans(spark, output, z, grouping, fewest):
 
 def test_json_and_xml(spark, tmp_path):
     t = tables.with_target_ids(catalogue.fixture_plan(spark, SF, points=True, rectangles=True, polygons=True))
-    text = plan_files.to_json(t, None).first()["value"]
-    assert '"metadata":null' in text and '"width":null' in text
+    text = plan_files.to_json(t, "a.vsi", modes.DEFAULT).first()["value"]
+    held = json.loads(text)
+    assert sorted(held) == ["overview_metadata", "planning_mode", "point_positions", "polygon_regions", "rectangular_regions", "selected_object_count", "source_image"]
+    assert held["overview_metadata"] is None and held["point_positions"][3] == {"x_um": 1021.0, "y_um": 2015.0, "z_um": 115.0, "name": "NATION_3"}
+    assert len(held["polygon_regions"][0]["vertices_xy_um"]) == 6 and held["polygon_regions"][0]["name"] == "Mosaic 1"
     xml = navigator.to_xml(t, "plan", corners=[(0.0, 10.0), (20.0, 10.0), (0.0, 0.0)])
     assert navigator.problems(xml) == [] and navigator.overview_box(xml) == (0.0, 0.0, 20.0, 10.0)
     key = lambda d, n: sorted((r["kind"], r[n], r["name"], *map(str, (r["x"], r["y"], r["z"], r["width"], r["height"], r["vertices"]))) for r in d.collect())
