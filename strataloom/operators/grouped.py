@@ -14,6 +14,7 @@ from ..functions.geometry import Tile, finite_or_zero
 from .components import single_linkage
 from .joins import box_gap_pairs, images
 from .raster import blurred
+from .scratch import cut
 
 
 def z_constrained_groups(boxes: DataFrame, gap_x: float, gap_y: float, max_span: float) -> DataFrame:
@@ -48,6 +49,7 @@ def z_constrained_groups(boxes: DataFrame, gap_x: float, gap_y: float, max_span:
         df["group_id"] = df["id"].groupby(root).transform("min")
         return df[["image_id", "id", "group_id"]]
 
+    boxes = cut(boxes)  # read by the pairs, their links and the chains
     linked = single_linkage(boxes, box_gap_pairs(boxes, gap_x, gap_y, max_span)).withColumnRenamed("group_id", "_chain")
     return linked.groupBy("image_id", "_chain").applyInPandas(run, "image_id int, id long, group_id long")
 

@@ -109,10 +109,11 @@ def plan_targets(labels: DataFrame, classes: DataFrame, tr: Affine, tile: Tile,
     own, under one transform. Without ``final_z`` regions keep the z of their groups, as in a review."""
     p.mode  # noqa: B018  refuses choices that don't go together
     at = ["image_id", "id"]
-    c = measured_components(labels, classes, tr, p, z0, z_step)
+    # objects and groups are few beside the pixels that they come from, and are read many times below
+    c = cut(measured_components(labels, classes, tr, p, z0, z_step))
     if p.output == "detection_points":
         return _named(c.select(F.lit("point").alias("kind"), *at, "x", "y", "z"), p)
-    g = group_components(c, tile, p, pixel_rows(labels, tr) if p.optimisation == "tile_count" and p.grouping != "none" else None)
+    g = cut(group_components(c, tile, p, pixel_rows(labels, tr) if p.optimisation == "tile_count" and p.grouping != "none" else None))
     by = g.groupBy("image_id", F.col("group_id").alias("id"))
     box = by.agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), F.median("z").alias("z"))
     if p.output == "group_center_points":
@@ -166,7 +167,7 @@ def review_plan(labels: DataFrame, kept: DataFrame, classes: DataFrame, tr: Affi
     mine = labels.join(kept.select("image_id", "label"), ["image_id", "label"], "left_semi")
     plan = plan_targets(mine, classes, tr, tile, p, z0, z_step, final_z=False)
     # without optimisation points and regions stand for groups; polygons may be several of one
-    c = measured_components(mine, classes, tr, p, z0, z_step)
+    c = cut(measured_components(mine, classes, tr, p, z0, z_step))
     groups = c if p.output == "detection_points" else group_components(c, tile, p, pixel_rows(mine, tr) if p.optimisation == "tile_count" and p.grouping != "none" else None)
     n_groups = groups.select("image_id", F.col("id" if p.output == "detection_points" else "group_id").alias("g")).distinct().agg(F.count(F.lit(1)).alias("groups"))
     n = preview.totals(plan, tile).agg(F.coalesce(F.sum("targets"), F.lit(0)).alias("targets"), F.coalesce(F.sum("tiles"), F.lit(0)).alias("tiles"))
