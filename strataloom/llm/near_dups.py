@@ -280,7 +280,9 @@ def _across(opened: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
                     b.append(node[y])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return m.groupBy("key", "across", "i", "j").applyInArrow(run, "a binary, b binary")
+    # the join left a bucket's rows in one partition, which would also do for the grouping by block
+    at = ["key", "across", "i", "j"]
+    return m.repartition(*at).groupBy(*at).applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
