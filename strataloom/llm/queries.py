@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_dedup, mixing, near_dups, outliers, packing, secrets, superkmers, wrappers
+from . import fingerprints, language_id, line_dedup, mixing, near_dups, outliers, packing, secrets, superkmers, toxicity, wrappers
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,12 @@ def op10_quality(spark, sf_dir):
     return outliers.judge(_docs(spark, sf_dir)).drop("distance2")
 
 
+def op11_toxicity(spark, sf_dir):
+    return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix, op2_line_dedup, op3_language_id, op4_near_dups, op5_html, op6_secrets, op7_fingerprints, op8_substring_dedup, op9_packing, op10_quality)
+    for f in (op1_mix, op2_line_dedup, op3_language_id, op4_near_dups, op5_html, op6_secrets, op7_fingerprints, op8_substring_dedup, op9_packing, op10_quality, op11_toxicity)
 }
 ORACLE_SQL = {"op1_mix": mixing.ORACLE_SQL, "op2_line_dedup": line_dedup.ORACLE_SQL, "op8_substring_dedup": superkmers.ORACLE_SQL}
