@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_dedup, mixing, near_dups, outliers, packing, secrets, superkmers, toxicity, wrappers
+from . import fingerprints, hard_negatives, language_id, line_dedup, mixing, near_dups, outliers, packing, secrets, superkmers, toxicity, wrappers
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,12 @@ def op11_toxicity(spark, sf_dir):
     return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix, op2_line_dedup, op3_language_id, op4_near_dups, op5_html, op6_secrets, op7_fingerprints, op8_substring_dedup, op9_packing, op10_quality, op11_toxicity)
+    for f in (op1_mix, op2_line_dedup, op3_language_id, op4_near_dups, op5_html, op6_secrets, op7_fingerprints, op8_substring_dedup, op9_packing, op10_quality, op11_toxicity, op12_hard_negatives)
 }
-ORACLE_SQL = {"op1_mix": mixing.ORACLE_SQL, "op2_line_dedup": line_dedup.ORACLE_SQL, "op8_substring_dedup": superkmers.ORACLE_SQL}
+ORACLE_SQL = {"op1_mix": mixing.ORACLE_SQL, "op2_line_dedup": line_dedup.ORACLE_SQL, "op8_substring_dedup": superkmers.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
