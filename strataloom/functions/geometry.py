@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Affine:
-    """Pixel to stage: x' = a x + b y + tx, y' = c x + d y + ty."""
+    """Pixel to stage: x' = a x + b y + tx, y' = c x + d y + ty. Numbers, or columns where images differ."""
 
     a: float
     b: float
@@ -35,12 +35,47 @@ class Affine:
 
     def invert(self, x: Column, y: Column) -> tuple[Column, Column]:
         det = self.determinant
-        if not abs(det) >= 1e-12 or abs(det) == float("inf"):
+        if isinstance(det, Column):
+            det = F.when((F.abs(det) >= 1e-12) & (F.abs(det) != float("inf")), det).otherwise(F.raise_error(F.lit("the transform cannot be inverted")))
+        elif not abs(det) >= 1e-12 or abs(det) == float("inf"):
             raise ValueError("the transform cannot be inverted")
         u, v = x - self.tx, y - self.ty
         return (u * self.d - v * self.b) / det, (v * self.a - u * self.c) / det
 
 
+#: Columns that ``ImageScales.on`` adds.
+SCALE = ("_a", "_b", "_tx", "_c", "_d", "_ty", "_z0", "_z_step")
+
+
+@dataclass(frozen=True)
+class ImageScales:
+    """Transforms, and z of planes, of many images: one row (image_id and ``SCALE``) for each. What has no row here
+    has no place on the stage and goes."""
+
+    table: DataFrame
+
+    @classmethod
+    def from_overviews(cls, images: DataFrame) -> ImageScales:
+        """From the images' metadata: image_id, stage_x, stage_y, px_x, px_y, width, height, z0 (of plane 0), z_step, and,
+        where they are not all false, centred, invert_x, invert_y. Rules as those of ``Affine.from_overview``."""
+        flag = lambda n: F.col(n) if n in images.columns else F.lit(False)
+        a, d = (F.when(flag(f"invert_{k}"), -F.col(f"px_{k}")).otherwise(F.col(f"px_{k}")) for k in "xy")
+        half = lambda n: F.when(flag("centred"), (F.col(n) - 1) / 2).otherwise(0.0)
+        zero = F.lit(0.0)
+        values = (a, zero, F.col("stage_x") - a * half("width"), zero, d, F.col("stage_y") - d * half("height"), F.col("z0"), F.col("z_step"))
+        return cls(images.select("image_id", *[v.cast("double").alias(n) for n, v in zip(SCALE, values, strict=True)]))
+
+    def on(self, df: DataFrame) -> tuple[DataFrame, Affine, Column, Column]:
+        """Rows with the scale of their image, and transform, z of plane 0 and z step as columns of it."""
+        *six, z0, step = (F.col(n) for n in SCALE)
+        return df.join(self.table, "image_id"), Affine(*six), z0, step
+
+
+def scaled(df: DataFrame, tr: Affine | ImageScales, z0: float, z_step: float) -> tuple[DataFrame, Affine, Column, Column]:
+    """``df``, transform, z of plane 0 and z step: the same for all images, or those of each row's image."""
+    return tr.on(df) if isinstance(tr, ImageScales) else (df, tr, F.lit(z0), F.lit(z_step))
+
+
 @dataclass(frozen=True)
 class Tile:
     """An acquisition tile in pixels, with its pixel size and overlap."""

@@ -36,7 +36,8 @@ def label_components(mask: DataFrame, width: int, connectivity: int = 8) -> Data
     """``mask`` (image_id, y, x, ...) with ``label``: the least y * width + x of its component.
 
     Runs of pixels along x are found by a window over rows; touching runs of neighbouring rows are linked
-    by an equi-join on the row, and only runs are labelled by rounds. Images and rows share the work."""
+    by an equi-join on the row and on cells of ``RUN_CELL`` columns, so a run meets those near it alone, and only
+    runs are labelled by rounds. Images and rows share the work."""
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
     reach = 1 if connectivity == 8 else 0
@@ -44,14 +45,28 @@ def label_components(mask: DataFrame, width: int, connectivity: int = 8) -> Data
     # the id of a run: image and first pixel; images are numbered by hash so that ids are longs
     runs = m.groupBy("image_id", "y", "_k").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     runs = cut(runs.withColumn("rid", F.struct("image_id", (F.col("y") * F.lit(width).cast("long") + F.col("x0")).alias("p"))))
-    a, b = runs.alias("a"), runs.alias("b")
-    touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)
-    edges = a.join(b, touch).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
+    edges = touching_runs(runs, reach)
     roots = component_roots(edges)
     runs = runs.join(roots, runs["rid"] == roots["id"], "left").select("image_id", "y", "_k", F.coalesce("label.p", "rid.p").alias("label"))
     return m.join(runs, ["image_id", "y", "_k"]).drop("_k")
 
 
+#: Columns of a cell in which runs of neighbouring rows meet.
+RUN_CELL = 64
+
+
+def touching_runs(runs: DataFrame, reach: int) -> DataFrame:
+    """(a, b): ``rid`` of the runs (image_id, y, x0, x1, rid) that touch one of the next row, with ``reach`` 1 also at
+    corners. Both are dealt to the cells that they meet; a pair counts in the first that both meet."""
+    cell = lambda c: F.floor(c / RUN_CELL)
+    cells = lambda r: F.explode(F.sequence(cell(F.col("x0") - r), cell(F.col("x1") + r)))
+    upper = runs.select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("ax0"), F.col("x1").alias("ax1"), F.col("rid").alias("a"), cells(reach).alias("cell"))
+    lower = runs.select("image_id", "y", "x0", "x1", F.col("rid").alias("b"), cells(0).alias("cell"))
+    touch = (F.col("x0") <= F.col("ax1") + reach) & (F.col("x1") >= F.col("ax0") - reach)
+    first = F.col("cell") == cell(F.greatest(F.col("ax0") - reach, F.col("x0")))
+    return upper.join(lower, ["image_id", "y", "cell"]).where(touch & first).select("a", "b")
+
+
 def single_linkage(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """``points`` with ``group_id``: the least id of the points of its image that chains of ``pairs`` (a, b) reach."""
     image = images(points, pairs)

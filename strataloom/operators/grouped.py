@@ -164,7 +164,8 @@ def grown_selections(objects: DataFrame, n: int, tile: Tile, seeds: int = 24) ->
 
 
 def by_object(pixels: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` on each object's pixels (y, x) in its image: the object's keys with the columns of ``schema``."""
+    """``run`` on each object's pixels (y, x, and um where they have it) in its image: the object's keys with the
+    columns of ``schema``."""
     keys = [*images(pixels), "label"]
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +175,8 @@ def by_object(pixels: DataFrame, run, schema: str) -> DataFrame:
         return out
 
     kinds = dict(pixels.dtypes)
-    return pixels.select(*keys, "y", "x").groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
+    more = [c for c in ("um",) if c in pixels.columns]
+    return pixels.select(*keys, "y", "x", *more).groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -350,7 +352,8 @@ def _box(part: np.ndarray) -> np.ndarray:
 
 
 def region_polygons(pixels: DataFrame, boundary: str = "alpha_shape", tolerance: float = 0.0, radius: float = 0.0) -> DataFrame:
-    """(label, part, k, x, y): polygons around pixels (label, y, x), simplified within ``tolerance`` pixels.
+    """(label, part, k, x, y): polygons around pixels (label, y, x), simplified within ``tolerance`` pixels. Where
+    pixels have a column ``um``, their size, tolerance and radius are lengths in that unit.
 
     A label with one outline follows it. With several, ``alpha_shape`` gives the islands of an alpha shape of
     ``radius`` pixels as parts, and ``mask_contour`` the hull around all; ``hull`` always gives the hull of
@@ -360,7 +363,7 @@ def region_polygons(pixels: DataFrame, boundary: str = "alpha_shape", tolerance:
     if boundary not in ("alpha_shape", "mask_contour", "hull"):
         raise ValueError(f"unknown boundary {boundary!r}")
 
-    def around(mask):
+    def around(mask, tolerance, radius):
         boxes = lambda: (lambda part, n: [_box(part == i) for i in range(1, n + 1)])(*islands(mask))
         if boundary == "hull":
             ys, xs = np.nonzero(mask)
@@ -379,7 +382,8 @@ def region_polygons(pixels: DataFrame, boundary: str = "alpha_shape", tolerance:
         x0, y0 = df["x"].min(), df["y"].min()
         mask = np.zeros((df["y"].max() - y0 + 1, df["x"].max() - x0 + 1), bool)
         mask[df["y"] - y0, df["x"] - x0] = True
-        out = sorted(around(mask), key=lambda r: (r[:, 1].min(), r[:, 0].min()))
+        um = float(df["um"].iloc[0]) if "um" in df else 1.0
+        out = sorted(around(mask, tolerance / um, radius / um), key=lambda r: (r[:, 1].min(), r[:, 0].min()))
         rows = [(i, k, x + x0, y + y0) for i, r in enumerate(out, 1) for k, (x, y) in enumerate(r)]
         return pd.DataFrame(rows, columns=["part", "k", "x", "y"])
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 
 def project_max(voxels: DataFrame) -> DataFrame:
     """Greatest value over z and the least z that has it, by running fold: a NaN of plane 0 stays, other
@@ -44,8 +46,64 @@ def with_threshold(pixels: DataFrame, absolute: float | None = None, percentile:
         raise ValueError("a threshold needs an absolute value or a percentile")
     if absolute is not None:
         return pixels.where(F.col("v") >= absolute)
-    cut = pixels.groupBy("image_id").agg(F.percentile("v", F.lit(percentile / 100)).alias("_t"))
-    return pixels.join(cut, "image_id").where(F.col("v") >= F.col("_t")).drop("_t")
+    level = percentiles(pixels, {"_t": percentile / 100})
+    return pixels.join(level, "image_id").where(F.col("v") >= F.col("_t")).drop("_t")
+
+
+#: Values of one image that a task may gather for its percentiles; those of larger images are searched by bins.
+GATHER = 1_000_000
+#: Bins of each step of that search.
+STEPS = 1024
+#: Rows of images and ranks to broadcast, at most.
+RANKS = 100_000
+LARGEST = float(np.finfo(float).max)
+
+
+def percentiles(pixels: DataFrame, fractions: dict[str, float], gather: int = GATHER) -> DataFrame:
+    """(image_id, a column for each fraction): percentiles of ``v`` by image with linear interpolation, exactly.
+    NaN is the greatest value; nulls don't count."""
+    v = pixels.where(F.col("v").isNotNull()).select("image_id", F.col("v").cast("double").alias("v"))
+    n = v.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.isnan("v"), 1)).alias("m"))
+    if (n.agg(F.max("n")).first()[0] or 0) <= gather:
+        return v.groupBy("image_id").agg(*[F.percentile("v", F.lit(f)).alias(name) for name, f in fractions.items()])
+    n, v = cut(n), cut(v)  # read at each step
+    at = lambda f: F.lit(float(f)) * (F.col("n") - 1)
+    ranks = n.withColumn("rank", F.explode(F.array_distinct(F.array(*[e(at(f)).cast("long") for f in fractions.values() for e in (F.floor, F.ceil)])))).where("rank < m")
+    found = order_statistics(v.where(~F.isnan("v")), ranks.select("image_id", "rank"))
+    by = found.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+
+    def level(f: float) -> Column:
+        low, high = (F.coalesce(F.try_element_at("at", e(at(f)).cast("long")), F.lit(float("nan"))) for e in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise((F.ceil(at(f)) - at(f)) * low + (at(f) - F.floor(at(f))) * high)
+
+    return n.join(by, "image_id", "left").select("image_id", *[level(f).alias(name) for name, f in fractions.items()])
+
+
+def order_statistics(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(image_id, rank, v): the value of each rank, from 0, among the values (image_id, v) of its image.
+
+    Each step counts the values between two bounds in bins and keeps the bin with the rank, until it holds one
+    value alone. Only counts are shuffled; a step's bins are ``STEPS`` at most for each image and rank."""
+    v = values.select("image_id", F.greatest(F.least("v", F.lit(LARGEST)), F.lit(-LARGEST)).alias("v"))
+    ends = v.groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    left = cut(ranks.join(ends, "image_id").select("image_id", "rank", F.lit(0).cast("long").alias("below"), "lo", "hi"))
+    small = left.count() <= RANKS
+    whole = F.col("hi") - F.col("lo") < float("inf")
+    share = F.when(whole, (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+    upto = F.sum("n").over(Window.partitionBy("image_id", "rank").orderBy("bin"))
+    done = None
+    while True:
+        settled = left.where("lo = hi")
+        done = settled if done is None else done.unionByName(settled)
+        left = left.where("lo < hi")
+        if not left.head(1):
+            break
+        inside = v.join(F.broadcast(left) if small else left, "image_id").where(F.col("v").between(F.col("lo"), F.col("hi")))
+        b = inside.groupBy("image_id", "rank", "below", F.least(F.floor(share * STEPS), F.lit(STEPS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        b = b.withColumn("upto", F.col("below") + upto).where("upto > rank and upto - n <= rank")
+        left = cut(b.select("image_id", "rank", (F.col("upto") - F.col("n")).alias("below"), "lo", "hi"))
+    infinite = F.when(F.col("lo") == LARGEST, float("inf")).when(F.col("lo") == -LARGEST, float("-inf")).otherwise(F.col("lo"))
+    return done.select("image_id", "rank", infinite.alias("v"))
 
 
 def histogram(values: DataFrame, lo: float, hi: float, bins: int, value: str = "v") -> DataFrame:
@@ -156,8 +214,9 @@ def resample_bilinear(pixels: DataFrame, shape_in: tuple[int, int], shape_out: t
 def display_limits(pixels: DataFrame) -> DataFrame:
     """0 and the 99.99th percentile of the finite values of each image, else the maximum, else 1."""
     ok = pixels.where(~F.isnan(F.col("v").cast("double")) & (F.abs(F.col("v").cast("double")) != float("inf")))
-    p, m = F.percentile("v", F.lit(0.9999)), F.max("v").cast("double")
-    return ok.groupBy("image_id").agg(F.lit(0.0).alias("low"), F.when(p > 0, p).when(m > 0, m).otherwise(1.0).alias("high"))
+    both = percentiles(ok, {"p": 0.9999}).join(ok.groupBy("image_id").agg(F.max("v").cast("double").alias("m")), "image_id")
+    p, m = F.col("p"), F.col("m")
+    return both.select("image_id", F.lit(0.0).alias("low"), F.when(p > 0, p).when(m > 0, m).otherwise(1.0).alias("high"))
 
 
 def z_positions(planes: DataFrame, n: int, step: float | None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Tile, tiles_for_span
@@ -77,7 +79,14 @@ def rectangles_over(boxes: DataFrame, tile: Tile) -> DataFrame:
     return boxes.select(*images(boxes), "id", ((F.col("min_x") + F.col("max_x")) / 2).alias("center_x"), ((F.col("min_y") + F.col("max_y")) / 2).alias("center_y"), ((nx - 1) * tile.step_x + tile.width).alias("width"), ((ny - 1) * tile.step_y + tile.height).alias("height"), (nx * ny).alias("tiles"))
 
 
-def tile_coverage(pixels: DataFrame, tiles: DataFrame, tile: Tile) -> DataFrame:
+class Extent(NamedTuple):
+    """Width and height of tiles, as columns where they differ."""
+
+    width: float | Column
+    height: float | Column
+
+
+def tile_coverage(pixels: DataFrame, tiles: DataFrame, tile: Tile | Extent) -> DataFrame:
     """Pixels in tiles of their image: (id, ordinal, y, x) for tiles in pixel units whose window [floor(min), ceil(max)],
     both ends in, holds the pixel. Tiles are dealt to the cells they meet."""
     cell = lambda c: F.floor(c / CELL)

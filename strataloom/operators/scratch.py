@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder that the session names; one is
-    made only where none is named."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; one is made only where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="strataloom-"))
-        spark.sparkContext.setCheckpointDir(_own[0])
+        base = _own[0]
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Affine, Tile, finite_or_zero, slice_bounds
+from ..functions.geometry import SCALE, Affine, ImageScales, Tile, finite_or_zero, scaled, slice_bounds
 from ..operators import grouped, joins, objects, raster, regions
 from ..operators.components import single_linkage
 from ..operators.scratch import cut
@@ -47,21 +47,23 @@ class Planning:
         return modes.Mode(self.output, self.grouping, self.z, self.optimisation)
 
 
-def measured_components(labels: DataFrame, classes: DataFrame, tr: Affine, p: Planning, z0: float, z_step: float) -> DataFrame:
+def measured_components(labels: DataFrame, classes: DataFrame, tr: Affine | ImageScales, p: Planning, z0: float, z_step: float) -> DataFrame:
     """Components (image_id, id, px, x, y, min_x.., z) in stage units; z from the modal plane of in-class pixels."""
     o = objects.measure(labels).where(F.col("area") >= p.min_area)
     inside = labels.select("image_id", "y", "x", "label").join(classes.select("image_id", "y", "x", "argmax_z", "cls"), ["image_id", "y", "x"])
     z = objects.modal_z(inside, ["image_id", "label"], p.classes)
+    o, tr, z0, z_step = scaled(o, tr, z0, z_step)
     x, y = tr.apply(F.col("centroid_x"), F.col("centroid_y"))
     box = slice_bounds(tr, F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y"))
-    um = F.lit(z0) if p.z == "overview" else F.coalesce(F.col("z") * z_step + z0, F.lit(z0))
+    um = z0 if p.z == "overview" else F.coalesce(F.col("z") * z_step + z0, z0)
     return o.join(z, ["image_id", "label"], "left").select("image_id", F.col("label").alias("id"), "area", x.alias("x"), y.alias("y"), *[c.alias(n) for n, c in box.items()], um.alias("z"))
 
 
-def pixel_rows(labels: DataFrame, tr: Affine) -> DataFrame:
+def pixel_rows(labels: DataFrame, tr: Affine | ImageScales) -> DataFrame:
     """(image_id, id, cells): the stage boxes of each component's runs of pixels, row by row, at pixel centres."""
     w = Window.partitionBy("image_id", "label", "y").orderBy("x")
     runs = labels.withColumn("_k", F.col("x") - F.row_number().over(w)).groupBy("image_id", "label", "y", "_k").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    runs, tr, *_ = scaled(runs, tr, 0.0, 0.0)
     (ax, ay), (bx, by) = tr.apply(F.col("x0"), F.col("y")), tr.apply(F.col("x1"), F.col("y"))
     box = F.array(F.least(ax, bx), F.greatest(ax, bx), F.least(ay, by), F.greatest(ay, by))
     return runs.groupBy("image_id", F.col("label").alias("id")).agg(F.collect_list(box).alias("cells"))
@@ -85,15 +87,17 @@ def group_components(c: DataFrame, tile: Tile, p: Planning, cells: DataFrame | N
     return g
 
 
-def covered_pixels(pixels: DataFrame, tiles: DataFrame, tr: Affine, tile: Tile) -> DataFrame:
+def covered_pixels(pixels: DataFrame, tiles: DataFrame, tr: Affine | ImageScales, tile: Tile) -> DataFrame:
     """Pixels in the pixel windows of tiles (id, ordinal, center_x, center_y) of their image, given in stage units,
     under a transform without rotation."""
+    tiles, tr, *_ = scaled(tiles, tr, 0.0, 0.0)
     x, y = tr.invert(F.col("center_x"), F.col("center_y"))
-    in_px = Tile(1, 1, tile.width / abs(tr.a), tile.height / abs(tr.d), tile.overlap)
-    return regions.tile_coverage(pixels, tiles.select(*joins.images(tiles), "id", "ordinal", x.alias("center_x"), y.alias("center_y")), in_px)
+    size = [(F.lit(n) / F.abs(F.lit(k))).alias(f"_{c}") for n, k, c in ((tile.width, tr.a, "w"), (tile.height, tr.d, "h"))]
+    in_px = tiles.select(*joins.images(tiles), "id", "ordinal", x.alias("center_x"), y.alias("center_y"), *size)
+    return regions.tile_coverage(pixels, in_px, regions.Extent(F.col("_w"), F.col("_h")))
 
 
-def with_region_z(found: DataFrame, tiles: DataFrame, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, z0: float, z_step: float) -> DataFrame:
+def with_region_z(found: DataFrame, tiles: DataFrame, classes: DataFrame, tr: Affine | ImageScales, tile: Tile, p: Planning, z0: float, z_step: float) -> DataFrame:
     """Regions (id, z, ...) with z from the modal plane of all in-class pixels of their image under their tiles,
     detected or not; a region without any keeps its z."""
     image = joins.images(found, tiles, classes)
@@ -101,12 +105,18 @@ def with_region_z(found: DataFrame, tiles: DataFrame, classes: DataFrame, tr: Af
     inside = classes.where(F.col("cls").isin(*p.classes)).select(*image, "y", "x", "argmax_z")
     seen = covered_pixels(inside, tiles if image else tiles.drop("image_id"), tr, tile).select(*key, "y", "x", "argmax_z").distinct()
     z = objects.modal_z(seen, key).withColumnRenamed("z", "plane")
-    return found.join(z, key, "left").withColumn("z", F.coalesce(F.col("plane") * z_step + z0, F.col("z"))).drop("plane")
+    return with_plane_z(found.join(z, key, "left"), tr, z0, z_step)
 
 
-def plan_targets(labels: DataFrame, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, z0: float = 100.0, z_step: float = 5.0, final_z: bool = True) -> DataFrame:
+def with_plane_z(found: DataFrame, tr: Affine | ImageScales, z0: float, z_step: float) -> DataFrame:
+    """``found`` with z from its ``plane``, where it has one."""
+    found, _, z0, z_step = scaled(found, tr, z0, z_step)
+    return found.withColumn("z", F.coalesce(F.col("plane") * z_step + z0, F.col("z"))).drop("plane", *SCALE)
+
+
+def plan_targets(labels: DataFrame, classes: DataFrame, tr: Affine | ImageScales, tile: Tile, p: Planning, z0: float = 100.0, z_step: float = 5.0, final_z: bool = True) -> DataFrame:
     """The target table of labelled masks under a planning mode, with ``image_id``: each image has a plan of its
-    own, under one transform. Without ``final_z`` regions keep the z of their groups, as in a review."""
+    own, under one transform and z scale or, with ``ImageScales``, its own. Without ``final_z`` regions keep the z of their groups, as in a review."""
     p.mode  # noqa: B018  refuses choices that don't go together
     at = ["image_id", "id"]
     # objects and groups are few beside the pixels that they come from, and are read many times below
@@ -127,7 +137,7 @@ def plan_targets(labels: DataFrame, classes: DataFrame, tr: Affine, tile: Tile,
             px = labels.join(mine, ["image_id", "label"]).select("image_id", "y", "x", "group_id", "argmax_z", "cls")
             cover = covered_pixels(px, t, tr, tile).where(F.col("id") == F.col("group_id"))
             z = objects.modal_z(cover, [*at, "ordinal"], p.classes).withColumnRenamed("z", "plane")
-            t = t.join(cover.select(*at, "ordinal").distinct(), [*at, "ordinal"]).join(z, [*at, "ordinal"], "left").withColumn("z", F.coalesce(F.col("plane") * z_step + z0, F.col("z")))
+            t = with_plane_z(t.join(cover.select(*at, "ordinal").distinct(), [*at, "ordinal"]).join(z, [*at, "ordinal"], "left"), tr, z0, z_step)
         return _named(t.select(F.lit("point").alias("kind"), *at, "ordinal", F.col("center_x").alias("x"), F.col("center_y").alias("y"), "z"), p)
     if p.output == "rectangular_regions":
         r = regions.rectangles_over(dots, tile).join(dots.select(*at, "z"), at)
@@ -136,9 +146,11 @@ def plan_targets(labels: DataFrame, classes: DataFrame, tr: Affine, tile: Tile,
             r = with_region_z(r, regions.tile_lattice(grid, tile), classes, tr, tile, p, z0, z_step)
         return _named(r.select(F.lit("rectangle").alias("kind"), *at, F.col("center_x").alias("x"), F.col("center_y").alias("y"), "z", "width", "height"), p)
     px = labels.join(mine, ["image_id", "label"]).select("image_id", F.col("group_id").alias("label"), "y", "x")
-    um = max(np.hypot(tr.a, tr.c), np.hypot(tr.b, tr.d))  # of a pixel
-    h = grouped.region_polygons(px, p.boundary, p.simplify_um / um, min(tile.width, tile.height) * p.alpha_fraction / um)
-    sx, sy = tr.apply(F.col("x"), F.col("y"))
+    px, t, *_ = scaled(px, tr, z0, z_step)
+    um = F.greatest(F.hypot(F.lit(t.a), F.lit(t.c)), F.hypot(F.lit(t.b), F.lit(t.d)))  # of a pixel
+    h = grouped.region_polygons(px.withColumn("um", um).drop(*SCALE), p.boundary, p.simplify_um, min(tile.width, tile.height) * p.alpha_fraction)
+    h, t, *_ = scaled(h, tr, z0, z_step)
+    sx, sy = t.apply(F.col("x"), F.col("y"))
     # a group may give several polygons, each a region with a z of its own
     v = h.select("image_id", F.struct(F.col("label").alias("g"), "part").alias("id"), "k", sx.alias("x"), sy.alias("y"))
     rings = v.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v")).withColumn("g", F.col("id.g"))
@@ -159,7 +171,7 @@ def _named(t: DataFrame, p: Planning) -> DataFrame:
     return empty.unionByName(t, allowMissingColumns=True).select("image_id", *tables.COLUMNS)
 
 
-def review_plan(labels: DataFrame, kept: DataFrame, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, z0: float = 100.0, z_step: float = 5.0) -> tuple[DataFrame, DataFrame]:
+def review_plan(labels: DataFrame, kept: DataFrame, classes: DataFrame, tr: Affine | ImageScales, tile: Tile, p: Planning, z0: float = 100.0, z_step: float = 5.0) -> tuple[DataFrame, DataFrame]:
     """A plan for the objects (image_id, label) that a review keeps, without the regions' final z, and its summary,
     one row: targets, tiles and groups, zeros without objects. A mode that needs z refuses classes without it."""
     if p.mode.needs_z and "argmax_z" not in classes.columns:
@@ -249,10 +261,11 @@ def signal_histogram(pixels: DataFrame, bins: int = 500) -> dict:
     """The fitted histogram of one image's valid pixels: floor, threshold, upper, parameters of background and
     signal, and the rows of the search range, from the threshold on: centres, counts and signal, smoothed."""
     ok = pixels.where(raster.valid(F.col("v"))).select(F.col("v").cast("double").alias("v"))
-    f = ok.agg(F.min("v"), F.percentile("v", F.lit(0.998)), F.percentile("v", F.lit(0.9)), F.max("v")).first()
+    f = ok.agg(F.min("v"), F.max("v")).first()
     if f[0] is None:
         raise ValueError("no valid pixel")
-    floor, upper = f[0], f[1] if f[1] > f[0] else f[3]
+    high, seed = raster.percentiles(ok.withColumn("image_id", F.lit(0)), {"high": 0.998, "seed": 0.9}).select("high", "seed").first()
+    floor, upper = f[0], high if high > f[0] else f[1]
     if upper <= floor:
         raise ValueError("the image is flat")
 
@@ -264,7 +277,7 @@ def signal_histogram(pixels: DataFrame, bins: int = 500) -> dict:
         return lo + (got[:, 0] + 0.5) * (hi - lo) / n, got[:, 1], got[:, 2]
 
     centres, smooth, counts = rows(floor, upper, 32)
-    a, lam, b, mean, sigma = fit_mixture(centres, smooth, floor, upper, f[2])
+    a, lam, b, mean, sigma = fit_mixture(centres, smooth, floor, upper, seed)
 
     def background(x):
         s = np.maximum(x - floor, 0)
