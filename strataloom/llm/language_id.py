@@ -21,9 +21,9 @@ from .common import discard, materialize, mix64, text_chunks
 
 BITS = 15
 DIM = 1 << BITS
-#: Bounds of what the driver gathers to train on: the expected number of documents, and of each its heaviest
-#: n-grams, of 8 bytes each: 79 MB at most. Predictions use all n-grams of the whole text.
-SAMPLE, SAMPLE_GRAMS = 2400, 4096
+#: Bounds of what the driver gathers to train on: the expected number of documents, and the bytes of their n-grams, all
+#: of each document, 8 for each. Where these would be more, fewer documents are drawn.
+SAMPLE, SAMPLE_BYTES = 2400, 80 << 20
 #: The languages that are learnt are the commonest values, as many as this; weights take 262 kB for each.
 LANGUAGES = 256
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 2e-3, 1e-3
@@ -74,14 +74,6 @@ def tfidf(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
     return [(feature[a:b], value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def heaviest(feature: np.ndarray, value: np.ndarray, most: int = SAMPLE_GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` greatest values, the first ones on ties, in the order of features."""
-    if len(value) <= most:
-        return feature, value
-    top = np.sort(np.argsort(-value, kind="stable")[:most])
-    return feature[top], value[top]
-
-
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int) -> np.ndarray:
     """FTRL-proximal weights (DIM + 1, classes); the last row is the bias, without penalties."""
     z, n = np.zeros((DIM + 1, classes)), np.zeros((DIM + 1, classes))
@@ -181,16 +173,24 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 
     # a seeded share of each language: even shares of the sample, or all its documents where they are fewer
     share = F.create_map(*[F.lit(y) for x in names for y in (x, min(1.0, sample / len(names) / languages[x]))])
-    drawn = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = good.where(drawn < F.element_at(share, F.col("lang")))
+    text = F.xxhash64("text")
+    drawn = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)) / F.element_at(share, F.col("lang"))
+    # keys first, so that repeated rows count once and the number is bounded whatever the hashes
+    keys = good.withColumn("drawn", drawn).where("drawn < 1").select("doc_id", text.alias("hash"), "drawn").distinct().orderBy("drawn", "hash", "doc_id").limit(2 * sample)
+    same = F.coalesce(F.col("doc_id"), F.lit(0)).eqNullSafe(F.coalesce(F.col("k_id"), F.lit(0))) & F.col("doc_id").isNull().eqNullSafe(F.col("k_id").isNull())
+    picked = good.withColumn("hash", text).join(F.broadcast(keys.select(F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash"), "drawn")), (F.col("hash") == F.col("k_hash")) & same)
+    picked = picked.dropDuplicates(["doc_id", "hash", "lang"]).select("doc_id", "text", "lang", "drawn")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, 1):
-            rows = [heaviest(*r) for r in tfidf(b.column(1).to_pylist(), idf)]
-            cols = [b.column(0).cast(pa.int64()), b.column(2), *(pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in ((0, np.int32), (1, np.float32)))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "f", "v"])
-
-    rows = picked.mapInArrow(features, "doc_id long, lang string, f binary, v binary").collect()
+            rows = tfidf(b.column(1).to_pylist(), idf)
+            cols = [b.column(0).cast(pa.int64()), b.column(2), b.column(3), *(pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in ((0, np.int32), (1, np.float32)))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "drawn", "f", "v"])
+
+    found = materialize(picked.mapInArrow(features, "doc_id long, lang string, drawn double, f binary, v binary"), "sample")
+    size = found.agg(F.sum(F.octet_length("f") + F.octet_length("v"))).first()[0] or 0
+    rows = (found if size <= SAMPLE_BYTES else found.where(F.col("drawn") < SAMPLE_BYTES / size)).collect()
+    discard(found)
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["f"], r["v"]))
     x = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32).astype(float)) for r in rows]
     y = np.asarray([names.index(r["lang"]) for r in rows], np.int64)

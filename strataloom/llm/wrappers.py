@@ -31,13 +31,17 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, maybe_broadcast, text_chunks
 
-#: The commonest structures of a host get a reference page each, as many as this.
+#: A host's commonest structures, as many as this, get a reference page each that serves all its pages; every other
+#: structure that enough pages have gets one for its own pages.
 REFERENCES = 4
 BROADCAST_BYTES = 16 << 20
 #: A node is template if at least these many pages have it, with one text in this share of them.
 LEAST_PAGES, CONSTANT_SHARE = 4, 0.6
-#: The region goes down to a child that holds this share of its parent's varying text.
-DOMINANT = 0.5
+#: The region goes down to a child that holds this share of its parent's varying text, if no sibling has this much.
+DOMINANT, BESIDE = 0.5, 0.1
+#: Repeated items are a thread if the last comes on at most this share of the pages of the first, or if an item begins
+#: with a text of at most so many characters, such as a name.
+FADING, NAME = 0.7, 30
 #: Cells of one alignment table at a time; longer child lists are halved first, which loses no pair.
 CELLS = 1 << 20
 
@@ -470,11 +474,30 @@ def induce(skeleton: str, slots: list[dict]) -> tuple[list[int], list[dict]]:
         total[tree.parent[i]] += total[i]
     if not total[0]:
         return [], fixed
+    seen, first = [0] * len(tree.tag), [0.0] * len(tree.tag)  # most pages of a slot of an element; characters of its first
+    for s in slots:
+        seen[s["at"] >> 1] = max(seen[s["at"] >> 1], s["pages"])
+        first[s["at"] >> 1] = max(first[s["at"] >> 1], s["mass"] / max(s["pages"], 1))
+    for i in range(len(seen) - 1, 0, -1):
+        up = tree.parent[i]
+        seen[up] = max(seen[up], seen[i])
+        first[up] = first[i] or first[up]  # from the last child to the first
     region, beside, here = [0], [], 0
     while True:
-        kids = [c for c in tree.children[here] if tree.tag[c] not in PIECES]
+        kids = [c for c in tree.children[here] if tree.tag[c] not in PIECES and total[c] > 0]
+        threads = [c for c in kids if thread(tree, c, seen, first)]
+        kids = [c for c in kids if c not in threads] or kids
+        held = sum(total[c] for c in kids)
+        pieces = total[here] - held - sum(total[c] for c in threads if c not in kids)
         top = max(kids, key=lambda c: total[c], default=None)
-        if top is None or total[top] < DOMINANT * total[here]:
+        if top is None or total[top] < DOMINANT * (held + pieces):
+            if threads and kids != threads:  # all but the threads
+                region = [c for c in tree.children[here] if c not in threads]
+            break
+        others = [c for c in kids if c != top and total[c] >= BESIDE * (held + pieces)]
+        if others:
+            region = sorted([top, *others])
+            beside += [c for c in tree.children[here] if c < region[-1] and tree.tag[c] in HEADINGS and c in varying]
             break
         beside += [c for c in tree.children[here] if c < top and tree.tag[c] in HEADINGS and c in varying]
         here = top
@@ -482,6 +505,26 @@ def induce(skeleton: str, slots: list[dict]) -> tuple[list[int], list[dict]]:
     return region + beside, fixed
 
 
+def thread(tree: Tree, node: int, seen: list[int], first: list[float]) -> bool:
+    """Whether an element is a list of like items without headings, as reader comments are: most of its children that
+    hold others have one shape, and either later ones come on fewer pages or each begins with a name."""
+    items = [c for c in tree.children[node] if tree.children[c]]
+    by = defaultdict(list)
+    for c in items:
+        by[tree.shape[c]].append(c)
+    like = max(by.values(), key=len, default=[])
+    if len(like) < 2 or 5 * len(like) < 3 * len(tree.children[node]):
+        return False
+    todo = list(like)
+    while todo:
+        c = todo.pop()
+        if tree.tag[c] in HEADINGS:
+            return False
+        todo += tree.children[c]
+    fades = min(seen[c] for c in like) <= FADING * max(seen[c] for c in like)
+    return fades or all(len(tree.children[c]) > 1 and 0 < first[c] <= NAME for c in like)
+
+
 def _text_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
@@ -515,11 +558,23 @@ def _read(pages: DataFrame) -> DataFrame:
 
 
 def _references(read: DataFrame) -> DataFrame:
-    """(_h, refs): the references of each host, one page of each of its commonest structures."""
+    """(host, k, key, skeleton): the references of each host, one page of each of its structures that at least
+    LEAST_PAGES pages have or that are among its REFERENCES commonest; k is the rank."""
     kinds = read.where(F.col("host") != "").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("same", "skeleton").alias("h"), "skeleton"))["skeleton"].alias("skeleton"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.col("n").desc(), "key"))
-    kinds = kinds.withColumn("k", rank.cast("int")).where(F.col("k") <= REFERENCES)
-    return kinds.groupBy(F.col("host").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("k", "key", "skeleton"))).alias("refs"))
+    kinds = kinds.withColumn("k", rank.cast("int")).where((F.col("k") <= REFERENCES) | (F.col("n") >= LEAST_PAGES))
+    return kinds.select("host", "k", "key", "skeleton")
+
+
+def _with_references(pages: DataFrame, refs: DataFrame, weight: int, how: str) -> DataFrame:
+    """``pages`` (host, key, ...) with ``refs``: their host's common references and that of their own structure."""
+    r = F.struct(*[c for c in refs.columns if c != "host"])
+    common = refs.where(F.col("k") <= REFERENCES).groupBy(F.col("host").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("k", r.alias("r")))).alias("_c"))
+    own = refs.where(F.col("k") > REFERENCES).select(F.col("host").alias("_oh"), F.col("key").alias("_ok"), F.array(r).alias("_own"))
+    d = pages.join(maybe_broadcast(common, weight, BROADCAST_BYTES), F.col("host") == F.col("_h"), how)
+    d = d.join(maybe_broadcast(own, weight, BROADCAST_BYTES), (F.col("host") == F.col("_oh")) & (F.col("key") == F.col("_ok")), "left")
+    every = F.when(F.col("_own").isNull(), F.transform("_c", lambda x: x["r"])).otherwise(F.concat(F.transform("_c", lambda x: x["r"]), "_own"))
+    return d.withColumn("refs", every).drop("_h", "_c", "_oh", "_ok", "_own")
 
 
 def _slots(read: DataFrame, refs: DataFrame, weight: int) -> DataFrame:
@@ -527,7 +582,7 @@ def _slots(read: DataFrame, refs: DataFrame, weight: int) -> DataFrame:
     texts are there, how often the commonest comes, which it is, and the characters outside links and outside
     regions that by their names are no article. Pages of equal blocks count once, so copies of one article
     don't pass for a template. Only hashes and counts travel."""
-    d = read.where(F.col("host") != "").join(maybe_broadcast(refs, weight, BROADCAST_BYTES), read["host"] == refs["_h"])
+    d = _with_references(read.where(F.col("host") != ""), refs, weight, "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner()
@@ -551,12 +606,11 @@ def _slots(read: DataFrame, refs: DataFrame, weight: int) -> DataFrame:
 
 
 def _wrappers(refs: DataFrame, slots: DataFrame, served: DataFrame) -> DataFrame:
-    """(_h, refs): per host its references with their wrappers, region null where too few pages are served.
+    """The references (host, k, key, skeleton) with their wrappers, region null where too few pages are served.
     A group has at most two entries for each element of a reference."""
     entry = F.struct("at", "pages", "top", "h", "mass")
     by = slots.groupBy("host", "k").agg(F.collect_list(entry).alias("slots"))
-    r = refs.select(F.col("_h").alias("host"), F.explode("refs").alias("r")).select("host", "r.k", "r.key", "r.skeleton")
-    r = r.join(by, ["host", "k"], "left").join(served, ["host"], "left")
+    r = refs.join(by, ["host", "k"], "left").join(served, ["host"], "left")
     cols = ["host", "k", "key", "skeleton", "pages", "slots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,8 +620,7 @@ def _wrappers(refs: DataFrame, slots: DataFrame, served: DataFrame) -> DataFrame
             kind = pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(region, pa.list_(pa.int32())), pa.array(fixed, kind)], ["host", "k", "key", "skeleton", "region", "fixed"])
 
-    w = r.select(cols).mapInArrow(run, "host string, k int, key long, skeleton string, region array<int>, fixed array<struct<at:int,h:bigint>>")
-    return w.groupBy(F.col("host").alias("_h")).agg(F.collect_list(F.struct("k", "key", "skeleton", "region", "fixed")).alias("refs"))
+    return r.select(cols).mapInArrow(run, "host string, k int, key long, skeleton string, region array<int>, fixed array<struct<at:int,h:bigint>>")
 
 
 def content(aligner: Aligner, page: str, key: int, found: list[dict], refs: list[dict] | None) -> list[bool]:
@@ -578,7 +631,7 @@ def content(aligner: Aligner, page: str, key: int, found: list[dict], refs: list
     if ref is None or not ref["region"]:
         return [x["ok"] for x in found]
     tree, region = aligner.tree(ref["skeleton"]), set(ref["region"])
-    if not any(w >= 0 and not w & 1 and w >> 1 == ref["region"][0] for w in where):
+    if not any(w >= 0 and not w & 1 and w >> 1 in region for w in where):
         return [x["ok"] for x in found]
     fixed = {(x["at"], x["h"]) for x in ref["fixed"]}
     out = []
@@ -601,15 +654,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     read = _read(pages)
     refs = materialize(_references(read), "references")
-    weigh = lambda d: d.agg(F.sum(F.aggregate("refs", F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r["skeleton"])))).first()[0] or 0
-    weight = weigh(refs)
+    weight = refs.agg(F.sum(F.octet_length("skeleton"))).first()[0] or 0
     slots = materialize(_slots(read, refs, weight), "slots")
     # equal pages count once here too
     served = read.where(F.col("host") != "").select("host", "same").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     wrappers = materialize(_wrappers(refs, slots, served), "wrappers")
     discard(refs, slots)
-    weight = wrappers.agg(F.sum(F.aggregate("refs", F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r["skeleton"]) + 12 * F.size(r["fixed"])))).first()[0] or 0
-    d = read.join(maybe_broadcast(wrappers, weight, BROADCAST_BYTES), read["host"] == wrappers["_h"], "left")
+    weight = wrappers.agg(F.sum(F.octet_length("skeleton") + 12 * F.size("fixed"))).first()[0] or 0
+    d = _with_references(read, wrappers, weight, "left")
     d = d.withColumn("blocks", F.transform("blocks", lambda x: F.struct(x["text"].alias("text"), x["at"].alias("at"), F.xxhash64(x["text"]).alias("h"), x["veto"].alias("veto"), x["ok"].alias("ok"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -232,6 +234,116 @@ def test_secrets(spark):
     assert ledger.rows().count() == 2 * len(texts) - 1
 
 
+def plain_spans(text):
+    """The base rules by hand, character by character."""
+    out = []
+    word = lambda i: next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[i : i + len(w)].isascii() and text[i : i + len(w)].lower() == w), None)
+    i = 0
+    while i < len(text):
+        j = i
+        if w := word(i):
+            j += len(w)
+            j += text[j : j + 1] in ('"', "'") and j < len(text)
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] in (":", "=") and j < len(text):
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                k = j
+                while k < len(text) and (text[k].isascii() and text[k].isalnum() or text[k] in "+/_.=-"):
+                    k += 1
+                if k > j:
+                    if k - j >= 8:
+                        out.append((i, 0, f"assign:{i}:{k}"))
+                    i = k
+                    continue
+        i += 1
+    for order, kind, first, rest, least in ((1, "access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), (2, "hex", "", "0123456789abcdef", 32)):
+        i = 0
+        while i < len(text):
+            k = i + len(first)
+            while text.startswith(first, i) and k < len(text) and text[k] in rest:
+                k += 1
+            if text.startswith(first, i) and k > i + len(first):
+                if k - i >= least:
+                    out.append((i, order, f"{kind}:{i}:{k}"))
+                i = k
+            else:
+                i += 1
+    return [x[2] for x in sorted(out)]
+
+
+def test_base_spans_equal_plain():
+    rng = random.Random(8)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "ApiKey", "apikeys", '"', "'", " ", "  ", ":", "=", "abcdefgh", "x1+/_.=-", "é", "ſecret", "AKIA", "AKIAABCDEFGHIJKLMN", "0123456789abcdef" * 2, "deadbeef", "G", "\n", "z"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert [f"{k}:{s}:{e}" for s, e, k, base in secrets.find_spans(text) if base] == plain_spans(text)
+
+
+def test_scans_take_linear_time():
+    for bit in ("eyJ", "eyJabcdefgh.", "AKIA", "token ", "token=", "xoxb-", "ghp_", "-----BEGIN A", "sk_live_", "AIza", "0123456789abcdeg"):
+        began = time.process_time()
+        secrets.find_spans(bit * ((1 << 20) // len(bit)))
+        assert time.process_time() - began < 5
+    more = {"jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM", "hook": "ghp_" + "a1" * 18, "chat": "xoxb-123456789012-abcdefghij", "cloud": "AIza" + "b" * 35, "pay": "sk_live_" + "c" * 24}
+    for kind, text in more.items():
+        assert [(k, s, e) for s, e, k, _ in secrets.find_spans(f"see {text} !")] == [(kind, 4, 4 + len(text))]
+
+
+def test_ledger_scans_a_pair_once(spark, monkeypatch):
+    """Steps and later scans leave known blobs alone; the same pair added twice counts once."""
+    d = spark.createDataFrame([(i, f"token=abcdefgh{i % 5}") for i in range(40)], "doc_id long, text string")
+    ledger = secrets.BlobLedger(spark)
+    got = secrets.scan_paths(d, ledger).collect()
+    assert len(got) == 40 and spark.read.parquet(ledger.path).count() == ledger.rows().count() == 5
+    ledger.rows().limit(3).write.mode("append").parquet(ledger.path + "-more")
+    spark.read.parquet(ledger.path + "-more").write.mode("append").parquet(ledger.path)  # as a scan at the same time would
+    assert spark.read.parquet(ledger.path).count() == 8
+    assert secrets.scan_paths(d, ledger).count() == 40 and spark.read.parquet(ledger.path).count() == 8
+    assert secrets.scan_paths(d, ledger, "next").count() == 40 and ledger.rows().count() == 10
+
+
+def test_training_equals_plain_ftrl():
+    """The update rule written out weight by weight."""
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4)) for _ in range(25)]
+    labels = np.asarray([int(f[0] > 3) + int(v[0] > 0.7) for f, v in rows])
+    z, n = defaultdict(float), defaultdict(float)
+    L = language_id
+
+    def weight(i, c):
+        l1 = 0.0 if i == L.DIM else L.L1
+        if abs(z[i, c]) <= l1:
+            return 0.0
+        return -(z[i, c] - math.copysign(l1, z[i, c])) / ((L.BETA + math.sqrt(n[i, c])) / L.ALPHA + L.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(L.EPOCHS):
+        for r in order.permutation(len(rows)):
+            x = [*zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True), (L.DIM, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in x for c in range(3)}
+            e = [math.exp(sum(v * w[i, c] for i, v in x)) for c in range(3)]
+            for i, v in x:
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (labels[r] == c))
+                    s = (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / L.ALPHA
+                    z[i, c] += g - s * w[i, c]
+                    n[i, c] += g * g
+    got = L.train(rows, labels, 3)
+    assert got[: 12] == pytest.approx(np.asarray([[weight(i, c) for c in range(3)] for i in range(12)]), abs=1e-9)
+    assert got[L.DIM] == pytest.approx([weight(L.DIM, c) for c in range(3)], abs=1e-9)
+
+
+def test_drawn_documents_are_bounded(spark):
+    """Rows that share an id are drawn by their texts, and repeated ones once."""
+    rows = [(7, f"wort {i} und satz", "de") for i in range(300)] + [(7, "the same text", "en")] * 300
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 40)
+    assert model.languages == ["de", "en"] and model.predict(["the same text", "wort satz und"])[0] == ["en", "de"]
+
+
 def test_fingerprints(odd, spark):
     rows = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
     got = fingerprints.fingerprints(odd).collect()

@@ -148,3 +148,48 @@ def test_headings_that_texts_share_stay(spark):
     pages = [(i, "http://cook.example/x", f"<body><div>Cooking</div><div><p>{say(30)}</p><h2>Method</h2><p>{say(30)}</p><p>Rate us</p></div>") for i in range(9)]
     got = wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert all(re.fullmatch(r"[a-z ]+\n\nMethod\n\n[a-z ]+", r["text"]) for r in got)
+
+
+def probes(spark, body, n=10):
+    """Texts of pages with a menu and a footer around what ``body`` makes, and what it says is the article."""
+    rng = random.Random(13)
+    say = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    pages, want = [], {}
+    for i in range(n):
+        html, want[i] = body(say, rng)
+        pages.append((i, "http://probe.example/x", f"<body><div><a href=/>Home</a> <a href=/t>Topics</a></div>{html}<div>All rights kept by us</div></body>"))
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    return got, want
+
+
+@pytest.mark.parametrize("form", ["<article><section><p>{}</p></section><section><p>{}</p></section></article>", "<article><div><p>{}</p></div><div><p>{}</p></div></article>", "<div><div>{}</div><div>{}</div></div>"])
+def test_parts_of_an_article_stay(spark, form):
+    def body(say, rng):
+        a, b = say(60), say(40)
+        return form.format(a, b), f"{a}\n\n{b}"
+
+    got, want = probes(spark, body)
+    assert got == want
+
+
+@pytest.mark.parametrize("count", [(4, 4), (2, 7)])
+def test_a_thread_is_not_the_story(spark, count):
+    def body(say, rng):
+        story = say(20)
+        thread = "".join(f"<div><div>{say(2)}</div><p>{say(18)}</p></div>" for _ in range(rng.randint(*count)))
+        return f"<div><p>{story}</p></div><div>{thread}</div>", story
+
+    got, want = probes(spark, body)
+    assert got == want
+
+
+def test_every_structure_has_a_reference(spark):
+    """Seven structures of one host, more than serve all of its pages, each with template text of its own."""
+
+    def body(say, rng):
+        k, text = rng.randrange(7), say(50)
+        wraps = ["section", "main", "div", "center", "details", "article", "dl"]
+        return f"<{wraps[k]}><div><div>Own note {k}</div><div><p>{text}</p></div></div></{wraps[k]}>" + f"<table><tr><td>Table {k}</td></tr></table>" * k, text
+
+    got, want = probes(spark, body, 140)
+    assert got == want
