@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions.geometry import Affine, Tile, ring_area, slice_bounds, tiles_for_span
+from .functions.geometry import Affine, ImageScales, Tile, ring_area, slice_bounds, tiles_for_span
 from .operators import components, grouped, joins, models, objects, raster, regions
 from .operators.scratch import cut
 from .plans import compose, detectors, modes, preview
@@ -648,3 +648,88 @@ def fixture_plan(spark, d, points=False, rectangles=False, polygons=False):
         v = fx.shape_vertices(spark, d).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
         parts.append(v.select(F.lit("polygon").alias("kind"), F.col("id").cast("long").alias("ordinal"), F.lit(None).cast("string").alias("name"), F.lit(115.0).alias("z"), F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("vertices")))
     return plan_tables.union(parts)
+
+
+# --------------------------------------------------------------------------- plans of two images with their own metadata
+
+PAIR_TILE = Tile(8, 8, 1.0, 1.0, 0.25)
+#: Labels, classes and scales of two images cut from the order lines; positions, pixel sizes and planes go by region.
+PAIR = (
+    "pstack AS (SELECT CAST(l_suppkey % 2 AS INT) AS image_id, CAST(l_linenumber - 1 AS INT) AS z, CAST(l_orderkey % 64 AS INT) AS y, CAST(l_partkey % 64 AS INT) AS x, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY ALL)",
+    "pmip AS (SELECT image_id, y, x, max(v) AS v, arg_min(z, (-v, z)) AS argmax_z FROM pstack GROUP BY ALL)",
+    "pcls AS (SELECT pmip.*, CASE WHEN v >= hi THEN 2 WHEN v >= mid THEN 1 ELSE 0 END AS cls FROM pmip JOIN (SELECT image_id, quantile_cont(v, 0.93) AS hi, quantile_cont(v, 0.5) AS mid FROM pmip GROUP BY ALL) USING (image_id))",
+    "pmask AS (SELECT image_id, y * 64 + x AS id, y, x, argmax_z FROM pcls WHERE cls = 2)",
+    "plinks AS (SELECT a.image_id, a.id AS a, b.id AS b FROM pmask a JOIN pmask b ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1)",
+    "preach AS (SELECT image_id, id AS a, id AS b FROM pmask UNION SELECT r.image_id, r.a, l.b FROM preach r JOIN plinks l ON r.image_id = l.image_id AND r.b = l.a)",
+    "plab AS (SELECT m.*, r.label FROM pmask m JOIN (SELECT image_id, b, min(a) AS label FROM preach GROUP BY ALL) r ON m.image_id = r.image_id AND m.id = r.b)",
+    "pscale AS (SELECT r_regionkey AS image_id, CASE WHEN r_regionkey = 0 THEN 1.25 ELSE -0.625 END::DOUBLE AS a, CASE WHEN r_regionkey = 0 THEN 1.25 ELSE 0.625 END::DOUBLE AS d, 1000.0::DOUBLE + 4000 * r_regionkey - a * 31.5 * r_regionkey AS tx, 2000.0::DOUBLE - d * 31.5 * r_regionkey AS ty, 100.0::DOUBLE - 60 * r_regionkey AS z0, 5.0::DOUBLE - 2.5 * r_regionkey AS z_step FROM region WHERE r_regionkey < 2)",
+    "pmodal AS (SELECT image_id, label, arg_min(argmax_z, (-n, argmax_z)) AS plane FROM (SELECT image_id, label, argmax_z, count(*) AS n FROM plab GROUP BY ALL) GROUP BY ALL)",
+    "pbox AS (SELECT image_id, label, CAST(sum(x) AS DOUBLE) / count(*) AS cx, CAST(sum(y) AS DOUBLE) / count(*) AS cy, greatest(min(x) - 0.5::DOUBLE, 0) AS x0, max(x) + 0.5::DOUBLE AS x1, greatest(min(y) - 0.5::DOUBLE, 0) AS y0, max(y) + 0.5::DOUBLE AS y1 FROM plab GROUP BY ALL HAVING count(*) >= 2)",
+    "pc AS (SELECT image_id, label AS id, cx * a + tx AS x, cy * d + ty AS y, least(x0 * a, x1 * a) + tx AS min_x, greatest(x0 * a, x1 * a) + tx AS max_x, y0 * d + ty AS min_y, y1 * d + ty AS max_y, plane * z_step + z0 AS z FROM pbox JOIN pmodal USING (image_id, label) JOIN pscale USING (image_id))",
+    "pnear AS (SELECT a.image_id, a.id AS a, b.id AS b FROM pc a JOIN pc b ON a.image_id = b.image_id AND greatest(0, a.min_x - b.max_x, b.min_x - a.max_x) <= 4 AND greatest(0, a.min_y - b.max_y, b.min_y - a.max_y) <= 4)",
+    "pgroups AS (SELECT image_id, id AS a, id AS b FROM pc UNION SELECT r.image_id, r.a, l.b FROM pgroups r JOIN pnear l ON r.image_id = l.image_id AND r.b = l.a)",
+    "pg AS (SELECT pc.*, g.group_id FROM pc JOIN (SELECT image_id, b, min(a) AS group_id FROM pgroups GROUP BY ALL) g ON pc.image_id = g.image_id AND pc.id = g.b)",
+    "pgb AS (SELECT image_id, group_id AS id, min(min_x) AS min_x, max(max_x) AS max_x, min(min_y) AS min_y, max(max_y) AS max_y, min(x) AS dx0, max(x) AS dx1, min(y) AS dy0, max(y) AS dy1, median(z) AS z FROM pg GROUP BY ALL)",
+    "plat AS (SELECT *, (dx0 + dx1) / 2 AS mx, (dy0 + dy1) / 2 AS my, CAST(1 + ceil(greatest(0, dx1 - dx0 - 8) / 6) AS BIGINT) AS nx, CAST(1 + ceil(greatest(0, dy1 - dy0 - 8) / 6) AS BIGINT) AS ny FROM pgb)",
+)
+NUMBERED = "SELECT image_id, kind, row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS ordinal, 'Planned ' || row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS name, x, y, z{more} FROM ({rows})"
+
+
+def pair(spark, d):
+    """Labels, classes and scales of the two images."""
+    i = lambda e, n: e.cast("int").alias(n)
+    at = [i(F.col("l_suppkey") % 2, "image_id"), i(F.col("l_linenumber") - 1, "z"), i(F.col("l_orderkey") % 64, "y"), i(F.col("l_partkey") % 64, "x")]
+    m = cut(raster.project_max(fx.table(spark, d, "lineitem").groupBy(*at).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))))
+    q = raster.percentiles(m, {"hi": 0.93, "mid": 0.5})
+    c = m.join(q, "image_id").select("image_id", "y", "x", "argmax_z", F.when(F.col("v") >= F.col("hi"), 2).when(F.col("v") >= F.col("mid"), 1).otherwise(0).alias("cls"))
+    lab = cut(components.label_components(c.where("cls = 2"), 64, 8))
+    k = F.col("r_regionkey")
+    size = F.when(k == 0, 1.25).otherwise(0.625)
+    meta = fx.table(spark, d, "region").where(k < 2).select(k.alias("image_id"), (k * 4000 + 1000.0).alias("stage_x"), F.lit(2000.0).alias("stage_y"), size.alias("px_x"), size.alias("px_y"), F.lit(64).alias("width"), F.lit(64).alias("height"), (k == 1).alias("centred"), (k == 1).alias("invert_x"), (100.0 - k * 60).alias("z0"), (5.0 - k * 2.5).alias("z_step"))
+    return lab, c, ImageScales.from_overviews(meta)
+
+
+def pair_plan(spark, d, output: str, z: str = "per_roi", grouping: str = "xy"):
+    p = compose.Planning(output, grouping, z, "direct", merge_factor=0.5, min_area=2)
+    return compose.plan_targets(*pair(spark, d), PAIR_TILE, p)
+
+
+@query(W(*PAIR) + NUMBERED.format(order="id", more="", rows="SELECT image_id, id, 'point' AS kind, x, y, z FROM pc"))
+def plan_detection_points(spark, d):
+    return pair_plan(spark, d, "detection_points", grouping="none").select("image_id", "kind", "ordinal", "name", "x", "y", "z")
+
+
+@query(W(*PAIR) + NUMBERED.format(order="id", more="", rows="SELECT image_id, id, 'point' AS kind, (min_x + max_x) / 2 AS x, (min_y + max_y) / 2 AS y, z FROM pgb"))
+def plan_group_centers(spark, d):
+    return pair_plan(spark, d, "group_center_points").select("image_id", "kind", "ordinal", "name", "x", "y", "z")
+
+
+GRID = "SELECT image_id, id, 'point' AS kind, iy * nx + ix + 1 AS tile, mx + (ix - (nx - 1) / 2.0) * 6 AS x, my + (iy - (ny - 1) / 2.0) * 6 AS y, z FROM plat, LATERAL (SELECT unnest(range(nx)) AS ix), LATERAL (SELECT unnest(range(ny)) AS iy)"
+
+
+@query(W(*PAIR) + NUMBERED.format(order="id, tile", more="", rows=GRID))
+def plan_tile_grid(spark, d):
+    return pair_plan(spark, d, "tile_point_grid").select("image_id", "kind", "ordinal", "name", "x", "y", "z")
+
+
+#: Windows of tiles in pixels, as ``covered_pixels`` cuts them.
+WINDOWS = "pwin AS (SELECT t.*, ((t.x - tx) * d - (t.y - ty) * 0.0) / (a * d) AS px, ((t.y - ty) * a - (t.x - tx) * 0.0) / (a * d) AS py, 8 / abs(a) AS pw, 8 / abs(d) AS ph, z0, z_step FROM ptiles t JOIN pscale USING (image_id))"
+IN_WINDOW = "BETWEEN floor({p} - {w} / 2) AND ceil({p} + {w} / 2)"
+IN_BOTH = f"q.x {IN_WINDOW.format(p='px', w='pw')} AND q.y {IN_WINDOW.format(p='py', w='ph')}"
+BOX_GRID = "ptiles AS (SELECT image_id, id, iy * nx + ix + 1 AS tile, mx + (ix - (nx - 1) / 2.0) * 6 AS x, my + (iy - (ny - 1) / 2.0) * 6 AS y, z FROM (SELECT *, (min_x + max_x) / 2 AS mx, (min_y + max_y) / 2 AS my, CAST(1 + ceil(greatest(0, max_x - min_x - 8) / 6) AS BIGINT) AS nx, CAST(1 + ceil(greatest(0, max_y - min_y - 8) / 6) AS BIGINT) AS ny FROM pgb), LATERAL (SELECT unnest(range(nx)) AS ix), LATERAL (SELECT unnest(range(ny)) AS iy))"
+PER_TILE = f"phit AS (SELECT w.*, q.argmax_z FROM pwin w JOIN pg ON pg.image_id = w.image_id AND pg.group_id = w.id JOIN plab q ON q.image_id = pg.image_id AND q.label = pg.id AND {IN_BOTH}), pz AS (SELECT image_id, id, tile, arg_min(argmax_z, (-n, argmax_z)) AS plane FROM (SELECT image_id, id, tile, argmax_z, count(*) AS n FROM phit GROUP BY ALL) GROUP BY ALL)"
+
+
+@query(W(*PAIR, BOX_GRID, WINDOWS, PER_TILE) + NUMBERED.format(order="id, tile", more="", rows="SELECT image_id, id, 'point' AS kind, tile, x, y, plane * z_step + z0 AS z FROM pwin JOIN pz USING (image_id, id, tile)"))
+def plan_tile_grid_per_tile(spark, d):
+    return pair_plan(spark, d, "tile_point_grid", "per_tile").select("image_id", "kind", "ordinal", "name", "x", "y", "z")
+
+
+RECTS = "prect AS (SELECT *, (nx - 1) * 6 + 8.0::DOUBLE AS width, (ny - 1) * 6 + 8.0::DOUBLE AS height FROM plat)"
+RECT_TILES = "ptiles AS (SELECT image_id, id, iy * n + ix + 1 AS tile, mx + (ix - (n - 1) / 2.0) * 6 AS x, my + (iy - (m - 1) / 2.0) * 6 AS y FROM (SELECT *, CAST(1 + ceil(greatest(0, (mx + width / 2) - (mx - width / 2) - 8) / 6) AS BIGINT) AS n, CAST(1 + ceil(greatest(0, (my + height / 2) - (my - height / 2) - 8) / 6) AS BIGINT) AS m FROM prect), LATERAL (SELECT unnest(range(n)) AS ix), LATERAL (SELECT unnest(range(m)) AS iy))"
+UNDER = f"pund AS (SELECT DISTINCT w.image_id, w.id, q.y AS qy, q.x AS qx, q.argmax_z FROM pwin w JOIN pcls q ON q.image_id = w.image_id AND q.cls IN (1, 2) AND {IN_BOTH}), pz AS (SELECT image_id, id, arg_min(argmax_z, (-n, argmax_z)) AS plane FROM (SELECT image_id, id, argmax_z, count(*) AS n FROM pund GROUP BY ALL) GROUP BY ALL)"
+
+
+@query(W(*PAIR, RECTS, RECT_TILES, WINDOWS, UNDER) + NUMBERED.format(order="id", more=", width, height", rows="SELECT r.image_id, r.id, 'rectangle' AS kind, mx AS x, my AS y, coalesce(plane * s.z_step + s.z0, r.z) AS z, width, height FROM prect r JOIN pscale s USING (image_id) LEFT JOIN pz USING (image_id, id)"))
+def plan_rectangles(spark, d):
+    return pair_plan(spark, d, "rectangular_regions").select("image_id", "kind", "ordinal", "name", "x", "y", "z", "width", "height")
