@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .functions import fields, geometry
 from .functions.geometry import Affine, ImageScales, Tile, ring_area, slice_bounds, tiles_for_span
-from .operators import components, grouped, joins, models, objects, raster, regions
-from .operators.scratch import cut
-from .plans import compose, detectors, modes, preview
+from .operators import components, grouped, joins, models, naming, objects, raster, regions
+from .operators.scratch import cut, new_folder
+from .plans import compose, detectors, modes, preview, workflow
 from .plans import tables as plan_tables
 from .sources import fixtures as fx
-from .sources import navigator, plan_files
+from .sources import navigator, plan_files, planes, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -575,9 +576,10 @@ TARGET_ROWS = "SELECT kind, CAST(ordinal AS BIGINT) AS ordinal, {name} AS name,
 
 def target_rows(t):
     """One row for each point, rectangle and vertex."""
-    one = t.where("kind <> 'polygon'").select("kind", "ordinal", "name", "x", "y", "z", "width", "height", F.lit(None).cast("int").alias("k"))
-    v = t.where("kind = 'polygon'").select("kind", "ordinal", "name", "z", "width", "height", F.posexplode("vertices").alias("k", "v"))
-    return one.unionByName(v.select("kind", "ordinal", "name", F.col("v.x").alias("x"), F.col("v.y").alias("y"), "z", "width", "height", "k"))
+    key = [*plan_tables.plan_key(t), "kind", "ordinal"]
+    one = t.where("kind <> 'polygon'").select(*key, "name", "x", "y", "z", "width", "height", F.lit(None).cast("int").alias("k"))
+    v = t.where("kind = 'polygon'").select(*key, "name", "z", "width", "height", F.posexplode("vertices").alias("k", "v"))
+    return one.unionByName(v.select(*key, "name", F.col("v.x").alias("x"), F.col("v.y").alias("y"), "z", "width", "height", "k"))
 
 
 @query(W("rects", "shapes", TARGETS) + TARGET_ROWS.format(name="name"))
@@ -608,6 +610,20 @@ def nav_xml_roundtrip(spark, d):
     return target_rows(back.withColumn("ordinal", F.row_number().over(Window.partitionBy("kind").orderBy("ordinal")).cast("long")))
 
 
+BY_IMAGE = (
+    "own AS (SELECT DISTINCT kind, ordinal, CASE WHEN kind = 'rectangle' THEN 1 ELSE CAST((ordinal - 1) % 3 AS INT) END AS image_id FROM targets)",
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CASE kind WHEN 'point' THEN 0 WHEN 'rectangle' THEN 1 ELSE 2 END, ordinal) AS n, row_number() OVER (PARTITION BY image_id, kind ORDER BY ordinal) AS nk FROM own)",
+)
+
+
+@query(W("rects", "shapes", TARGETS, *BY_IMAGE) + "SELECT image_id, kind, n AS ordinal, CASE WHEN kind = 'polygon' THEN 'Mosaic ' || nk ELSE name END AS name, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, width, height, CAST(k AS INT) AS k FROM targets JOIN numbered USING (kind, ordinal)")
+def nav_documents_roundtrip(spark, d):
+    """A document for each of three images, built and read in tasks."""
+    t = fixture_plan(spark, d, points=True, rectangles=True, polygons=True)
+    image = F.when(F.col("kind") == "rectangle", F.lit(1)).otherwise((F.col("ordinal") % 3).cast("int")).alias("image_id")
+    return target_rows(navigator.from_documents(navigator.to_documents(plan_tables.with_target_ids(t.select("*", image)))))
+
+
 @query()
 def composed_plan(spark, d):
     c = classes(spark, d)
@@ -733,3 +749,128 @@ UNDER = f"pund AS (SELECT DISTINCT w.image_id, w.id, q.y AS qy, q.x AS qx, q.arg
 @query(W(*PAIR, RECTS, RECT_TILES, WINDOWS, UNDER) + NUMBERED.format(order="id", more=", width, height", rows="SELECT r.image_id, r.id, 'rectangle' AS kind, mx AS x, my AS y, coalesce(plane * s.z_step + s.z0, r.z) AS z, width, height FROM prect r JOIN pscale s USING (image_id) LEFT JOIN pz USING (image_id, id)"))
 def plan_rectangles(spark, d):
     return pair_plan(spark, d, "rectangular_regions").select("image_id", "kind", "ordinal", "name", "x", "y", "z", "width", "height")
+
+
+# --------------------------------------------------------------------------- rings, segments, fields, planes and sinks on the given tables
+
+
+@query(W("mp") + "SELECT id, k, x + CASE WHEN k IN (1, 2) THEN 5 ELSE -5 END AS x, y + CASE WHEN k IN (2, 3) THEN 2.5::DOUBLE ELSE -2.5::DOUBLE END AS y FROM mp, (SELECT unnest([0, 1, 2, 3]) AS k)")
+def tile_footprints(spark, d):
+    ring = geometry.footprint(F.col("x"), F.col("y"), F.lit(10.0), F.lit(5.0))
+    return fx.many_points(spark, d).select("id", F.posexplode(ring).alias("k", "v")).select("id", "k", "v.x", "v.y")
+
+
+#: Each customer's point with the next two by id.
+TRIPLES = "tr AS (SELECT id, x AS ax, y AS ay, lead(x) OVER w AS ux, lead(y) OVER w AS uy, lead(x, 2) OVER w AS px, lead(y, 2) OVER w AS py FROM {t} WINDOW w AS (ORDER BY id)), t3 AS (SELECT *, (ux - ax) * (py - ay) - (uy - ay) * (px - ax) AS cr FROM tr WHERE px IS NOT NULL)"
+
+
+def triples(points):
+    """Points with the next two by id, joined on the rank of their ids."""
+    p = points.select("id", "x", "y")
+    nxt = lambda n, to: p.select((F.col("id") - n).alias("id"), F.col("x").alias(f"{to}x"), F.col("y").alias(f"{to}y"))
+    return p.withColumnsRenamed({"x": "ax", "y": "ay"}).join(nxt(1, "b"), "id").join(nxt(2, "p"), "id")
+
+
+@query(W("mp", TRIPLES.format(t="mp")) + "SELECT id, CASE WHEN abs(cr) <= 1e-9 THEN 0 WHEN cr > 0 THEN 1 ELSE -1 END AS side, abs(cr) <= 1e-9 AND px BETWEEN least(ax, ux) - 1e-9 AND greatest(ax, ux) + 1e-9 AND py BETWEEN least(ay, uy) - 1e-9 AND greatest(ay, uy) + 1e-9 AS on_it, px BETWEEN least(ax, ux) - 1e-9 AND greatest(ax, ux) + 1e-9 AND py BETWEEN least(ay, uy) - 1e-9 AND greatest(ay, uy) + 1e-9 AS inside FROM t3")
+def point_sides(spark, d):
+    a = [F.col(c) for c in ("ax", "ay", "bx", "by", "px", "py")]
+    box = (F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
+    return triples(fx.many_points(spark, d)).select("id", geometry.turn(*a).alias("side"), geometry.on_segment(*a).alias("on_it"), geometry.in_rectangle(F.col("px"), F.col("py"), *box).alias("inside"))
+
+
+@query(W("mp", TRIPLES.format(t="mp")) + "SELECT id, CASE WHEN abs(cr) <= 1e-12 THEN NULL ELSE round(sqrt((ax - ux) * (ax - ux) + (ay - uy) * (ay - uy)) * sqrt((ux - px) * (ux - px) + (uy - py) * (uy - py)) * sqrt((px - ax) * (px - ax) + (py - ay) * (py - ay)) / (abs(cr) * 2), 4) END AS radius FROM t3")
+def triangle_radius(spark, d):
+    r = geometry.circumradius(*[F.col(c) for c in ("ax", "ay", "bx", "by", "px", "py")])
+    return triples(fx.many_points(spark, d)).select("id", F.when(r != float("inf"), F.round(r, 4)).alias("radius"))
+
+
+@query(W("rects") + "SELECT id, k, CAST(CAST((center_y + CASE WHEN k IN (2, 3) THEN height ELSE -height END / 2 - 2000) / 1.25 AS FLOAT) AS DOUBLE) AS row, CAST(CAST((center_x + CASE WHEN k IN (1, 2) THEN width ELSE -width END / 2 - 1000) / 1.25 AS FLOAT) AS DOUBLE) AS col FROM rects, (SELECT unnest([0, 1, 2, 3]) AS k)")
+def display_rings(spark, d):
+    ring = geometry.display_ring(META, geometry.footprint(F.col("center_x"), F.col("center_y"), F.col("width"), F.col("height")))
+    return fx.rects(spark, d).select("id", F.posexplode(ring).alias("k", "v")).select("id", "k", F.col("v")[0].cast("double").alias("row"), F.col("v")[1].cast("double").alias("col"))
+
+
+@query(W("shapes") + "SELECT id, id % 2 = 0 AS closed, 6 AS vertices FROM (SELECT DISTINCT id FROM shapes)")
+def ring_closing(spark, d):
+    """Every other ring repeats its first vertex; opened, all have six."""
+    v = fx.shape_vertices(spark, d).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
+    ring = v.select("id", F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("v"))
+    ring = ring.withColumn("v", F.when(F.col("id") % 2 == 0, F.concat("v", F.slice("v", 1, 1))).otherwise(F.col("v")))
+    return ring.select("id", geometry.is_closed(F.col("v")).alias("closed"), F.size(geometry.opened(F.col("v"))).alias("vertices"))
+
+
+@query(W("shapes") + "SELECT id, k, x, y FROM shapes WHERE id % 3 <> 0")
+def scannable_rings(spark, d):
+    """Rings with a missing vertex, with one that is no number, or with two places alone are left out."""
+    v = fx.shape_vertices(spark, d)
+    kind = F.col("id") % 9
+    bad = v.withColumn("x", F.when((kind == 0) & (F.col("k") == 2), F.lit(float("nan"))).when((kind == 3) & (F.col("k") == 1), F.lit(None)).when(kind == 6, F.col("k") % 2).otherwise(F.col("x")))
+    return regions.finite_polygons(bad.withColumn("y", F.when(kind == 6, F.lit(0.0)).otherwise(F.col("y"))))
+
+
+@query(W("sp", GROUPS) + "SELECT a.group_id AS id, b.group_id AS other, greatest(0, a.min_x - b.max_x, b.min_x - a.max_x) <= 20 AND greatest(0, a.min_y - b.max_y, b.min_y - a.max_y) <= 20 AND abs(a.z - b.z) <= 15 AS meet FROM gb a JOIN gb b ON b.group_id > a.group_id AND b.group_id <= a.group_id + 3")
+def group_meetings(spark, d):
+    g = objects.box_groups(linked(spark, d)).select("group_id", "min_x", "max_x", "min_y", "max_y", F.col("z").alias("min_z"), F.col("z").alias("max_z"))
+    near = g.withColumn("_k", F.explode(F.expr("sequence(group_id - 3, group_id - 1)"))).select(F.col("_k").alias("id"), F.struct("*").alias("b"))
+    j = g.select(F.col("group_id").alias("id"), F.struct("*").alias("a")).join(near, "id")
+    side = lambda s: {c: F.col(f"{s}.{c}") for c in ("min_x", "max_x", "min_y", "max_y", "min_z", "max_z")}
+    return j.select("id", F.col("b.group_id").alias("other"), geometry.groups_meet(side("a"), side("b"), 20.0, 20.0, 15.0).alias("meet"))
+
+
+@query("SELECT event_id, TRY_CAST(nullif(trim(CASE WHEN event_id % 4 = 0 THEN '  ' ELSE ' ' || user_id || ' ' END), '') AS INT) AS whole, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' WHEN 'purchase' THEN 'p' END AS choice, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END, CASE WHEN event_id % 2 = 0 THEN NULL ELSE 0.5::DOUBLE END, 1.25::DOUBLE) AS size FROM events")
+def field_values(spark, d):
+    e = fx.table(spark, d, "events")
+    text = F.when(F.col("event_id") % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(" ")))
+    choice = fields.key_of(F.concat(F.lit(" "), F.col("event_type")), {"c": "click", "v": "view", "p": "purchase"})
+    size = fields.first_size(F.when(F.col("event_id") % 3 != 0, F.col("value")), F.when(F.col("event_id") % 2 != 0, F.lit(0.5)), F.lit(1.25))
+    return e.select("event_id", fields.optional(text, "int").alias("whole"), choice.alias("choice"), size.alias("size"))
+
+
+#: Order lines as planes of images: the part decides channel, z and time, the order their place in the file.
+PLANES = "pl AS (SELECT l_suppkey AS image_id, l_orderkey * 8 + l_linenumber AS ordinal, CAST(l_partkey % 3 AS INT) AS c, CAST(l_partkey % 7 AS INT) AS z, CAST(l_linenumber % 2 AS INT) AS t, l_quantity AS position FROM lineitem), want AS (SELECT s_suppkey AS image_id, c, 2 AS z, 1 AS t FROM supplier, (SELECT unnest([0, 1, 5]) AS c))"
+
+
+@query("WITH " + PLANES + " SELECT w.*, o.ordinal IS NOT NULL AS exact, coalesce(o.ordinal, f.ordinal) AS ordinal, coalesce(o.position, f.position) AS position FROM want w LEFT JOIN (SELECT image_id, c, z, t, min(ordinal) AS ordinal, arg_min(position, ordinal) AS position FROM pl GROUP BY ALL) o USING (image_id, c, z, t) LEFT JOIN (SELECT image_id, min(ordinal) AS ordinal, arg_min(position, ordinal) AS position FROM pl GROUP BY ALL) f USING (image_id)")
+def plane_lookup(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    pl = li.select(F.col("l_suppkey").alias("image_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"), (F.col("l_partkey") % 3).cast("int").alias("c"), (F.col("l_partkey") % 7).cast("int").alias("z"), (F.col("l_linenumber") % 2).cast("int").alias("t"), F.col("l_quantity").alias("position"))
+    want = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"), F.explode(F.array(*map(F.lit, (0, 1, 5)))).alias("c"), F.lit(2).alias("z"), F.lit(1).alias("t"))
+    return planes.lookup(pl, want)
+
+
+@query(W(*RASTER) + "SELECT mip.image_id, mip.y, mip.x, CAST(CASE WHEN mask.id IS NULL THEN 0 ELSE 255 END AS SMALLINT) AS v FROM mip LEFT JOIN mask USING (image_id, y, x)")
+def mask_image(spark, d):
+    """Written by image and read back."""
+    out = new_folder(spark, "mask")
+    sinks.write_rows(sinks.mask_rows(mip(spark, d), mask(spark, d)), out)
+    return spark.read.parquet(out).select("image_id", "y", "x", "v")
+
+
+@query(W("stack", "mip", "cls") + "SELECT image_id, y, x, CAST(CAST(prob AS FLOAT) AS DOUBLE) AS v FROM cls")
+def probability_image(spark, d):
+    return sinks.probability_rows(classes(spark, d)).select("image_id", "y", "x", F.col("v").cast("double").alias("v"))
+
+
+@query(W(*LABELS8) + "SELECT image_id, y, x, CAST(label AS BIGINT) AS v FROM labels")
+def label_image(spark, d):
+    return sinks.label_rows(labels(spark, d, 8))
+
+
+@query(W("stack", "mip") + "SELECT * FROM mip")
+def cached_projection(spark, d):
+    """Projected once, then read from the cache by its key."""
+    out, key = new_folder(spark, "cache"), plan_files.cache_key("stack", 0, 0, 0, None, 1.25)
+    planes.cached(spark, out, key, lambda: mip(spark, d))
+    return planes.cached(spark, out, key, lambda: mip(spark, d).where("false"))
+
+
+@query("SELECT min(event_id) AS ordinal, event_type || '/' || user_id AS path FROM events GROUP BY path")
+def distinct_inputs(spark, d):
+    e = fx.table(spark, d, "events").select(F.col("event_id").alias("ordinal"), F.concat(F.col("event_type"), F.lit("/"), F.col("user_id").cast("string")).alias("path"))
+    return workflow.distinct_files(e)
+
+
+@query("SELECT p_partkey, stem, n, CASE WHEN n = 1 AND NOT regexp_matches(stem, '_[0-9]+$') THEN stem ELSE stem || '_' || n END AS name FROM (SELECT p_partkey, regexp_replace(p_type || '/' || p_size, '[^\\p{L}\\p{N}_-]', '_', 'g') AS stem, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS n FROM part)")
+def output_names(spark, d):
+    t = fx.table(spark, d, "part").select("p_partkey", naming.stem(F.concat(F.col("p_type"), F.lit("/"), F.col("p_size").cast("string")), 64).alias("stem"))
+    return naming.numbered(t, "p_partkey").select("p_partkey", "stem", F.col("number").alias("n"), F.col("prefix").alias("name"))

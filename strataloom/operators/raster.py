@@ -23,6 +23,7 @@ def project_max(voxels: DataFrame) -> DataFrame:
 
 
 def project_mean(voxels: DataFrame) -> DataFrame:
+    """Mean over the planes that have the pixel: all of them in a dense table, in which zeros count."""
     return voxels.groupBy("image_id", "y", "x").agg((F.sum("v") / F.count("v")).alias("v"))
 
 
@@ -173,7 +174,7 @@ def smooth_image(pixels: DataFrame, sigma: float, height: int, width: int, tile:
         ys, xs = np.nonzero(seen)
         return pd.DataFrame({"image_id": df["image_id"].iloc[0], "y": ys + ty * tile, "x": xs + tx * tile, "v": out[seen]})
 
-    return d.groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id int, y long, x long, v double")
+    return d.groupBy("image_id", "ty", "tx").applyInPandas(run, f"image_id {dict(d.dtypes)['image_id']}, y long, x long, v double")
 
 
 def resample_nearest(pixels: DataFrame, shape_in: tuple[int, int], shape_out: tuple[int, int], value: str = "v") -> DataFrame:

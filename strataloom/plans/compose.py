@@ -247,50 +247,107 @@ def fit_mixture(centres: np.ndarray, counts: np.ndarray, floor: float, upper: fl
     return tuple(float(v) for v in best)
 
 
-def histogram_bins(values: DataFrame, lower: float, upper: float, bins: int) -> int:
-    """Bins of a histogram of ``v``: one for each whole number of the range where a first ten thousand values are
-    whole, and ``bins`` at most, 8 at least."""
-    bins = max(8, bins)
-    some = values.select("v").limit(10_000).agg(F.count("v").alias("n"), F.max(F.abs(F.col("v") - F.round("v"))).alias("off")).first()
-    if not some["n"] or some["off"] >= 1e-6:
-        return bins
-    return min(bins, max(8, int(np.ceil(max(upper - lower, np.finfo(float).eps)))))
+def _smoothed(counts: np.ndarray, sigma: float = 3.0) -> np.ndarray:
+    """Counts under a Gaussian with reflected edges."""
+    w = raster.gaussian_weights(sigma)
+    r = len(w) - 1
+    return np.convolve(np.pad(counts.astype(float), r, mode="symmetric"), np.asarray(w[:0:-1] + w), "valid")
 
 
-def signal_histogram(pixels: DataFrame, bins: int = 500) -> dict:
-    """The fitted histogram of one image's valid pixels: floor, threshold, upper, parameters of background and
-    signal, and the rows of the search range, from the threshold on: centres, counts and signal, smoothed."""
-    ok = pixels.where(raster.valid(F.col("v"))).select(F.col("v").cast("double").alias("v"))
-    f = ok.agg(F.min("v"), F.max("v")).first()
-    if f[0] is None:
-        raise ValueError("no valid pixel")
-    high, seed = raster.percentiles(ok.withColumn("image_id", F.lit(0)), {"high": 0.998, "seed": 0.9}).select("high", "seed").first()
-    floor, upper = f[0], high if high > f[0] else f[1]
-    if upper <= floor:
-        raise ValueError("the image is flat")
-
-    def rows(lo, hi, least):
-        n = max(least, histogram_bins(ok, lo, hi, bins))
-        h = raster.histogram(ok, lo, hi, n)
-        smooth = raster.smooth_1d(h.select("bin", F.col("n").cast("double").alias("s")), "bin", "s", n, 3.0).join(h.select("bin", "n"), "bin")
-        got = np.asarray(sorted((r["bin"], r["s"], r["n"]) for r in smooth.collect()), float)  # 500 rows at most
-        return lo + (got[:, 0] + 0.5) * (hi - lo) / n, got[:, 1], got[:, 2]
-
-    centres, smooth, counts = rows(floor, upper, 32)
-    a, lam, b, mean, sigma = fit_mixture(centres, smooth, floor, upper, seed)
+def _background(x: np.ndarray, floor: float, a: float, lam: float) -> np.ndarray:
+    s = np.maximum(x - floor, 0)
+    return a * np.exp(s * np.log(lam) - lam - np.asarray([lgamma(v + 1) for v in s]))
 
-    def background(x):
-        s = np.maximum(x - floor, 0)
-        return a * np.exp(s * np.log(lam) - lam - np.asarray([lgamma(v + 1) for v in s]))
 
-    bell = lambda x: b * np.exp(-0.5 * ((x - mean) / sigma) ** 2)
-    likely = (centres > floor) & (centres < mean) & (bell(centres) >= 0.5 * (bell(centres) + background(centres)))
+def _first_fit(counts: np.ndarray, floor: float, upper: float, seed: float) -> dict:
+    """The fit of a histogram over [floor, upper]: its threshold and the parameters of background and signal."""
+    n = len(counts)
+    centres, smooth = floor + (np.arange(n) + 0.5) * (upper - floor) / n, _smoothed(counts)
+    a, lam, b, mean, sigma = fit_mixture(centres, smooth, floor, upper, seed)
+    background, bell = _background(centres, floor, a, lam), b * np.exp(-0.5 * ((centres - mean) / sigma) ** 2)
+    likely = (centres > floor) & (centres < mean) & (bell >= 0.5 * (bell + background))
     threshold = float(centres[likely][0]) if likely.any() else floor
     threshold = min(threshold, upper - (centres[1] - centres[0]))
-    found, search, plain = rows(threshold, upper, 8)
-    width = (found[1] - found[0]) / (centres[1] - centres[0])  # the fit counts by its own bins
-    signal = np.maximum(search - background(found) * width, 0)
-    return {"floor": floor, "threshold": threshold, "upper": upper, "parameters": (a, lam, b, mean, sigma), "centres": centres, "counts": counts, "smoothed": smooth, "background": background(centres), "bell": bell(centres), "search": found, "signal": signal}
+    return {"floor": floor, "upper": upper, "threshold": threshold, "parameters": (a, lam, b, mean, sigma), "centres": centres, "counts": counts, "smoothed": smooth, "background": background, "bell": bell}
+
+
+def _second_fit(counts: np.ndarray, fit: dict) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centres and signal of the histogram from the threshold on, and the signal's peak, sought within half a deviation
+    below and two above its mean."""
+    n, low, upper = len(counts), fit["threshold"], fit["upper"]
+    found = low + (np.arange(n) + 0.5) * (upper - low) / n
+    a, lam, _, mean, sigma = fit["parameters"]
+    width = (upper - low) / n / ((upper - fit["floor"]) / fit["bins"])  # the fit counts by its own bins
+    signal = np.maximum(_smoothed(counts) - _background(found, fit["floor"], a, lam) * width, 0)
+    near = (found >= mean - 0.5 * max(sigma, 1)) & (found <= mean + 2 * max(sigma, 1))
+    sought = np.where(near, signal, -1)
+    return found, signal, float(found[sought.argmax()]) if sought.max() > 0 else mean
+
+
+def image_levels(pixels: DataFrame, bins: int = 500) -> DataFrame:
+    """One row for each image with a valid pixel: image_id, floor, upper, seed (the 90th percentile), n1 and n2 (bins of the
+    two histograms), threshold, peak, parameters (array), and counts1 and counts2 (arrays of at most ``bins``).
+
+    Bins are one for each whole number of the range where an image's first ten thousand valid values, by row and
+    column, are whole, and ``bins`` at most, 8 at least. All images are counted and fitted together: the number of
+    jobs does not grow with them. A flat image, and one whose peak is not above its floor, raises."""
+    ok = cut(pixels.where(raster.valid(F.col("v"))).select("image_id", "y", "x", F.col("v").cast("double").alias("v")))
+    first = ok.withColumn("_r", F.row_number().over(Window.partitionBy("image_id").orderBy("y", "x"))).where("_r <= 10000")
+    whole = first.groupBy("image_id").agg(F.max(F.abs(F.col("v") - F.round("v"))).alias("off"))
+    ends = ok.groupBy("image_id").agg(F.min("v").alias("floor"), F.max("v").alias("top"))
+    level = raster.percentiles(ok, {"high": 0.998, "seed": 0.9}).join(ends, "image_id").join(whole, "image_id")
+    upper = F.when(F.col("high") > F.col("floor"), F.col("high")).otherwise(F.col("top"))
+    level = level.select("image_id", "floor", upper.alias("upper"), "seed", (F.col("off") < 1e-6).alias("whole"))
+    most = max(8, bins)
+    count = lambda lo, hi, least: F.greatest(F.lit(least), F.when(F.col("whole"), F.least(F.lit(most), F.greatest(F.lit(8), F.ceil(F.greatest(hi - lo, F.lit(2.220446049250313e-16))).cast("int")))).otherwise(most))
+    level = cut(level.withColumn("n1", count(F.col("floor"), F.col("upper"), 32)))
+    kind = dict(pixels.dtypes)["image_id"]
+
+    def counted(levels: DataFrame, lo: str, n: str) -> DataFrame:
+        """Counts by bin as an array of n values for each image."""
+        j = ok.join(levels.select("image_id", F.col(lo).alias("_lo"), F.col("upper").alias("_hi"), F.col(n).alias("_n")), "image_id").where(F.col("v").between(F.col("_lo"), F.col("_hi")))
+        b = F.least(F.floor((F.col("v") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / F.col("_n"))), F.col("_n") - 1).cast("int")
+        by = j.groupBy("image_id", b.alias("bin")).agg(F.count(F.lit(1)).alias("c")).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("_m"))
+        full = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long")))
+        return levels.join(by, "image_id", "left").withColumn(f"counts{n[1]}", F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0).cast("long"), F.col(n))).otherwise(full)).drop("_m")
+
+    def fit_first(frames):
+        for df in frames:
+            got = []
+            for f, u, s, c in zip(df["floor"], df["upper"], df["seed"], df["counts1"], strict=True):
+                if u <= f:
+                    raise ValueError("the image is flat")
+                x = _first_fit(np.asarray(c), f, u, s)
+                got.append((x["threshold"], list(x["parameters"])))
+            yield df.assign(threshold=[t for t, _ in got], parameters=[p for _, p in got])
+
+    def fit_second(frames):
+        for df in frames:
+            peaks = []
+            for f, u, t, p, n, c in zip(df["floor"], df["upper"], df["threshold"], df["parameters"], df["n1"], df["counts2"], strict=True):
+                *_, peak = _second_fit(np.asarray(c), {"floor": f, "upper": u, "threshold": t, "parameters": tuple(p), "bins": n})
+                if peak <= f:
+                    raise ValueError("the signal peak is not above the floor")
+                peaks.append(peak)
+            yield df.assign(peak=peaks)
+
+    schema = f"image_id {kind}, floor double, upper double, seed double, whole boolean, n1 int, counts1 array<long>"
+    one = counted(level, "floor", "n1").select("image_id", "floor", "upper", "seed", "whole", "n1", "counts1").mapInPandas(fit_first, f"{schema}, threshold double, parameters array<double>")
+    one = cut(one.withColumn("n2", count(F.col("threshold"), F.col("upper"), 8)))
+    schema += ", threshold double, parameters array<double>, n2 int, counts2 array<long>"
+    two = counted(one, "threshold", "n2").select(*[c.split()[0] for c in schema.split(", ")])
+    return cut(two.mapInPandas(fit_second, schema + ", peak double").drop("whole"))
+
+
+def signal_histogram(pixels: DataFrame, bins: int = 500) -> dict:
+    """The fitted histogram of one image's valid pixels: floor, threshold, upper, parameters of background and
+    signal, and the rows of the search range, from the threshold on: centres, counts and signal, smoothed."""
+    r = image_levels(pixels.withColumn("image_id", F.lit(0)), bins).first()
+    if r is None:
+        raise ValueError("no valid pixel")
+    fit = _first_fit(np.asarray(r["counts1"]), r["floor"], r["upper"], r["seed"]) | {"bins": r["n1"]}
+    found, signal, _ = _second_fit(np.asarray(r["counts2"]), fit)
+    return fit | {"search": found, "signal": signal}
 
 
 def histogram_rows(spark, fit: dict) -> DataFrame:
@@ -304,20 +361,10 @@ def histogram_rows(spark, fit: dict) -> DataFrame:
 
 def normalise(pixels: DataFrame, bins: int = 500) -> DataFrame:
     """``pixels`` (image_id, y, x, v) with ``norm`` = (v - floor) / (peak - floor) of their image, and padding 0. The
-    peak of the signal is sought from the threshold on, within half a deviation below and two above its mean.
-    Histograms, of at most ``bins`` rows, are fitted on the driver, image by image; pixels stay distributed."""
-    levels = []
-    for image in [r[0] for r in pixels.select("image_id").distinct().orderBy("image_id").collect()]:
-        fit = signal_histogram(pixels.where(F.col("image_id") == image), bins)
-        mean, sigma = fit["parameters"][3:]
-        near = (fit["search"] >= mean - 0.5 * max(sigma, 1)) & (fit["search"] <= mean + 2 * max(sigma, 1))
-        signal = np.where(near, fit["signal"], -1)
-        peak = float(fit["search"][signal.argmax()]) if signal.max() > 0 else mean
-        if peak <= fit["floor"]:
-            raise ValueError("the signal peak is not above the floor")
-        levels.append((image, fit["floor"], peak))
-    if not levels:
+    peak of the signal is sought from the threshold on, within half a deviation below and two above its mean. An
+    image without a valid pixel has 0 throughout; a table without any raises."""
+    levels = image_levels(pixels, bins).select("image_id", F.col("floor").alias("_floor"), F.col("peak").alias("_peak"))
+    if not levels.head(1):
         raise ValueError("no valid pixel")
-    spread = pixels.sparkSession.createDataFrame(levels, f"image_id {dict(pixels.dtypes)['image_id']}, _floor double, _peak double")
     norm = F.when(raster.valid(F.col("v")), (F.col("v") - F.col("_floor")) / (F.col("_peak") - F.col("_floor"))).otherwise(0.0)
-    return pixels.join(F.broadcast(spread), "image_id").select(*pixels.columns, norm.alias("norm"))  # one row an image
+    return pixels.join(levels, "image_id", "left").select(*pixels.columns, norm.alias("norm"))

@@ -46,11 +46,17 @@ def combine(plans: list[tuple[str, DataFrame]]) -> DataFrame:
     return out.withColumn("name", F.concat(F.lit("Source "), F.col("plan").cast("string"), F.lit(" - "), default_name(F.col("ordinal"), IN_COMBINED)))
 
 
+def plan_key(targets: DataFrame) -> list[str]:
+    """What tells plans apart in a table: the image, where it has one."""
+    return ["image_id"] if "image_id" in targets.columns else []
+
+
 def with_target_ids(targets: DataFrame) -> DataFrame:
-    """Ids 1..N over points, then rectangles, then polygons. A plan holds what one acquisition can visit, so
-    one task numbers it."""
-    n = F.row_number().over(Window.orderBy(kind_rank(), "ordinal")).cast("long")
-    k = F.row_number().over(Window.partitionBy("kind").orderBy("ordinal"))
+    """Ids 1..N over points, then rectangles, then polygons of each plan. A plan holds what one acquisition can visit,
+    so one task numbers it."""
+    image = plan_key(targets)
+    n = F.row_number().over(Window.partitionBy(*image).orderBy(kind_rank(), "ordinal")).cast("long")
+    k = F.row_number().over(Window.partitionBy(*image, "kind").orderBy("ordinal"))
     return targets.withColumn("target_id", n).withColumn("name", default_name(k, IN_DOCUMENT))
 
 
@@ -59,12 +65,12 @@ def finite(c: Column) -> Column:
 
 
 def validation(targets: DataFrame) -> DataFrame:
-    """One row: number of targets; whether ids are 1..N, all coordinates finite, rectangles of positive size,
+    """One row for each plan: number of targets; whether ids are 1..N, all coordinates finite, rectangles of positive size,
     and polygons of three vertices at least."""
     is_polygon = F.col("kind") == "polygon"
     ok = finite(F.col("z")) & F.when(is_polygon, F.forall("vertices", lambda v: finite(v["x"]) & finite(v["y"]))).otherwise(finite(F.col("x")) & finite(F.col("y")))
     sized = F.when(F.col("kind") == "rectangle", (F.col("width") > 0) & (F.col("height") > 0)).otherwise(True)
-    return targets.agg(
+    return targets.groupBy(*plan_key(targets)).agg(
         F.count(F.lit(1)).alias("targets"), ((F.count_distinct("target_id") == F.count(F.lit(1))) & (F.min("target_id") == 1) & (F.max("target_id") == F.count(F.lit(1)))).alias("ids_complete"),
         F.bool_and(ok).alias("finite"), F.bool_and(sized).alias("sized"), F.bool_and(F.when(is_polygon, F.size("vertices") >= 3).otherwise(True)).alias("closed_enough"),
     )
@@ -72,8 +78,9 @@ def validation(targets: DataFrame) -> DataFrame:
 
 def check(targets: DataFrame) -> DataFrame:
     """``targets``, or an error that names what is wrong."""
-    row = validation(targets).first()
-    bad = [k for k in ("ids_complete", "finite", "sized", "closed_enough") if row[k] is False]
+    rules = ("ids_complete", "finite", "sized", "closed_enough")
+    row = validation(targets).agg(*[F.bool_and(k).alias(k) for k in rules]).first()
+    bad = [k for k in rules if row[k] is False]
     if bad:
         raise ValueError(f"targets fail: {', '.join(bad)}")
     return targets

@@ -1,16 +1,19 @@
 """Stage-navigator documents: targets as parallel arrays of numbered properties, in XML.
 
 Points, rectangles and polygons each have arrays of ids, places and names, and arrays of constants of the
-same length; regions are listed once more for scanning. A plan holds what one acquisition can visit, so the
-document is built on the driver.
+same length; regions are listed once more for scanning. A plan holds what one acquisition can visit, so each
+document is built from one group of rows; the documents of many images are built and read in tasks.
 """
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans import tables
 
@@ -114,7 +117,24 @@ def to_xml(targets: DataFrame, name: str, template: str | None = None, corners:
     """The document of targets with ids, which are checked first. All else in a template stays; its earlier
     targets go. ``corners`` of the overview (top left, top right, bottom left in stage units, and bottom
     right, which defaults to the parallelogram's) set its box and centre too."""
-    rows = tables.check(targets).orderBy("target_id").collect()
+    return _document(tables.check(targets).orderBy("target_id").collect(), name, template, corners)
+
+
+def to_documents(targets: DataFrame, prefix: str = "plan", template: str | None = None) -> DataFrame:
+    """(image_id, value): the document of each image's targets (image_id, target_id and target columns), named after
+    the image. Targets are checked first."""
+
+    def build(df: pd.DataFrame) -> pd.DataFrame:
+        image = df["image_id"].iloc[0]
+        rows = df.sort_values("target_id").to_dict("records")
+        return pd.DataFrame({"image_id": [image], "value": [_document(rows, f"{prefix} {image}", template, None)]})
+
+    kind = dict(targets.dtypes)["image_id"]
+    t = tables.check(targets).select("image_id", "target_id", *tables.COLUMNS)
+    return t.groupBy("image_id").applyInPandas(build, f"image_id {kind}, value string")
+
+
+def _document(rows: list, name: str, template: str | None, corners: list[tuple[float, float]] | None) -> str:
     doc = ET.fromstring(template or EMPTY_DOCUMENT)
     nav = _set(doc, NAVIGATOR_KEY)
     _put(_set(doc, SETTINGS_KEY), _one(DOCUMENT_NAME, "CString", name))
@@ -148,37 +168,71 @@ def _array(where: ET.Element, number: str) -> list[ET.Element]:
     return where.findall(f"Property[@ID='{number}']/Component")
 
 
-def _read_names(nav: ET.Element, number: str) -> dict[int, str]:
-    out = {}
+def _whole(text: str | None) -> int | None:
+    try:
+        return int(text)
+    except (TypeError, ValueError):
+        return None
+
+
+def _read_names(nav: ET.Element, number: str) -> list[tuple[int | None, str | None]]:
+    """(id, name) of each entry, null where it is missing or malformed."""
+    named = []
     for c in _array(nav, number):
-        i, n = c.find(f"PropertySet/Property[@ID='{ID}']/int"), c.find(f".//Property[@ID='{NAME}']/wstring")
-        if i is not None and n is not None and n.text:
-            out[int(i.text)] = n.text
-    return out
+        i, n = c.findtext(f"PropertySet/Property[@ID='{ID}']/int"), c.find(f".//Property[@ID='{NAME}']/wstring")
+        named.append((_whole(i), n.text if n is not None else None))
+    return named
 
 
-def from_xml(spark: SparkSession, text: str) -> DataFrame:
-    """Targets of a document; ``ordinal`` is the id. Malformed places and vertices are skipped, polygons
-    without vertices too; a polygon's missing z is 0 and missing names are filled by kind and place. Names
-    and places are joined by id, so a malformed entry shifts no other."""
+def _identified(ids: list[int | None], n: int, named: list[tuple[int | None, str | None]], word: str) -> list[tuple[int, str]]:
+    """Id and name of n entries. Where all have ids of their own, names are joined by id, so a malformed entry shifts
+    no other; else ids are places, and so are names."""
+    sound = len(ids) == n and None not in ids and len(set(ids)) == n
+    names = {i: x for i, x in named if x} if sound else {k: x for k, (_, x) in enumerate(named, 1) if x}
+    return [(i, names.get(i) or f"{word} {k}") for k, i in enumerate(ids if sound else range(1, n + 1), 1)]
+
+
+def _targets_of(text: str) -> list[tuple]:
+    """Rows of the target columns. Malformed places and vertices are skipped, polygons without vertices too; ids may be
+    missing or malformed; a polygon's missing z is 0 and missing names are filled by kind and place."""
     nav, rows = _set(ET.fromstring(text), NAVIGATOR_KEY), []
-    ints = lambda number: [int(c.findtext("int")) for c in _array(nav, number)]
-    names = _read_names(nav, POINT_NAMES)
-    for k, (i, c) in enumerate(zip(ints(POINT_IDS), _array(nav, POINT_PLACES), strict=False), 1):
+    ints = lambda number: [_whole(c.findtext("int")) for c in _array(nav, number)]
+    places = _array(nav, POINT_PLACES)
+    for (i, name), c in zip(_identified(ints(POINT_IDS), len(places), _read_names(nav, POINT_NAMES), "Position"), places, strict=True):
         if p := _numbers(c.find("CdVec3"), 3):
-            rows.append(("point", i, names.get(i, f"Position {k}"), *p, None, None, None))
-    names = _read_names(nav, RECT_NAMES)
-    for k, (i, c, s) in enumerate(zip(ints(RECT_IDS), _array(nav, RECT_PLACES), _array(nav, RECT_SIZES), strict=False), 1):
+            rows.append(("point", i, name, *p, None, None, None))
+    boxes = list(zip(_array(nav, RECT_PLACES), _array(nav, RECT_SIZES), strict=False))
+    for (i, name), (c, s) in zip(_identified(ints(RECT_IDS), len(boxes), _read_names(nav, RECT_NAMES), "Rectangle"), boxes, strict=True):
         if (p := _numbers(c.find("CdVec3"), 3)) and (size := _numbers(s.find("CdVec2"), 2)):
-            rows.append(("rectangle", i, names.get(i, f"Tile scan {k}"), *p, *size, None))
-    names = _read_names(nav, POLYGON_NAMES)
-    for k, c in enumerate(_array(nav, POLYGONS), 1):
-        one = c.find("PropertySet")
+            rows.append(("rectangle", i, name, *p, *size, None))
+    sets = [c.find("PropertySet") for c in _array(nav, POLYGONS)]
+    ids = [None if one is None else _whole(one.findtext(f"Property[@ID='{ID}']/int")) for one in sets]
+    for (i, name), one in zip(_identified(ids, len(sets), _read_names(nav, POLYGON_NAMES), "Mosaic"), sets, strict=True):
         v = [] if one is None else [p for x in _array(one, VERTICES) if (p := _numbers(x.find("CdVec2"), 2))]
         if v:
-            i, z = int(one.findtext(f"Property[@ID='{ID}']/int")), one.findtext(f"Property[@ID='{Z}']/double")
-            rows.append(("polygon", i, names.get(i, f"Mosaic {k}"), None, None, float(z or 0.0), None, None, v))
-    return spark.createDataFrame(rows, tables.SCHEMA)
+            try:
+                z = float(one.findtext(f"Property[@ID='{Z}']/double") or 0.0)
+            except ValueError:
+                z = 0.0
+            rows.append(("polygon", i, name, None, None, z, None, None, v))
+    return rows
+
+
+def from_xml(spark: SparkSession, text: str) -> DataFrame:
+    """Targets of a document; ``ordinal`` is the id."""
+    return spark.createDataFrame(_targets_of(text), tables.SCHEMA)
+
+
+def from_documents(documents: DataFrame) -> DataFrame:
+    """Targets of many documents (image_id, value), each read in a task: image_id and the target columns."""
+    kind = dict(documents.dtypes)["image_id"]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            rows = [(image, *t[:-1], t[-1] and [{"x": x, "y": y} for x, y in t[-1]]) for image, text in zip(df["image_id"], df["value"], strict=True) for t in _targets_of(text)]
+            yield pd.DataFrame(rows, columns=["image_id", *tables.COLUMNS])
+
+    return documents.select("image_id", F.col("value")).mapInPandas(read, f"image_id {kind}, {tables.SCHEMA}")
 
 
 def overview_box(text: str) -> tuple | None:

@@ -1,37 +1,74 @@
-"""A Spark data source of voxels from raw image stacks (.npy files of shape z, y, x)."""
+"""Spark data sources of voxels from raw image stacks: .npy files of shape (z, y, x), (channel, z, y, x) or
+(time, channel, z, y, x), each a scene of its own."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+
+#: Voxels of one Arrow batch, about.
+BATCH = 1 << 18
+KEYS = ("image_id", "scene", "channel", "time", "z")
 
 
 class PlanePartition(InputPartition):
-    def __init__(self, path: str, image_id: int, z: int):
-        self.path, self.image_id, self.z = path, image_id, z
+    def __init__(self, path: str, key: tuple[int, ...]):
+        self.path, self.key = path, key
 
 
 class VoxelReader(DataSourceReader):
-    """One partition for each plane: a plane is read alone, and a stack never whole."""
+    """One partition for each plane that is asked for: a plane is read alone, and a stack never whole. What is asked for
+    comes as options or as filters that Spark hands down; planes that these leave out are not opened."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, dense: bool):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
+        self.dense = dense
+        self.wanted = {k: {int(v) for v in options[k].split(",")} for k in KEYS if options.get(k)}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else set()
+            if name in KEYS:
+                self.wanted[name] = self.wanted.get(name, values) & values
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [PlanePartition(p, i, z) for i, p in enumerate(self.paths) for z in range(np.load(p, mmap_mode="r").shape[0])]
+        found = []
+        for image, path in enumerate(self.paths):
+            shape = (1, 1, *np.load(path, mmap_mode="r").shape)[-5:]
+            if len(shape) != 5 or len(np.load(path, mmap_mode="r").shape) < 3:
+                raise ValueError(f"{path} is no stack of planes")
+            for key in ((image, image, c, t, z) for t in range(shape[0]) for c in range(shape[1]) for z in range(shape[2])):
+                if all(v in self.wanted.get(k, (v,)) for k, v in zip(KEYS, key, strict=True)):
+                    found.append(PlanePartition(path, key))
+        return found or [None]
 
-    def read(self, partition: PlanePartition) -> Iterator[tuple]:
-        plane = np.load(partition.path, mmap_mode="r")[partition.z]
-        for y in range(plane.shape[0]):
-            for x in np.flatnonzero(plane[y]).tolist():
-                yield partition.image_id, partition.z, y, x, float(plane[y, x])
+    def read(self, partition: PlanePartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        image, scene, channel, time, z = partition.key
+        stack = np.load(partition.path, mmap_mode="r")
+        plane = stack.reshape((1,) * (5 - stack.ndim) + stack.shape)[time, channel, z]
+        rows = max(1, BATCH // max(1, plane.shape[1]))
+        for top in range(0, plane.shape[0], rows):
+            part = np.asarray(plane[top : top + rows], float)
+            ys, xs = np.indices(part.shape) if self.dense else np.nonzero(part)
+            ys, xs = ys.ravel(), xs.ravel()
+            n = lambda v, kind=np.int32: pa.array(np.full(len(ys), v, kind))
+            at = [pa.array((ys + top).astype(np.int32)), pa.array(xs.astype(np.int32)), pa.array(part[ys, xs])]
+            key = [n(image), n(scene), n(channel), n(time), n(z)] if self.dense else [n(image), n(z)]
+            names = [*KEYS, "y", "x", "v"] if self.dense else ["image_id", "z", "y", "x", "v"]
+            yield pa.RecordBatch.from_arrays([*key, *at], names)
 
 
 class VoxelSource(DataSource):
-    """spark.dataSource.register(VoxelSource); spark.read.format("voxels").option("paths", ...). Zero is
-    padding and is left out."""
+    """spark.dataSource.register(VoxelSource); spark.read.format("voxels").option("paths", ...). Zero is padding and is left
+    out; for a mean over planes, in which zeros count, read ``PlaneSource``."""
 
     @classmethod
     def name(cls) -> str:
@@ -41,4 +78,20 @@ class VoxelSource(DataSource):
         return "image_id int, z int, y int, x int, v double"
 
     def reader(self, schema) -> DataSourceReader:
-        return VoxelReader(self.options)
+        return VoxelReader(self.options, False)
+
+
+class PlaneSource(DataSource):
+    """spark.dataSource.register(PlaneSource); spark.read.format("planes").option("paths", ...): every voxel, zeros too. The options
+    image_id, scene, channel, time and z name what to read (numbers with commas between); filters on these columns are
+    handed down where spark.sql.python.filterPushdown.enabled is on."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "planes"
+
+    def schema(self) -> str:
+        return ", ".join(f"{k} int" for k in (*KEYS, "y", "x")) + ", v double"
+
+    def reader(self, schema) -> DataSourceReader:
+        return VoxelReader(self.options, True)
