@@ -93,13 +93,17 @@ def projection_mean(spark, d):
     return raster.project(fx.stack(spark, d), "MEAN")
 
 
-@query(typed("SELECT * FROM (SELECT 'all' AS kase, CAST(i AS INT) AS z, 100.0 + 5 * i AS z_um FROM range(7) t(i) UNION ALL SELECT 'one missing', i, 100.0 + (i - 3) * 2 FROM range(7) t(i) UNION ALL SELECT 'no step', i, 100.0 FROM range(7) t(i) UNION ALL SELECT 'none', i, (i - 3) * 5.0 FROM range(7) t(i))", z="INT", z_um="DOUBLE"))
+#: Suppliers as images of seven planes; a plane's position is known unless its order lines are few, and steps go by supplier.
+KNOWN = "pos AS (SELECT l_suppkey AS image_id, l_linenumber - 1 AS z, CASE WHEN l_suppkey % 3 = 1 AND l_linenumber = 5 OR l_suppkey % 3 = 2 THEN NULL ELSE 100.0::DOUBLE + l_suppkey + 5 * (l_linenumber - 1) END AS z_um FROM lineitem GROUP BY ALL), im AS (SELECT s_suppkey AS image_id, 7 AS n, CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE 2.0::DOUBLE END AS step FROM supplier)"
+
+
+@query("WITH " + KNOWN + ", ev AS (SELECT image_id, n, step, CAST(i AS INT) AS z FROM im, range(7) t(i)) SELECT image_id, z, CASE WHEN count(z_um) OVER w = n THEN z_um ELSE coalesce(max(CASE WHEN z = 0 THEN z_um END) OVER w, 0) + coalesce((z - (n - 1) / 2) * step, 0) END AS z_um FROM ev LEFT JOIN pos USING (image_id, z) WINDOW w AS (PARTITION BY image_id)")
 def z_positions_fallback(spark, d):
-    planes = spark.range(7).select(F.col("id").cast("int").alias("z"), (100.0 + 5 * F.col("id")).alias("z_um"))
-    some, none = planes.where("z <> 4"), planes.where("z < 0")
-    out = [("all", planes, 2.0), ("one missing", some, 2.0), ("no step", some, None), ("none", none, 5.0)]
-    frames = [raster.z_positions(p, 7, s).select(F.lit(k).alias("kase"), "z", "z_um") for k, p, s in out]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+    k, z = F.col("l_suppkey"), F.col("l_linenumber") - 1
+    lost = (k % 3 == 1) & (z == 4) | (k % 3 == 2)
+    pos = fx.table(spark, d, "lineitem").select(k.alias("image_id"), z.cast("int").alias("z"), F.when(~lost, 100.0 + k + 5 * z).alias("z_um")).distinct()
+    s = F.col("s_suppkey")
+    return raster.image_z_positions(pos, fx.table(spark, d, "supplier").select(s.alias("image_id"), F.lit(7).alias("n"), F.when(s % 4 != 3, F.lit(2.0)).alias("step")))
 
 
 @query(W("sp") + "SELECT id, 1.25 * x + 1000 AS sx, 1.25 * y + 2000 AS sy FROM sp")
@@ -114,11 +118,18 @@ def affine_inverse(spark, d):
     return fx.stage_points(spark, d).select("id", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
 
 
-@query(typed("SELECT * FROM (VALUES ('top_left', 1000.0, 2000.0), ('top_right', 1118.75, 2000.0), ('bottom_left', 1000.0, 2118.75), ('bottom_right', 1118.75, 2118.75)) t(corner, sx, sy)", sx="DOUBLE", sy="DOUBLE"))
+#: An overview for each supplier: position, pixel size, directions and anchor go by its key.
+OVERVIEWS = "ov AS (SELECT s_suppkey AS image_id, CASE WHEN s_suppkey % 2 = 0 THEN -1.25 ELSE 1.25 END::DOUBLE AS a, CASE WHEN s_suppkey % 3 = 0 THEN -0.625 ELSE 0.625 END::DOUBLE AS d, CASE WHEN s_suppkey % 5 = 0 THEN 47.5 ELSE 0 END::DOUBLE AS half, s_nationkey * 1000 - a * half AS tx, s_suppkey * 10 - d * half AS ty FROM supplier)"
+
+
+@query("WITH " + OVERVIEWS + " SELECT image_id, corner, a * px + tx AS sx, d * py + ty AS sy FROM ov, (VALUES ('top_left', 0, 0), ('top_right', 95, 0), ('bottom_left', 0, 95), ('bottom_right', 95, 95)) c(corner, px, py)")
 def overview_corners(spark, d):
-    c = spark.createDataFrame([("top_left", 0, 0), ("top_right", 95, 0), ("bottom_left", 0, 95), ("bottom_right", 95, 95)], "corner string, x int, y int")
-    x, y = META.apply(F.col("x"), F.col("y"))
-    return c.select("corner", x.alias("sx"), y.alias("sy"))
+    k = F.col("s_suppkey")
+    meta = fx.table(spark, d, "supplier").select(k.alias("image_id"), (F.col("s_nationkey") * 1000).alias("stage_x"), (k * 10).alias("stage_y"), F.lit(1.25).alias("px_x"), F.lit(0.625).alias("px_y"), F.lit(96).alias("width"), F.lit(96).alias("height"), (k % 5 == 0).alias("centred"), (k % 2 == 0).alias("invert_x"), (k % 3 == 0).alias("invert_y"), F.lit(0.0).alias("z0"), F.lit(1.0).alias("z_step"))
+    corner = F.array(*[F.struct(F.lit(n).alias("corner"), F.lit(x).alias("x"), F.lit(y).alias("y")) for n, x, y in (("top_left", 0, 0), ("top_right", 95, 0), ("bottom_left", 0, 95), ("bottom_right", 95, 95))])
+    c, tr, *_ = ImageScales.from_overviews(meta).on(meta.select("image_id", F.explode(corner).alias("c")).select("image_id", "c.*"))
+    x, y = tr.apply(F.col("x"), F.col("y"))
+    return c.select("image_id", "corner", x.alias("sx"), y.alias("sy"))
 
 
 @query(W("rects") + "SELECT id, CAST(1 + ceil(greatest(0, width - 10) / 7.5) AS BIGINT) AS nx, CAST(1 + ceil(greatest(0, height - 10) / 7.5) AS BIGINT) AS ny FROM rects")
@@ -295,9 +306,9 @@ def background_subtract(spark, d):
     return h.select("bin", F.round(F.greatest(F.col("n") - raster.poisson_part(F.col("bin") * 5 + 2.5, 1.0, 900.0, 20.0), F.lit(0.0)), 4).alias("n"))
 
 
-@query(typed("WITH h AS (SELECT i * 5 + 2.5 AS c FROM range(60) t(i)), p AS (SELECT c, 900 * exp(greatest(c - 1, 0) * ln(20.0) - 20 - lgamma(greatest(c - 1, 0) + 1)) AS p, 300 * exp(-0.5 * ((c - 90) / 20.0) ** 2) AS g FROM h) SELECT min(c) AS threshold FROM p WHERE c > 1 AND c < 90 AND g / (g + p) >= 0.5", threshold="DOUBLE"))
+@query(typed(W("stack", "mip") + ", h AS (SELECT DISTINCT floor(v / 5.0) * 5 + 2.5 AS c FROM mip WHERE v BETWEEN 0 AND 300), p AS (SELECT c, 900 * exp(greatest(c - 1, 0) * ln(20.0) - 20 - lgamma(greatest(c - 1, 0) + 1)) AS p, 300 * exp(-0.5 * ((c - 90) / 20.0) ** 2) AS g FROM h) SELECT min(c) AS threshold FROM p WHERE c > 1 AND c < 90 AND g / (g + p) >= 0.5", threshold="DOUBLE"))
 def threshold_crossing(spark, d):
-    h = spark.range(60).select((F.col("id") * 5 + 2.5).alias("centre"))
+    h = raster.histogram(mip(spark, d), 0.0, 300.0, 60).where("n > 0").select((F.col("bin") * 5 + 2.5).alias("centre"))
     return raster.posterior_crossing(h, 1.0, 900.0, 20.0, 300.0, 90.0, 20.0, 299.0)
 
 
@@ -588,19 +599,30 @@ def plan_json_roundtrip(spark, d):
     return target_rows(plan_files.from_json(text))
 
 
-#: A plan file as other programs write it.
-PLAN_TEXT = '{"source_image": "a.vsi", "planning_mode": "custom:tile_point_grid|xy|per_tile|direct", "point_positions": [{"x_um": 1.5, "y_um": -2, "z_um": 3, "name": null}, {"x_um": 4, "y_um": 5, "z_um": 6.25, "name": "Here"}], "rectangular_regions": [{"center_x_um": 7, "center_y_um": 8, "z_um": 9, "width_um": 10, "height_um": 11, "name": "Box"}], "polygon_regions": [{"vertices_xy_um": [[0, 0], [4, 0], [0, 3]], "z_um": 12}], "overview_metadata": {"image_width_px": 96}, "selected_object_count": 4}'
-PLAN_ROWS = "SELECT kind, CAST(ordinal AS BIGINT) AS ordinal, name, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, CAST(k AS INT) AS k FROM (VALUES ('point', 1, NULL, 1.5, -2, 3, NULL, NULL, NULL), ('point', 2, 'Here', 4, 5, 6.25, NULL, NULL, NULL), ('rectangle', 1, 'Box', 7, 8, 9, 10, 11, NULL), ('polygon', 1, NULL, 0, 0, 12, NULL, NULL, 0), ('polygon', 1, NULL, 4, 0, 12, NULL, NULL, 1), ('polygon', 1, NULL, 0, 3, 12, NULL, NULL, 2)) t(kind, ordinal, name, x, y, z, width, height, k)"
+def foreign_plans(spark, d):
+    """Plan files as other programs write them, one for each region: its nations as points, every other one without a name,
+    a polygon or no list of them, no list of rectangles, metadata of any kind."""
+    n = F.col("n_nationkey")
+    at = F.struct((n * 2).alias("x_um"), (n / 4).alias("y_um"), F.lit(115).alias("z_um"), F.when(n % 2 == 0, F.col("n_name")).alias("name"))
+    r = fx.table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", at.alias("t")))).alias("v"))
+    ring = F.array(*[F.array(x, y) for x, y in ((F.lit(0), F.lit(0)), (F.col("k") + 4, F.lit(0)), (F.lit(0), F.col("k") + 3))])
+    polygons = F.when(F.col("k") % 2 == 0, F.array(F.struct(ring.alias("vertices_xy_um"), F.lit(12).alias("z_um"))))
+    meta = F.struct((F.col("k") + 96).alias("image_width_px"))
+    body = F.struct(F.concat(F.lit("r"), F.col("k").cast("string"), F.lit(".vsi")).alias("source_image"), F.lit("custom:tile_point_grid|xy|per_tile|direct").alias("planning_mode"), F.transform("v", lambda x: x["t"]).alias("point_positions"), polygons.alias("polygon_regions"), meta.alias("overview_metadata"), F.size("v").alias("selected_object_count"))
+    return r.select(F.col("k").alias("image_id"), F.to_json(body).alias("value"))
+
+
+FOREIGN = "SELECT CAST(n_regionkey AS INT) AS image_id, 'point' AS kind, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS ordinal, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name, CAST(n_nationkey * 2 AS DOUBLE) AS x, n_nationkey / 4 AS y, 115.0::DOUBLE AS z, NULL::DOUBLE AS width, NULL::DOUBLE AS height, NULL::INT AS k FROM nation UNION ALL SELECT CAST(r_regionkey AS INT), 'polygon', 1, NULL, CASE WHEN k = 1 THEN r_regionkey + 4 ELSE 0 END, CASE WHEN k = 2 THEN r_regionkey + 3 ELSE 0 END, 12, NULL, NULL, k FROM region, (SELECT unnest([0, 1, 2]) AS k) WHERE r_regionkey % 2 = 0"
 
 
-@query(PLAN_ROWS)
+@query(FOREIGN)
 def plan_json_of_others(spark, d):
-    return target_rows(plan_files.from_json(spark.createDataFrame([(PLAN_TEXT,), ('{"source_image": "b", "planning_mode": ""}',)], "value string")))
+    return target_rows(plan_files.from_json(foreign_plans(spark, d)))
 
 
-@query("SELECT 'a.vsi' AS source_image, 'custom:tile_point_grid|xy|per_tile|direct' AS planning_mode, 4::BIGINT AS selected_object_count, '{\"image_width_px\":96}' AS overview_metadata")
+@query("SELECT 'r' || n_regionkey || '.vsi' AS source_image, 'custom:tile_point_grid|xy|per_tile|direct' AS planning_mode, count(*) AS selected_object_count, '{\"image_width_px\":' || (n_regionkey + 96) || '}' AS overview_metadata FROM nation GROUP BY n_regionkey")
 def plan_json_header(spark, d):
-    return plan_files.header(spark.createDataFrame([(PLAN_TEXT,)], "value string"))
+    return plan_files.header(foreign_plans(spark, d))
 
 
 @query(W("rects", "shapes", TARGETS) + TARGET_ROWS.format(name="CASE WHEN kind = 'polygon' THEN 'Mosaic ' || ordinal ELSE name END"))

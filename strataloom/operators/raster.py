@@ -220,15 +220,22 @@ def display_limits(pixels: DataFrame) -> DataFrame:
     return both.select("image_id", F.lit(0.0).alias("low"), F.when(p > 0, p).when(m > 0, m).otherwise(1.0).alias("high"))
 
 
-def z_positions(planes: DataFrame, n: int, step: float | None) -> DataFrame:
-    """Position of planes 0..n-1 from ``planes`` (z, z_um, null where unknown): the known ones if all are;
-    else plane 0's (or 0) for all, or centred on it with ``step``."""
-    every = planes.sparkSession.range(n).select(F.col("id").cast("int").alias("z")).join(planes, "z", "left")
-    w = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def image_z_positions(planes: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, z, z_um) of planes 0..n-1 of each of ``images`` (image_id, n, step, null where there is none) from ``planes``
+    (image_id, z, z_um, null where unknown): an image's known ones if all are; else plane 0's (or 0) for all, or centred
+    on it with the step."""
+    every = images.select("image_id", "n", "step", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("z")).join(planes.select("image_id", "z", "z_um"), ["image_id", "z"], "left")
+    w = Window.partitionBy("image_id")
     known = F.count("z_um").over(w)
     origin = F.coalesce(F.max(F.when(F.col("z") == 0, F.col("z_um"))).over(w), F.lit(0.0))
-    offset = (F.col("z") - (n - 1) / 2) * step if step is not None else F.lit(0.0)
-    return every.select("z", F.when(known == n, F.col("z_um")).otherwise(origin + offset).alias("z_um"))
+    offset = F.coalesce((F.col("z") - (F.col("n") - 1) / 2) * F.col("step"), F.lit(0.0))
+    return every.select("image_id", "z", F.when(known == F.col("n"), F.col("z_um")).otherwise(origin + offset).alias("z_um"))
+
+
+def z_positions(planes: DataFrame, n: int, step: float | None) -> DataFrame:
+    """The same of one image, without ``image_id``."""
+    one = planes.sparkSession.range(1).select(F.lit(0).alias("image_id"), F.lit(n).alias("n"), F.lit(step).cast("double").alias("step"))
+    return image_z_positions(planes.withColumn("image_id", F.lit(0)), one).select("z", "z_um")
 
 
 def peak(series: DataFrame, allowed: Column, centre: str = "centre", value: str = "s") -> DataFrame:

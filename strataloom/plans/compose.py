@@ -306,7 +306,8 @@ def image_levels(pixels: DataFrame, bins: int = 500) -> DataFrame:
     def counted(levels: DataFrame, lo: str, n: str) -> DataFrame:
         """Counts by bin as an array of n values for each image."""
         j = ok.join(levels.select("image_id", F.col(lo).alias("_lo"), F.col("upper").alias("_hi"), F.col(n).alias("_n")), "image_id").where(F.col("v").between(F.col("_lo"), F.col("_hi")))
-        b = F.least(F.floor((F.col("v") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / F.col("_n"))), F.col("_n") - 1).cast("int")
+        span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)  # a flat image raises when it is fitted
+        b = F.least(F.floor((F.col("v") - F.col("_lo")) / (span / F.col("_n"))), F.col("_n") - 1).cast("int")
         by = j.groupBy("image_id", b.alias("bin")).agg(F.count(F.lit(1)).alias("c")).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("_m"))
         full = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long")))
         return levels.join(by, "image_id", "left").withColumn(f"counts{n[1]}", F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0).cast("long"), F.col(n))).otherwise(full)).drop("_m")

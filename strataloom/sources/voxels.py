@@ -20,23 +20,14 @@ class PlanePartition(InputPartition):
 
 
 class VoxelReader(DataSourceReader):
-    """One partition for each plane that is asked for: a plane is read alone, and a stack never whole. What is asked for
-    comes as options or as filters that Spark hands down; planes that these leave out are not opened."""
+    """One partition for each plane that is asked for by options: a plane is read alone, and a stack never whole; other
+    planes are not opened."""
 
     def __init__(self, options: dict, dense: bool):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
         self.dense = dense
         self.wanted = {k: {int(v) for v in options[k].split(",")} for k in KEYS if options.get(k)}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else set()
-            if name in KEYS:
-                self.wanted[name] = self.wanted.get(name, values) & values
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         found = []
         for image, path in enumerate(self.paths):
@@ -46,7 +37,7 @@ class VoxelReader(DataSourceReader):
             for key in ((image, image, c, t, z) for t in range(shape[0]) for c in range(shape[1]) for z in range(shape[2])):
                 if all(v in self.wanted.get(k, (v,)) for k, v in zip(KEYS, key, strict=True)):
                     found.append(PlanePartition(path, key))
-        return found or [None]
+        return found
 
     def read(self, partition: PlanePartition | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
@@ -66,6 +57,19 @@ class VoxelReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([*key, *at], names)
 
 
+class FilteredReader(VoxelReader):
+    """Takes filters on the keys of planes too. Spark accepts such a reader only where it hands filters down."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else set()
+            if name in KEYS:
+                self.wanted[name] = self.wanted.get(name, values) & values
+            else:
+                yield f
+
+
 class VoxelSource(DataSource):
     """spark.dataSource.register(VoxelSource); spark.read.format("voxels").option("paths", ...). Zero is padding and is left
     out; for a mean over planes, in which zeros count, read ``PlaneSource``."""
@@ -83,8 +87,8 @@ class VoxelSource(DataSource):
 
 class PlaneSource(DataSource):
     """spark.dataSource.register(PlaneSource); spark.read.format("planes").option("paths", ...): every voxel, zeros too. The options
-    image_id, scene, channel, time and z name what to read (numbers with commas between); filters on these columns are
-    handed down where spark.sql.python.filterPushdown.enabled is on."""
+    image_id, scene, channel, time and z name what to read (numbers with commas between). With the option pushdown=true filters
+    on these columns do so too; it needs spark.sql.python.filterPushdown.enabled."""
 
     @classmethod
     def name(cls) -> str:
@@ -94,4 +98,4 @@ class PlaneSource(DataSource):
         return ", ".join(f"{k} int" for k in (*KEYS, "y", "x")) + ", v double"
 
     def reader(self, schema) -> DataSourceReader:
-        return VoxelReader(self.options, True)
+        return (FilteredReader if self.options.get("pushdown") == "true" else VoxelReader)(self.options, True)
