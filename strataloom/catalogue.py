@@ -334,7 +334,7 @@ GROUPS = "pr AS (SELECT a.id AS a, b.id AS b FROM sp a JOIN sp b ON abs(a.x - b.
 
 def linked(spark, d):
     p = fx.stage_points(spark, d)
-    return components.single_linkage(p, joins.proximity_pairs(p, 5.0, 5.0))
+    return components.single_linkage(p, joins.proximity_links(p, 5.0, 5.0))
 
 
 @query(W("sp", GROUPS) + "SELECT id, group_id FROM g")

@@ -30,23 +30,72 @@ def proximity_pairs(points: DataFrame, width: float, height: float) -> DataFrame
     return j.select(*image, F.col("id").alias("a"), "b")
 
 
+#: Slices of a cell's width in which the points of two cells that meet at a corner are compared.
+SLICES = 256
+
+
+def proximity_links(points: DataFrame, width: float, height: float) -> DataFrame:
+    """Links (a, b) of points (id, x, y) of one image that join exactly the chains of ``proximity_pairs``, but at most one for
+    each point and twelve for each cell, however dense the points are. Points without finite coordinates have none.
+
+    Points of one cell are within reach of each other, and are linked with the least id there. Two cells in a row or
+    column are linked if the gap between their points is small enough; cells that meet at a corner if one point of
+    the first lies far enough to both sides of one of the other, found by running maxima over slices."""
+    image = images(points)
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    shrink = 1 - 1e-9  # so that rounding puts no two points out of reach into one cell
+    xy = points.select(*image, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(real("x") & real("y"))
+    p = cut(xy.withColumns({"cx": F.floor(F.col("x") / (width * shrink)), "cy": F.floor(F.col("y") / (height * shrink))}))
+    key = [*image, "cx", "cy"]
+    cells = cut(p.groupBy(*key).agg(F.min("id").alias("rep"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+    stars = p.join(cells.select(*key, "rep"), key).where("id <> rep").select(*image, F.col("rep").alias("a"), F.col("id").alias("b"))
+    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if i or j > 0])
+    q = cells.select(*image, (F.struct(*["cx", "cy", "rep", "x0", "x1", "y0", "y1"])).alias("f"), F.explode(ahead).alias("o"))
+    q = q.select(*image, "f", "o", (F.col("f.cx") + F.col("o.i")).alias("cx"), (F.col("f.cy") + F.col("o.j")).alias("cy"))
+    j = q.join(cells, key)
+    beside = (F.when(F.col("o.i") == 0, True).otherwise(F.col("x0") - F.col("f.x1") <= width)) & F.when(F.col("o.j") == 0, True).when(F.col("o.j") > 0, F.col("y0") - F.col("f.y1") <= height).otherwise(F.col("f.y0") - F.col("y1") <= height)
+    near = cut(j.where(beside).select(*image, "f", "o", "cx", "cy", "rep"))
+    straight = near.where("o.i = 0 or o.j = 0")
+    # cells at a corner: their points, the second ones moved back by the reach, upside down where the second cell lies below
+    corner = near.where("o.i <> 0 and o.j <> 0")
+    pair = [*image, "fx", "fy", "cx", "cy"]
+    corner = corner.select(*image, F.col("f.cx").alias("fx"), F.col("f.cy").alias("fy"), "cx", "cy", F.signum(F.col("o.j")).alias("s"), F.col("f.rep").alias("a"), F.col("rep").alias("b"))
+    first = p.select(*image, F.col("cx").alias("fx"), F.col("cy").alias("fy"), "x", "y").join(corner.select(*pair, "s"), [*image, "fx", "fy"])
+    first = first.groupBy(*pair, F.col("x").alias("t")).agg(F.max(F.col("y") * F.col("s")).alias("v"))
+    second = p.select(*key, "x", "y").join(corner.select(*pair, "s"), key).groupBy(*pair, (F.col("x") - width).alias("t")).agg(F.min(F.col("y") * F.col("s") - height).alias("v"))
+    both = first.withColumn("kind", F.lit(0)).unionByName(second.withColumn("kind", F.lit(1))).withColumn("slice", F.floor(F.col("t") / (width / SLICES)))
+    mine = F.when(F.col("kind") == 0, F.col("v"))
+    in_slice = Window.partitionBy(*pair, "slice").orderBy(F.desc("t"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = both.withColumn("m", F.max(mine).over(in_slice))
+    hit = here.where("kind = 1 and v <= m").select(*pair)
+    tops = both.groupBy(*pair, "slice").agg(F.max(mine).alias("m"), F.min(F.when(F.col("kind") == 1, F.col("v"))).alias("v"))
+    beyond = Window.partitionBy(*pair).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    hit = hit.unionByName(tops.withColumn("m", F.max("m").over(beyond)).where("v <= m").select(*pair)).distinct()
+    crossed = corner.join(hit, pair, "left_semi").select(*image, "a", "b")
+    return stars.unionByName(straight.select(*image, F.col("f.rep").alias("a"), F.col("rep").alias("b"))).unionByName(crossed)
+
+
 def box_gap_pairs(boxes: DataFrame, gap_x: float, gap_y: float, dz: float | None = None) -> DataFrame:
     """Pairs (a < b) of boxes (id, min_x, max_x, min_y, max_y, z) of one image whose gaps on both axes, and difference in
-    z, stay within the limits. Boxes are dealt to the cells that they meet when grown by half the gaps; a
-    pair is tested in the first cell that both meet."""
+    z, stay within the limits. Cells come in sizes that double; a box grown by half the gaps has those of the first
+    size that is no less than it, where it meets four at most, and of the greater sizes that other boxes have. Two
+    boxes meet in the size of the greater one; a pair is tested in the first cell that both meet."""
     size = boxes.agg(F.avg(F.col("max_x") - F.col("min_x")), F.avg(F.col("max_y") - F.col("min_y"))).first()
     cw, ch = (max(1e-9, (s or 0) + g) for s, g in zip(size, (gap_x, gap_y), strict=True))
-    lo = lambda c, g, s: F.floor((F.col(c) - g / 2) / s)
-    hi = lambda c, g, s: F.floor((F.col(c) + g / 2) / s)
-    b = boxes.withColumns({"_x0": lo("min_x", gap_x, cw), "_x1": hi("max_x", gap_x, cw), "_y0": lo("min_y", gap_y, ch), "_y1": hi("max_y", gap_y, ch)})
+    ratio = F.greatest((F.col("max_x") - F.col("min_x") + gap_x) / cw, (F.col("max_y") - F.col("min_y") + gap_y) / ch, F.lit(1.0))
+    b = boxes.withColumn("_own", F.ceil(F.log2(ratio)).cast("int"))
+    levels = F.array(*[F.lit(r[0]) for r in b.select("_own").where("_own IS NOT NULL").distinct().orderBy("_own").collect()] or [F.lit(0)])  # no more than doublings of one number
+    b = b.withColumn("_level", F.explode(F.filter(levels, lambda v: v >= F.col("_own"))))
+    cell = lambda c, g, s: F.floor((F.col(c) + g / 2) / (F.lit(s) * F.pow(F.lit(2.0), F.col("_level"))))
+    b = b.withColumns({"_x0": cell("min_x", -gap_x, cw), "_x1": cell("max_x", gap_x, cw), "_y0": cell("min_y", -gap_y, ch), "_y1": cell("max_y", gap_y, ch)})
     b = b.withColumn("cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("cy", F.explode(F.sequence("_y0", "_y1")))
     r, s = b.alias("r"), b.alias("s")
     c = lambda t, n: F.col(f"{t}.{n}")
     image = images(boxes)
     ok = F.lit(True)
-    for name in image:
+    for name in (*image, "_level", "cx", "cy"):
         ok &= c("r", name) == c("s", name)
-    ok &= (c("r", "cx") == c("s", "cx")) & (c("r", "cy") == c("s", "cy")) & (c("r", "id") < c("s", "id"))
+    ok &= (c("r", "id") < c("s", "id")) & (F.greatest(c("r", "_own"), c("s", "_own")) == c("r", "_level"))
     ok &= (F.greatest(c("r", "_x0"), c("s", "_x0")) == c("r", "cx")) & (F.greatest(c("r", "_y0"), c("s", "_y0")) == c("r", "cy"))
     ok &= axis_gap(c("r", "min_x"), c("r", "max_x"), c("s", "min_x"), c("s", "max_x")) <= gap_x
     ok &= axis_gap(c("r", "min_y"), c("r", "max_y"), c("s", "min_y"), c("s", "max_y")) <= gap_y

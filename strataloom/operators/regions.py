@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Tile, tiles_for_span
@@ -99,23 +99,42 @@ def tile_coverage(pixels: DataFrame, tiles: DataFrame, tile: Tile | Extent) -> D
 
 def tiles_touching(tiles: DataFrame, vertices: DataFrame, tile: Tile) -> DataFrame:
     """Tiles (id, ordinal, center_x, center_y) whose footprint touches their polygon: a corner inside it, a
-    vertex inside the tile or crossing edges. A polygon that none touches gets one tile at its vertex mean."""
+    vertex inside the tile or crossing edges. A polygon that none touches gets one tile at its vertex mean.
+
+    Edges are dealt to the cells of a tile's size that they pass, and each tile meets the edges of its own cells alone.
+    Whether corners lie inside goes by the crossings of their height, counted in the order of x."""
     e = edges(vertices).withColumnsRenamed({"x1": "ax", "y1": "ay", "x2": "bx", "y2": "by"})
     hw, hh = tile.width / 2, tile.height / 2
     key = [*images(tiles, vertices), "id"]
-    j = tiles.join(e, key)
     cx, cy, ax, ay, bx, by = (F.col(c) for c in ("center_x", "center_y", "ax", "ay", "bx", "by"))
-    aggs = []
-    for i, (sx, sy) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1))):
-        x, y = cx + sx * hw, cy + sy * hh
-        hit = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.when(by != ay, by - ay) + ax)
-        aggs.append((F.sum(F.coalesce(hit, F.lit(False)).cast("int")) % 2 == 1).alias(f"c{i}"))
+    band = lambda y: F.floor(y / tile.height)
+    by_band = e.select(*key, "ax", "ay", "bx", "by", F.explode(F.sequence(band(F.least(ay, by)), band(F.greatest(ay, by)))).alias("band"))
+
+    corner = F.array(*[F.struct((cx + sx * hw).alias("x"), (cy + sy * hh).alias("y")) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    corners = tiles.select(*key, "ordinal", F.explode(corner).alias("c")).select(*key, "ordinal", "c.x", "c.y")
+    heights = corners.select(*key, "y").distinct().withColumn("band", band(F.col("y")))
+    crossed = by_band.join(heights, [*key, "band"]).where((ay > F.col("y")) != (by > F.col("y")))
+    crossed = crossed.select(*key, F.lit(None).cast(dict(tiles.dtypes)["ordinal"]).alias("ordinal"), ((bx - ax) * (F.col("y") - ay) / (by - ay) + ax).alias("x"), "y", F.lit(1).alias("_n"))
+    right = Window.partitionBy(*key, "y").orderBy(F.desc("x"), "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = corners.withColumn("_n", F.lit(0)).unionByName(crossed).withColumn("_right", F.sum("_n").over(right))
+    inside = counted.where("_n = 0 and _right % 2 = 1").select(*key, "ordinal").distinct()
+
+    slack = 1e-6  # of a cell, so that rounding loses no contact; the test itself is exact
+    column = lambda x: F.floor(x / tile.width)
+    # the part of an edge that lies in its band
+    at = lambda y: F.when(by == ay, ax).otherwise((bx - ax) * (F.greatest(F.least(y, F.greatest(ay, by)), F.least(ay, by)) - ay) / F.when(by != ay, by - ay) + ax)
+    ends = [at(F.col("band") * tile.height), at((F.col("band") + 1) * tile.height), F.when(by == ay, bx)]
+    span = [f(*[F.coalesce(x, ends[0]) for x in ends]) for f in (F.least, F.greatest)]
+    placed = by_band.withColumn("column", F.explode(F.sequence(column(span[0] - slack * tile.width), column(span[1] + slack * tile.width))))
+    grid = lambda c, half, size: F.explode(F.sequence(F.floor((c - half) / size - slack), F.floor((c + half) / size + slack)))
+    met = tiles.select(*key, "ordinal", "center_x", "center_y", grid(cx, hw, tile.width).alias("column")).withColumn("band", grid(cy, hh, tile.height))
     within = (F.abs(ax - cx) <= hw + 1e-9) & (F.abs(ay - cy) <= hh + 1e-9)
     # an edge meets the tile if its box does and the corners lie on both sides of its line
     side = [(bx - ax) * (cy + sy * hh - ay) - (by - ay) * (cx + sx * hw - ax) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
     meets = (F.least(ax, bx) <= cx + hw) & (F.greatest(ax, bx) >= cx - hw) & (F.least(ay, by) <= cy + hh) & (F.greatest(ay, by) >= cy - hh) & (F.least(*side) <= 0) & (F.greatest(*side) >= 0)
-    g = j.groupBy(*key, "ordinal", "center_x", "center_y").agg(*aggs, F.bool_or(within).alias("v"), F.bool_or(meets).alias("m"))
-    hit = g.where("c0 or c1 or c2 or c3 or v or m").select(*key, "ordinal", "center_x", "center_y")
+    touched = met.join(placed, [*key, "band", "column"]).where(within | meets).select(*key, "ordinal").distinct()
+
+    hit = tiles.select(*key, "ordinal", "center_x", "center_y").join(inside.unionByName(touched).distinct(), [*key, "ordinal"], "left_semi")
     mean = vertices.groupBy(*key).agg(F.lit(1).cast("long").alias("ordinal"), F.avg("x").alias("center_x"), F.avg("y").alias("center_y"))
     return hit.unionByName(mean.join(hit.select(*key).distinct(), key, "left_anti"))
 

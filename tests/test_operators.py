@@ -204,3 +204,81 @@ def test_classes_of_models(spark):
     got = rows(forest, 2)
     assert [c for c, _ in got] == [1, 1, 1, 2, 2] and all(0 <= p <= 1 for _, p in got)
     assert {p for _, p in rows(forest, 9)} == {0.0}
+
+
+def roots(n, pairs):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("digits,width,height", [(0, 2.0, 3.0), (1, 1.5, 2.5), (4, 1.7, 1.1)])
+def test_proximity_links_join_what_pairs_join(spark, digits, width, height):
+    """Also where many points lie in one cell; links stay few where pairs are many."""
+    rng = np.random.default_rng(digits)
+    pts = np.round(rng.random((400, 2)) * [60, 90], digits)
+    pts[:150] = np.round(pts[:150] / 8, max(digits, 2))
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(pts)] + [(400, None, 1.0), (401, math.nan, 1.0), (402, math.inf, 1.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    d = np.abs(pts[:, None] - pts[None])
+    pairs = np.argwhere((d[..., 0] <= width) & (d[..., 1] <= height)).tolist()
+    links = joins.proximity_links(df, width, height)
+    got = {r["id"]: r["group_id"] for r in components.single_linkage(df, links).collect()}
+    assert [got[i] for i in range(400)] == roots(400, pairs) and [got[i] for i in (400, 401, 402)] == [400, 401, 402]
+    assert links.count() < len(pairs) / 2
+
+
+def test_dense_points_have_few_links(spark):
+    hot = spark.range(200_000).select("id", (F.rand(1) * 4.9).alias("x"), (F.rand(2) * 4.9).alias("y"))
+    assert joins.proximity_links(hot, 5.0, 5.0).count() < 200_050
+
+
+def test_box_pairs_of_all_sizes(spark):
+    rng = np.random.default_rng(3)
+    c, size = rng.random((300, 2)) * 100, np.abs(rng.normal(0, 1, (300, 2)))
+    size[:4] = [[300, 2], [2, 200], [90, 90], [1e6, 1e6]]  # the last would fill very many cells of the mean size
+    rows = [(i, *map(float, (c[i, 0], c[i, 0] + size[i, 0], c[i, 1], c[i, 1] + size[i, 1]))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, min_x double, max_x double, min_y double, max_y double")
+    for gx, gy in ((2.0, 1.0), (0.0, 0.0)):
+        want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and max(a[1] - b[2], b[1] - a[2]) <= gx and max(a[3] - b[4], b[3] - a[4]) <= gy)
+        assert sorted(map(tuple, joins.box_gap_pairs(df, gx, gy).collect())) == want
+
+
+def test_tiles_touch_polygons_as_by_all_edges(spark):
+    """Every tile against every edge, in plain Python; and a polygon of 100,000 vertices ends."""
+    rng = np.random.default_rng(6)
+    tile = Tile(4, 3, 1.0, 1.0, 0.25)
+    rings = {1: [(0.0, 0.0), (20.0, 3.0), (9.0, 6.0), (18.0, 15.0), (1.0, 12.0)], 2: [(5.2, 5.1), (5.4, 5.1), (5.3, 5.3)], 3: [(-3.0, 0.0), (-3.0, 30.0), (-2.9, 30.0), (-2.9, 0.0)]}
+    rings[4] = [(float(12 * np.cos(t) * r), float(10 * np.sin(t) * r)) for t, r in zip(np.linspace(0, 6.2, 40), rng.uniform(0.3, 1, 40))]
+    tiles = [(i, k + 1, x, y) for i in rings for k, (x, y) in enumerate((float(x), float(y)) for x in np.arange(-14, 24, 3) for y in np.arange(-12, 32, 2.25))]
+
+    def touches(ring, x, y):
+        es = list(zip(ring, ring[1:] + ring[:1]))
+        for px, py in ((x - 2, y - 1.5), (x + 2, y - 1.5), (x + 2, y + 1.5), (x - 2, y + 1.5)):
+            if sum((ay > py) != (by > py) and px < (bx - ax) * (py - ay) / (by - ay) + ax for (ax, ay), (bx, by) in es) % 2:
+                return True
+        for (ax, ay), (bx, by) in es:
+            sides = [(bx - ax) * (y + sy - ay) - (by - ay) * (x + sx - ax) for sx in (-2, 2) for sy in (-1.5, 1.5)]
+            if abs(ax - x) <= 2 and abs(ay - y) <= 1.5 or min(ax, bx) <= x + 2 and max(ax, bx) >= x - 2 and min(ay, by) <= y + 1.5 and max(ay, by) >= y - 1.5 and min(sides) <= 0 <= max(sides):
+                return True
+        return False
+
+    want = sorted((i, k) for i, k, x, y in tiles if touches(rings[i], x, y))
+    v = spark.createDataFrame([(i, k, *p) for i, r in rings.items() for k, p in enumerate(r)], "id int, k int, x double, y double")
+    t = spark.createDataFrame(tiles, "id int, ordinal long, center_x double, center_y double")
+    assert sorted((r["id"], r["ordinal"]) for r in regions.tiles_touching(t, v, tile).collect()) == want
+    alone = spark.createDataFrame([(9, 1, 500.0, 500.0)], t.schema)
+    assert [(r["center_x"], r["ordinal"]) for r in regions.tiles_touching(alone, v.where("id = 2").withColumn("id", F.lit(9)), tile).collect()] == [(pytest.approx(5.3), 1)]
+    many = spark.range(100_000).select(F.lit(1).alias("id"), F.col("id").cast("int").alias("k"), (F.cos(F.col("id") * 6.283 / 100_000) * 300).alias("x"), (F.sin(F.col("id") * 6.283 / 100_000) * 300).alias("y"))
+    box = spark.createDataFrame([(1, -300.0, 300.0, -300.0, 300.0)], "id int, min_x double, max_x double, min_y double, max_y double")
+    grid = regions.tile_lattice(box, Tile(10, 10, 1.0, 1.0, 0.0))
+    found = regions.tiles_touching(grid, many, Tile(10, 10, 1.0, 1.0, 0.0)).count()
+    assert abs(found - np.pi * 300**2 / 100) < 250 and found < grid.count()
