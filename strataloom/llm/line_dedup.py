@@ -1,15 +1,18 @@
 """Line dedup on levelled sorted runs of line hashes.
 
-A run is a table of line hashes, bucketed and sorted by hash, with the number of documents that hold the
-line and the largest doc_id among them. A new batch is aggregated per line and merge-anti-joined with the
-runs: lines that no run knows are fresh. The batch then adds its own run to level 0; a level that has
-``fanout`` runs is compacted into one run of the next level. Runs and batches share their bucketing, so
-neither the anti-join nor a compaction shuffles a run again.
+A run is a table of line hashes, bucketed and sorted by hash, with a number of documents that hold the line and the
+largest doc_id among them. A new batch is aggregated per line and merge-anti-joined with the runs: lines that no
+run has are fresh, and make the batch's own run at level 0; a level that has ``fanout`` runs is compacted into one
+run of the next level. So every line is in one run alone, that of the batch which had it first. Lines of a batch that
+are not fresh are counted on in runs of increments, compacted in the same way, and a line's whole count is that of
+its run with its increments. Runs share their bucketing, so neither the joins nor a compaction of increments
+shuffles a run again.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,7 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or shuffle_width(spark)
         self.levels: list[list[str]] = []
+        self.increments: list[list[str]] = []
         self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
@@ -60,20 +64,41 @@ class LineRuns:
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        """One row per line hash over the runs, merged two by two: a full outer merge join of runs of one
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.table(name).select("h1", "h2", "n_docs", "max_doc")
+
+    def _together(self, names: list[str]) -> DataFrame:
+        """All rows of runs that have no line in common."""
+        every = self._table(names[0])
+        for name in names[1:]:
+            every = every.unionByName(self._table(name))
+        return every
+
+    def _summed(self, names: list[str]) -> DataFrame:
+        """One row per line hash over runs of increments, merged two by two: a full outer merge join of runs of one
         bucketing keeps it, where an aggregation over their union would be given wrong groups."""
-        every = self.spark.table(names[0]).select("h1", "h2", "n_docs", "max_doc")
+        every = self._table(names[0])
         for name in names[1:]:
-            more = self.spark.table(name).select("h1", "h2", F.col("n_docs").alias("n2"), F.col("max_doc").alias("m2"))
+            more = self._table(name).withColumnsRenamed({"n_docs": "n2", "max_doc": "m2"})
             both = every.hint("merge").join(more, ["h1", "h2"], "full")
             n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n2", F.lit(0))
             every = both.select("h1", "h2", n.alias("n_docs"), F.greatest("max_doc", "m2").alias("max_doc"))
         return every
 
     def known(self) -> DataFrame | None:
-        """One row per line hash over all runs, or None before the first batch."""
-        return self._merged(self.runs()) if self.runs() else None
+        """One row per line hash, or None before the first batch: the lines of each run with their increments."""
+        if not self.runs():
+            return None
+        more = [name for level in self.increments for name in level]
+        out = None
+        for name in self.runs():
+            lines = self._table(name)
+            if more:
+                added = self._summed(more).withColumnsRenamed({"n_docs": "n2", "max_doc": "m2"})
+                both = lines.hint("merge").join(added, ["h1", "h2"], "left")
+                lines = both.select("h1", "h2", (F.col("n_docs") + F.coalesce("n2", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "m2").alias("max_doc"))
+            out = lines if out is None else out.unionByName(lines)
+        return out
 
     def fresh(self, batch: DataFrame) -> DataFrame:
         """Rows (h1, h2, ...) of a batch whose line is in no run: one merge anti-join for each run."""
@@ -82,39 +107,38 @@ class LineRuns:
         return batch
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch of (doc_id, h1, h2): fresh lines found by the anti-join and further counts of known
-        lines (its semi-join counterpart) make one new run; then compact full levels."""
+        """Add a batch of (doc_id, h1, h2): its fresh lines as a run, and of its other lines what it adds to their counts;
+        then compact full levels."""
         per_line = batch.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
         if not self.runs():
-            rows = per_line.withColumn("first_seen", F.lit(True))
-        else:
-            per_line = materialize(per_line, "line-batch")
-            fresh = self.fresh(per_line).withColumn("first_seen", F.lit(True))
-            seen = self.known().select("h1", "h2")
-            again = per_line.join(seen.hint("merge"), ["h1", "h2"], "left_semi").withColumn("first_seen", F.lit(False))
-            rows = fresh.unionByName(again)
-        name = self._write(rows.select("h1", "h2", "n_docs", "max_doc", "first_seen"))
-        if hasattr(per_line, "_scratch"):
-            discard(per_line)
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(name)
+            self._add(self.levels, self._write(per_line), self._together)
+            return
+        per_line = materialize(per_line, "line-batch")
+        name = self._write(self.fresh(per_line))
+        again = self._write(per_line.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti"))
+        discard(per_line)
+        self._add(self.levels, name, self._together)
+        self._add(self.increments, again, self._summed)
+
+    def _add(self, levels: list[list[str]], name: str, compacted: Callable[[list[str]], DataFrame]) -> None:
+        if not levels:
+            levels.append([])
+        levels[0].append(name)
         k = 0
-        while len(self.levels[k]) >= self.fanout:
-            full = self.levels[k]
-            merged = self._write(self._merged(full).withColumn("first_seen", F.lit(True)))
-            self.levels[k] = []
-            for old in full:
+        while len(levels[k]) >= self.fanout:
+            merged = self._write(compacted(levels[k]))
+            for old in levels[k]:
                 self._drop(old)
-            if len(self.levels) == k + 1:
-                self.levels.append([])
-            self.levels[k + 1].append(merged)
+            levels[k] = []
+            if len(levels) == k + 1:
+                levels.append([])
+            levels[k + 1].append(merged)
             k += 1
 
     def drop(self) -> None:
-        for name in self.runs():
+        for name in [*self.runs(), *(name for level in self.increments for name in level)]:
             self._drop(name)
-        self.levels = []
+        self.levels, self.increments = [], []
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3) -> DataFrame:
