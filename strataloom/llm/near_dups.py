@@ -230,15 +230,16 @@ def _across(opened: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
 
     The members of a bucket's largest component, its bulk, need no comparison with each other; the rest do,
     and with the bulk. Both are dealt to blocks of about BLOCK members and BLOCK_BYTES of text, and a task
-    compares two blocks: so the texts of the bulk travel once for each block of the rest, which is once
-    where the rest is small. Each pair of members of different components is compared by registers, in the
-    first band that it shares, and if they agree enough, by its texts. Within a task a link joins its
-    components, and pairs inside a component need no more comparison: a task returns fewer links than it has
-    members."""
-    m = opened.join(sigs.select("node", "sig"), "node").join(texts, "node")
+    compares two blocks. Each pair of members of different components is compared by registers first, in the
+    first band that it shares; only registers travel for that. Then the texts of those members that have a partner
+    in some pair of blocks, and of no others, go to that pair of blocks, where such pairs are compared by texts. Within
+    a task a link joins its components, and pairs inside a component need no more comparison: a task returns fewer
+    links than it has members."""
+    sizes = texts.select("node", F.octet_length("text").alias("_size"))
+    m = opened.join(sigs.select("node", "sig"), "node").join(sizes, "node")
     # how many members and bytes the components of each bucket have; one row for each of both
     load = F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)
-    parts = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    parts = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("bytes"))
     by = parts.groupBy(F.col("key").alias("_k")).agg(F.max(F.struct("n", "root", load.alias("load"))).alias("bulk"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     blocks = lambda x: F.greatest(F.ceil(x), F.lit(1)).cast("int")
     by = by.select("_k", F.col("bulk.root").alias("_bulk"), blocks(F.col("bulk.load")).alias("nb"), blocks(load).alias("nr"))
@@ -250,27 +251,39 @@ def _across(opened: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     with_bulk = F.transform(upto("nb"), lambda b: place(True, b, F.col("mine")))
     in_rest = F.transform(upto("nr"), lambda r: place(False, F.least("mine", r), F.greatest("mine", r)))
     m = m.withColumn("at", F.explode(F.when(F.col("big"), with_rest).otherwise(F.concat(with_bulk, in_rest))))
-    m = m.select("key", "at.across", "at.i", "at.j", "mine", "big", "node", "root", "sig", "text")
+    m = m.select("key", "at.across", "at.i", "at.j", "mine", "big", "node", "root", "sig")
     need = int(np.ceil(REGISTERS * (SIMILARITY - SLACK) - 1e-9))
 
-    def run(table: pa.Table) -> pa.Table:
-        node = table["node"].to_pylist()
+    def partners(table: pa.Table):
+        """(x, those that x is to be compared with by texts) for the members of the left block."""
         sig = both_sets(table["sig"].to_pylist())
         bands = both_keys(sig)
         band = int(np.flatnonzero((bands[0] == table["key"][0].as_py()).any(0))[0])
         mine, big = table["mine"].to_numpy(), table["big"].to_numpy()
         across, i, j = (table[c][0].as_py() for c in ("across", "i", "j"))
-        _, comp = np.unique(np.asarray([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)
-        text_of, value, weight, _, _ = shingles(*raw_text(table["text"]))
-        cuts = np.searchsorted(text_of, np.arange(len(node) + 1))
+        comp = _numbered(table["root"])
         left, right = (np.flatnonzero(~big), np.flatnonzero(big)) if across else (np.flatnonzero(mine == i), np.flatnonzero(mine == j))
-        a, b = [], []
         for x in left.tolist():
             cand = right[(comp[right] != comp[x]) & ((right > x) | across | (i != j))]
             if not len(cand):
                 continue
             cand = cand[(sig[cand] == sig[x]).sum(2).max(1) >= need]
-            cand = cand[~_share(bands[cand, :, :band], bands[x, :, :band])]
+            yield x, cand[~_share(bands[cand, :, :band], bands[x, :, :band])]
+
+    def wanted(table: pa.Table) -> pa.Table:
+        """The rows that have a partner."""
+        some = np.zeros(table.num_rows, bool)
+        for x, cand in partners(table):
+            some[cand] = True
+            some[x] |= len(cand) > 0
+        return table.filter(pa.array(some))
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = table["node"].to_pylist(), _numbered(table["root"])
+        text_of, value, weight, _, _ = shingles(*raw_text(table["text"]))
+        cuts = np.searchsorted(text_of, np.arange(len(node) + 1))
+        a, b = [], []
+        for x, cand in partners(table):
             own = slice(cuts[x], cuts[x + 1])
             for y in cand.tolist():
                 other = slice(cuts[y], cuts[y + 1])
@@ -282,7 +295,13 @@ def _across(opened: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
 
     # the join left a bucket's rows in one partition, which would also do for the grouping by block
     at = ["key", "across", "i", "j"]
-    return m.repartition(*at).groupBy(*at).applyInArrow(run, "a binary, b binary")
+    close = materialize(m.repartition(*at).groupBy(*at).applyInArrow(wanted, m.schema), "close-members")
+    return close.join(texts, "node").repartition(*at).groupBy(*at).applyInArrow(run, "a binary, b binary")
+
+
+def _numbered(roots: pa.ChunkedArray) -> np.ndarray:
+    """Components as numbers from 0."""
+    return np.unique(np.asarray([r.hex() for r in roots.to_pylist()]), return_inverse=True)[1]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
