@@ -17,6 +17,43 @@ from .raster import blurred
 from .scratch import cut
 
 
+class Grid:
+    """Boxes (min_x, max_x, min_y, max_y) by cells of a plane, for kernels that look for neighbours. Boxes of very many cells
+    are kept apart and are near everything."""
+
+    def __init__(self, width: float, height: float):
+        self.width, self.height = max(width, 1e-9), max(height, 1e-9)
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        self.wide: set[int] = set()
+
+    def _cells(self, box, pad_x: float = 0.0, pad_y: float = 0.0) -> list[tuple[int, int]] | None:
+        x0, x1 = (math.floor(v / self.width) for v in (box[0] - pad_x, box[1] + pad_x))
+        y0, y1 = (math.floor(v / self.height) for v in (box[2] - pad_y, box[3] + pad_y))
+        if (x1 - x0 + 1) * (y1 - y0 + 1) > 4096:
+            return None
+        return [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
+
+    def put(self, k: int, box) -> None:
+        cells = self._cells(box)
+        if cells is None:
+            self.wide.add(k)
+        for c in cells or ():
+            self.cells.setdefault(c, set()).add(k)
+
+    def take(self, k: int, box) -> None:
+        self.wide.discard(k)
+        for c in self._cells(box) or ():
+            self.cells[c].discard(k)
+
+    def near(self, box, pad_x: float, pad_y: float) -> set[int]:
+        """All that may lie within the pads of a box on both axes, and others of the same cells."""
+        cells = self._cells(box, pad_x * (1 + 1e-9) + 1e-9, pad_y * (1 + 1e-9) + 1e-9)
+        found = set(self.wide)
+        for c in self.cells if cells is None else cells:
+            found |= self.cells.get(c, set())
+        return found
+
+
 def z_constrained_groups(boxes: DataFrame, gap_x: float, gap_y: float, max_span: float) -> DataFrame:
     """(image_id, id, group_id) of boxes (image_id, id, min_x, max_x, min_y, max_y, z). Pairs are tried in
     the order of ids, and a pair joins its groups only if the z of all members then spans ``max_span`` at
@@ -37,10 +74,15 @@ def z_constrained_groups(boxes: DataFrame, gap_x: float, gap_y: float, max_span:
                 i = head[i]
             return i
 
-        for i in range(n):
-            gx = np.maximum(0, np.maximum(x0[i] - x1[i + 1 :], x0[i + 1 :] - x1[i]))
-            gy = np.maximum(0, np.maximum(y0[i] - y1[i + 1 :], y0[i + 1 :] - y1[i]))
-            for j in (np.flatnonzero((gx <= gap_x) & (gy <= gap_y) & (np.abs(z[i + 1 :] - z[i]) <= max_span)) + i + 1).tolist():
+        grid = Grid(gap_x + float(np.mean(x1 - x0)), gap_y + float(np.mean(y1 - y0)))
+        boxes = list(zip(x0, x1, y0, y1, strict=True))
+        for i, box in enumerate(boxes):
+            grid.put(i, box)
+        for i, box in enumerate(boxes):
+            late = np.asarray(sorted(k for k in grid.near(box, gap_x, gap_y) if k > i), int)
+            gx = np.maximum(0, np.maximum(x0[i] - x1[late], x0[late] - x1[i]))
+            gy = np.maximum(0, np.maximum(y0[i] - y1[late], y0[late] - y1[i]))
+            for j in late[(gx <= gap_x) & (gy <= gap_y) & (np.abs(z[late] - z[i]) <= max_span)].tolist():
                 a, b = find(i), find(j)
                 if a != b and max(hi[a], hi[b]) - min(lo[a], lo[b]) <= max_span:
                     head[b] = a
@@ -111,7 +153,10 @@ def greedy_merge(members: DataFrame, tile: Tile, max_extra: float = 0.1, max_z:
                 return None
             return -saving, out, a, b
 
-        heap = [c for a in live for b in live if a < b and (c := candidate(a, b))]
+        grid = Grid(max(limit_x, tile.width), max(limit_y, tile.height))
+        for i, b in box.items():
+            grid.put(i, b)
+        heap = [c for a in live for b in grid.near(box[a], limit_x, limit_y) if a < b and (c := candidate(a, b))]
         heapq.heapify(heap)
         nxt = len(df)
         while heap:
@@ -120,7 +165,11 @@ def greedy_merge(members: DataFrame, tile: Tile, max_extra: float = 0.1, max_z:
                 continue
             box[nxt], cost[nxt] = joined(a, b), out
             live[nxt] = live.pop(a) + live.pop(b)
-            for other in [g for g in live if g != nxt]:
+            grid.take(a, box[a])
+            grid.take(b, box[b])
+            others = grid.near(box[nxt], limit_x, limit_y)
+            grid.put(nxt, box[nxt])
+            for other in others:
                 if c := candidate(other, nxt):
                     heapq.heappush(heap, c)
             nxt += 1
@@ -292,20 +341,40 @@ def delaunay(points: np.ndarray) -> np.ndarray:
 
 
 def islands(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """4-connected parts of a mask, numbered from 1 in scan order, and how many there are."""
-    part, n = np.zeros(mask.shape, int), 0
-    for start in map(tuple, np.argwhere(mask)):
-        if part[start]:
-            continue
-        n += 1
-        part[start], todo = n, [start]
-        while todo:
-            y, x = todo.pop()
-            for at in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                if 0 <= at[0] < mask.shape[0] and 0 <= at[1] < mask.shape[1] and mask[at] and not part[at]:
-                    part[at] = n
-                    todo.append(at)
-    return part, n
+    """4-connected parts of a mask, numbered from 1 in scan order, and how many there are. Runs of a row are joined with
+    those of the row above that they touch, and only runs are labelled one by one."""
+    padded = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    padded[:, 1:-1] = mask
+    step = np.diff(padded, axis=1)
+    ys, x0 = np.nonzero(step == 1)
+    x1 = np.nonzero(step == -1)[1]
+    head = list(range(len(ys)))
+
+    def find(i: int) -> int:
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    first = np.searchsorted(ys, np.arange(mask.shape[0] + 1)).tolist()
+    starts, stops = x0.tolist(), x1.tolist()
+    for y in range(1, mask.shape[0]):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if starts[i] < stops[j] and starts[j] < stops[i]:
+                a, b = sorted((find(i), find(j)))
+                head[b] = a
+            if stops[i] < stops[j]:
+                i += 1
+            else:
+                j += 1
+    roots = np.asarray([find(i) for i in range(len(head))], int)
+    heads, number = np.unique(roots, return_inverse=True)  # a part's least run is its first in scan order
+    part = np.zeros(mask.shape, int)
+    size = x1 - x0
+    at = np.repeat(x0 - np.cumsum(size) + size, size) + np.arange(size.sum())
+    part[np.repeat(ys, size), at] = np.repeat(number + 1, size)
+    return part, len(heads)
 
 
 def _area(ring: np.ndarray) -> float:

@@ -189,7 +189,10 @@ def review_plan(labels: DataFrame, kept: DataFrame, classes: DataFrame, tr: Affi
 def compact_review(labels: DataFrame, scored: DataFrame, n: int, classes: DataFrame, tr: Affine, tile: Tile, p: Planning, seeds: int = 24) -> DataFrame:
     """(image_id, label) of n of one image's objects (image_id, label, x, y, score) that take few tiles: selections are
     grown from the ``seeds`` best, each is planned in full as if it were an image of its own, and the fewest tiles
-    win, then the greater score, then the earlier seed. All selections are planned in one job."""
+    win, then the greater score, then the earlier seed. All selections are planned in one job. Several images at once are
+    an error, as selections take their place."""
+    if len(scored.select("image_id").distinct().limit(2).collect()) > 1:
+        raise ValueError("a compact review has one image")
     grown = cut(grouped.grown_selections(scored.select(F.col("label").alias("id"), "x", "y", "score"), n, tile, seeds))
     pick = grown.select(F.col("seed").alias("image_id"), F.col("id").alias("label"))
     many = labels.drop("image_id").join(pick, "label")

@@ -67,11 +67,13 @@ def cache_key(stem: str, scene: int, channel: int, time: int, source_px: float |
 
 
 def output_prefix(stem: str, taken: set[str]) -> str:
-    """A file stem of letters, digits, - and _, numbered from 2 where it is taken."""
-    base = re.sub(r"[^A-Za-z0-9_-]", "_", stem) or "output"
-    if base not in taken:
-        return base
-    return next(f"{base}_{n}" for n in range(2, 10_000) if f"{base}_{n}" not in taken)
+    """A file stem of letters (of any script), digits, - and _, numbered from 2 to 9999 where it is taken; an error where
+    all of these are. ``operators.naming`` numbers whole tables of stems."""
+    base = re.sub(r"[^\w-]", "_", stem) or "output"
+    free = (name for name in (base, *(f"{base}_{n}" for n in range(2, 10_000))) if name not in taken)
+    if (name := next(free, None)) is None:
+        raise ValueError(f"no name is free for {stem!r}")
+    return name
 
 
 def csv_rows(targets: DataFrame, kind: str) -> DataFrame:

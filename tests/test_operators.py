@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.geometry import Affine, Tile, ring_area, slice_bounds, tiles_for_span
 from strataloom.operators import components, grouped, joins, models, objects, raster, regions
+from strataloom.sources import plan_files
 
 
 def mask(spark, pixels):
@@ -282,3 +283,67 @@ def test_tiles_touch_polygons_as_by_all_edges(spark):
     grid = regions.tile_lattice(box, Tile(10, 10, 1.0, 1.0, 0.0))
     found = regions.tiles_touching(grid, many, Tile(10, 10, 1.0, 1.0, 0.0)).count()
     assert abs(found - np.pi * 300**2 / 100) < 250 and found < grid.count()
+
+
+def test_islands_equal_flooding():
+    rng = np.random.default_rng(5)
+    for shape, share in (((1, 1), 0.5), ((7, 9), 0.5), ((30, 40), 0.6), ((40, 5), 0.55), ((12, 12), 0.0), ((12, 12), 1.0)):
+        mask = rng.random(shape) < share
+        part, n = np.zeros(shape, int), 0
+        for start in map(tuple, np.argwhere(mask).tolist()):
+            if not part[start]:
+                n, todo = n + 1, [start]
+                while todo:
+                    y, x = todo.pop()
+                    if 0 <= y < shape[0] and 0 <= x < shape[1] and mask[y, x] and not part[y, x]:
+                        part[y, x] = n
+                        todo += [(y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)]
+        got, count = grouped.islands(mask)
+        assert count == n and (got == part).all()
+
+
+def test_merging_looks_at_neighbours_alone(spark, monkeypatch):
+    """A grid that calls everything near gives the same groups; a large pool ends."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(250):
+        x, y = rng.random(2) * 60
+        w, h = rng.random(2) * (40 if i == 3 else 2)
+        rows.append((0, 1, i, float(x), float(x + w), float(y), float(y + h), float(rng.integers(0, 20))))
+    df = spark.createDataFrame(rows, "image_id int, pool int, id int, min_x double, max_x double, min_y double, max_y double, z double")
+    tile = Tile(8, 8, 1.0, 1.0, 0.25)
+    merged = lambda: sorted(map(tuple, grouped.greedy_merge(df, tile, 0.3, 12.0, 0.2).collect()))
+    chained = lambda: sorted(map(tuple, grouped.z_constrained_groups(df.withColumn("id", F.col("id").cast("long")), 1.5, 1.5, 9.0).collect()))
+    found = merged(), chained()
+
+    def plain(df, limit, span):  # every pair in the order of ids
+        up, lo, hi = list(range(len(df))), [r[7] for r in df], [r[7] for r in df]
+        find = lambda i: i if up[i] == i else find(up[i])
+        for i, p in enumerate(df):
+            for j in range(i + 1, len(df)):
+                q = df[j]
+                if max(p[3] - q[4], q[3] - p[4]) <= limit and max(p[5] - q[6], q[5] - p[6]) <= limit and abs(p[7] - q[7]) <= span:
+                    a, b = find(i), find(j)
+                    if a != b and max(hi[a], hi[b]) - min(lo[a], lo[b]) <= span:
+                        up[b], lo[a], hi[a] = a, min(lo[a], lo[b]), max(hi[a], hi[b])
+        root = [find(i) for i in range(len(df))]
+        return [(0, i, min(k for k in range(len(df)) if root[k] == r)) for i, r in enumerate(root)]
+
+    assert found[1] == plain(rows, 1.5, 9.0) and len({r[-2] for r in found[0]}) < 250
+    box = lambda k: (k, k + 1.0, 0.0, 1.0)
+    grid = grouped.Grid(2.0, 2.0)
+    for k in range(100):
+        grid.put(k, box(3.0 * k))
+    grid.put(100, (-1e9, 1e9, -1e9, 1e9))
+    assert grid.near(box(30.0), 2.0, 2.0) >= {9, 10, 11, 100} and len(grid.near(box(30.0), 2.0, 2.0)) < 10
+    grid.take(100, (-1e9, 1e9, -1e9, 1e9))
+    assert 100 not in grid.near(box(30.0), 2.0, 2.0) and len(grid.near((-1e9, 1e9, 0.0, 1.0), 0.0, 0.0)) == 100
+    many = spark.range(20_000).select(F.lit(0).alias("image_id"), F.lit(1).alias("pool"), F.col("id"), (F.col("id") % 200 * 5.0).alias("min_x"), (F.col("id") % 200 * 5.0 + 1).alias("max_x"), (F.floor(F.col("id") / 200) * 5.0).alias("min_y"), (F.floor(F.col("id") / 200) * 5.0 + 1).alias("max_y"), F.lit(0.0).alias("z"))
+    assert grouped.greedy_merge(many, Tile(4, 4, 1.0, 1.0, 0.0), 0.0, None, 0.5).count() == 20_000
+
+
+def test_names_are_free_or_an_error():
+    assert plan_files.output_prefix("été 2/µ", set()) == "été_2_µ" and plan_files.output_prefix("", set()) == "output"
+    assert plan_files.output_prefix("a", {"a", "a_2"}) == "a_3"
+    with pytest.raises(ValueError):
+        plan_files.output_prefix("a", {"a", *(f"a_{n}" for n in range(2, 10_000))})
