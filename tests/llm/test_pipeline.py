@@ -5,6 +5,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from test_near import classes
 
 from strataloom.llm import language_id, queries
@@ -122,3 +123,14 @@ def test_empty_and_unlabelled_documents(spark):
         for name, stage in corpus_pipeline.STAGES:
             d = materialize(stage(spark, d, SF), name)
             assert d.count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    """Columns of the input that are named like a stage's results come out as they went in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    own = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in ("score", "lang_pred", "kept", "n_lines", "Size", "node", "part")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, own, SF)
+        assert out.columns == own.columns, name
+        rows = out.select("doc_id", "score", "lang_pred", "kept", "n_lines", "Size").collect()
+        assert rows and all(r[k] == f"{c}-{r['doc_id']}" for r in rows for k, c in enumerate(("score", "lang_pred", "kept", "n_lines", "Size"), 1)), name
