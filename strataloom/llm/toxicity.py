@@ -44,8 +44,8 @@ WINDOWS = (1, 2, 4, 8, 16)
 CALIBRATION = 20_000
 #: Rows of ids to broadcast, at most.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of text at a time.
-CHUNK = 4 << 20
+#: Bytes of text, and distinct words, at a time: they bound a worker's memory.
+CHUNK, WORDS = 1 << 20, 1 << 14
 
 COUNTS = "order tinyint, gram long, context long, n array<long>"
 FEATURES = "toxic int, x array<double>"
@@ -118,6 +118,8 @@ class Model:
     def ratios(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word as toxic, less that as ordinary, without the last digits, which can differ
         with a word's place among others."""
+        if len(words) > WORDS:
+            return np.concatenate([self.ratios(words[i : i + WORDS]) for i in range(0, len(words), WORDS)])
         if not words:
             return np.zeros(0)
         word, orders = grams(words)
