@@ -9,7 +9,7 @@ from .functions import fields, geometry
 from .functions.geometry import Affine, ImageScales, Tile, ring_area, slice_bounds, tiles_for_span
 from .operators import components, grouped, joins, models, naming, objects, raster, regions
 from .operators.scratch import cut, new_folder
-from .plans import compose, detectors, modes, preview, workflow
+from .plans import compose, detectors, modes, preview, reviews, workflow
 from .plans import tables as plan_tables
 from .sources import fixtures as fx
 from .sources import navigator, plan_files, planes, sinks
@@ -896,3 +896,31 @@ def distinct_inputs(spark, d):
 def output_names(spark, d):
     t = fx.table(spark, d, "part").select("p_partkey", naming.stem(F.concat(F.col("p_type"), F.lit("/"), F.col("p_size").cast("string")), 64).alias("stem"))
     return naming.numbered(t, "p_partkey").select("p_partkey", "stem", F.col("number").alias("n"), F.col("prefix").alias("name"))
+
+
+# --------------------------------------------------------------------------- reviews as logs of events
+
+#: The event table as a log over the two images' objects: its kinds by type, its label by a number that goes round.
+REVIEWS = (
+    "ob AS (SELECT image_id, label, count(*) AS area, CAST(sum(x) AS DOUBLE) / count(*) AS cx, CAST(sum(y) AS DOUBLE) / count(*) AS cy, row_number() OVER (PARTITION BY image_id ORDER BY label) - 1 AS place FROM plab GROUP BY image_id, label)",
+    "ev AS (SELECT CAST(user_id % 2 AS INT) AS image_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'delete' WHEN 'view' THEN 'restore' WHEN 'signup' THEN 'limits' WHEN 'purchase' THEN 'count' ELSE 'pin' END AS kind, event_id % 90 AS place, CAST(event_id % 2 + 1 AS DOUBLE) AS min_area, CAST(20 AS DOUBLE) AS max_area, CAST(30 + event_id % 9 AS INT) AS n FROM events)",
+    "el AS (SELECT ev.*, ob.label FROM ev LEFT JOIN ob ON ob.image_id = ev.image_id AND ob.place = ev.place)",
+    "lim AS (SELECT image_id, arg_max(min_area, seq) FILTER (WHERE kind = 'limits') AS min_area, arg_max(max_area, seq) FILTER (WHERE kind = 'limits') AS max_area, arg_max(n, seq) FILTER (WHERE kind = 'count') AS n FROM el GROUP BY image_id)",
+    "gone AS (SELECT image_id, label FROM el WHERE kind IN ('delete', 'restore') GROUP BY ALL HAVING arg_max(kind, seq) = 'delete')",
+    "pins AS (SELECT image_id, label, min(seq) AS pin FROM el WHERE kind = 'pin' GROUP BY ALL)",
+    "kept AS (SELECT ob.*, n FROM ob JOIN lim USING (image_id) WHERE area BETWEEN min_area AND max_area AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.image_id = ob.image_id AND gone.label = ob.label))",
+)
+
+
+@query(W(*PAIR[:7], *REVIEWS) + "SELECT image_id, CAST(label AS BIGINT) AS label, area FROM (SELECT kept.*, row_number() OVER (PARTITION BY image_id ORDER BY pin NULLS LAST, area DESC, label) AS r FROM kept LEFT JOIN pins USING (image_id, label)) WHERE r <= n")
+def review_replay(spark, d):
+    lab, *_ = pair(spark, d)
+    o = objects.measure(lab).withColumn("weighted", F.lit(None).cast("double")).withColumnsRenamed({"centroid_x": "x", "centroid_y": "y"})
+    place = o.select("image_id", "label", (F.row_number().over(Window.partitionBy("image_id").orderBy("label")) - 1).alias("_place"))
+    kinds = {"click": "delete", "view": "restore", "signup": "limits", "purchase": "count"}
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()], F.lit("pin"))
+    i, none = F.col("event_id"), F.lit(None).cast("double")
+    e = fx.table(spark, d, "events").select((F.col("user_id") % 2).cast("int").alias("image_id"), i.alias("seq"), kind.alias("kind"), (i % 90).cast("int").alias("_place"), (i % 2 + 1.0).alias("min_area"), F.lit(20.0).alias("max_area"), *[none.alias(c) for c in ("min_elongation", "max_elongation", "min_confidence", "max_nn")], (i % 9 + 30).cast("int").alias("n"), F.lit("area").alias("rule"))
+    e = e.join(place, ["image_id", "_place"], "left").drop("_place")
+    done = e.groupBy("image_id").agg((F.max("seq") + 1).alias("seq"), F.lit("accept").alias("kind"))
+    return reviews.replay(o, e.unionByName(done, allowMissingColumns=True)).select("image_id", "label", "area")

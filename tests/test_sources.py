@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataloom import catalogue
 from strataloom.functions.geometry import Affine, ImageScales, Tile
 from strataloom.operators import components, raster
-from strataloom.plans import compose, tables
+from strataloom.plans import compose, reviews, tables
 from strataloom.sources import navigator, planes
 from strataloom.sources.voxels import PlaneSource, VoxelReader
 
@@ -208,3 +208,39 @@ def test_a_transform_that_cannot_be_inverted(spark):
     px = spark.createDataFrame([(1, 0, 0)], "image_id int, y int, x int")
     with pytest.raises(Exception, match="inverted"):
         compose.covered_pixels(px, tiles, ImageScales.from_overviews(meta), Tile(4, 4, 1.0, 1.0)).collect()
+
+
+def test_a_review_is_replayed(spark):
+    """Against a plain fold of the log, event by event."""
+    rng = np.random.default_rng(2)
+    objs = [(i, k, int(rng.integers(1, 40)), float(rng.random()), float(rng.random()), float(rng.random() * 50), float(rng.random() * 50)) for i in (1, 2) for k in range(40)]
+    o = spark.createDataFrame(objs, "image_id int, label long, area long, elongation double, weighted double, x double, y double")
+    kinds, log = ("limits", "delete", "restore", "pin", "count", "cancel"), []
+    for seq in range(120):
+        kind = str(rng.choice(kinds))
+        log.append((int(rng.integers(1, 3)), seq, kind, int(rng.integers(0, 40)), float(rng.integers(1, 9)), float(rng.integers(25, 40)), 0.05, 0.95, None if seq % 2 else 0.1, 12.0, int(rng.integers(5, 20)), str(rng.choice(["area", "confidence"]))))
+    done = [(i, 500, "accept", *[None] * 9) for i in (1, 2)]
+    schema = "image_id int, seq int, kind string, label long, min_area double, max_area double, min_elongation double, max_elongation double, min_confidence double, max_nn double, n int, rule string"
+    frame = lambda rows: spark.createDataFrame(rows, schema).repartition(3)
+    got = sorted((r["image_id"], r["label"]) for r in reviews.replay(o, frame(log + done)).collect())
+    want = []
+    for image in (1, 2):
+        limits, gone, pins, count = None, set(), {}, None
+        for i, seq, kind, label, *rest in log:
+            if i == image:
+                limits = rest[:6] if kind == "limits" else limits
+                gone = gone | {label} if kind == "delete" else gone - {label} if kind == "restore" else gone
+                if kind == "pin":
+                    pins.setdefault(label, seq)
+                count = rest[6:] if kind == "count" else count
+        lo, hi, e0, e1, sure, far = limits
+        kept = [r for r in objs if r[0] == image and r[1] not in gone and lo <= r[2] <= hi and e0 <= r[3] <= e1 and (sure is None or r[4] >= sure)]
+        near = lambda r: np.mean(sorted(np.hypot(r[5] - q[5], r[6] - q[6]) for q in kept if q is not r)[:3])
+        kept = [r for r in kept if near(r) <= far]
+        n, rule = count
+        kept.sort(key=lambda r: (pins.get(r[1], 999), -(r[2] if rule == "area" else r[4]), r[1]))
+        want += [(image, r[1]) for r in kept[:n]]
+    assert got == sorted(want) and len(got) > 5
+    with pytest.raises(RuntimeError):
+        reviews.replay(o, frame(log + done[:1]))
+    assert reviews.replay(o, frame(done[:1])).count() == 40  # nothing but accepted: all of that image
