@@ -849,13 +849,14 @@ def field_values(spark, d):
 
 
 #: Order lines as planes of images: the part decides channel, z and time, the order their place in the file.
-PLANES = "pl AS (SELECT l_suppkey AS image_id, l_orderkey * 8 + l_linenumber AS ordinal, CAST(l_partkey % 3 AS INT) AS c, CAST(l_partkey % 7 AS INT) AS z, CAST(l_linenumber % 2 AS INT) AS t, l_quantity AS position FROM lineitem), want AS (SELECT s_suppkey AS image_id, c, 2 AS z, 1 AS t FROM supplier, (SELECT unnest([0, 1, 5]) AS c))"
+PLANES = "pl AS (SELECT l_suppkey AS image_id, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS ordinal, CAST(l_partkey % 3 AS INT) AS c, CAST(l_partkey % 7 AS INT) AS z, CAST(l_linenumber % 2 AS INT) AS t, max(l_quantity) AS position FROM lineitem GROUP BY ALL), want AS (SELECT s_suppkey AS image_id, c, 2 AS z, 1 AS t FROM supplier, (SELECT unnest([0, 1, 5]) AS c))"
 
 
 @query("WITH " + PLANES + " SELECT w.*, o.ordinal IS NOT NULL AS exact, coalesce(o.ordinal, f.ordinal) AS ordinal, coalesce(o.position, f.position) AS position FROM want w LEFT JOIN (SELECT image_id, c, z, t, min(ordinal) AS ordinal, arg_min(position, ordinal) AS position FROM pl GROUP BY ALL) o USING (image_id, c, z, t) LEFT JOIN (SELECT image_id, min(ordinal) AS ordinal, arg_min(position, ordinal) AS position FROM pl GROUP BY ALL) f USING (image_id)")
 def plane_lookup(spark, d):
     li = fx.table(spark, d, "lineitem")
-    pl = li.select(F.col("l_suppkey").alias("image_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"), (F.col("l_partkey") % 3).cast("int").alias("c"), (F.col("l_partkey") % 7).cast("int").alias("z"), (F.col("l_linenumber") % 2).cast("int").alias("t"), F.col("l_quantity").alias("position"))
+    at = [F.col("l_suppkey").alias("image_id"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("ordinal"), (F.col("l_partkey") % 3).cast("int").alias("c"), (F.col("l_partkey") % 7).cast("int").alias("z"), (F.col("l_linenumber") % 2).cast("int").alias("t")]
+    pl = li.groupBy(*at).agg(F.max("l_quantity").alias("position"))  # lines can repeat
     want = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"), F.explode(F.array(*map(F.lit, (0, 1, 5)))).alias("c"), F.lit(2).alias("z"), F.lit(1).alias("t"))
     return planes.lookup(pl, want)
 
