@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Tile, finite_or_zero
 from .components import single_linkage
-from .joins import box_gap_pairs, images
+from .joins import box_gap_links, images
 from .raster import blurred
 from .scratch import cut
 
@@ -53,47 +53,80 @@ class Grid:
             found |= self.cells.get(c, set())
         return found
 
+    def frozen(self):
+        """``near`` for a grid that stays as it is: it gives an array, in which one may stand for each cell."""
+        cells = {c: np.fromiter(k, int, len(k)) for c, k in self.cells.items()}
+        wide = np.fromiter(self.wide, int, len(self.wide))
+
+        def near(box, pad_x: float, pad_y: float) -> np.ndarray:
+            at = self._cells(box, pad_x * (1 + 1e-9) + 1e-9, pad_y * (1 + 1e-9) + 1e-9)
+            return np.concatenate([wide, *(cells[c] for c in (cells if at is None else at) if c in cells)])
+
+        return near
+
 
 def z_constrained_groups(boxes: DataFrame, gap_x: float, gap_y: float, max_span: float) -> DataFrame:
     """(image_id, id, group_id) of boxes (image_id, id, min_x, max_x, min_y, max_y, z). Pairs are tried in
     the order of ids, and a pair joins its groups only if the z of all members then spans ``max_span`` at
-    most; so the outcome depends on the order. Only boxes that chains of such pairs link can meet: these
-    chains are found first, and each is one group of rows."""
+    most; so the outcome depends on the order. Only boxes that chains of such pairs link can meet: chains
+    that hold these are found first, and each is one group of rows.
+
+    Equal boxes always end in one group, that of their least id: whichever pair takes one of them takes the others
+    next, and their own pairs add nothing to a span. So a chain has one row for each distinct box."""
     if max_span < 0:
         raise ValueError("the z limit must not be negative")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("id").reset_index(drop=True)
         n = len(df)
+        if n == 1:
+            return df.assign(group_id=df["id"])[["image_id", "id", "group_id"]]
         x0, x1, y0, y1, z = (df[c].to_numpy(float) for c in ("min_x", "max_x", "min_y", "max_y", "z"))
-        head, lo, hi = list(range(n)), z.copy(), z.copy()
-
-        def find(i):
-            while head[i] != i:
-                head[i] = head[head[i]]
-                i = head[i]
-            return i
-
+        root, lo, hi = np.arange(n), z.tolist(), z.tolist()
+        members = {i: [i] for i in range(n)}
         grid = Grid(gap_x + float(np.mean(x1 - x0)), gap_y + float(np.mean(y1 - y0)))
-        boxes = list(zip(x0, x1, y0, y1, strict=True))
+        boxes = list(zip(x0.tolist(), x1.tolist(), y0.tolist(), y1.tolist(), strict=True))
         for i, box in enumerate(boxes):
             grid.put(i, box)
+        look = grid.frozen()
         for i, box in enumerate(boxes):
-            late = np.asarray(sorted(k for k in grid.near(box, gap_x, gap_y) if k > i), int)
-            gx = np.maximum(0, np.maximum(x0[i] - x1[late], x0[late] - x1[i]))
-            gy = np.maximum(0, np.maximum(y0[i] - y1[late], y0[late] - y1[i]))
-            for j in late[(gx <= gap_x) & (gy <= gap_y) & (np.abs(z[late] - z[i]) <= max_span)].tolist():
-                a, b = find(i), find(j)
-                if a != b and max(hi[a], hi[b]) - min(lo[a], lo[b]) <= max_span:
-                    head[b] = a
-                    lo[a], hi[a] = min(lo[a], lo[b]), max(hi[a], hi[b])
-        root = pd.Series([find(i) for i in range(n)])
-        df["group_id"] = df["id"].groupby(root).transform("min")
+            late = look(box, gap_x, gap_y)
+            late = late[late > i]
+            late = late[np.abs(z[late] - z[i]) <= max_span]
+            late = late[np.maximum(0, np.maximum(x0[i] - x1[late], x0[late] - x1[i])) <= gap_x]
+            late = late[np.maximum(0, np.maximum(y0[i] - y1[late], y0[late] - y1[i])) <= gap_y]
+            # a group is tried at its first box: later ones are of the same group, or refused again, as spans only grow
+            late = np.unique(late)
+            groups, first = np.unique(root[late], return_index=True)
+            own = int(root[i])
+            for b in groups[np.argsort(first)].tolist():
+                if b != own and max(hi[root[i]], hi[b]) - min(lo[root[i]], lo[b]) <= max_span:
+                    a = int(root[i])
+                    span = min(lo[a], lo[b]), max(hi[a], hi[b])
+                    if len(members[a]) < len(members[b]):
+                        a, b = b, a
+                    moved = members.pop(b)
+                    root[moved] = a
+                    members[a] += moved
+                    lo[a], hi[a] = span
+        df["group_id"] = df["id"].groupby(pd.Series(root)).transform("min")
         return df[["image_id", "id", "group_id"]]
 
-    boxes = cut(boxes)  # read by the pairs, their links and the chains
-    linked = single_linkage(boxes, box_gap_pairs(boxes, gap_x, gap_y, max_span)).withColumnRenamed("group_id", "_chain")
-    return linked.groupBy("image_id", "_chain").applyInPandas(run, "image_id int, id long, group_id long")
+    boxes = cut(boxes)  # read by the distinct boxes and at the end
+    sides = ["min_x", "max_x", "min_y", "max_y", "z"]
+    finite = F.lit(True)
+    for c in sides:
+        finite &= F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))  # NaN is greater
+    key = ["image_id", *sides, "_lone"]
+    boxes = boxes.withColumn("_lone", F.when(~finite, F.col("id")))  # without finite sides a box has no equal
+    distinct = cut(boxes.groupBy(*key).agg(F.min("id").alias("id")))
+    linked = single_linkage(distinct, box_gap_links(distinct, gap_x, gap_y, max_span)).withColumnRenamed("group_id", "_chain")
+    groups = linked.drop("_lone").groupBy("image_id", "_chain").applyInPandas(run, "image_id int, id long, group_id long")
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(f"b.{c}").eqNullSafe(F.col(f"d.{c}"))
+    of = boxes.alias("b").join(distinct.alias("d"), same).select("b.image_id", F.col("d.id").alias("_first"), "b.id")
+    return of.join(groups.withColumnRenamed("id", "_first"), ["image_id", "_first"]).select(F.col("image_id").cast("int").alias("image_id"), F.col("id").cast("long").alias("id"), "group_id")
 
 
 def _count(span: float, tile: float, step: float) -> int:

@@ -75,20 +75,34 @@ def proximity_links(points: DataFrame, width: float, height: float) -> DataFrame
     return stars.unionByName(straight.select(*image, F.col("f.rep").alias("a"), F.col("rep").alias("b"))).unionByName(crossed)
 
 
-def box_gap_pairs(boxes: DataFrame, gap_x: float, gap_y: float, dz: float | None = None) -> DataFrame:
-    """Pairs (a < b) of boxes (id, min_x, max_x, min_y, max_y, z) of one image whose gaps on both axes, and difference in
-    z, stay within the limits. Cells come in sizes that double; a box grown by half the gaps has those of the first
-    size that is no less than it, where it meets four at most, and of the greater sizes that other boxes have. Two
-    boxes meet in the size of the greater one; a pair is tested in the first cell that both meet."""
+def _in_cells(boxes: DataFrame, gap_x: float, gap_y: float, slack: float = 0.0) -> DataFrame:
+    """Boxes dealt to the cells (_level, cx, cy) that they meet when grown by half the gaps. Cells come in sizes that double;
+    a box has those of the first size that is no less than it (_own), where it meets four at most, and of the
+    greater sizes that other boxes have. Two near boxes meet in the size of the greater one."""
     size = boxes.agg(F.avg(F.col("max_x") - F.col("min_x")), F.avg(F.col("max_y") - F.col("min_y"))).first()
     cw, ch = (max(1e-9, (s or 0) + g) for s, g in zip(size, (gap_x, gap_y), strict=True))
     ratio = F.greatest((F.col("max_x") - F.col("min_x") + gap_x) / cw, (F.col("max_y") - F.col("min_y") + gap_y) / ch, F.lit(1.0))
     b = boxes.withColumn("_own", F.ceil(F.log2(ratio)).cast("int"))
     levels = F.array(*[F.lit(r[0]) for r in b.select("_own").where("_own IS NOT NULL").distinct().orderBy("_own").collect()] or [F.lit(0)])  # no more than doublings of one number
     b = b.withColumn("_level", F.explode(F.filter(levels, lambda v: v >= F.col("_own"))))
-    cell = lambda c, g, s: F.floor((F.col(c) + g / 2) / (F.lit(s) * F.pow(F.lit(2.0), F.col("_level"))))
-    b = b.withColumns({"_x0": cell("min_x", -gap_x, cw), "_x1": cell("max_x", gap_x, cw), "_y0": cell("min_y", -gap_y, ch), "_y1": cell("max_y", gap_y, ch)})
-    b = b.withColumn("cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("cy", F.explode(F.sequence("_y0", "_y1")))
+    grown = lambda c, g, side: F.col(c) + side * g / 2 + (side * slack * (F.abs(c) + g) if slack else 0)
+    cell = lambda c, g, s, side: F.floor(grown(c, g, side) / (F.lit(s) * F.pow(F.lit(2.0), F.col("_level"))))
+    b = b.withColumns({"_x0": cell("min_x", gap_x, cw, -1), "_x1": cell("max_x", gap_x, cw, 1), "_y0": cell("min_y", gap_y, ch, -1), "_y1": cell("max_y", gap_y, ch, 1)})
+    return b.withColumn("cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("cy", F.explode(F.sequence("_y0", "_y1")))
+
+
+def _near(a: str, b: str, gap_x: float, gap_y: float, dz: float | None) -> Column:
+    """Whether the boxes of the tables ``a`` and ``b`` lie within the limits."""
+    c = lambda t, n: F.col(f"{t}.{n}")
+    ok = axis_gap(c(a, "min_x"), c(a, "max_x"), c(b, "min_x"), c(b, "max_x")) <= gap_x
+    ok &= axis_gap(c(a, "min_y"), c(a, "max_y"), c(b, "min_y"), c(b, "max_y")) <= gap_y
+    return ok if dz is None else ok & (F.abs(c(a, "z") - c(b, "z")) <= dz)
+
+
+def box_gap_pairs(boxes: DataFrame, gap_x: float, gap_y: float, dz: float | None = None) -> DataFrame:
+    """Pairs (a < b) of boxes (id, min_x, max_x, min_y, max_y, z) of one image whose gaps on both axes, and difference in
+    z, stay within the limits, met in cells. A pair is tested in the first cell that both meet."""
+    b = _in_cells(boxes, gap_x, gap_y)
     r, s = b.alias("r"), b.alias("s")
     c = lambda t, n: F.col(f"{t}.{n}")
     image = images(boxes)
@@ -97,13 +111,37 @@ def box_gap_pairs(boxes: DataFrame, gap_x: float, gap_y: float, dz: float | None
         ok &= c("r", name) == c("s", name)
     ok &= (c("r", "id") < c("s", "id")) & (F.greatest(c("r", "_own"), c("s", "_own")) == c("r", "_level"))
     ok &= (F.greatest(c("r", "_x0"), c("s", "_x0")) == c("r", "cx")) & (F.greatest(c("r", "_y0"), c("s", "_y0")) == c("r", "cy"))
-    ok &= axis_gap(c("r", "min_x"), c("r", "max_x"), c("s", "min_x"), c("s", "max_x")) <= gap_x
-    ok &= axis_gap(c("r", "min_y"), c("r", "max_y"), c("s", "min_y"), c("s", "max_y")) <= gap_y
-    if dz is not None:
-        ok &= F.abs(c("r", "z") - c("s", "z")) <= dz
+    ok &= _near("r", "s", gap_x, gap_y, dz)
     return r.join(s, ok).select(*[c("r", name) for name in image], c("r", "id").alias("a"), c("s", "id").alias("b"))
 
 
+#: Boxes of a cell beyond which they are linked as one, without a look at their gaps.
+CROWD = 32
+
+
+def box_gap_links(boxes: DataFrame, gap_x: float, gap_y: float, dz: float, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) whose chains hold those of ``box_gap_pairs`` whole, in rows linear in the boxes: those pairs in cells of at
+    most ``crowd`` boxes, and in others a link of each box with the least id, even if it lies just beyond the limits. So
+    chains may come out longer where boxes are dense, never shorter. Boxes with a side or z that is not finite have none."""
+    image, tall = images(boxes), max(dz, 1e-9)
+    key = [*image, "_level", "cx", "cy", "cz"]
+    b = boxes.select(*image, "id", *[F.col(c).cast("double").alias(c) for c in ("min_x", "max_x", "min_y", "max_y", "z")])
+    for c in ("min_x", "max_x", "min_y", "max_y", "z"):
+        b = b.where(F.abs(c) < float("inf"))  # NaN is greater
+    reach = (F.abs("z") + dz) * 1e-9 + dz / 2
+    deep = F.sequence(F.floor((F.col("z") - reach) / tall), F.floor((F.col("z") + reach) / tall)) if dz > 0 else F.array("z")
+    b = cut(_in_cells(b, gap_x, gap_y, 1e-9).withColumn("cz", F.explode(deep)))
+    cells = cut(b.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_rep")).where("_n > 1"))
+    few = b.join(cells.where(F.col("_n") <= crowd).select(*key), key, "left_semi")
+    r, s = few.alias("r"), few.alias("s")
+    meet = (F.col("r.id") < F.col("s.id")) & _near("r", "s", gap_x, gap_y, dz)
+    for name in key:
+        meet &= F.col(f"r.{name}") == F.col(f"s.{name}")
+    pairs = r.join(s, meet).select(*[F.col(f"r.{name}") for name in image], F.col("r.id").alias("a"), F.col("s.id").alias("b"))
+    stars = b.join(cells.where(F.col("_n") > crowd).select(*key, "_rep"), key).where("id <> _rep").select(*image, F.col("_rep").alias("a"), F.col("id").alias("b"))
+    return pairs.unionByName(stars).distinct()
+
+
 def knn_mean_distance(points: DataFrame, k: int = 3, cell: float | None = None) -> DataFrame:
     """(id, nn): mean distance to the k nearest other points (id, x, y) of its image, or to all where there are
     fewer; infinite for a lone point, and for one without finite coordinates, which is no one's neighbour.

@@ -342,6 +342,40 @@ def test_merging_looks_at_neighbours_alone(spark, monkeypatch):
     assert grouped.greedy_merge(many, Tile(4, 4, 1.0, 1.0, 0.0), 0.0, None, 0.5).count() == 20_000
 
 
+def test_z_groups_of_dense_boxes_take_few_links(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    cols = "image_id int, id long, min_x double, max_x double, min_y double, max_y double, z double"
+    rows = [(0, i, float(x), float(x) + (30.0 if i == 50 else 0.0), float(y), float(y), float(z)) for i, (x, y, z) in enumerate(zip(rng.integers(0, 12, 600), rng.integers(0, 12, 600), rng.integers(0, 8, 600) * 2, strict=True))]
+    rows += [(0, 600 + i, math.inf if i % 2 else 3.0, math.inf if i % 2 else 3.0, 3.0, 3.0, 4.0 if i % 2 else math.nan) for i in range(4)]
+    df = spark.createDataFrame(rows, cols)
+    up, lo, hi = list(range(604)), [r[6] for r in rows], [r[6] for r in rows]
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    near = lambda p, q: max(p[2] - q[3], q[2] - p[3]) <= 3 and max(p[4] - q[5], q[4] - p[5]) <= 3 and abs(p[6] - q[6]) <= 6
+    for i, p in enumerate(rows):
+        for j in range(i + 1, 604):
+            if near(p, rows[j]):
+                a, b = find(i), find(j)
+                if a != b and max(hi[a], hi[b]) - min(lo[a], lo[b]) <= 6:
+                    up[b], lo[a], hi[a] = a, min(lo[a], lo[b]), max(hi[a], hi[b])
+    least = {}
+    for i in range(604):
+        least.setdefault(find(i), i)
+    seen, real = [], grouped.single_linkage
+    monkeypatch.setattr(grouped, "single_linkage", lambda points, pairs: seen.append((points.count(), pairs.count())) or real(points, pairs))
+    got = {r["id"]: r["group_id"] for r in grouped.z_constrained_groups(df, 3.0, 3.0, 6.0).collect()}
+    assert got == {i: least[find(i)] for i in range(604)}
+    # copies are one row, and links stay linear where pairs go with the square
+    assert seen[0][0] == len({r[2:] for r in rows[:600]}) + 4 and seen[0][1] < 16 * 600 < joins.box_gap_pairs(df.where("id < 600"), 3.0, 3.0, 6.0).count()
+    loose = spark.createDataFrame([(0, i, float(x), float(x), float(y), float(y), float(z)) for i, (x, y, z) in enumerate(rng.random((300, 3)) * (60, 60, 20))], cols)
+    roots = lambda links: sorted(map(tuple, components.single_linkage(loose, links).select("id", "group_id").collect()))
+    assert roots(joins.box_gap_links(loose, 3.0, 3.0, 6.0)) == roots(joins.box_gap_pairs(loose, 3.0, 3.0, 6.0))
+
+
 def test_names_are_free_or_an_error():
     assert plan_files.output_prefix("été 2/µ", set()) == "été_2_µ" and plan_files.output_prefix("", set()) == "output"
     assert plan_files.output_prefix("a", {"a", "a_2"}) == "a_3"
