@@ -10,10 +10,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 
 def fit_forest(features: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -> Model:
-    """A random forest of classes 0, 1, .. trained on rows with ``f`` and ``cls``."""
-    rows = features.select(array_to_vector("f").alias("features"), F.col("cls").cast("double").alias("label"))
+    """A random forest of classes 0, 1, .. trained on rows with ``f`` and ``cls``. The fit reads its rows several times, so
+    they are computed once."""
+    rows = cut(features.select("f", F.col("cls").cast("double").alias("label"))).select(array_to_vector("f").alias("features"), "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 

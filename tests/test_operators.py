@@ -376,6 +376,27 @@ def test_z_groups_of_dense_boxes_take_few_links(spark, monkeypatch):
     assert roots(joins.box_gap_links(loose, 3.0, 3.0, 6.0)) == roots(joins.box_gap_pairs(loose, 3.0, 3.0, 6.0))
 
 
+def test_forest_reads_its_features_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for df in batches:
+            seen.add(len(df))
+            yield df
+
+    rows = spark.createDataFrame([([float(i), float(i % 7)], i % 2) for i in range(200)], "f array<double>, cls int")
+    forest = models.fit_forest(rows.mapInPandas(count, rows.schema), trees=2, depth=3)
+    assert seen.value == 200 and forest.getNumTrees == 2
+    rng = np.random.default_rng(5)
+    for shape, sigma in (((88, 64), 1.0), ((5, 3), 2.0), ((1, 9), 1.5)):
+        image = rng.normal(size=shape)
+        w = raster.gaussian_weights(sigma)
+        k, want = np.asarray(w[:0:-1] + w), image
+        for axis in (0, 1):
+            want = np.apply_along_axis(lambda v: np.convolve(np.pad(v, len(w) - 1, mode="symmetric"), k, "valid"), axis, want)  # noqa: B023
+        assert (raster.blurred(image, sigma) == want).all()
+
+
 def test_names_are_free_or_an_error():
     assert plan_files.output_prefix("été 2/µ", set()) == "été_2_µ" and plan_files.output_prefix("", set()) == "output"
     assert plan_files.output_prefix("a", {"a", "a_2"}) == "a_3"
