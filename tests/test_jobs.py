@@ -9,7 +9,7 @@ from conftest import ROOT, SF, same_rows
 from pyspark.sql import functions as F
 
 from jobs import batch_targets, common, name_register, registered
-from strataloom.operators import naming
+from strataloom.operators import naming, raster
 
 NOTE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,6 +37,17 @@ def test_batch_targets_reruns_and_parts(spark, tmp_path):
     assert batch_targets.run(spark, *paths, str(tmp_path / "none"), {"nations": [999]})["images read"] == 0
 
 
+def test_projection_shuffles_once_and_sorts_nothing(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    mip = raster.project_max(batch_targets.voxels(lines, 32))
+    plan = mip._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+    long = 2**63 - 1
+    rows = [(0, 1, 0, 0, 5), (0, 4, 0, 0, 5), (0, 0, 0, 0, -9), (0, 2, 0, 1, long), (0, 0, 0, 1, long - 1), (0, 3, 0, 2, -long - 1), (0, 1, 0, 2, None), (0, -2, 0, 3, -7), (0, 5, 0, 3, -7), (0, 6, 0, 4, None)]
+    got = {r["x"]: (r["v"], r["argmax_z"]) for r in raster.project_max(spark.createDataFrame(rows, "image_id int, z int, y int, x int, v long")).collect()}
+    assert got == {0: (5, 1), 1: (long, 2), 2: (-long - 1, 3), 3: (-7, -2), 4: (None, 6)}
+
+
 def test_two_images_as_two_runs(spark, tmp_path):
     """One run over images of different transforms gives what runs over each alone give."""
     paths = (f"{SF}/lineitem.parquet", f"{SF}/supplier.parquet")
