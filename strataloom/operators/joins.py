@@ -142,12 +142,16 @@ def box_gap_links(boxes: DataFrame, gap_x: float, gap_y: float, dz: float, crowd
     return pairs.unionByName(stars).distinct()
 
 
+#: Times that the cells of the first round of nearest neighbours are divided by four, at most.
+FINER = 12
+
+
 def knn_mean_distance(points: DataFrame, k: int = 3, cell: float | None = None) -> DataFrame:
     """(id, nn): mean distance to the k nearest other points (id, x, y) of its image, or to all where there are
     fewer; infinite for a lone point, and for one without finite coordinates, which is no one's neighbour.
 
-    Equal points are one place with a count. A round joins each open place with the cells around its own. It
-    is settled once the k-th distance is within what those cells cover; the others go on with cells four
+    Equal points are one place with a count. A round joins each cell of open places with the cells around it, as arrays
+    of places. A place is settled once the k-th distance is within what those cells cover; the others go on with cells four
     times as large, until one cell holds an image."""
     image = images(points)
     real = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
@@ -158,25 +162,34 @@ def knn_mean_distance(points: DataFrame, k: int = 3, cell: float | None = None)
     total, most, dx, dy = sizes.agg(F.sum("_n"), F.max("_n"), F.max(F.col("_x1") - F.col("_x0")), F.max(F.col("_y1") - F.col("_y0"))).first()
     if not total or most < 2:
         return xy.select(*image, "id", lone.alias("nn"))
-    if cell is None:
-        cell = max((dx * dy / most * (k + 1)) ** 0.5 / 4, max(dx, dy) / most, 1e-9)
+    start = cell or max((dx * dy / most * (k + 1)) ** 0.5, max(dx, dy) / most, 1e-9)
     want = F.least(F.lit(k), F.col("_n") - 1)
     n_of = sizes.select(*image, "_n")
     places = cut(places.join(n_of, image).where("_n > 1") if image else places.withColumn("_n", F.lit(most)))
+    if cell is None:  # finer where places are dense: as many as share a place's cell, on average
+        for _ in range(FINER):
+            n = places.groupBy(*image, F.floor(F.col("x") / start), F.floor(F.col("y") / start)).count().agg(F.sum(F.col("count") * F.col("count").cast("double")) / F.sum("count")).first()[0]
+            if n <= 8 * (k + 1) or start / 4 < 1e-9:
+                break
+            start /= 4
+    cell = start
     open_, done = places, None
+    key = [*image, "cx", "cy"]
     while True:
-        at = lambda c, s=cell: F.floor(F.col(c) / s)
-        p = places.select(*image, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("here").alias("many"), at("x").alias("cx"), at("y").alias("cy"))
-        q = open_.select(*image, "x", "y", "_n", at("x").alias("cx"), at("y").alias("cy"), F.explode(_around()).alias("o"))
-        q = q.select(*image, "x", "y", "_n", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-        own = (F.col("x") == F.col("bx")) & (F.col("y") == F.col("by"))
-        j = q.join(p, [*image, "cx", "cy"]).withColumn("d", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")))
-        # a place counts as often as it has points, up to k, but for the point itself
-        j = j.withColumn("many", F.least(F.when(own, F.col("many") - 1).otherwise(F.col("many")), F.lit(k))).where("many > 0")
-        j = j.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("many").cast("int"))))
-        w = Window.partitionBy(*image, "x", "y").orderBy("d")
-        j = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= want)
-        got = j.groupBy(*image, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far"), F.avg("d").alias("nn"))
+        by_cell = lambda t, n, name, s=cell: t.groupBy(*image, F.floor(F.col("x") / s).alias("cx"), F.floor(F.col("y") / s).alias("cy")).agg(F.collect_list(F.struct("x", "y", n)).alias(name))
+        p, q = by_cell(places, "here", "points"), by_cell(open_, "_n", "asking")
+        o = q.select(*key, F.explode(_around()).alias("o")).select(*image, F.col("cx").alias("qx"), F.col("cy").alias("qy"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+        near = o.join(p, key).groupBy(*image, F.col("qx").alias("cx"), F.col("qy").alias("cy")).agg(F.flatten(F.collect_list("points")).alias("near"))
+
+        def nearest(a: Column) -> Column:
+            # a place counts as often as it has points, up to k, but for the point itself
+            own = lambda b: ((a["x"] == b["x"]) & (a["y"] == b["y"])).cast("int")
+            d = lambda b: F.array_repeat(F.hypot(a["x"] - b["x"], a["y"] - b["y"]), F.least(b["here"] - own(b), F.lit(k)).cast("int"))
+            return F.struct(a["x"].alias("x"), a["y"].alias("y"), F.slice(F.sort_array(F.flatten(F.transform("near", d))), 1, F.least(F.lit(k), a["_n"] - 1).cast("int")).alias("d"))
+
+        # a cell's pairs never become rows
+        got = q.join(near, key).select(*image, F.explode(F.transform("asking", nearest)).alias("r")).select(*image, "r.x", "r.y", "r.d").where(F.size("d") > 0)
+        got = got.select(*image, "x", "y", F.size("d").cast("long").alias("n"), F.array_max("d").alias("far"), (F.aggregate("d", F.lit(0.0), lambda t, v: t + v) / F.size("d")).alias("nn"))
         got = cut(open_.join(got, [*image, "x", "y"], "left"))
         # a point sees all within one cell size of itself
         settled = (F.col("n") == want) & (F.col("far") <= cell)

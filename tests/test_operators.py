@@ -105,6 +105,18 @@ def test_knn_equals_brute_force(spark):
     assert all(got[i] == pytest.approx(d[i]) for i in range(len(p)))
 
 
+def test_knn_makes_no_rows_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    p = [*rng.integers(0, 20, (300, 2)).tolist(), *[[3, 3]] * 5, [500, 500]]
+    plans = []
+    monkeypatch.setattr(joins, "cut", lambda df, real=joins.cut: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    got = {r["id"]: r["nn"] for r in joins.knn_mean_distance(spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "id long, x double, y double")).collect()}
+    assert plans and not any("Window" in plan for plan in plans)
+    a = np.asarray(p, float)
+    d = np.sort(np.hypot(*(a[:, None] - a[None]).transpose(2, 0, 1)), 1)[:, 1:4].mean(1)
+    assert all(got[i] == pytest.approx(d[i]) for i in range(len(p)))
+
+
 def test_range_joins_are_hashed(spark):
     p = spark.createDataFrame([(i, float(i), 0.0) for i in range(20)], "id long, x double, y double")
     plan = joins.proximity_pairs(p, 2.0, 2.0)._jdf.queryExecution().executedPlan().toString()
